@@ -7,7 +7,7 @@ import importlib
 ALL: dict = {}
 SQL: dict[str, str] = {}
 
-FAMILIES = ("catalog",)
+FAMILIES = ("catalog", "pixels", "detectors", "fusing")
 
 # SQL twins of siltmark.sources.driver_tables
 VIEWS = {
@@ -32,7 +32,7 @@ SELECT event_id AS scene_id, ts AS acq,
 FROM events""",
     "obs": """
 SELECT l_orderkey // 4096 AS event_id, l_linenumber AS scene,
-       CAST(l_orderkey % 64 AS INTEGER) AS "row", CAST(l_partkey % 64 AS INTEGER) AS col,
+       CAST(l_orderkey % 32 AS INTEGER) AS "row", CAST(l_partkey % 32 AS INTEGER) AS col,
        max(CAST(floor(l_extendedprice) AS BIGINT) % 3000) AS red,
        max(CAST(floor(l_extendedprice) AS BIGINT) % 7000) AS nir,
        max(CAST(floor(l_quantity) AS BIGINT) * 60) AS green,
@@ -42,10 +42,10 @@ SELECT l_orderkey // 4096 AS event_id, l_linenumber AS scene,
        CASE WHEN l_linenumber <= 3 THEN 'pre' ELSE 'post' END AS side
 FROM lineitem GROUP BY ALL""",
     "grids": """
-SELECT DISTINCT l_orderkey // 4096 AS event_id, 64 AS n_rows, 64 AS n_cols FROM lineitem""",
+SELECT DISTINCT l_orderkey // 4096 AS event_id, 32 AS n_rows, 32 AS n_cols FROM lineitem""",
     "dense": """
 SELECT event_id, CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS col
-FROM grids, range(64) a(r), range(64) b(c)""",
+FROM grids, range(32) a(r), range(32) b(c)""",
     "dem": """
 SELECT DISTINCT event_id, "row", col,
        CAST(100 + 20 * "row" + (col * col) % 50 + event_id % 7 AS DOUBLE) AS h FROM obs""",

@@ -39,7 +39,7 @@ def top_per_side(df: DataFrame, order, k: int, cap: Column | None = None,
                  keys=("event_id", "side")) -> DataFrame:
     """First ``k`` rows per group; ``cap`` may lower the bound per row."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    out = df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    out = df.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
     return out.filter(F.col("rank") <= cap) if cap is not None else out
 
 

@@ -1,7 +1,7 @@
 """The engine's input shapes derived from the benchmark parquet tables.
 
 Every view scans a whole table; the number of events of the pixel views grows with
-the data (one 64 x 64 grid per 4,096 order keys).
+the data (one 32 x 32 grid per 4,096 order keys).
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from siltmark.session import prepare
 
-GRID = 64
+GRID = 32
 ORDERS_PER_EVENT = 4096
 
 
@@ -88,7 +88,7 @@ def elevation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def truth_expr(row="row", col="col"):
     r, c = F.col(row), F.col(col)
-    return (r - 32) * (r - 32) + (c - 32) * (c - 32) <= 64
+    return (r - 16) * (r - 16) + (c - 16) * (c - 16) <= 36
 
 
 def strips(spark: SparkSession, sf_dir: str) -> DataFrame:
