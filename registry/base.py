@@ -104,9 +104,11 @@ def with_views(names, body: str, extra: str = "") -> str:
     for n in names:
         add(n)
     ctes = [f"{n} AS ({VIEWS[n]})" for n in order]
+    recursive = extra.startswith("RECURSIVE ")
+    extra = extra.removeprefix("RECURSIVE ").strip().rstrip(",")
     if extra:
-        ctes.append(extra.strip().rstrip(","))
-    return "WITH " + ",\n".join(ctes) + "\n" + body if ctes else body
+        ctes.append(extra)
+    return "WITH " + ("RECURSIVE " if recursive else "") + ",\n".join(ctes) + "\n" + body if ctes else body
 
 
 def register(name: str, sql: str | None = None, views=(), extra: str = ""):

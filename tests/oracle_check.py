@@ -21,7 +21,7 @@ def norm(v):
     if v is None:
         return None
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else round(v, 6) + 0.0
+        return "nan" if math.isnan(v) else float(f"{v:.12g}") + 0.0
     if isinstance(v, (list, tuple)):
         return tuple(norm(x) for x in v)
     if hasattr(v, "as_integer_ratio") and not isinstance(v, (int, bool)):
