@@ -102,10 +102,10 @@ def _fused(spark, d, mode):
 for _mode, _score in (("mean", "base"), ("geometric", "base"), ("product", "base * base")):
     def _q(spark, d, mode=_mode):
         """Fused score, confidence and optical-only score."""
-        return _fused(spark, d, mode).select("event_id", "row", "col", "confidence", F.round("score", 9).alias("score"),
-                                             F.round("optical_only", 9).alias("optical_only"))
+        return _fused(spark, d, mode).select("event_id", "row", "col", "confidence", F.round("score", 12).alias("score"),
+                                             F.round("optical_only", 12).alias("optical_only"))
     register(f"fuse_{_mode}", views=("dense", "obs"), extra=fuse_sql(_mode), sql=f"""
-SELECT event_id, "row", col, confidence, round({_score}, 9) AS score, round(ob, 9) AS optical_only FROM f""")(_q)
+SELECT event_id, "row", col, confidence, round({_score}, 12) AS score, round(ob, 12) AS optical_only FROM f""")(_q)
 
 
 @register("fuse_summary", views=("dense", "obs"), extra=fuse_sql("mean"), sql="""

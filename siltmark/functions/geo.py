@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 KM_PER_DEG = 111.32        # optical, S1 and VHR searches
 KM_PER_DEG_ALT = 111.0     # the two granule archives use the rounded figure
 EARTH_KM = 6371.0
+EARTH_MEAN_KM = 6371.0088   # used where a distance is reported
 COMPASS = ("N", "NE", "E", "SE", "S", "SW", "W", "NW")
 
 
@@ -55,7 +56,7 @@ def boxes_meet(a: Column, b: Column) -> Column:
 def boxes_meet_within(a: Column, b: Column, tol_km: float) -> Column:
     """Boxes overlap once each side may slip by ``tol_km``."""
     dlat = F.lit(tol_km / KM_PER_DEG)
-    mid = (a["s"] + a["n"]) / 2
+    mid = (a["s"] + a["n"] + b["s"] + b["n"]) / 4
     dlon = F.lit(tol_km) / (F.lit(KM_PER_DEG) * F.greatest(F.lit(0.05), F.cos(F.radians(mid))))
     return ((a["w"] - dlon <= b["e"]) & (b["w"] <= a["e"] + dlon)
             & (a["s"] - dlat <= b["n"]) & (b["s"] <= a["n"] + dlat))
@@ -95,12 +96,13 @@ def wrap180(deg: Column) -> Column:
     return F.pmod(deg + 180.0, F.lit(360.0)) - 180.0
 
 
-def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column,
+                 radius_km: float = EARTH_MEAN_KM) -> Column:
     p1, p2 = F.radians(lat1), F.radians(lat2)
     half_lat = F.sin((p2 - p1) / 2)
     half_lon = F.sin(F.radians(lon2 - lon1) / 2)
     a = half_lat * half_lat + F.cos(p1) * F.cos(p2) * half_lon * half_lon
-    return F.lit(2 * EARTH_KM) * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    return F.lit(2 * radius_km) * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
 
 
 def bearing_deg(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -117,10 +119,12 @@ def compass8(bearing: Column) -> Column:
 
 
 def offset_text(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """'1.3 km NE' from the first point to the second."""
+    """'2.31 km SW of seismic location': how far and which way the slide sits."""
     km = haversine_km(lat1, lon1, lat2, lon2)
-    return F.concat(F.format_number(km, 1), F.lit(" km "),
-                    compass8(bearing_deg(lat1, lon1, lat2, lon2)))
+    dist = (F.when(km < 1, F.format_string("%.0f m", km * 1000))
+            .when(km < 10, F.format_string("%.2f km", km)).otherwise(F.format_string("%.1f km", km)))
+    way = F.concat(F.lit(" "), compass8(bearing_deg(lat1, lon1, lat2, lon2)), F.lit(" of seismic location"))
+    return F.concat(dist, F.when(km < 0.05, " from seismic location").otherwise(way))
 
 
 def box_ring(box: Column) -> Column:

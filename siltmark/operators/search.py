@@ -54,6 +54,23 @@ def overlapping_pairs(events: DataFrame, scenes: DataFrame, *, pre_days: int, po
     return both.filter(geo.boxes_meet(a, b) & home).drop("_b", "_x", "_y")
 
 
+def box_join(left: DataFrame, right: DataFrame, left_box: str, right_box: str, slack_deg: float = 0.0) -> DataFrame:
+    """Rows whose boxes meet, joined on 1-degree cells; ``slack_deg`` widens the left box.
+
+    Each pair appears once: in the cell of the shared box's lower-left corner.
+    """
+    b = F.col(left_box)
+    wide = F.struct((b["w"] - slack_deg).alias("w"), (b["s"] - slack_deg).alias("s"),
+                    (b["e"] + slack_deg).alias("e"), (b["n"] + slack_deg).alias("n"))
+    lf = left.withColumn("_wide", wide).withColumn("_x", _cells(F.col("_wide"), "x")).withColumn("_y", _cells(F.col("_wide"), "y"))
+    rt = right.withColumn("_x", _cells(F.col(right_box), "x")).withColumn("_y", _cells(F.col(right_box), "y"))
+    j = lf.join(rt, ["_x", "_y"])
+    a, c = F.col("_wide"), F.col(right_box)
+    home = ((F.floor(F.greatest(a["w"], c["w"]) / CELL_DEG) == F.col("_x"))
+            & (F.floor(F.greatest(a["s"], c["s"]) / CELL_DEG) == F.col("_y")))
+    return j.filter(geo.boxes_meet(a, c) & home).drop("_x", "_y", "_wide")
+
+
 def scene_search(events: DataFrame, scenes: DataFrame, *, pre_days: int = 60, post_days: int = 60,
                  rule: str = "day", max_cloud: float | None = None,
                  km_per_deg: float = geo.KM_PER_DEG, now: Column | None = None) -> DataFrame:

@@ -75,8 +75,8 @@ def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     return (li.select(F.expr(f"l_orderkey div {ORDERS_PER_EVENT}").alias("event_id")).distinct()
             .select("event_id", F.lit(GRID).alias("n_rows"), F.lit(GRID).alias("n_cols"),
-                    F.lit(-150.0).alias("x0"), F.lit(0.0005).alias("dx"),
-                    F.lit(60.0).alias("y0"), F.lit(-0.00025).alias("dy")))
+                    F.lit(-150.0).alias("x0"), F.lit(1 / 2048).alias("dx"),
+                    F.lit(60.0).alias("y0"), F.lit(-1 / 4096).alias("dy")))
 
 
 def elevation(spark: SparkSession, sf_dir: str) -> DataFrame:
