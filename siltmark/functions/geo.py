@@ -158,7 +158,7 @@ def _pairs(pts: Column) -> Column:
     return F.zip_with(pts, nxt, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
 
-def _edges(ring: Column) -> Column:
+def edges(ring: Column) -> Column:
     """array<struct<a,b>> of consecutive points, last joined to first."""
     return let(open_ring(ring), _pairs)
 
@@ -170,13 +170,13 @@ def point_in_ring(ring: Column, lon: Column, lat: Column) -> Column:
         spans = (a["lat"] > lat) != (b["lat"] > lat)
         at = (b["lon"] - a["lon"]) * (lat - a["lat"]) / F.nullif(b["lat"] - a["lat"], F.lit(0.0)) + a["lon"]
         return spans & (lon < at)
-    return F.size(F.filter(_edges(ring), crosses)) % 2 == 1
+    return F.size(F.filter(edges(ring), crosses)) % 2 == 1
 
 
 def ring_area(ring: Column) -> Column:
     """Signed shoelace area, positive counter-clockwise."""
     return F.aggregate(
-        _edges(ring), F.lit(0.0),
+        edges(ring), F.lit(0.0),
         lambda s, e: s + (e["a"]["lon"] * e["b"]["lat"] - e["b"]["lon"] * e["a"]["lat"]) / 2.0,
     )
 
@@ -206,7 +206,7 @@ def _clip_half_plane(ring: Column, ax: Column, ay: Column, bx: Column, by: Colum
 def clip_to_convex(ring: Column, clip: Column) -> Column:
     """Ring cut by every edge of a counter-clockwise convex ring."""
     return F.aggregate(
-        _edges(clip), open_ring(ring),
+        edges(clip), open_ring(ring),
         lambda acc, e: _clip_half_plane(acc, e["a"]["lon"], e["a"]["lat"],
                                         e["b"]["lon"], e["b"]["lat"]),
     )

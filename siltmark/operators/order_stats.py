@@ -93,6 +93,8 @@ def clipped_offset(df: DataFrame, keys: list[str], value: Column, *, iters: int
                             F.lit(False).alias("done"), F.lit(False).alias("clipped"),
                             F.lit(None).cast("bigint").alias("thin_n")))
     for _ in range(iters):
+        if state.filter(~F.col("done")).isEmpty():
+            break
         reach = F.lit(nsig) * F.col("sd")
         want = state.select(
             *keys, F.greatest("lo", F.col("med") - reach).alias("lo"),
