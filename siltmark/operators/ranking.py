@@ -125,12 +125,17 @@ def nearest_per_side(df: DataFrame, keys=("event_id", "side")) -> DataFrame:
             .select(*keys, "s.scene_id", F.round("s.gap", 6).alias("gap")))
 
 
-def supersede(df: DataFrame, key: str, order: str) -> DataFrame:
-    """Newest entry per key; every other entry names the one that replaced it."""
-    newest = df.groupBy(key).agg(F.max_by(F.struct("stem", order), F.struct(F.col(order), F.col("stem"))).alias("top"))
-    return df.join(newest, key).select(
-        "stem", key, order, (F.col("stem") != F.col("top.stem")).alias("stale"),
-        F.when(F.col("stem") != F.col("top.stem"), F.col("top.stem")).alias("replaced_by"))
+def supersede(entries: DataFrame) -> DataFrame:
+    """Newest export per event key wins; every other one says why it is stale.
+
+    ``entries``: stem, key, mtime.  A copy of the winner's stem is a superseded copy,
+    anything else an older export.
+    """
+    from siltmark.functions.text import base_stem
+    newest = entries.groupBy("key").agg(F.max_by("stem", F.struct("mtime", "stem")).alias("top"))
+    j = entries.join(newest, "key")
+    why = F.when(base_stem(F.col("stem")) == base_stem(F.col("top")), "superseded copy").otherwise("older export")
+    return j.select("stem", "key", "mtime", F.when(F.col("stem") == F.col("top"), "").otherwise(why).alias("stale"))
 
 
 def gap_display(acq: Column, origin: Column) -> Column:
