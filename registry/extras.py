@@ -267,7 +267,7 @@ def q_mopt(spark, d):
         (k % 25).alias("event_id"), F.lit("s2").alias("sensor"), F.when(k % 2 == 0, "pre").otherwise("post").alias("side"),
         F.concat(F.lit("f"), k.cast("string"), F.lit(".tif")).alias("file"), F.array(F.lit("2024-01-01"), F.lit("2024-02-02")).alias("dates"),
         F.array(((k % 25) + 25 * (k % 300)).cast("string"), F.concat(F.lit("gone"), k.cast("string"))).alias("scene_ids"))
-    return manifest.optical_rows(runs, index(spark, d))
+    return manifest.optical_rows(runs, index(spark, d).drop("side"))
 
 
 @register("manifest_radar_rows", views=("det", "scenes"), extra=IDX + """,
@@ -309,7 +309,7 @@ def q_mprod(spark, d):
     sid = F.when(k % 3 == 0, F.format_string("20240105_%06d_10_2527", k)).otherwise(((k % 25) + 25 * (k % 300)).cast("string"))
     stem = F.concat_ws("_", (k % 25).cast("string"), F.when(k % 2 == 0, "pre").otherwise("post"), sid)
     files = D.table(spark, d, "part").select(F.explode(F.array(F.concat(stem, F.lit("_planet_hdr.tif")), F.concat(stem, F.lit("_planet_natural.tif")))).alias("file"))
-    rows = manifest.product_rows(files, index(spark, d).withColumn("event_id", F.col("event_id").cast("string")))
+    rows = manifest.product_rows(files, index(spark, d).drop("side").withColumn("event_id", F.col("event_id").cast("string")))
     pre = rows.select(F.col("File").alias("file"), F.lit("Before").alias("label"))
     post = rows.filter(F.col("Side") == "post").select(F.col("File").alias("file"), F.lit("After").alias("label"))
     return manifest.in_viewer(rows, pre.unionByName(post))
@@ -358,7 +358,7 @@ def q_tags(spark, d):
     t = i.cast("string")
     dates = F.when(i % 4 == 0, F.array(F.lit(""))).when(i % 4 == 1, F.array(F.lit("2024-01-05"), F.lit("2024-01-05"))).otherwise(
         F.array(F.lit("2024-02-09"), F.lit("2024-01-05")))
-    ids = F.when(i % 2 == 0, F.array(F.concat(F.lit("a"), t), F.lit(" "))).otherwise(F.array(F.lit("z9"), F.concat(F.lit("20240105"), t)))
+    ids = F.when(i % 2 == 0, F.array(F.concat(F.lit("a"), t), F.lit(""))).otherwise(F.array(F.lit("z9"), F.concat(F.lit("20240105"), t)))
     return D.scenes(spark, d).select("scene_id", X.date_tag(dates).alias("dates"), X.cloud_cell(
         F.when(i % 3 != 0, (i % 90).cast("double")), F.col("cloud_pct"), (i % 97).cast("double")).alias("cloud"), X.scene_tag(ids).alias("tag"))
 
@@ -536,15 +536,15 @@ m AS (SELECT event_id, scene, CASE scene WHEN 1 THEN 0.7 + greatest(red, green,
 q AS (SELECT event_id, scene, quantile_cont(m, 0.001) AS p_lo, quantile_cont(m, 0.99) AS p_hi, count(*) FILTER (m < 0.165) / count(*)::DOUBLE AS dark FROM m GROUP BY ALL),
 w AS (SELECT *, 1 - pow(least(1, greatest(0, (dark - 0.005) / 0.045)), 2) * (3 - 2 * least(1, greatest(0, (dark - 0.005) / 0.045))) AS w, p_lo * 0.9 AS lo, least(p_hi, 1.0) AS hi FROM q),
 x AS (SELECT *, w > 0 AND hi - lo >= 0.05 AS fitted FROM w)""", sql="""
-SELECT event_id, scene, round(CASE WHEN fitted THEN w * lo ELSE 0 END, 6) AS black, round(CASE WHEN fitted THEN (1 - w) * 0.3 + w * hi ELSE 0.3 END, 6) AS white,
-  round(CASE WHEN fitted THEN least(greatest(0.5, (1 - w) * 0.3 + w * hi), 0.95) ELSE 0.5 END, 6) AS onset, fitted FROM x""")
+SELECT event_id, scene, round(CASE WHEN fitted THEN w * lo ELSE 0 END, 9) AS black, round(CASE WHEN fitted THEN (1 - w) * 0.3 + w * hi ELSE 0.3 END, 9) AS white,
+  round(CASE WHEN fitted THEN least(greatest(0.5, (1 - w) * 0.3 + w * hi), 0.95) ELSE 0.5 END, 9) AS onset, fitted FROM x""")
 def q_auto(spark, d):
     """Black, white and fade onset fitted to scenes with no dark end."""
     top = F.greatest("red", "green", "blue")
     m = (F.when(F.col("scene") == 1, 0.7 + top / 4).when(F.col("scene") == 2, F.when(F.col("row") == 0, 0.1).otherwise(0.7 + top / 4)).otherwise(top))
     r = refl(spark, d).withColumn("m", m).withColumns({c: F.col("m") for c in ("red", "green", "blue")})
     out = TN.auto_stretch(r, ["event_id", "scene"], min_n=100)
-    return out.withColumns({c: F.round(c, 6) for c in ("black", "white", "onset")})
+    return out.withColumns({c: F.round(c, 9) for c in ("black", "white", "onset")})
 
 
 LONG = BANDS + """,

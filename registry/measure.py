@@ -118,7 +118,7 @@ def q_bilinear(spark, d):
 def diamonds(spark, d):
     g = D.grids(spark, d).withColumn("outline_id", F.explode(F.array(*[F.lit(i) for i in range(3)])))
     i = F.col("outline_id")
-    cx = F.col("x0") + (F.lit(8.25) + i * 7) * F.col("dx")
+    cx = F.col("x0") + (F.lit(8.3125) + i * 7) * F.col("dx")
     cy = F.col("y0") + (F.lit(9.25) + i * 6) * F.col("dy")
     rx, ry = F.lit(5.5) * F.col("dx"), F.lit(4.5) * F.abs("dy")
 
@@ -129,7 +129,7 @@ def diamonds(spark, d):
 
 @register("polygon_cells_by_centre", views=("dense",), sql="""
 SELECT event_id, CAST(i AS INTEGER) AS outline_id, "row", col FROM dense, range(3) t(i)
-WHERE abs(col + 0.5 - (8.25 + i * 7)) / 5.5 + abs("row" + 0.5 - (9.25 + i * 6)) / 4.5 < 1""")
+WHERE abs(col + 0.5 - (8.3125::DOUBLE + i * 7)) / 5.5 + abs("row" + 0.5 - (9.25 + i * 6)) / 4.5 < 1""")
 def q_poly(spark, d):
     """Cells whose centre lies in the outline."""
     return DEM.polygon_cells(diamonds(spark, d), D.grids(spark, d), KEYS)
@@ -137,7 +137,7 @@ def q_poly(spark, d):
 
 @register("polygon_cells_all_touched", views=("dense",), sql="""
 SELECT event_id, CAST(i AS INTEGER) AS outline_id, "row", col FROM dense, range(3) t(i)
-WHERE greatest(0, greatest(col - (8.25 + i * 7), (8.25 + i * 7) - col - 1)) / 5.5 + greatest(0, greatest("row" - (9.25 + i * 6), (9.25 + i * 6) - "row" - 1)) / 4.5 < 1""")
+WHERE greatest(0, greatest(col - (8.3125::DOUBLE + i * 7), (8.3125::DOUBLE + i * 7) - col - 1)) / 5.5 + greatest(0, greatest("row" - (9.25 + i * 6), (9.25 + i * 6) - "row" - 1)) / 4.5 < 1""")
 def q_touch(spark, d):
     """Every cell the outline touches."""
     return DEM.polygon_cells(diamonds(spark, d), D.grids(spark, d), KEYS, all_touched=True)

@@ -47,7 +47,7 @@ def date_tag(dates: Column) -> Column:
 
 def scene_tag(ids: Column) -> Column:
     """One id, or first date, count and a hash of the whole set."""
-    s = F.array_sort(F.array_distinct(F.filter(F.transform(ids, F.trim), lambda x: x != "")))
+    s = F.array_sort(F.array_distinct(F.filter(F.transform(ids, lambda x: F.trim(x)), lambda x: x != "")))
     return (F.when(F.size(s) == 0, "").when(F.size(s) == 1, F.get(s, F.lit(0)))
             .otherwise(F.concat(F.substring(F.get(s, F.lit(0)), 1, 8), F.lit("_"), F.size(s).cast("string"), F.lit("scenes_"),
                                 F.substring(F.sha1(F.array_join(s, ",")), 1, 8))))

@@ -65,9 +65,11 @@ def granule_assets(urls: Column) -> Column:
 
 def burst_assets(urls: Column) -> Column:
     """struct<vv, vh, mask, h5>: the last link of each kind."""
-    ok = F.filter(urls, lambda u: u.startswith("http"))
-    return F.struct(*[F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.filter(ok, lambda u, s=s: F.lower(u).endswith(s))), -1).alias(n)
-                      for n, s in (("vv", "_vv.tif"), ("vh", "_vh.tif"), ("mask", "_mask.tif"), ("h5", ".h5"))])
+    ok = F.reverse(F.filter(urls, lambda u: u.startswith("http")))
+
+    def last(suffix: str) -> Column:
+        return _first(ok, lambda u: F.lower(u).endswith(suffix))
+    return F.struct(last("_vv.tif").alias("vv"), last("_vh.tif").alias("vh"), last("_mask.tif").alias("mask"), last(".h5").alias("h5"))
 
 
 def across_collections(granules: DataFrame, known=KNOWN_COLLECTIONS, fallback: str | None = None) -> DataFrame:
