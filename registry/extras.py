@@ -561,11 +561,11 @@ def long_bands(spark, d):
 
 
 @register("haze_removed", views=("obs",), extra=LONG, sql="""
-SELECT l.event_id, l.scene, l."row", l.col, l.band, round(CASE WHEN ok.scene IS NOT NULL THEN greatest(v - floor, 0) ELSE v END, 6) AS v
+SELECT l.event_id, l.scene, l."row", l.col, l.band, round(CASE WHEN ok.scene IS NOT NULL THEN greatest(v - floor, 0) ELSE v END, 9) AS v
 FROM lg l LEFT JOIN ok USING (event_id, scene) JOIN fl ON fl.event_id = l.event_id AND fl.scene = l.scene AND fl.band = l.band""")
 def q_haze(spark, d):
     """Path-radiance floor per band subtracted where a dark object exists."""
-    return TN.dehaze(long_bands(spark, d), ["event_id", "scene"]).select("event_id", "scene", "row", "col", "band", F.round("v", 6).alias("v"))
+    return TN.dehaze(long_bands(spark, d), ["event_id", "scene"]).select("event_id", "scene", "row", "col", "band", F.round("v", 9).alias("v"))
 
 
 @register("white_balance_gains", views=("obs",), extra=BANDS + """,

@@ -71,8 +71,9 @@ def compare(spark, con, name, fn, sql, sf_dir, show=True):
     if loose:
         msg += "  TYPES " + ", ".join(loose)
     if not ok and show:
-        only_a = [r for r in a if r not in set(b)][:3]
-        only_b = [r for r in b if r not in set(a)][:3]
+        sa, sb = set(a), set(b)
+        only_a = [r for r in a if r not in sb][:3]
+        only_b = [r for r in b if r not in sa][:3]
         msg += f"\n   cols {sorted(cols)}\n   spark {only_a}\n   duck  {only_b}"
     return ok, msg
 
