@@ -284,6 +284,10 @@ def _disc_area_shared(xs: pd.Series, ys: pd.Series, sizes: pd.Series, radius: pd
     return pd.Series(out)
 
 
+# counted as non-deterministic so that the planner never runs it twice per row
+_disc_area = _disc_area_shared.asNondeterministic()
+
+
 def disc_cover(rings: Column, lat: Column, lon: Column, radius_km: Column) -> Column:
     """struct<cover, covers_centre>: share of the 64-sided search circle the rings cover.
 
@@ -292,7 +296,7 @@ def disc_cover(rings: Column, lat: Column, lon: Column, radius_km: Column) -> Co
     """
     parts = F.transform(rings, lambda r: open_ring(to_local_km(r, lat, lon)))
     flat = F.flatten(parts)
-    area = _disc_area_shared(
+    area = _disc_area(
         F.transform(flat, lambda p: p["lon"]), F.transform(flat, lambda p: p["lat"]),
         F.transform(parts, lambda r: F.size(r)), radius_km)
     full = 32.0 * math.sin(2.0 * math.pi / 64.0) * radius_km * radius_km

@@ -58,7 +58,7 @@ def rank_above_floor(df: DataFrame, keys: list[str], value: str, floor: Column,
 def evidence_rank(layers: DataFrame, keys: list[str], value: str = "v", kind: str = "kind") -> DataFrame:
     """Orient, detrend and rank long change layers (keys, kind, row, col, v)."""
     kk = [*keys, kind]
-    df = layers.withColumn("evidence", orient(F.col(value), F.col(kind)))
+    df = layers.withColumn("evidence", orient(F.col(value), F.col(kind))).persist()
     df = detrend(df, kk, "evidence", "_d")
     return rank_above_floor(df, kk, "_d", floor_of(F.col(kind)), admit="evidence").drop("_d")
 

@@ -1,6 +1,6 @@
 """Spatio-temporal scene search: many events against a scene catalogue at once.
 
-The join is an equi-join on (1-degree cell, time bucket), so neither side is ever
+The join is an equi-join on (grid cell, time bucket), so neither side is ever
 compared with every row of the other.  A pair that shares several cells is kept
 only in the cell holding the lower-left corner of the shared box, which makes the
 result free of duplicates without another shuffle.
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from siltmark.functions import geo, timing
 
-CELL_DEG = 1.0
+CELL_DEG = 2.0      # about one scene: few copies per scene, few strangers per cell
 BUCKET_DAYS = 16
 
 
@@ -55,7 +55,7 @@ def overlapping_pairs(events: DataFrame, scenes: DataFrame, *, pre_days: int, po
 
 
 def box_join(left: DataFrame, right: DataFrame, left_box: str, right_box: str, slack_deg: float = 0.0) -> DataFrame:
-    """Rows whose boxes meet, joined on 1-degree cells; ``slack_deg`` widens the left box.
+    """Rows whose boxes meet, joined on grid cells; ``slack_deg`` widens the left box.
 
     Each pair appears once: in the cell of the shared box's lower-left corner.
     """
