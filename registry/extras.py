@@ -151,8 +151,10 @@ def q_hemi(spark, d):
 
 
 @register("dem_tile_mosaics", sql="""
-SELECT p_partkey // 8 AS event_id, '3dep-' || CASE WHEN p_size < 20 THEN 10 ELSE 30 END AS dem_source, '3dep-' || CASE WHEN p_size < 20 THEN 10 ELSE 30 END || '-' || count(DISTINCT p_partkey) || 'tile' AS id,
-  string_agg(DISTINCT 'https://t/' || p_partkey, ',' ORDER BY 'https://t/' || p_partkey) AS urls, CASE WHEN p_size < 20 THEN 10 ELSE 30 END AS resolution_m FROM part GROUP BY ALL""")
+SELECT event_id, dem_source, dem_source || '-' || count(DISTINCT p_partkey) || 'tile' AS id,
+  string_agg(DISTINCT 'https://t/' || p_partkey, ',' ORDER BY 'https://t/' || p_partkey) AS urls, resolution_m
+FROM (SELECT p_partkey // 8 AS event_id, p_partkey, CASE WHEN p_size < 20 THEN 10 ELSE 30 END AS resolution_m, '3dep-' || CASE WHEN p_size < 20 THEN 10 ELSE 30 END AS dem_source FROM part)
+GROUP BY event_id, dem_source, resolution_m""")
 def q_tiles(spark, d):
     """All tiles of one product under an AOI as one candidate."""
     res = DC.seamless_resolution(F.col("p_size").cast("double"))
