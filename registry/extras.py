@@ -259,7 +259,7 @@ r AS (SELECT p_partkey % 25 AS event_id, CASE WHEN p_partkey % 2 = 0 THEN 'pre'
    unnest([((p_partkey % 25) + 25 * (p_partkey % 300))::VARCHAR, 'gone' || p_partkey]) AS scene_id FROM part),
 j AS (SELECT r.*, acq, gap_days, source, aoi, cloud_pct, snow, coverage FROM r LEFT JOIN ix USING (event_id, scene_id))""",
           sql=manifest_sql(**{"Event": "event_id::VARCHAR", "Tab": "'Sentinel-2 / Landsat'", "Side": "side", "File": "file", "Scene ID": "scene_id",
-                              "Date (UTC)": "coalesce(strftime(acq, '%Y-%m-%d %H:%M'), '2024-02-02')", "Gap (d)": "coalesce(gap_days, '')",
+                              "Date (UTC)": "coalesce(strftime(acq, '%Y-%m-%d %H:%M'), CASE WHEN scene_id LIKE 'gone%' THEN '2024-02-02' ELSE '2024-01-01' END)", "Gap (d)": "coalesce(gap_days, '')",
                               "Cloud": f"CASE WHEN acq IS NULL THEN '' ELSE {CELL} END", "Coverage (% AOI)": "coalesce(coverage::BIGINT::VARCHAR, '')",
                               "Source": "coalesce(source, 'Sentinel-2')"}) + " FROM j")
 def q_mopt(spark, d):

@@ -32,13 +32,13 @@ def layers(spark, d):
 @register("evidence_orientation", views=("obs",), extra=LAYERS + """,
 m AS (SELECT event_id, kind, "row", col, evidence FROM ev UNION ALL
       SELECT event_id, 'logratio_mag', "row", col, abs(v) FROM lay WHERE kind = 'dndsi')""", sql="""
-SELECT event_id, kind, count(evidence) AS n, round(sum(evidence), 6) AS total, round(max(evidence), 9) AS top FROM m GROUP BY ALL""")
+SELECT event_id, kind, count(evidence) AS n, round(sum(evidence), 9) AS total, round(max(evidence), 9) AS top FROM m GROUP BY ALL""")
 def q_orient(spark, d):
     """Evidence-positive values by kind, magnitude kinds included."""
     x = layers(spark, d)
     x = x.unionByName(x.filter(F.col("kind") == "dndsi").withColumn("kind", F.lit("logratio_mag")))
     x = x.withColumn("e", fusion.orient(F.col("v"), F.col("kind")))
-    return x.groupBy("event_id", "kind").agg(F.count("e").alias("n"), F.round(F.sum("e"), 6).alias("total"),
+    return x.groupBy("event_id", "kind").agg(F.count("e").alias("n"), F.round(F.sum("e"), 9).alias("total"),
                                              F.round(F.max("e"), 9).alias("top"))
 
 

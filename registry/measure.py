@@ -197,8 +197,8 @@ def q_largest(spark, d):
 
 
 FIT = """fit AS (SELECT *, CASE WHEN a_low > a_best THEN 'low_above_best' WHEN a_high < a_best THEN 'high_below_best'
-   WHEN a_low > a_high THEN 'low_above_high' WHEN a_total < greatest(a_best, a_low, a_high) THEN 'total_below_source' END AS problem,
-   log10(a_best) AS la, (log10(a_high) - log10(a_low)) / 4 AS sa FROM rs),
+   WHEN a_best IS NOT NULL AND a_low > a_high THEN 'low_above_high' WHEN a_total < greatest(a_best, a_low, a_high) THEN 'total_below_source' END AS problem,
+   log10(a_best) AS la, coalesce((log10(a_high) - log10(a_low)) / 4, 0) AS sa FROM rs),
 vol AS (SELECT *, -0.63 + 1.41 * la AS lv, sqrt(0.06 * 0.06 + la * la * 0.02 * 0.02 + 1.41 * 1.41 * sa * sa) AS sd FROM fit)"""
 
 
@@ -211,7 +211,7 @@ def q_order(spark, d):
 
 @register("volume_from_outlines", views=("outlines",), extra=ROLES + ",\n" + FIT, sql="""
 SELECT slide, problem, round(CASE WHEN problem IS NULL THEN pow(10, lv) END, 4) AS v, round(CASE WHEN problem IS NULL THEN pow(10, lv - sd) END, 4) AS v_lo,
-  round(CASE WHEN problem IS NULL THEN pow(10, lv + sd) END, 4) AS v_hi, round(CASE WHEN problem IS NULL THEN pow(10, -0.63 + 1.41 * log10(a_low)) END, 4) AS v_src_low,
+  round(CASE WHEN problem IS NULL THEN pow(10, lv + sd) END, 4) AS v_hi, round(CASE WHEN problem IS NULL AND a_best IS NOT NULL THEN pow(10, -0.63 + 1.41 * log10(a_low)) END, 4) AS v_src_low,
   round(CASE WHEN problem IS NULL THEN pow(10, lv) / a_total END, 6) AS implied_depth, coalesce(problem IS NULL AND pow(10, lv) / a_total > 5, false) AS too_deep FROM vol""")
 def q_volume(spark, d):
     """Volume with propagated error, implied depth and its flag."""

@@ -177,8 +177,10 @@ def covering(spark, d):
 
 
 @register("radar_best_pair", views=("det", "scenes"), extra=SAR, sql="""
-SELECT event_id, source, arg_min(scene_id, (prio, gap, scene_id)) AS pre_id, any_value(post.id) AS post_id, min(prio) = 2 AS cross_orbit
-FROM pr GROUP BY ALL""")
+SELECT k.event_id, k.source, coalesce(a.pre_id, CASE WHEN po.post IS NULL THEN lone.pre_id END) AS pre_id, po.post.id AS post_id, coalesce(a.x, false) AS cross_orbit
+FROM (SELECT DISTINCT event_id, source FROM cv) k LEFT JOIN po USING (event_id, source)
+LEFT JOIN (SELECT event_id, source, arg_min(scene_id, (prio, gap, scene_id)) AS pre_id, min(prio) = 2 AS x FROM pr GROUP BY ALL) a USING (event_id, source)
+LEFT JOIN (SELECT event_id, source, arg_min(scene_id, (gap, scene_id)) AS pre_id FROM cv WHERE side = 'pre' GROUP BY ALL) lone USING (event_id, source)""")
 def q_rpair(spark, d):
     """Nearest after-scene with its same-track (else same-direction) before-scene."""
     out = P.best_geometry_pair(covering(spark, d))

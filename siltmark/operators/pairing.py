@@ -39,7 +39,7 @@ def best_geometry_pair(scenes: DataFrame, mode: str = "track", by_direction: boo
     prio = F.when(F.col("post").isNull(), F.lit(0)).otherwise(prio if by_direction else F.coalesce(prio, F.lit(2)))
     order = F.when(prio.isNotNull() & F.col("scene_id").isNotNull(), F.struct(prio.alias("p"), F.col("gap"), F.col("scene_id")))
     out = j.groupBy(*keys).agg(F.first("post", True).alias("post"), F.min_by(info, order).alias("pre"), F.min(order).alias("o"))
-    return out.select(*keys, "pre", "post", ((F.col("o.p") == 2) & F.col("post").isNotNull()).alias("cross_orbit"))
+    return out.select(*keys, "pre", "post", F.coalesce((F.col("o.p") == 2) & F.col("post").isNotNull(), F.lit(False)).alias("cross_orbit"))
 
 
 def same_geometry(a: Column, b: Column) -> Column:
