@@ -107,7 +107,7 @@ def q_name(spark, d):
 
 
 @register("granule_footprints", views=("scenes",), sql="""
-SELECT scene_id, CASE WHEN scene_id % 3 = 0 THEN 5 ELSE 5 END AS n_points, w, s, e, n FROM scenes""")
+SELECT scene_id, 5 AS n_points, w, s, e, n FROM scenes""")
 def q_foot(spark, d):
     """Polygons closed, else bounding rectangles; bounds of the result."""
     s, i = D.scenes(spark, d), F.col("scene_id")
@@ -237,8 +237,7 @@ def index(spark, d):
     i = F.col("scene_id")
     return D.scenes(spark, d).select(
         (i % 25).alias("event_id"), i.cast("string").alias("scene_id"), "acq", (i % 30).cast("string").alias("gap_days"), "source", "orbit_state", "relative_orbit",
-        F.when(i % 2 == 0, "pre").otherwise("post").alias("side"), F.when(i % 3 == 0, "cloudy").isNull().alias("_x"),
-        F.when(i % 3 != 0, (i % 90).cast("double")).alias("aoi_cloud_pct"), "cloud_pct", (i % 97).cast("double").alias("aoi_snow_pct"), (i % 101).cast("double").alias("coverage")).drop("_x")
+        F.when(i % 2 == 0, "pre").otherwise("post").alias("side"), F.when(i % 3 != 0, (i % 90).cast("double")).alias("aoi_cloud_pct"), "cloud_pct", (i % 97).cast("double").alias("aoi_snow_pct"), (i % 101).cast("double").alias("coverage"))
 
 
 IDX = """ix AS (SELECT scene_id % 25 AS event_id, scene_id::VARCHAR AS scene_id, acq, (scene_id % 30)::VARCHAR AS gap_days, source, orbit_state, relative_orbit,
@@ -322,7 +321,7 @@ WITH x AS (SELECT page_id, 'ev' || page_id % 20 || CASE page_id % 3 WHEN 0 THEN
 u AS (SELECT stem, max(mtime) AS mtime FROM x GROUP BY 1),
 k AS (SELECT *, regexp_replace(stem, '\\s*\\(\\d+\\)$', '') AS base FROM u), y AS (SELECT *, lower(regexp_replace(base, '_3d$', '')) AS key FROM k),
 t AS (SELECT *, first_value(stem) OVER (PARTITION BY key ORDER BY mtime DESC, stem DESC) AS top FROM y)
-SELECT stem, key, mtime, CASE WHEN stem = top THEN '' WHEN base = regexp_replace(top, '\\s*\\(\\d+\\)$', '') THEN 'superseded copy' ELSE 'older export' END AS stale FROM t""".replace("WITH x", "WITH x", 1))
+SELECT stem, key, mtime, CASE WHEN stem = top THEN '' WHEN base = regexp_replace(top, '\\s*\\(\\d+\\)$', '') THEN 'superseded copy' ELSE 'older export' END AS stale FROM t""")
 def q_stale(spark, d):
     """Newest export per event key wins."""
     i = F.col("page_id")
@@ -343,9 +342,8 @@ SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 1234.5::DOUBLE + s_suppkey WHEN
 def q_ele(spark, d):
     """Elevation text and normalised names."""
     k = F.col("s_suppkey")
-    raw = F.when(k % 4 == 0, F.concat(F.lit("1,"), (234.5 + k).cast("string"), F.lit(" m"))).when(k % 4 == 1, k.cast("string")).when(
-        k % 4 == 2, F.lit(" -12 m")).otherwise("99999")
-    raw = F.when(k % 4 == 0, F.concat((1234.5 + k).cast("string"), F.lit(" m"))).otherwise(raw)
+    raw = (F.when(k % 4 == 0, F.concat((1234.5 + k).cast("string"), F.lit(" m"))).when(k % 4 == 1, k.cast("string"))
+           .when(k % 4 == 2, F.lit(" -12 m")).otherwise("99,999"))
     return D.table(spark, d, "supplier").select("s_suppkey", X.parse_elevation(raw).alias("ele"),
                                                 X.norm_name(F.concat(F.lit(" Peak-"), k.cast("string"), F.lit(" (North)"))).alias("norm"))
 
