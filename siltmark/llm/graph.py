@@ -1,0 +1,35 @@
+"""Connected components as Spark joins."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from siltmark.llm.sharing import stable
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``node, root`` for every node of the undirected edges ``a, b``; root is some node of the component.
+
+    Every round each node hooks to its smallest neighbour if that is smaller than itself, pointers are
+    followed to the end, and edges shrink to edges between roots.  A root left over has a larger neighbour
+    that hooked, so the number of nodes at least halves a round.  Edges between equal nodes count as nodes only.
+    """
+    edges = stable(edges.select("a", "b"))
+    found = stable(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("root", F.col("node")))
+    live = edges.filter("a <> b")
+    while not live.isEmpty():
+        both = live.select("a", "b").union(live.select("b", "a")).toDF("a", "b")
+        up = stable(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("p")))
+        while True:
+            nxt = up.alias("x").join(up.alias("y"), F.col("x.p") == F.col("y.a")).select(
+                F.col("x.a").alias("a"), F.col("y.p").alias("p"), (F.col("x.p") != F.col("y.p")).alias("moved"))
+            nxt = stable(nxt)
+            up = nxt.select("a", "p")
+            if nxt.filter("moved").isEmpty():
+                break
+        found = stable(found.join(up, F.col("root") == F.col("a"), "left").select("node", F.coalesce("p", "root").alias("root")))
+        one = live.join(up, "a").select(F.col("p").alias("c"), "b")
+        two = one.join(up.select(F.col("a").alias("b"), F.col("p").alias("d")), "b")
+        live = stable(two.filter("c <> d").select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct())
+    return found
