@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from siltmark.llm import bpe, decontamination, exact_dedup, near_dedup, sharding, warc
+from siltmark.llm import bpe, decontamination, exact_dedup, html_text, near_dedup, quality, sharding, warc
 
-QUERIES = {f.__name__: f for f in (near_dedup.op1_minhash_near_dedup, warc.op2_warc, decontamination.op3_decontamination, bpe.op4_bpe, exact_dedup.op7_exact_dedup, sharding.op8_sharding)}
+QUERIES = {f.__name__: f for f in (near_dedup.op1_minhash_near_dedup, warc.op2_warc, decontamination.op3_decontamination, bpe.op4_bpe, quality.op5_quality,
+                                   exact_dedup.op7_exact_dedup, sharding.op8_sharding, html_text.op9_html_extraction)}
 SQL = {"op2_warc": warc.SQL, "op7_exact_dedup": exact_dedup.SQL}

@@ -92,9 +92,9 @@ def smallest_capacity(ends: DataFrame, total: int, largest: int, shards: int = S
     open_ranges = [(0, total)]
     while True:
         width = max(1, -(-sum(b - a + 1 for a, b in open_ranges) // BUCKETS))
-        part = F.lit(None).cast("int")
-        for i, (a, b) in enumerate(open_ranges):
-            part = F.when(F.col("cut").between(a, b), F.lit(i)).otherwise(part)
+        part = F
+        for i, (a, b) in enumerate(open_ranges):  # one flat CASE; the ranges are disjoint and at most BUCKETS
+            part = part.when(F.col("cut") <= b, F.when(F.col("cut") >= a, F.lit(i)))
         rows = (ends.select("cut", part.alias("part")).filter(F.col("part").isNotNull())
                 .groupBy("part", F.expr(f"cut div {width}L").alias("k"))
                 .agg(F.min("cut").alias("a"), F.max("cut").alias("b")).collect())
