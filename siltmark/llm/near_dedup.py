@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltmark.llm.graph import components
-from siltmark.llm.sharing import read, stable, text_or_empty
+from siltmark.llm.sharing import ROW, numbered, only_rows, read, stable, text_or_empty
 from siltmark.llm.textarrays import LOWER, WHITE, flat, hash_words, mix, slices, words
 
 SHINGLE = 5
@@ -102,24 +102,24 @@ def _lists(a: np.ndarray) -> pa.Array:
 
 
 def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, row_key, n_shingles, cls, bands, sketch`` per document; the last three are null for empty sets."""
+    """``doc_id, row_key, row number, n_shingles, cls, bands, sketch`` per document; the last three are null for empty sets."""
     kind = docs.schema[id_col].dataType.simpleString()
-    d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("row_key"), F.col(text_col).alias("text"))
+    d = numbered(docs).select(F.col(id_col).alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("row_key"), ROW, F.col(text_col).alias("text"))
 
     def run(batches):
         for b in batches:
-            data, offsets = flat(b.column(2))
+            data, offsets = flat(b.column(3))
             for i, j in slices(offsets):
                 values, sizes = shingle_sets(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
                 key, bands, sketch = signatures(values, sizes)
                 where = np.cumsum(sizes > 0) - 1
                 pick = pa.array(np.where(sizes > 0, where, -1), mask=sizes == 0, type=pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(sizes, pa.int64()),
+                    [*(b.column(k).slice(i, j - i) for k in range(3)), pa.array(sizes, pa.int64()),
                      _fixed(key, 16).take(pick), _lists(bands).take(pick), _lists(sketch).take(pick)],
-                    ["doc_id", "row_key", "n_shingles", "cls", "bands", "sketch"])
+                    ["doc_id", "row_key", ROW, "n_shingles", "cls", "bands", "sketch"])
 
-    return d.mapInArrow(run, f"doc_id {kind}, row_key long, n_shingles long, cls binary, bands array<long>, sketch array<long>")
+    return d.mapInArrow(run, f"doc_id {kind}, row_key long, {ROW} long, n_shingles long, cls binary, bands array<long>, sketch array<long>")
 
 
 def near(a: str, b: str) -> Column:
@@ -244,12 +244,12 @@ def open_bands(cand: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: ``doc_id, n_shingles, component_id, kept, row_key``.
+    """Per document: ``doc_id, n_shingles, component_id, kept, stays`` and its row number.
 
     Words are runs of anything but ASCII white space, A-Z lowered.  Fewer than five words make one shingle of
     the whole sequence; a text without words (or null) is linked with nothing, not even its copies.  The
-    component is named by the smallest id in it; null ids name one only if there is no other.  Rows that
-    repeat an id and a set are all kept or all dropped.  Other columns are ignored.
+    component is named by the smallest id in it; null ids name one only if there is no other.  ``kept`` marks
+    all rows of that id, ``stays`` exactly one row of the component.  Other columns are ignored.
     """
     rows = stable(describe(docs, id_col, text_col))
     some = rows.filter("n_shingles > 0")
@@ -280,17 +280,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = links.union(confirmed(stable(within_bands(left)), reps, docs, text_col))
     roots = components(links)
 
-    first = some.groupBy("cls").agg(F.min("doc_id").alias("first_id"))
+    order = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("id"), F.col(ROW).alias("row"))
+    first = some.groupBy("cls").agg(F.min(order).alias("first"))
     first = stable(with_roots(first, roots))
-    names = stable(first.groupBy("root").agg(F.min("first_id").alias("component")))
-    classes = stable(first.join(names, "root").select("cls", "component"))
-    named = some.select("doc_id", "n_shingles", "row_key", "cls").join(classes, "cls").select(
-        "doc_id", "n_shingles", F.col("component").alias("component_id"), "row_key")
-    empty = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "row_key")
+    names = stable(first.groupBy("root").agg(F.min("first").alias("head")))
+    classes = stable(first.join(names, "root").select("cls", "head"))
+    named = some.select("doc_id", "n_shingles", ROW, "cls").join(classes, "cls").select(
+        "doc_id", "n_shingles", F.col("head.id").alias("component_id"), ROW, (F.col(ROW) == F.col("head.row")).alias("stays"))
+    empty = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), ROW, F.lit(True).alias("stays"))
     return named.union(empty).select("doc_id", "n_shingles", "component_id",
-                                     F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "row_key")
+                                     F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "stays", ROW)
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, all columns as they came; texts without words all stay."""
+    return only_rows(docs, near_duplicates(docs, id_col, text_col).filter("stays"))
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near duplicates over all documents."""
-    return near_duplicates(read(spark, sf_dir, "documents")).drop("row_key")
+    return near_duplicates(read(spark, sf_dir, "documents")).drop("stays", ROW)

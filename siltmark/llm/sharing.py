@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from siltmark.session import stable
 
-__all__ = ["read", "shared_folder", "stable", "text_or_empty", "id_bucket"]
+ROW = "_siltmark_row"
+
+__all__ = ["ROW", "read", "shared_folder", "stable", "text_or_empty", "id_bucket", "numbered", "only_rows"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,3 +38,13 @@ def shared_folder(spark: SparkSession, label: str) -> str:
             stable(spark.range(0))
         base = sc.getCheckpointDir()
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number per row.  A table scan numbers its rows alike whenever it is read."""
+    return docs.withColumn(ROW, F.monotonically_increasing_id())
+
+
+def only_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose numbers ``rows`` lists, all columns as they came."""
+    return numbered(docs).join(rows.select(ROW), ROW, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
