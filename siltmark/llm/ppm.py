@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +65,17 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(part) >> np.uint64(8)) % np.uint64(buckets)
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Integers with equal bytes of all of them next to each other, compressed."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.dtype.itemsize).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpacked(data, kind) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     u, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     return u, np.bincount(inverse, weights=np.concatenate(counts), minlength=len(u)).astype(np.int64)
@@ -172,8 +184,8 @@ def code_lengths(events: np.ndarray, counts: np.ndarray, low: LowLevels, order:
 
 
 def _split(table: pa.Table):
-    keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("keys")]
-    counts = [np.frombuffer(x.as_buffer(), np.int32) for x in table.column("counts")]
+    keys = [unpacked(x.as_buffer(), np.uint64) for x in table.column("keys")]
+    counts = [unpacked(x.as_buffer(), np.int32) for x in table.column("counts")]
     u, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     return keys, u, inverse, np.bincount(inverse, weights=np.concatenate(counts), minlength=len(u)).astype(np.int64)
 
@@ -196,10 +208,19 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def count(batches):
         def flush(name, keys, counts):
             u, n = merged(keys, counts)
-            rows = [(b, u[p].tobytes(), n[p].astype(np.int32).tobytes()) for b, p in by_bucket(u, buckets)]
+            word = u >= WORD_FLAG
+            rows = [(name, b, None, packed(u[p]), packed(n[p].astype(np.int32)), None, None) for b, p in by_bucket(u, buckets)]
+            # training words for the vocabulary, and counts of the lowest levels
+            v, m = u[word & (n > 0)], int(n[word].sum())
+            rows += [(name, b, True, packed(v[p]), None, None, None) for b, p in by_bucket(v, buckets)]
+            code, at_ = np.unique(u[~word] & np.uint64(0xFFFFFF), return_inverse=True)
+            sums = np.bincount(at_, weights=n[~word], minlength=len(code)).astype(np.int64)
+            live = sums > 0
+            rows.append((name, -1, False, None, None, [*code[live].astype(np.int64).tolist(), -1], [*sums[live].tolist(), m]))
             c = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.int64()), pa.array(c[0], pa.int32()), pa.array(c[1], pa.binary()),
-                                               pa.array(c[2], pa.binary())], ["slice", "bucket", "keys", "counts"])
+            kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds, strict=True)],
+                                              ["slice", "bucket", "vocabulary", "keys", "counts", "codes", "sums"])
         held, name = ([], []), None
         for b in batches:
             data, offsets = flat(b.column(0))
@@ -220,56 +241,57 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield flush(name, *held)
 
     folder = shared_folder(spark, "ppm")
-    d.select("text", "held_out", "slice").mapInArrow(count, "slice long, bucket int, keys binary, counts binary").write.parquet(folder)
-    counted = spark.read.parquet(folder)
-
-    def summary(table):
-        _, u, _, n = _split(table)
-        word = u >= WORD_FLAG
-        code, at_ = np.unique(u[~word] & np.uint64(0xFFFFFF), return_inverse=True)
-        sums = np.bincount(at_, weights=n[~word], minlength=len(code)).astype(np.int64)
-        code, sums = code[sums > 0].astype(np.int64), sums[sums > 0]
-        # codes -1 and -2: training tokens, distinct training tokens
-        return pa.table({"code": np.r_[code, -1, -2], "n": np.r_[sums, n[word].sum(), (n[word] > 0).sum()]})
-
-    low = counted.groupBy("bucket").applyInArrow(summary, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    codes, n = low.column("code").to_numpy(), low.column("n").to_numpy()  # at most 2**24 + 2 rows
-    tokens, kinds = int(n[codes == -1].sum()), int(n[codes == -2].sum())
+    shape = "slice long, bucket int, vocabulary boolean, keys binary, counts binary, codes array<long>, sums array<long>"
+    d.select("text", "held_out", "slice").mapInArrow(count, shape).write.parquet(folder)
+    counted = spark.read.schema(shape).parquet(folder)
+
+    low = (counted.filter("NOT vocabulary").select(F.arrays_zip("codes", "sums").alias("z")).select(F.inline("z"))
+           .groupBy("codes").agg(F.sum("sums").alias("n")).toArrow())  # at most 2**24 + 1 rows
+    codes, n = low.column("codes").to_numpy(), low.column("n").to_numpy()
+    tokens = int(n[codes == -1].sum())
     shared = spark.sparkContext.broadcast((codes[codes >= 0], n[codes >= 0]))
+
+    def distinct(table):
+        return pa.table({"n": pa.array([len(np.unique(np.concatenate([unpacked(x.as_buffer(), np.uint64) for x in table.column("keys")])))], pa.int64())})
+
+    kinds = counted.filter("vocabulary").select("bucket", "keys").groupBy("bucket").applyInArrow(distinct, "n long").agg(F.sum("n")).first()[0] or 0
     unknown = -np.log10(tokens + kinds + 1)
 
     def answer(table):
         keys, u, inverse, n_ = _split(table)
         word = u >= WORD_FLAG
-        value = np.empty(len(u))
-        value[word] = np.log10(n_[word] + 1.0) + unknown
+        value = np.empty(len(u), np.float32)  # a word's is its count, by bits
+        value[word] = n_[word].astype(np.int32).view(np.float32)
         value[~word] = code_lengths(u[~word], n_[~word], LowLevels(*shared.value))
         ends = np.cumsum([len(k) for k in keys])
-        out = [value[inverse[e - len(k):e]].tobytes() for k, e in zip(keys, ends, strict=True)]
+        out = [packed(value[inverse[e - len(k):e]]) for k, e in zip(keys, ends, strict=True)]
         check = [int(np.bitwise_xor.reduce(k).astype(np.int64)) for k in keys]
         return pa.table({"slice": table.column("slice"), "bucket": table.column("bucket"), "key_check": pa.array(check, pa.int64()), "answers": pa.array(out, pa.binary())})
 
-    answers = counted.groupBy("bucket").applyInArrow(answer, "slice long, bucket int, key_check long, answers binary")
+    asked = counted.filter("vocabulary IS NULL").select("slice", "bucket", "keys", "counts")
+    answers = asked.groupBy("bucket").applyInArrow(answer, "slice long, bucket int, key_check long, answers binary")
 
     def add_up(texts, found):
         data, offsets = flat(texts.column("text").combine_chunks())
         n_docs = len(offsets) - 1
         keys, _ = count_slice(data, offsets, np.zeros(n_docs, bool))
-        value = np.empty(len(keys))
+        value = np.empty(len(keys), np.float32)
         there = {b: (c, v) for b, c, v in zip(*(found.column(c).to_pylist() for c in ("bucket", "key_check", "answers")), strict=True)}
         for b, part in by_bucket(keys, buckets):
             c, v = there.get(b, (None, b""))
-            if c != int(np.bitwise_xor.reduce(keys[part]).astype(np.int64)) or len(v) != 8 * len(part):
+            v = unpacked(v, np.float32) if v else np.empty(0, np.float32)
+            if c != int(np.bitwise_xor.reduce(keys[part]).astype(np.int64)) or len(v) != len(part):
                 raise ValueError("a slice changed between two readings of the documents")
-            value[part] = np.frombuffer(v, np.float64)
+            value[part] = v
         cols = [np.zeros(n_docs, np.int64), np.zeros(n_docs, np.int64), np.zeros(n_docs), np.zeros(n_docs)]
         for i, j in slices(offsets):
             e, de, w, dw = symbols(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
-            base = value[np.searchsorted(keys, w)]
+            seen = value[np.searchsorted(keys, w)].view(np.int32)
+            base = np.log10(seen + 1.0) + unknown
             cols[0][i:j] = np.bincount(dw, minlength=j - i)
-            cols[1][i:j] = np.bincount(dw, weights=base > unknown + 0.1, minlength=j - i)
+            cols[1][i:j] = np.bincount(dw, weights=seen > 0, minlength=j - i)
             cols[2][i:j] = np.bincount(dw, weights=base, minlength=j - i)
-            cols[3][i:j] = np.bincount(de, weights=value[np.searchsorted(keys, e)], minlength=j - i)
+            cols[3][i:j] = np.bincount(de, weights=value[np.searchsorted(keys, e)].astype(float), minlength=j - i)
         return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": cols[0], "n_known": cols[1],
                          "train_tokens": np.full(n_docs, tokens), "base_score": cols[2], "score": cols[3]})
 
