@@ -41,6 +41,7 @@ FENCES = frozenset("table ul ol dl select article main section div body blockquo
 SPACE = re.compile(r"[\s]+")
 SIGMA = 1.0
 RADIUS = 2
+OWN = 8
 DEPTH = 4096
 
 
@@ -164,7 +165,8 @@ def main_text(html: str) -> str:
     mean = sum(smooth) / len(smooth)
     spread = math.sqrt(sum((v - mean) ** 2 for v in smooth) / len(smooth))
     limit = min(spread, mean)
-    content = [not x.off and v >= limit for v, (_, _, x) in zip(smooth, lines, strict=True)]
+    # smoothing lifts a menu between paragraphs, so a line must also have some text of its own
+    content = [not x.off and v >= limit and ratio >= limit / OWN for v, (_, ratio, x) in zip(smooth, lines, strict=True)]
     regions = {x.main for ok, (_, _, x) in zip(content, lines, strict=True) if ok and x.main}
     if regions:
         content = [not x.off and x.main in regions for _, _, x in lines]
