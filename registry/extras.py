@@ -378,12 +378,33 @@ def q_scrub(spark, d):
                                              X.redact(F.concat(F.lit("maxar-api-key: SECRET"), i, F.lit(" ok"))).alias("header"))
 
 
-@register("key_redaction_in_documents", sql="""
-SELECT doc_id, length(text) > 0 AS has_text FROM documents""")
+# the secret of each row, the text around it, and what must be left
+_LEAKS = """
+WITH k AS (SELECT doc_id, text, substr(sha256('a' || doc_id), 1, 32) AS h FROM documents),
+u AS (SELECT doc_id, text, h, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS uuid FROM k),
+f AS (SELECT doc_id, text, h, to_base64(encode(uuid)) AS dashed, rtrim(to_base64(encode(h)), '=') AS bare FROM u)
+SELECT doc_id, sha256(text || CASE doc_id % 8 WHEN 0 THEN ' {"maxar-api-key": "<KEY>"}' WHEN 1 THEN ' maxar api key: <KEY>' WHEN 2 THEN ' maxarapikey=<KEY>'
+  WHEN 3 THEN ' ?maxar_api_key%3D<KEY>' WHEN 4 THEN ' {"Authorization": "Bearer <KEY>"}' WHEN 5 THEN ' Authorization: token <KEY> x'
+  WHEN 6 THEN ' /keys/<KEY>/usage' ELSE ' key <KEY>-expired' END) AS digest,
+  sha256(text || ' ' || CASE doc_id % 8 WHEN 6 THEN dashed WHEN 7 THEN bare ELSE h END) AS before FROM f"""
+
+
+@register("key_redaction_in_documents", sql=_LEAKS)
 def q_redact(spark, d):
-    """Every document scrubbed in whole."""
-    t = D.table(spark, d, "documents")
-    return t.select("doc_id", (F.length(X.redact(F.col("text"))) > 0).alias("has_text"))
+    """Every document with a planted key in one of eight forms, scrubbed in whole."""
+    k = D.table(spark, d, "documents").withColumn("h", F.substring(F.sha2(F.concat(F.lit("a"), F.col("doc_id").cast("string")), 256), 1, 32))
+    h = F.col("h")
+    uuid = F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    dashed, bare = F.base64(F.encode(uuid, "UTF-8")), F.rtrim(F.base64(F.encode(h, "UTF-8")), F.lit("="))
+    m = F.col("doc_id") % 8
+    forms = [F.concat(F.lit(a), v, F.lit(b)) for a, v, b in (
+        (' {"maxar-api-key": "', h, '"}'), (" maxar api key: ", h, ""), (" maxarapikey=", h, ""), (" ?maxar_api_key%3D", h, ""),
+        (' {"Authorization": "Bearer ', h, '"}'), (" Authorization: token ", h, " x"), (" /keys/", dashed, "/usage"), (" key ", bare, "-expired"))]
+    planted, secret = forms[7], F.when(m == 6, dashed).when(m == 7, bare).otherwise(h)
+    for i in range(7):
+        planted = F.when(m == i, forms[i]).otherwise(planted)
+    return k.select("doc_id", F.sha2(X.redact(F.concat("text", planted)), 256).alias("digest"),
+                    F.sha2(F.concat_ws(" ", "text", secret), 256).alias("before"))
 
 
 # ------------------------------------------------------------------ grids and radar geometry
@@ -451,12 +472,15 @@ def q_swath(spark, d):
 
 
 @register("radar_exclude_mask", views=("obs",), sql="""
-SELECT event_id, scene, count(*) FILTER (scl <> 0 OR scl = 11) AS n_excluded, count(*) AS n FROM obs GROUP BY ALL""")
+SELECT event_id, scene, count(*) FILTER (scl <> 0) AS n_excluded, count(*) FILTER (scl <> 5 OR scl = 11) AS n_kept_five,
+  count(*) FILTER (scl = 0 OR scl <> 0) AS n_kept_zero_is_fill, count(*) AS n FROM obs GROUP BY ALL""")
 def q_exclude(spark, d):
-    """Mask codes that exclude a cell."""
+    """Mask codes that exclude a cell, for several codes of a good cell and of fill."""
     o = D.observations(spark, d)
-    ex = (F.col("scl") != 0) | (F.col("scl") == 11)
-    return o.groupBy("event_id", "scene").agg(F.count_if(ex).alias("n_excluded"), F.count(F.lit(1)).alias("n"))
+    m = F.col("scl")
+    return o.groupBy("event_id", "scene").agg(
+        F.count_if(C.excluded_by_mask(m)).alias("n_excluded"), F.count_if(C.excluded_by_mask(m, keep=5, nodata=11)).alias("n_kept_five"),
+        F.count_if(C.excluded_by_mask(m, nodata=0)).alias("n_kept_zero_is_fill"), F.count(F.lit(1)).alias("n"))
 
 
 @register("valid_pixels", views=("obs",), sql="""

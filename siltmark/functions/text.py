@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-import base64
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 REDACTED = "<KEY>"
-KEY_PARAM = r"(?i)(\?|%3F|&amp;|%26|&)api_key(?:=|%3D)([A-Za-z0-9_-]{8,})"
-HEADER_KEY = r"(?i)([a-z]*[-_]?api[-_]key)(\s*[:=]\s*[\"']?)([^\s\"'&,;<]+)"
-AUTH_HEADER = r"(?i)(authorization\s*[:=]\s*[\"']?(?:basic |bearer |apikey )?)([^\s\"',;<]+)"
+# fixed values: the forms in which the vendor's key, an authorization value and a URL key appear
+KEY_VALUE = (r"(?i)(maxar[-_ ]?api[-_ ]?key)"
+             r"((?:[\"']|%22|%27)?\s*(?:[:=]|%3[aAdD])(?:\s|%20|\+)*(?:b?(?:[\"']|%22|%27))?)"
+             r"([^\s\"'&;,)}\]<>]+)")
+AUTHORIZATION = (r"(?i)(authorization[\"']?\s*[:=]\s*(?:b?[\"'])?)"
+                 r"((?:bearer|apikey|api-key|basic|token)\s+)?([^\s\"'&;,)}\]<>]+)")
+URL_KEY = r"api_key(?:=|%3D)[A-Za-z0-9_-]{8,}"
+SEPARATOR = r"\?|%3F|&amp;|%26|&"
+BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+HEX = "0123456789ABCDEFabcdef"
 
 
 def norm_name(name: Column) -> Column:
@@ -62,9 +64,13 @@ def cloud_cell(aoi_cloud: Column, scene_cloud: Column, aoi_snow: Column) -> Colu
 
 
 def strip_url_keys(text: Column) -> Column:
-    """Drop api_key parameters from URLs, keeping the parameters around them joined."""
-    t = F.regexp_replace(text, r"(?i)(\?|%3F)api_key(?:=|%3D)[A-Za-z0-9_-]{8,}(?:&amp;|%26|&)", "$1")
-    return F.regexp_replace(t, KEY_PARAM, "")
+    """Drop api_key parameters from URLs, keeping the parameters around them joined.
+
+    A parameter that follows takes over the question mark.  ``&amp;`` after a key belongs to the document
+    around the URL and stays.
+    """
+    t = F.regexp_replace(text, rf"(?i)(\?|%3F){URL_KEY}(?:%26|&(?!amp;))", "$1")
+    return F.regexp_replace(t, rf"(?i)(?:{SEPARATOR}){URL_KEY}", "")
 
 
 def key_fingerprints(text: Column) -> Column:
@@ -73,43 +79,54 @@ def key_fingerprints(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(keys, lambda k: F.substring(F.sha2(k, 256), 1, 8))))
 
 
-_RUN = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
-_UUID = re.compile(r"[0-9a-fA-F]{8}-?(?:[0-9a-fA-F]{4}-?){3}[0-9a-fA-F]{12}")
-
-
-def _is_key(token: str) -> bool:
-    """Does a base64 token decode to a UUID?"""
-    body = token.rstrip("=").replace("-", "+").replace("_", "/")
-    try:
-        return _UUID.fullmatch(base64.b64decode(body + "=" * (-len(body) % 4)).decode("ascii").strip()) is not None
-    except ValueError:
-        return False
+def _quad(*allowed: str) -> str:
+    """Regular expression of the base64 digits of up to three bytes, each out of ``allowed``.
 
-
-def _hide_runs(text: str) -> str:
-    """Replace every key-shaped stretch of a long base64 run, also inside a longer run."""
-    def scrub(m: re.Match) -> str:
-        run, out, i = m.group(0), [], 0
-        if _is_key(run):
-            return REDACTED
-        while i < len(run):
-            hit = next((w for w in (48, 43) if i + w <= len(run) and _is_key(run[i:i + w])), 0)
-            out.append(REDACTED if hit else run[i])
-            i += hit or 1
-        return "".join(out)
-    return _RUN.sub(scrub, text)
-
-
-@F.pandas_udf(T.StringType())
-def _hide_base64(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: t if t is None else _hide_runs(t))
+    Neighbouring digits share a byte, so they are listed in pairs, by the bits the pairs have in common.
+    A missing last byte leaves bits that may be anything.
+    """
+    bytes_ = [sorted(map(ord, a)) for a in allowed]
+    def pairs(found: set[tuple[int, int]]) -> str:
+        tails: dict[str, str] = {}
+        for x in sorted({x for x, _ in found}):
+            ends = "".join(BASE64[y] for _, y in sorted(p for p in found if p[0] == x))
+            tails[ends] = tails.get(ends, "") + BASE64[x]
+        return "(?:" + "|".join(f"[{h}][{t}]" for t, h in tails.items()) + ")"
+    out = []
+    for high in sorted({b >> 4 for b in bytes_[1]}):
+        first = {(a >> 2, (a & 3) << 4 | high) for a in bytes_[0]}
+        second = [b for b in bytes_[1] if b >> 4 == high]
+        if len(bytes_) == 3:
+            out.append(pairs(first) + pairs({((b & 15) << 2 | c >> 6, c & 63) for b in second for c in bytes_[2]}))
+        else:
+            out.append(pairs(first) + "[" + "".join(BASE64[(b & 15) << 2 | k] for b in second for k in range(4)) + "]")
+    return "(?:" + "|".join(out) + ")"
+
+
+def _encoded(shape: list[str]) -> str:
+    """Expression of the base64 form of a text given as the characters each place allows."""
+    quads = [_quad(*shape[i:i + 3]) for i in range(0, len(shape), 3)]
+    out, i = "", 0
+    while i < len(quads):
+        n = next((k for k in range(i, len(quads)) if quads[k] != quads[i]), len(quads)) - i
+        out += quads[i] + (f"{{{n}}}" if n > 1 else "")
+        i += n
+    return out
+
+
+def encoded_uuid() -> str:
+    """Base64 of a UUID's text, with its dashes or as 32 digits; both alphabets spell it alike."""
+    dashed = _encoded(["-" if i in (8, 13, 18, 23) else HEX for i in range(36)])
+    bare = _encoded([HEX] * 32)
+    inside = "[A-Za-z0-9+/_-]"
+    return f"(?<!{inside})(?:{dashed}|{bare})={{0,2}}(?![=A-Za-z0-9+/_-])|{dashed}|{bare}"
 
 
 def redact(text: Column) -> Column:
-    """Text with key headers, authorization values and key-shaped base64 runs hidden.
+    """Text with vendor keys, authorization values and base64 runs that decode to a UUID hidden.
 
-    Only rows holding a long base64 run reach the Arrow helper; the rest stay in the JVM.
+    Built-in expressions only: whether a run decodes to a UUID is a regular expression over its digits.
     """
-    t = F.regexp_replace(text, HEADER_KEY, "$1$2" + REDACTED)
-    t = F.regexp_replace(t, AUTH_HEADER, "$1" + REDACTED)
-    return F.when(t.rlike(r"[A-Za-z0-9+/_-]{40,}"), _hide_base64(t)).otherwise(t)
+    t = F.regexp_replace(text, KEY_VALUE, "$1$2" + REDACTED)
+    t = F.regexp_replace(t, AUTHORIZATION, "$1$2" + REDACTED)
+    return F.regexp_replace(t, encoded_uuid(), REDACTED)

@@ -59,6 +59,12 @@ def unusable(code: Column, sensor: Column, mask_dark: bool = False) -> Column:
     return F.when(sensor == "s2", code.isNull() | code.isin(*scl)).otherwise(qa)
 
 
+def excluded_by_mask(code: Column, keep: int = 0, nodata: int | None = None) -> Column:
+    """Radar mask cells to leave out: any code but ``keep``, the fill value, and cells without a code."""
+    bad = code.isNull() | (code != keep)
+    return bad if nodata is None else bad | (code == nodata)
+
+
 def observed(code: Column) -> Column:
     return code.isNotNull() & (code != 0)
 

@@ -313,10 +313,35 @@ def test_gazetteer_greedy_matches_brute_force(spark):
 
 def test_redaction(spark):
     import base64
+    import json as js
+    import uuid
+    from urllib.parse import quote
     key = base64.b64encode(b"01234567-89ab-cdef-0123-456789abcdef").decode()
-    t = F.lit(f"GET /keys/{key}/usage Authorization: Bearer abc.def plain")
-    out = one(spark, text.redact(t))[0]
-    assert key not in out and "abc.def" not in out and "plain" in out and out.count("<KEY>") == 2
+    bare = base64.b64encode(uuid.UUID(int=77 << 64).hex.encode()).decode()
+    hidden = [f"maxar-api-key: {key}", "MAXAR-API-KEY:short-value", "x?maxar_api_key=short-value&count=1", "x?" + quote("maxar_api_key=short-value", safe=""),
+              "{b'maxar-api-key': b'short-value'}", js.dumps({"maxar-api-key": "short-value"}), "maxar api key: short-value", "maxarapikey=short-value",
+              "Authorization: Bearer short-value", js.dumps({"Authorization": "Bearer short-value"}), "Authorization: token short-value",
+              f"the key is {key} ok", f"GET /keys/{key}/usage failed", f"key {key}-expired", f"x_{key}", f"the key {bare} ok", f"/a/{bare.rstrip('=')}/b"]
+    same = ["featureId ccaae319-0000-4000-8000-000000000826; layer Maxar:Imagery", "send the header maxar-api-key; sha1 " + "a" * 40 + "; paste the API key", "", None]
+    out = one(spark, *[text.redact(F.lit(t)) for t in hidden + same])
+    for t, o in zip(hidden, out):
+        assert "<KEY>" in o and "short-value" not in o and key not in o and bare.rstrip("=") not in o, (t, o)
+    assert list(out[len(hidden):]) == same
+    assert one(spark, text.redact(F.lit(out[2])))[0] == out[2]
+    urls = one(spark, *[text.strip_url_keys(F.lit(u)) for u in ("a?api_key=ABCDEFGH&amp;zmax=1", "a?api_key=ABCDEFGH&v=2", "a%3Fapi_key%3DABCDEFGH%26v%3D2", "a?v=2&amp;api_key=ABCDEFGH")])
+    assert list(urls) == ["a&amp;zmax=1", "a?v=2", "a%3Fv%3D2", "a?v=2"]
+
+
+def test_components_of_a_rising_path_take_few_rounds(spark, monkeypatch):
+    from siltmark.operators import graph
+    calls = []
+    follow = graph.follow
+    monkeypatch.setattr(graph, "follow", lambda *a: calls.append(1) or follow(*a))
+    n = 1024
+    e = spark.createDataFrame([(7, i, i + 1) for i in range(n)] + [(8, 5, 5)], "k int, a long, b long")
+    got = graph.components(e, ["k"]).groupBy("k", "root").count().collect()
+    assert sorted(map(tuple, got)) == [(7, 0, n + 1), (8, 5, 1)]
+    assert len(calls) <= 2 * 7  # two steps a doubling
 
 
 def test_granule_name_rejects_others(spark):
