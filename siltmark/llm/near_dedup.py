@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltmark.llm.graph import components
 from siltmark.llm.sharing import ROW, numbered, only_rows, read, stable, text_or_empty
 from siltmark.llm.textarrays import LOWER, WHITE, flat, hash_words, mix, slices, words
+from siltmark.operators.graph import components
 
 SHINGLE = 5
 BANDS, ROWS = 30, 4
@@ -263,6 +263,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links, roots = None, None
     for turn in range(STAR_ROUNDS):
         open_ = open_bands(cand, roots)
+        if open_.isEmpty():
+            break
         order = F.xxhash64("cls", F.lit(turn))
         head = stable(open_.groupBy("key").agg(F.min_by(F.struct("cls", "root"), order).alias("head")))
         tests = (open_.join(head, "key").filter(F.col("root") != F.col("head.root"))
@@ -276,9 +278,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         new = confirmed(stable(best), reps, docs, text_col)
         links = new if links is None else links.union(new)
         roots = components(links)
-    left = open_bands(cand, roots).join(sketches, "cls")
-    links = links.union(confirmed(stable(within_bands(left)), reps, docs, text_col))
-    roots = components(links)
+    left = open_bands(cand, roots)
+    if not left.isEmpty():
+        rest = stable(within_bands(left.join(sketches, "cls")))
+        if not rest.isEmpty():
+            links = links.union(confirmed(rest, reps, docs, text_col))
+            roots = components(links)
 
     order = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("id"), F.col(ROW).alias("row"))
     first = some.groupBy("cls").agg(F.min(order).alias("first"))

@@ -8,8 +8,9 @@ import re
 import numpy as np
 import pytest
 
-from siltmark.llm import exact_dedup, graph, near_dedup, sharding
+from siltmark.llm import exact_dedup, near_dedup, sharding
 from siltmark.llm.sharing import ROW
+from siltmark.operators import graph
 
 
 def big(i):
