@@ -75,6 +75,8 @@ SELECT o_orderkey AS order_id, CASE o_orderstatus WHEN 'F' THEN 'pre' WHEN 'O' T
        o_custkey % 25 AS event_id, scene_ids, o_orderkey % 7 <> 0 AS has_box,
        -150.0::DOUBLE + (o_custkey % 100) / 10.0::DOUBLE - 0.5 AS w, 55.0::DOUBLE + (o_orderkey % 100) / 10.0::DOUBLE - 0.25 AS s,
        -150.0::DOUBLE + (o_custkey % 100) / 10.0::DOUBLE + 0.5 AS e, 55.0::DOUBLE + (o_orderkey % 100) / 10.0::DOUBLE + 0.25 AS n,
+       CASE WHEN o_orderkey % 14 <> 0 THEN 55.0::DOUBLE + (o_orderkey % 100) / 10.0::DOUBLE END AS centre_lat,
+       CASE WHEN o_orderkey % 14 <> 0 THEN -150.0::DOUBLE + (o_custkey % 100) / 10.0::DOUBLE END AS centre_lon,
        CAST(5 + o_orderkey % 20 AS DOUBLE) AS radius_km,
        CASE o_orderkey % 3 WHEN 0 THEN 'analytic_udm2' WHEN 1 THEN 'visual' END AS bundle,
        o_orderdate AS created

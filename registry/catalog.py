@@ -104,14 +104,14 @@ def products(spark, d):
 
 
 WANTED = """w AS (SELECT c_custkey AS request_id,
-  [c_custkey * 3 % 12000, (c_custkey * 7 + 1) % 12000, (c_custkey * 11 + 2) % 12000] AS ids FROM customer),
+  [c_custkey * 3, c_custkey * 7 + 1, c_custkey * 11 + 2] AS ids FROM customer),
 x AS (SELECT request_id, unnest(ids) AS scene_id, unnest([0, 1, 2]) AS pos FROM w)"""
 
 
 def _wanted(spark, d):
     k = F.col("c_custkey")
     return D.table(spark, d, "customer").select(
-        k.alias("request_id"), F.array(k * 3 % 12000, (k * 7 + 1) % 12000, (k * 11 + 2) % 12000).alias("ids"))
+        k.alias("request_id"), F.array(k * 3, k * 7 + 1, k * 11 + 2).alias("ids"))
 
 
 @register("fetch_scenes_by_id_in_order", views=("scenes",), extra=WANTED, sql="""
@@ -191,20 +191,19 @@ def absence(spark, d):
 
 
 @register("nearest_scene_outside_window", views=("det", "scenes"), extra=PAIRS + """,
-s AS (SELECT * FROM allp WHERE source = 'NISAR' AND relative_orbit = 2),
+s AS (SELECT * FROM allp WHERE source = 'NISAR'),
 inside AS (SELECT DISTINCT event_id, CASE WHEN acq < origin THEN 'pre' ELSE 'post' END AS side FROM s
    WHERE acq >= origin - INTERVAL 1 DAY AND acq <= origin + INTERVAL 1 DAY),
 wide AS (SELECT event_id, CASE WHEN acq < origin THEN 'pre' ELSE 'post' END AS side, scene_id, gap,
-   row_number() OVER (PARTITION BY event_id, acq < origin ORDER BY gap, scene_id) AS rn FROM s
-   WHERE acq >= origin - INTERVAL 20 DAY AND acq <= origin + INTERVAL 20 DAY),
+   row_number() OVER (PARTITION BY event_id, acq < origin ORDER BY gap, scene_id) AS rn FROM s),
 sides AS (SELECT event_id, unnest(['pre', 'post']) AS side FROM det)""", sql="""
 SELECT sides.event_id, sides.side, scene_id,
   CAST(CASE WHEN sides.side = 'pre' THEN ceil(gap) ELSE floor(gap) + 1 END AS BIGINT) AS widen_to_days
 FROM sides ANTI JOIN inside USING (event_id, side) LEFT JOIN (SELECT * FROM wide WHERE rn = 1) w USING (event_id, side)""")
 def outside(spark, d):
     """Nearest scene beyond the window for every empty side."""
-    sc = D.scenes(spark, d).filter((F.col("source") == "NISAR") & (F.col("relative_orbit") == 2))
-    return S.nearest_outside(D.detections(spark, d), sc, pre_days=1, post_days=1, reach_days=20)
+    sc = D.scenes(spark, d).filter(F.col("source") == "NISAR")
+    return S.nearest_outside(D.detections(spark, d), sc, pre_days=1, post_days=1)
 
 
 @register("search_merge_sources", views=("det", "scenes"), extra=DAYP(6, 6) + """,

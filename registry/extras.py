@@ -196,7 +196,7 @@ DEMC = """aoi AS (SELECT *, lon - radius_km / (111.32 * cos(radians(lat))) AS aw
     lon + radius_km / (111.32 * cos(radians(lat))) AS ae, lat + radius_km / 111.32 AS an FROM det),
 cd AS (SELECT a.event_id, s.scene_id, CASE scene_id % 5 WHEN 0 THEN 'arcticdem' WHEN 1 THEN '3dep-10m' WHEN 2 THEN 'mrdem-30' WHEN 3 THEN 'cop-glo30' ELSE 'other' END AS dem_source,
     w <= lon AND lon <= e AND s <= lat AND lat <= n AS covers, acq, (1 + scene_id % 30)::DOUBLE AS resolution_m, w, s, e, n, aw, as_, ae, an
-  FROM aoi a JOIN (SELECT * EXCLUDE (source) FROM scenes WHERE source = 'NISAR' AND relative_orbit < 2) s ON s.w <= a.ae AND a.aw <= s.e AND s.s <= a.an AND a.as_ <= s.n),
+  FROM aoi a JOIN (SELECT * EXCLUDE (source) FROM scenes WHERE source = 'NISAR') s ON s.w <= a.ae AND a.aw <= s.e AND s.s <= a.an AND a.as_ <= s.n),
 rk AS (SELECT *, CASE dem_source WHEN 'arcticdem' THEN 0 WHEN '3dep-10m' THEN 1 WHEN 'mrdem-30' THEN 2 WHEN 'cop-glo30' THEN 3 ELSE 99 END AS tier FROM cd),
 so AS (SELECT *, CASE WHEN tier = 0 THEN -CAST(strftime(acq, '%Y%m%d') AS INTEGER) ELSE resolution_m END AS within FROM rk)"""
 
@@ -205,18 +205,18 @@ def dem_candidates(spark, d):
     from siltmark.operators import search as S
     i = F.col("scene_id")
     src = F.when(i % 5 == 0, "arcticdem").when(i % 5 == 1, "3dep-10m").when(i % 5 == 2, "mrdem-30").when(i % 5 == 3, "cop-glo30").otherwise("other")
-    sc = D.scenes(spark, d).filter((F.col("source") == "NISAR") & (F.col("relative_orbit") < 2)).withColumn("dem_source", src)
-    p = S.overlapping_pairs(D.detections(spark, d), sc, pre_days=60, post_days=60)
+    sc = D.scenes(spark, d).filter(F.col("source") == "NISAR").withColumn("dem_source", src)
+    p = S.overlapping_ever(D.detections(spark, d), sc)
     return p.select("event_id", "scene_id", "dem_source", S.covers_point(p).alias("covers"), "acq", (1 + i % 30).cast("double").alias("resolution_m"), "bbox")
 
 
 @register("dem_candidate_order", views=("det", "scenes"), extra=DEMC, sql="""
-SELECT event_id, scene_id, rn AS rank FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY tier, NOT covers, within, scene_id) AS rn FROM so) WHERE rn <= 5""")
+SELECT event_id, scene_id, rn AS rank FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY tier, NOT covers, within, scene_id) AS rn FROM so)""")
 def q_demrank(spark, d):
     """Strips first, then fallbacks in order; covering the point, newest or finest."""
     c = dem_candidates(spark, d)
     key = DC.rank_key(F.col("dem_source"), F.col("covers"), F.col("acq"), F.col("resolution_m"))
-    return R.top_per_side(c.withColumn("k", key), ("k", "scene_id"), 5, keys=("event_id",)).select("event_id", "scene_id", F.col("rank"))
+    return R.ranked_per_side(c.withColumn("k", key), ("k", "scene_id"), keys=("event_id",)).select("event_id", "scene_id", F.col("rank"))
 
 
 @register("dem_default_choice", views=("det", "scenes"), extra=DEMC + """,
@@ -330,7 +330,13 @@ def q_stale(spark, d):
     return R.supersede(e.withColumn("key", X.event_key(F.col("stem"))))
 
 
-@register("gazetteer_merge", views=("peaks",))
+@register("gazetteer_merge", views=("peaks",), extra="""RECURSIVE 
+o AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY priority, seq) AS rn FROM peaks),
+r AS (SELECT name, rn, [{'x': lon, 'y': lat}] AS held, true AS kept FROM o WHERE rn = 1
+  UNION ALL SELECT name, rn, CASE WHEN fresh THEN list_append(held, {'x': lon, 'y': lat}) ELSE held END, fresh FROM (
+    SELECT o.name, o.rn, o.lon, o.lat, r.held, len(list_filter(r.held, lambda k: pow((k.x - o.lon) * 111320.0 * cos(radians((o.lat + k.y) / 2)), 2)
+       + pow((k.y - o.lat) * 110540.0, 2) <= 360000)) = 0 AS fresh FROM r JOIN o ON o.name = r.name AND o.rn = r.rn + 1))""",
+          sql="SELECT o.name, lon, lat, priority, seq, kept FROM o JOIN r USING (name, rn)")
 def q_peaks(spark, d):
     """Same name within 600 m, earlier sources win, greedy against kept points."""
     return gazetteer.merge_points(D.peaks(spark, d))

@@ -275,15 +275,39 @@ def q_roles(spark, d):
 # ------------------------------------------------------------------ ledger
 FIND = """q AS (SELECT event_id AS query_id, event_id AS q_event, lat, lon, 10.0::DOUBLE AS q_radius,
    lon - 10 / (111.32 * greatest(0.05, cos(radians(lat)))) AS qw, lat - 10 / 111.32 AS qs,
-   lon + 10 / (111.32 * greatest(0.05, cos(radians(lat)))) AS qe, lat + 10 / 111.32 AS qn FROM det),
-fd AS (SELECT q.*, l.* EXCLUDE (event_id) FROM q JOIN ledger l ON CASE WHEN has_box THEN
+   lon + 10 / (111.32 * greatest(0.05, cos(radians(lat)))) AS qe, lat + 10 / 111.32 AS qn FROM det
+  UNION ALL SELECT event_id + 1000, event_id, NULL, NULL, 10, NULL, NULL, NULL, NULL FROM det
+  UNION ALL SELECT event_id + 2000, NULL, lat, lon, 10, lon - 10 / (111.32 * greatest(0.05, cos(radians(lat)))), lat - 10 / 111.32,
+   lon + 10 / (111.32 * greatest(0.05, cos(radians(lat)))), lat + 10 / 111.32 FROM det),
+rb AS (SELECT * EXCLUDE (w, s, e, n), CASE WHEN has_box THEN w ELSE centre_lon - radius_km / (111.32 * greatest(0.05, cos(radians(centre_lat)))) END AS w,
+   CASE WHEN has_box THEN s ELSE centre_lat - radius_km / 111.32 END AS s,
+   CASE WHEN has_box THEN e ELSE centre_lon + radius_km / (111.32 * greatest(0.05, cos(radians(centre_lat)))) END AS e,
+   CASE WHEN has_box THEN n ELSE centre_lat + radius_km / 111.32 END AS n FROM ledger),
+fd AS (SELECT q.*, l.* EXCLUDE (event_id) FROM q JOIN rb l ON CASE WHEN w IS NOT NULL AND qw IS NOT NULL THEN
    w <= qe + 1 / (111.32 * greatest(0.05, cos(radians((qs + qn + s + n) / 4)))) AND qw - 1 / (111.32 * greatest(0.05, cos(radians((qs + qn + s + n) / 4)))) <= e
    AND s <= qn + 1 / 111.32 AND qs - 1 / 111.32 <= n ELSE l.event_id = q_event END)"""
 
 
 def queries_of(spark, d):
-    return D.detections(spark, d).select(F.col("event_id").alias("query_id"), F.col("event_id").alias("q_event"), "lat", "lon",
-                                         F.lit(10.0).alias("q_radius"), F.array(F.lit("3"), F.lit("7")).alias("q_ids"))
+    """Every event asked for with place and name, by name alone and by place alone."""
+    e = D.detections(spark, d)
+    ids = F.array(F.lit("3"), F.lit("7"))
+    k, none = F.col("event_id"), F.lit(None)
+    rows = [(k, k, F.col("lat"), F.col("lon")), (k + 1000, k, none.cast("double"), none.cast("double")), (k + 2000, none.cast("bigint"), F.col("lat"), F.col("lon"))]
+    out = None
+    for i, ev, lat, lon in rows:
+        part = e.select(i.alias("query_id"), ev.alias("q_event"), lat.alias("lat"), lon.alias("lon"), F.lit(10.0).alias("q_radius"), ids.alias("q_ids"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("ledger_recall", views=("det", "ledger"), extra=FIND, sql="""
+SELECT query_id, order_id, row_number() OVER (PARTITION BY query_id ORDER BY created DESC NULLS LAST, order_id DESC)::INTEGER AS rank,
+  coalesce(side, '?') || ' · ordered ' || strftime(created, '%Y-%m-%d') || ' · ' || array_to_string(scene_ids[1:2], ', ')
+  || CASE WHEN len(scene_ids) > 2 THEN ' +' || (len(scene_ids) - 2) ELSE '' END || ' · order ' || order_id AS label FROM fd""")
+def q_recall(spark, d):
+    """The orders each query can load again, newest first, with labels."""
+    return L.recall(queries_of(spark, d), D.ledger(spark, d))
 
 
 @register("ledger_find", views=("det", "ledger"), extra=FIND, sql="SELECT query_id, order_id FROM fd")

@@ -77,12 +77,12 @@ def q_grade(spark, d):
 
 @register("strip_list_order", views=("det", "strips"), extra=STR, sql="""
 SELECT event_id, side, feature_id, rn AS rank FROM (SELECT *, row_number() OVER (PARTITION BY event_id, side ORDER BY n_reasons > 0,
-  CASE grade WHEN 'mapping' THEN 0 WHEN 'visual' THEN 1 ELSE 2 END, round(score, 9), feature_id) AS rn FROM sc) WHERE rn <= 10""")
+  CASE grade WHEN 'mapping' THEN 0 WHEN 'visual' THEN 1 ELSE 2 END, round(score, 9), feature_id) AS rn FROM sc)""")
 def q_list(spark, d):
-    """The first ten of each side's list: listed before hidden, then grade, score, id."""
-    from siltmark.operators.ranking import top_per_side
+    """Each side's whole list: listed before hidden, then grade, score, id."""
+    from siltmark.operators.ranking import ranked_per_side
     ls = vhr.listing(graded(spark, d).withColumn("score", F.round("score", 9)))
-    return top_per_side(ls, ("sort_key",), 10).select("event_id", "side", "feature_id", F.col("rank"))
+    return ranked_per_side(ls, ("sort_key",)).select("event_id", "side", "feature_id", F.col("rank"))
 
 
 @register("strip_best_pair", views=("det", "strips"), extra=STR + """,
@@ -141,7 +141,7 @@ c AS (SELECT d.event_id, d.origin, count(j.feature_id) AS n_all, count(s.feature
    count(s.feature_id) FILTER (s.side = 'pre') AS lp, count(s.feature_id) FILTER (s.side = 'post') AS lq,
    count(s.feature_id) FILTER (s.side = 'pre' AND n_reasons = 0) AS vp, count(s.feature_id) FILTER (s.side = 'post' AND n_reasons = 0) AS vq,
    count(s.feature_id) FILTER (s.side = 'pre' AND grade = 'context') AS cp, count(s.feature_id) FILTER (s.side = 'post' AND grade = 'context') AS cq
-  FROM det d LEFT JOIN j ON j.event_id = d.event_id AND j.sensor = 'SKY' LEFT JOIN sc s ON s.event_id = j.event_id AND s.feature_id = j.feature_id
+  FROM det d LEFT JOIN j ON j.event_id = d.event_id LEFT JOIN sc s ON s.event_id = j.event_id AND s.feature_id = j.feature_id
   GROUP BY ALL)""", sql="""
 SELECT event_id, CASE WHEN n_all = 0 THEN 'before_archive' WHEN listed = 0 THEN 'outside_circle' ELSE
   concat_ws(',', CASE WHEN vp = 0 AND vq = 0 THEN 'all_hidden' END,
@@ -149,7 +149,7 @@ SELECT event_id, CASE WHEN n_all = 0 THEN 'before_archive' WHEN listed = 0 THEN
    CASE WHEN lq - cq = 0 THEN 'no_post_winter' WHEN vq = 0 AND vp > 0 THEN 'post_hidden' END) END AS codes FROM c""")
 def q_empty(spark, d):
     """What is missing for each event."""
-    j = joined(spark, d).filter(F.col("sensor") == "SKY")
+    j = joined(spark, d)
     c = vhr.counters(D.detections(spark, d), j, vhr.grade_and_score(j, cloud_max=30.0))
     now = F.lit("2024-06-01 00:00:00").cast("timestamp_ntz")
     return vhr.empty_state(c, now, POST, PRE).select("event_id", F.array_join("codes", ",").alias("codes"))

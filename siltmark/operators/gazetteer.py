@@ -7,6 +7,8 @@ round with joins on neighbouring cells, never by gathering a whole name.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,18 +25,24 @@ def near(lon1: Column, lat1: Column, lon2: Column, lat2: Column, reach_m: float
     return dx * dx + dy * dy <= reach_m * reach_m
 
 
+CELL = ["_cx", "_cy", "_cz"]
+
+
 def _cell(df: DataFrame) -> DataFrame:
-    """Cell of a point: the reach north-south and four reaches (of equator degrees)
-    east-west, so that up to 75 degrees of latitude only adjacent cells can be near."""
-    return (df.withColumn("_cy", F.floor(F.col("lat") / F.lit(REACH_M / 110540.0)))
-            .withColumn("_cx", F.floor(F.col("lon") / F.lit(4 * REACH_M / 111320.0))))
+    """Cell of a point in space, one reach wide: a chord is never longer than ``near`` measures, so at any
+    latitude only adjacent cells can be near."""
+    r = F.lit(110540.0 * 180.0 / math.pi / REACH_M)
+    lat, lon = F.radians("lat"), F.radians("lon")
+    return (df.withColumn("_cx", F.floor(r * F.cos(lat) * F.cos(lon))).withColumn("_cy", F.floor(r * F.cos(lat) * F.sin(lon)))
+            .withColumn("_cz", F.floor(r * F.sin(lat))))
 
 
 def _around(df: DataFrame) -> DataFrame:
     """One copy of a row for its own and each adjacent cell."""
     step = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    return (df.withColumn("_cy", F.explode(F.transform(step, lambda s: F.col("_cy") + s)))
-            .withColumn("_cx", F.explode(F.transform(step, lambda s: F.col("_cx") + s))))
+    for c in CELL:
+        df = df.withColumn("_step", F.explode(step)).withColumn(c, F.col(c) + F.col("_step")).drop("_step")
+    return df
 
 
 def merge_points(points: DataFrame) -> DataFrame:
@@ -46,7 +54,7 @@ def merge_points(points: DataFrame) -> DataFrame:
     rounds end.  Identical positions are collapsed first.
     """
     p = points.withColumn("_k", norm_name(F.col("name")))
-    spot, cell = ["_k", "lon", "lat"], ["_k", "_cy", "_cx"]
+    spot, cell = ["_k", "lon", "lat"], ["_k", *CELL]
     lead = p.groupBy(*spot).agg(F.min(F.struct("priority", "seq")).alias("_o"))
     open_ = stable(_cell(lead))
     kept = open_.limit(0).select(*spot, "_o")

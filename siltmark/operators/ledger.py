@@ -19,22 +19,29 @@ def record_box(bbox: Column, lat: Column, lon: Column, radius_km: Column) -> Col
 
 def find(queries: DataFrame, ledger: DataFrame, *, side: str | None = None, need_ids: bool = False,
          need_radius: bool = False, tol_km: float = TOL_KM, need_point: bool = False) -> DataFrame:
-    """Ledger records per query.  Location wins; the event id decides only without a footprint.
+    """Ledger records per query.  Location wins where both sides know theirs; else the event id decides.
 
-    ``queries``: query_id, q_event, lat, lon, q_radius and, with ``need_ids``, q_ids.  The
-    two rules are two equi-joins (grid cells, event id) united, not one OR-join.
+    ``queries``: query_id, q_event, lat, lon, q_radius and, with ``need_ids``, q_ids.  ``ledger``: bbox and,
+    where it has them, centre_lat and centre_lon with radius_km.  A query with neither location nor event finds
+    nothing; ``recall`` without queries lists the ledger.  The rules are equi-joins, not one OR-join.
     """
-    q = queries.withColumn("q_box", geo.aoi_box(F.col("lat"), F.col("lon"), F.col("q_radius"), min_cos=0.05))
+    q = queries.withColumn("q_box", F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), geo.aoi_box(
+        F.col("lat"), F.col("lon"), F.coalesce("q_radius", F.lit(0.0)), min_cos=0.05)))
     rec = ledger
+    if "centre_lat" in ledger.columns:
+        rec = rec.withColumn("rec_box", record_box(F.col("bbox"), F.col("centre_lat"), F.col("centre_lon"), F.col("radius_km")))
+    else:
+        rec = rec.withColumn("rec_box", F.col("bbox"))
     if side:
         rec = rec.filter(F.col("side").isNull() | (F.col("side") == side))
     # a degree of longitude shrinks at most twentyfold (cosine floor), so this slack holds every hit
-    placed = box_join(q, rec.filter(F.col("bbox").isNotNull()), "q_box", "bbox", slack_deg=tol_km / geo.KM_PER_DEG * 20)
-    placed = placed.filter(geo.box_has_point(F.col("bbox"), F.col("lon"), F.col("lat")) if need_point
-                           else geo.boxes_meet_within(F.col("q_box"), F.col("bbox"), tol_km))
-    blind = rec.filter(F.col("bbox").isNull())
-    named = q.join(blind, q["q_event"] == blind["event_id"])
-    out = placed.unionByName(named)
+    placed = box_join(q.filter("q_box IS NOT NULL"), rec.filter("rec_box IS NOT NULL"), "q_box", "rec_box", slack_deg=tol_km / geo.KM_PER_DEG * 20)
+    placed = placed.filter(geo.box_has_point(F.col("rec_box"), F.col("lon"), F.col("lat")) if need_point
+                           else geo.boxes_meet_within(F.col("q_box"), F.col("rec_box"), tol_km))
+    blind = rec.filter("rec_box IS NULL")
+    named = q.filter("q_box IS NOT NULL").join(blind, F.col("q_event") == F.col("event_id"))
+    unplaced = q.filter("q_box IS NULL").join(rec, F.col("q_event") == F.col("event_id"))
+    out = placed.unionByName(named).unionByName(unplaced).drop("rec_box")
     if need_ids:
         out = out.filter(F.size(F.array_except("q_ids", "scene_ids")) == 0)
     if need_radius:
@@ -42,6 +49,14 @@ def find(queries: DataFrame, ledger: DataFrame, *, side: str | None = None, need
     return out
 
 
+def recall(queries: DataFrame | None, ledger: DataFrame, **rules) -> DataFrame:
+    """What a user can load again: the records found, newest first, each with its label; the whole ledger without queries."""
+    got = ledger.withColumn("query_id", F.lit(None).cast("bigint")) if queries is None else find(queries, ledger, **rules)
+    newest = Window.partitionBy("query_id").orderBy(F.col("created").desc_nulls_last(), F.col("order_id").desc())
+    return got.select("query_id", "order_id", F.row_number().over(newest).alias("rank"),
+                      describe(F.col("side"), F.col("scene_ids"), F.col("order_id").cast("string"), F.col("created")).alias("label"))
+
+
 def newest_by_side(found: DataFrame, key: str = "query_id") -> DataFrame:
     """Newest record per side; records of unknown side only fill gaps, newest first."""
     s = F.coalesce("side", F.lit("any"))

@@ -43,6 +43,11 @@ def top_per_side(df: DataFrame, order, k: int, cap: Column | None = None,
     return out.filter(F.col("rank") <= cap) if cap is not None else out
 
 
+def ranked_per_side(df: DataFrame, order, keys=("event_id", "side")) -> DataFrame:
+    """Every row with its ``rank``; a list without a limit."""
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
 def best_by_cost(df: DataFrame, k: int = RUN_LIMIT, weight: float = 0.5) -> DataFrame:
     df = df.withColumn("cost", blended_cost(F.col("gap"), F.col("cloud_pct"), weight))
     return top_per_side(df, ("cost", "scene_id"), k)

@@ -121,13 +121,27 @@ def holding_collection(wanted: DataFrame, scenes: DataFrame, priority: dict[str,
         F.min_by("source", "prio").alias("source"), F.count(F.lit(1)).alias("n_found"))
 
 
+def overlapping_ever(events: DataFrame, scenes: DataFrame) -> DataFrame:
+    """Every (event, scene) whose boxes meet, whenever the scene was taken; undated scenes too."""
+    box = geo.aoi_box(F.col("lat"), F.col("lon"), F.col("radius_km"))
+    return box_join(events.withColumn("aoi", box), scenes, "aoi", "bbox")
+
+
 def nearest_outside(events: DataFrame, scenes: DataFrame, *, pre_days: int, post_days: int,
-                    reach_days: int) -> DataFrame:
-    """For every empty side, the nearest scene beyond the window and the days to widen to."""
+                    reach_days: int | None = None) -> DataFrame:
+    """For every empty side, the nearest scene beyond the window and the days to widen to.
+
+    Without ``reach_days`` the whole archive is searched, for events with an empty side only.
+    """
     found = scene_search(events, scenes, pre_days=pre_days, post_days=post_days, rule="origin")
     sides = events.select("event_id", F.explode(F.array(F.lit("pre"), F.lit("post"))).alias("side"))
     empty = sides.join(found.select("event_id", "side").distinct(), ["event_id", "side"], "left_anti")
-    wide = scene_search(events, scenes, pre_days=reach_days, post_days=reach_days, rule="origin")
+    if reach_days is None:
+        some = events.join(empty.select("event_id").distinct(), "event_id", "left_semi")
+        wide = overlapping_ever(some, scenes.filter(F.col("acq").isNotNull())).withColumn(
+            "side", F.when(F.col("acq") < F.col("origin"), "pre").otherwise("post")).withColumn("gap", timing.gap_days(F.col("acq"), F.col("origin")))
+    else:
+        wide = scene_search(events, scenes, pre_days=reach_days, post_days=reach_days, rule="origin")
     near = wide.groupBy("event_id", "side").agg(
         F.min_by(F.struct("scene_id", "gap"), F.struct("gap", "scene_id")).alias("hit"))
     return empty.join(near, ["event_id", "side"], "left").select(

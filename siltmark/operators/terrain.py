@@ -10,8 +10,6 @@ from siltmark.functions import radar
 from siltmark.operators import focal
 from siltmark.operators.order_stats import quantiles
 
-SHADOW_STEPS, LAYOVER_STEPS = 400, 600
-
 
 def _ground(dem: DataFrame, keys: list[str], smooth_k: int, tile: int) -> DataFrame:
     """Smoothed heights with voids at the lowest level, and the relief of each group."""
@@ -24,10 +22,11 @@ def _ground(dem: DataFrame, keys: list[str], smooth_k: int, tile: int) -> DataFr
         "relief", F.col("_hi") - F.col("_lo")).filter(F.col("_lo").isNotNull())
 
 
-def _look(df: DataFrame, rate: Column, max_steps: int) -> DataFrame:
-    """Step length, number of steps and the largest reach in cells."""
+def _look(df: DataFrame, rate: Column, max_steps: int | None) -> DataFrame:
+    """Step length, number of steps and the largest reach in cells; relief bounds the steps, a limit may cut them."""
     step = F.least("dx_m", "dy_m")
-    n = F.least(F.lit(max_steps), F.greatest(F.lit(1), F.ceil(F.col("relief") / (rate * step)))).cast("int")
+    n = F.greatest(F.lit(1), F.ceil(F.col("relief") / (rate * step))).cast("int")
+    n = n if max_steps is None else F.least(F.lit(max_steps), n)
     reach = F.ceil(n * step / F.least("dx_m", "dy_m")).cast("int") + 1
     return df.withColumn("_step", step).withColumn("_n", n).withColumn("_rate", rate).withColumn("_reach", reach)
 
@@ -67,7 +66,7 @@ def _layover_tile(p, z: np.ndarray) -> np.ndarray:
     return hit
 
 
-def shadow(dem: DataFrame, keys: list[str], smooth_k: int = 3, max_steps: int = SHADOW_STEPS,
+def shadow(dem: DataFrame, keys: list[str], smooth_k: int = 3, max_steps: int | None = None,
            tile: int = focal.TILE) -> DataFrame:
     """Cells hidden by terrain between them and the radar (keys, row, col, shadow).
 
@@ -80,7 +79,7 @@ def shadow(dem: DataFrame, keys: list[str], smooth_k: int = 3, max_steps: int =
     return focal.march(df.select(*cols), keys, "ground", F.col("_reach"), _shadow_tile, "shadow", tile)
 
 
-def layover(dem: DataFrame, keys: list[str], smooth_k: int = 3, max_steps: int = LAYOVER_STEPS,
+def layover(dem: DataFrame, keys: list[str], smooth_k: int = 3, max_steps: int | None = None,
             tile: int = focal.TILE) -> DataFrame:
     """Cells mixed with other ground because slant range stops growing (keys, row, col, layover)."""
     df = _ground(dem.filter(F.col("look_az").isNotNull()), keys, smooth_k, tile)

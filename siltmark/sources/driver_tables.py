@@ -141,6 +141,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("o_custkey") % 25).alias("event_id"), "scene_ids",
         F.when(k % 7 != 0, F.struct((lon - 0.5).alias("w"), (lat - 0.25).alias("s"),
                                     (lon + 0.5).alias("e"), (lat + 0.25).alias("n"))).alias("bbox"),
+        F.when(k % 14 != 0, lat).alias("centre_lat"), F.when(k % 14 != 0, lon).alias("centre_lon"),
         (5 + k % 20).cast("double").alias("radius_km"),
         F.when(k % 3 == 0, "analytic_udm2").when(k % 3 == 1, "visual").alias("bundle"),
         F.col("o_orderdate").cast("timestamp_ntz").alias("created"),
