@@ -12,9 +12,11 @@ from siltmark.functions import tone as TN
 from siltmark.operators import cells as C
 from siltmark.operators import gazetteer, manifest
 from siltmark.operators import ranking as R
+from siltmark.session import shared_folder
 from siltmark.sources import dem_catalog as DC
 from siltmark.sources import driver_tables as D
 from siltmark.sources import granules as G
+from siltmark.sources import sinks
 from siltmark.sources import strips as ST
 
 # ------------------------------------------------------------------ strip catalogue
@@ -342,6 +344,27 @@ def q_peaks(spark, d):
     return gazetteer.merge_points(D.peaks(spark, d))
 
 
+@register("measurement_csv_round_trip", views=("outlines",), sql="""
+SELECT slide, role, polygon_id, area_m2, CASE WHEN polygon_id % 3 <> 0 THEN 'note, ' || polygon_id || ' "q"' END AS note FROM outlines""")
+def q_csv(spark, d):
+    """A measurement table written as CSV and read again; NULL is an empty cell, quotes and commas survive."""
+    k = F.col("polygon_id")
+    rows = D.outlines(spark, d).withColumn("note", F.when(k % 3 != 0, F.concat(F.lit("note, "), k.cast("string"), F.lit(' "q"'))))
+    path = shared_folder(spark, "csv")
+    sinks.write_csv(rows, path)
+    return spark.read.schema(rows.schema).option("header", "true").option("escape", '"').csv(path)
+
+
+@register("event_metadata_round_trip", views=("obs",), sql="""
+SELECT event_id, scene, side, count(*) AS n_cells, max(red) AS top FROM obs GROUP BY ALL""")
+def q_meta(spark, d):
+    """One metadata folder per event, written as JSON and read again."""
+    rows = D.observations(spark, d).groupBy("event_id", "scene", "side").agg(F.count(F.lit(1)).alias("n_cells"), F.max("red").alias("top"))
+    path = shared_folder(spark, "metadata")
+    sinks.write_metadata(rows, path)
+    return spark.read.schema(rows.schema).json(path)
+
+
 @register("elevation_text", sql="""
 SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 1234.5::DOUBLE + s_suppkey WHEN 1 THEN (s_suppkey)::DOUBLE WHEN 2 THEN -12.0::DOUBLE END AS ele,
   'peak ' || s_suppkey || ' north' AS norm FROM supplier""")

@@ -21,15 +21,15 @@ DH = """raw AS (SELECT event_id, "row", col, 2.0::DOUBLE + (red % 33 - 16) / 8.0
     - CASE WHEN ("row" - 16) * ("row" - 16) + (col - 16) * (col - 16) <= 36 THEN 40.0::DOUBLE ELSE 0 END AS v FROM obs WHERE scene = 2)"""
 
 
-def clip_sql(src, n=5):
-    """The five sigma-clip steps as a chain of CTEs."""
+def clip_sql(src, n=5, p=""):
+    """The five sigma-clip steps as a chain of CTEs whose names begin with ``p``."""
     out, cur = [], src
     for i in range(n):
-        out.append(f"s{i} AS (SELECT event_id, median(v) AS med, stddev_pop(v) AS sd FROM {cur} GROUP BY 1)")
-        out.append(f"k{i} AS (SELECT k.* FROM {cur} k JOIN s{i} USING (event_id) WHERE abs(v - med) <= 3 * sd)")
-        cur = f"k{i}"
-    out.append(f"fin AS (SELECT event_id, median(v) AS off, count(*) AS stable_n FROM {cur} GROUP BY 1)")
-    out.append(f"mad AS (SELECT event_id, median(abs(v - off)) * 1.4826 AS sigma FROM {cur} JOIN fin USING (event_id) GROUP BY 1)")
+        out.append(f"{p}s{i} AS (SELECT event_id, median(v) AS med, stddev_pop(v) AS sd FROM {cur} GROUP BY 1)")
+        out.append(f"{p}k{i} AS (SELECT k.* FROM {cur} k JOIN {p}s{i} USING (event_id) WHERE abs(v - med) <= 3 * sd)")
+        cur = f"{p}k{i}"
+    out.append(f"{p}fin AS (SELECT event_id, median(v) AS off, count(*) AS stable_n FROM {cur} GROUP BY 1)")
+    out.append(f"{p}mad AS (SELECT event_id, median(abs(v - off)) * 1.4826 AS sigma FROM {cur} JOIN {p}fin USING (event_id) GROUP BY 1)")
     return ",\n".join(out)
 
 

@@ -47,11 +47,14 @@ def run(obs: DataFrame, picked: DataFrame | None = None, *, zero_dn: float = 0.0
 
 
 def product_mosaic(obs: DataFrame, order: str, coefficient: Column, bands=("red", "green", "blue")) -> DataFrame:
-    """Counts to reflectance by coefficient, haze removed, first valid scene wins."""
+    """Counts to reflectance by each scene's coefficient, haze removed, cast balanced, first valid scene wins."""
     from siltmark.functions import tone
-    long = obs.select("event_id", "scene", "row", "col", F.col(order).alias("_order"), F.explode(F.array(*[
+    scene, cell = ["event_id", "scene"], ["event_id", "scene", "row", "col"]
+    long = obs.select(*cell, F.col(order).alias("_order"), F.explode(F.array(*[
         F.struct(F.lit(b).alias("band"), C.toa_reflectance(F.col(b), coefficient).alias("v")) for b in bands])).alias("x")).select(
-        "event_id", "scene", "row", "col", "_order", "x.*")
-    clear = tone.dehaze(long, ["event_id", "scene"])
-    return clear.groupBy("event_id", "row", "col").agg(*[F.min_by("v", F.when(
-        (F.col("band") == b) & F.col("v").isNotNull(), F.col("_order"))).alias(b) for b in bands])
+        *cell, "_order", "x.*")
+    clear = tone.dehaze(long, scene)
+    wide = clear.groupBy(*cell, "_order").agg(*[F.max(F.when(F.col("band") == b, F.col("v"))).alias(b) for b in bands])
+    even = wide.join(tone.balance_gains(wide, scene), scene, "left")
+    even = even.withColumns({b: F.col(b) * F.coalesce(f"gain_{b}", F.lit(1.0)) for b in tone.RGB if b in bands})
+    return even.groupBy("event_id", "row", "col").agg(*[F.min_by(b, F.when(F.col(b).isNotNull(), F.col("_order"))).alias(b) for b in bands])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,13 +31,8 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
     return spark
 
 
-def stable(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows survive lost executors and are never recomputed.
-
-    The folder is the one named by ``spark.checkpoint.dir``.  Only a local session
-    may fall back to a fresh temporary folder.
-    """
-    spark = df.sparkSession
+def checkpoint_root(spark: SparkSession) -> str:
+    """The folder ``spark.checkpoint.dir`` names; only a local session may fall back to a fresh temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -46,4 +42,15 @@ def stable(df: DataFrame) -> DataFrame:
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         else:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return sc.getCheckpointDir()
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A fresh folder that the driver and all executors can reach."""
+    return f"{checkpoint_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def stable(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint: the rows survive lost executors and are never recomputed."""
+    checkpoint_root(df.sparkSession)
     return df.checkpoint(True)
