@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header; NULLs are empty cells."""
-    df.write.mode("overwrite").option("header", "true").option("lineSep", "\n").csv(path)
+    """CSV with a header; NULLs are empty cells, quotes in a cell are doubled."""
+    df.write.mode("overwrite").option("header", "true").option("escape", '"').option("lineSep", "\n").csv(path)
 
 
 def write_metadata(runs: DataFrame, path: str) -> None:
