@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltmark.session import stable
+from siltmark.session import shared_folder, stable
 
 ROW = "_siltmark_row"
 
@@ -27,19 +25,6 @@ def id_bucket(name: str, n: int) -> Column:
     return F.coalesce(F.crc32(F.col(name).cast("string")) % n, F.lit(0))
 
 
-def shared_folder(spark: SparkSession, label: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``, which the driver and all executors can reach."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        if sc.getCheckpointDir() is None:
-            stable(spark.range(0))
-        base = sc.getCheckpointDir()
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 def numbered(docs: DataFrame) -> DataFrame:
     """``docs`` with a number per row.  A table scan numbers its rows alike whenever it is read."""
     return docs.withColumn(ROW, F.monotonically_increasing_id())
