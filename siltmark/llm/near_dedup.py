@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltmark.llm.sharing import ROW, numbered, only_rows, read, stable, text_or_empty
+from siltmark.llm.sharing import ROW, numbered, only_rows, read, stable
 from siltmark.llm.textarrays import LOWER, WHITE, flat, hash_words, mix, slices, words
 from siltmark.operators.graph import components
 
@@ -102,24 +102,24 @@ def _lists(a: np.ndarray) -> pa.Array:
 
 
 def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, row_key, row number, n_shingles, cls, bands, sketch`` per document; the last three are null for empty sets."""
+    """``doc_id, row number, n_shingles, cls, bands, sketch`` per document; the last three are null for empty sets."""
     kind = docs.schema[id_col].dataType.simpleString()
-    d = numbered(docs).select(F.col(id_col).alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("row_key"), ROW, F.col(text_col).alias("text"))
+    d = numbered(docs).select(F.col(id_col).alias("doc_id"), ROW, F.col(text_col).alias("text"))
 
     def run(batches):
         for b in batches:
-            data, offsets = flat(b.column(3))
+            data, offsets = flat(b.column(2))
             for i, j in slices(offsets):
                 values, sizes = shingle_sets(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
                 key, bands, sketch = signatures(values, sizes)
                 where = np.cumsum(sizes > 0) - 1
                 pick = pa.array(np.where(sizes > 0, where, -1), mask=sizes == 0, type=pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [*(b.column(k).slice(i, j - i) for k in range(3)), pa.array(sizes, pa.int64()),
+                    [*(b.column(k).slice(i, j - i) for k in range(2)), pa.array(sizes, pa.int64()),
                      _fixed(key, 16).take(pick), _lists(bands).take(pick), _lists(sketch).take(pick)],
-                    ["doc_id", "row_key", ROW, "n_shingles", "cls", "bands", "sketch"])
+                    ["doc_id", ROW, "n_shingles", "cls", "bands", "sketch"])
 
-    return d.mapInArrow(run, f"doc_id {kind}, row_key long, {ROW} long, n_shingles long, cls binary, bands array<long>, sketch array<long>")
+    return d.mapInArrow(run, f"doc_id {kind}, {ROW} long, n_shingles long, cls binary, bands array<long>, sketch array<long>")
 
 
 def near(a: str, b: str) -> Column:
@@ -130,24 +130,24 @@ def near(a: str, b: str) -> Column:
     return total <= sketch_limit()
 
 
-def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """Those pairs of classes ``a, b`` whose full sets are similar enough."""
-    needed = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    wanted = stable(needed.join(reps.select("cls", "row_key"), "cls").select("row_key").distinct())
-    texts = (docs.select(F.xxhash64(text_or_empty(text_col)).alias("row_key"), F.col(text_col).alias("text"))
-             .join(wanted, "row_key", "left_semi").dropDuplicates(["row_key"]))
+def full_sets(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
+    """``cls, members``: the whole sorted shingle set of each wanted class, from the text of one row of it."""
+    texts = numbered(docs).select(ROW, F.col(text_col).alias("text")).join(wanted, ROW).select("cls", "text")
 
-    def sets(batches):
+    def run(batches):
         for b in batches:
-            data, offsets = flat(b.column(0))
+            data, offsets = flat(b.column(1))
             for i, j in slices(offsets):
                 values, sizes = shingle_sets(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
-                key, _, _ = signatures_key(values, sizes)
                 ends = np.cumsum(sizes)
-                full = [values[e - s:e].tobytes() for e, s in zip(ends, sizes, strict=True) if s]
-                yield pa.RecordBatch.from_arrays([_fixed(key, 16), pa.array(full, pa.binary())], ["cls", "members"])
+                full = [values[e - s:e].tobytes() for e, s in zip(ends, sizes, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(full, pa.binary())], ["cls", "members"])
+
+    return texts.mapInArrow(run, "cls binary, members binary")
 
-    full = stable(texts.select("text").mapInArrow(sets, "cls binary, members binary").dropDuplicates(["cls"]))
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those pairs of classes ``a, b`` whose full sets are similar enough."""
 
     def check(batches):
         for b in batches:
@@ -158,19 +158,11 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, text_col: str)
                 ok.append(DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both))
             yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    left = pairs.join(full.select(F.col("cls").alias("a"), F.col("members").alias("x")), "a")
-    both = left.join(full.select(F.col("cls").alias("b"), F.col("members").alias("y")), "b")
+    left = pairs.join(sets.select(F.col("cls").alias("a"), F.col("members").alias("x")), "a")
+    both = left.join(sets.select(F.col("cls").alias("b"), F.col("members").alias("y")), "b")
     return stable(both.select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary"))
 
 
-def signatures_key(values: np.ndarray, sizes: np.ndarray):
-    some = sizes[sizes > 0]
-    if not len(some):
-        return np.empty((0, 2), np.uint64), None, None
-    at = np.cumsum(some) - some
-    return np.stack([np.add.reduceat(mix(values), at), np.add.reduceat(mix(values ^ np.uint64(0x5851F42D4C957F2D)), at)], axis=1), None, None
-
-
 def within_bands(members: DataFrame) -> DataFrame:
     """Pairs ``a, b`` of ``key, cls, root, sketch`` that share a key, differ in root and have near sketches.
 
@@ -253,12 +245,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = stable(describe(docs, id_col, text_col))
     some = rows.filter("n_shingles > 0")
-    reps = stable(some.select("cls", "row_key", "bands", "sketch").dropDuplicates(["cls"]))
+    reps = stable(some.select("cls", ROW, "bands", "sketch").dropDuplicates(["cls"]))
     member = reps.select("cls", F.explode("bands").alias("key"))
     h = F.xxhash64("cls")
     shared = stable(member.groupBy("key").agg(F.min(h).alias("lo"), F.max(h).alias("hi")).filter("lo <> hi").select("key"))
     cand = stable(member.join(shared, "key").select("key", "cls"))
-    sketches = stable(reps.join(cand.select("cls").distinct(), "cls").select("cls", "sketch"))
+    chosen = stable(reps.join(cand.select("cls").distinct(), "cls").select("cls", ROW, "sketch"))
+    sketches = chosen.select("cls", "sketch")
+    sets = stable(full_sets(docs, chosen.select("cls", ROW), text_col))
 
     links, roots = None, None
     for turn in range(STAR_ROUNDS):
@@ -275,14 +269,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for i in range(LANES):
             far = far + F.bit_count(F.col("s")[i].bitwiseXOR(F.col("t")[i]))
         best = tests.groupBy("cls").agg(F.min_by("head", far).alias("head")).select(F.col("cls").alias("a"), F.col("head").alias("b"))
-        new = confirmed(stable(best), reps, docs, text_col)
+        new = confirmed(stable(best), sets)
         links = new if links is None else links.union(new)
         roots = components(links)
     left = open_bands(cand, roots)
     if not left.isEmpty():
         rest = stable(within_bands(left.join(sketches, "cls")))
         if not rest.isEmpty():
-            links = links.union(confirmed(rest, reps, docs, text_col))
+            links = links.union(confirmed(rest, sets))
             roots = components(links)
 
     order = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("id"), F.col(ROW).alias("row"))
