@@ -90,7 +90,13 @@ UNION ALL
 SELECT 'Peak ' || (c_custkey % 50), -150.0::DOUBLE + ((c_custkey * 7) % 40) * 0.002::DOUBLE,
        60.0::DOUBLE + ((c_custkey * 3) % 30) * 0.002::DOUBLE, 2, c_custkey FROM customer""",
 }
-NEEDS = {"dense": ("grids",), "dem": ("obs",)}
+# one layer per scene (l), per scene after the event (p) and per pair of scenes (g): event_id * 8 + its number
+VIEWS["obs_l"] = "SELECT * REPLACE (event_id * 8 + scene AS event_id) FROM obs"
+for _k, _lo, _hi in (("l", 1, 8), ("p", 4, 8), ("g", 0, 4)):
+    VIEWS[f"grids_{_k}"] = f"SELECT event_id * 8 + c AS event_id, n_rows, n_cols FROM grids, range({_lo}, {_hi}) t(c)"
+    VIEWS[f"dense_{_k}"] = VIEWS["dense"].replace("grids", f"grids_{_k}")
+NEEDS = {"dense": ("grids",), "dem": ("obs",), "obs_l": ("obs",)}
+NEEDS |= {f"grids_{k}": ("grids",) for k in "lpg"} | {f"dense_{k}": (f"grids_{k}",) for k in "lpg"}
 
 
 def with_views(names, body: str, extra: str = "") -> str:

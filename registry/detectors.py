@@ -11,10 +11,11 @@ from siltmark.sources import driver_tables as D
 TILE = 16      # small tiles so that the 32 x 32 grids cross tile borders
 KEYS = ["event_id"]
 
-# power of scenes 3, 2, 1 (before, nearest first: idx 0, 1, 2) and 4 (after: idx -1)
+# power of scenes 3, 2, 1 (before, nearest first: idx 0, 1, 2) and of each later scene in turn (after: idx -1)
+AFTER = range(4, 8)
 STACK = """stk AS (SELECT d.event_id, d."row", d.col, s.idx, CASE WHEN red > 0 THEN CAST(red AS DOUBLE) END AS v
-  FROM dense d CROSS JOIN (SELECT unnest([3, 2, 1, 4]) AS scene, unnest([0, 1, 2, -1]) AS idx) s
-  LEFT JOIN obs o ON o.event_id = d.event_id AND o."row" = d."row" AND o.col = d.col AND o.scene = s.scene),
+  FROM dense_p d CROSS JOIN (SELECT unnest([3, 2, 1, 0]) AS scene, unnest([0, 1, 2, -1]) AS idx) s
+  LEFT JOIN obs o ON o.event_id = d.event_id // 8 AND o."row" = d."row" AND o.col = d.col AND o.scene = CASE WHEN idx = -1 THEN d.event_id % 8 ELSE s.scene END),
 wide AS (SELECT event_id, "row", col, max(v) FILTER (idx = 0) AS p0, max(v) FILTER (idx = 1) AS p1,
    max(v) FILTER (idx = 2) AS p2, max(v) FILTER (idx = -1) AS q FROM stk GROUP BY ALL)"""
 
@@ -32,11 +33,12 @@ def box(name, src, parts, k, part="event_id", zero=True):
 
 def dense_power(spark, d):
     """event_id, idx, row, col, n_rows, n_cols, v (NULL where not measured)."""
-    li = D.observations(spark, d)
-    idx = F.when(F.col("scene") == 3, 0).when(F.col("scene") == 2, 1).when(F.col("scene") == 1, 2).when(F.col("scene") == 4, -1)
-    pw = li.withColumn("idx", idx).filter(F.col("idx").isNotNull()).select(
-        "event_id", "idx", "row", "col", F.when(F.col("red") > 0, F.col("red").cast("double")).alias("v"))
-    layers = D.grids(spark, d).withColumn("idx", F.explode(F.array(*[F.lit(i) for i in (0, 1, 2, -1)])))
+    o = D.observations(spark, d)
+    cell = ["row", "col", F.when(F.col("red") > 0, F.col("red").cast("double")).alias("v")]
+    before = o.filter(F.col("scene") < min(AFTER)).withColumn("after", F.explode(F.array(*[F.lit(p) for p in AFTER])))
+    pw = before.select((F.col("event_id") * 8 + F.col("after")).alias("event_id"), (3 - F.col("scene")).alias("idx"), *cell).unionByName(
+        D.layer_observations(spark, d).filter(F.col("scene") >= min(AFTER)).select("event_id", F.lit(-1).alias("idx"), *cell))
+    layers = D.layer_grids(spark, d, AFTER).withColumn("idx", F.explode(F.array(*[F.lit(i) for i in (0, 1, 2, -1)])))
     return focal.densify(pw, layers, ["event_id", "idx"])
 
 
@@ -57,7 +59,7 @@ def rounded(df, *cols, keep=("event_id", "row", "col")):
         *keep, *[F.round(c, 6).alias(c) for c in cols])
 
 
-@register("window_sum_and_mean", views=("dense", "obs"), extra=STACK + ",\n" + box(
+@register("window_sum_and_mean", views=("dense_p", "obs"), extra=STACK + ",\n" + box(
     "b", "wide", {"s": "q", "n": "CASE WHEN q IS NOT NULL THEN 1 ELSE 0 END"}, 5), sql="""
 SELECT event_id, "row", col, CAST(n AS BIGINT) AS n, round(s, 6) AS s, round(CASE WHEN n >= 12.5 THEN s / n END, 6) AS m FROM b""")
 def q_box(spark, d):
@@ -70,7 +72,7 @@ def q_box(spark, d):
                                 F.round("s", 6).alias("s"), F.round("m", 6).alias("m"))
 
 
-@register("window_mean_even_width", views=("dense", "obs"), extra=STACK + ",\n" + box(
+@register("window_mean_even_width", views=("dense_p", "obs"), extra=STACK + ",\n" + box(
     "b", "wide", {"s": "q", "n": "CASE WHEN q IS NOT NULL THEN 1 ELSE 0 END"}, 4), sql="""
 SELECT event_id, "row", col, round(CASE WHEN n >= 8 THEN s / n END, 6) AS m FROM b""")
 def q_box4(spark, d):
@@ -79,7 +81,7 @@ def q_box4(spark, d):
     return rounded(t, "m")
 
 
-@register("smooth_and_keep", views=("dense", "obs"), extra=STACK + ",\n" + box(
+@register("smooth_and_keep", views=("dense_p", "obs"), extra=STACK + ",\n" + box(
     "b", "wide", {"s": "q", "n": "CASE WHEN q IS NOT NULL THEN 1 ELSE 0 END"}, 3), sql="""
 SELECT event_id, "row", col, round(coalesce(s / nullif(n, 0), q), 6) AS sm FROM b""")
 def q_smooth(spark, d):
@@ -92,7 +94,7 @@ l AS (SELECT *, CASE WHEN n >= 12.5 THEN s / n END AS mu, CASE WHEN n >= 12.5 TH
 l2 AS (SELECT *, greatest(sq - mu * mu, 0) / nullif(mu * mu, 0) AS ci2 FROM l)"""
 
 
-@register("speckle_lee", views=("dense", "obs"), extra=LEE, sql="""
+@register("speckle_lee", views=("dense_p", "obs"), extra=LEE, sql="""
 SELECT event_id, "row", col, round(CASE WHEN q IS NOT NULL THEN coalesce(mu +
    CASE WHEN ci2 = 0 THEN 0 ELSE greatest(0, least(1, 1 - (1 / 4.4::DOUBLE) / ci2)) END * (q - mu), q) END, 6) AS lee FROM l2""")
 def q_lee(spark, d):
@@ -100,7 +102,7 @@ def q_lee(spark, d):
     return rounded(focal.lee_filter(frame(spark, d, 3), KEYS, "lee", F.col("q"), 5), "lee")
 
 
-@register("speckle_median", views=("dense", "obs"), extra=STACK + """,
+@register("speckle_median", views=("dense_p", "obs"), extra=STACK + """,
 off AS (SELECT a.x AS a, b.x AS b FROM range(-1, 2) a(x), range(-1, 2) b(x)),
 nb AS (SELECT t.event_id, t."row", t.col, s.q AS v FROM wide t CROSS JOIN off JOIN wide s ON s.event_id = t.event_id
    AND s."row" = greatest(0, least(31, t."row" + a)) AND s.col = greatest(0, least(31, t.col + b)))""", sql="""
@@ -111,7 +113,7 @@ def q_median(spark, d):
     return rounded(focal.median_filter(frame(spark, d, 2), KEYS, "med", F.col("q"), 3), "med")
 
 
-@register("focal_maximum", views=("dense", "obs"), extra=STACK + """,
+@register("focal_maximum", views=("dense_p", "obs"), extra=STACK + """,
 a AS (SELECT *, max(q) OVER (PARTITION BY event_id, col ORDER BY "row" RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS m1 FROM wide)""",
           sql="""SELECT event_id, "row", col, max(m1) OVER (PARTITION BY event_id, "row" ORDER BY col
    RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS mx FROM a""")
@@ -134,7 +136,7 @@ def q_edge(spark, d):
     return rounded(t, "m")
 
 
-@register("dilate_mask", views=("dense", "obs"), extra="""
+@register("dilate_mask", views=("dense_p", "obs"), extra="""
 m AS (SELECT DISTINCT event_id, "row", col FROM obs WHERE red > 2900),
 off AS (SELECT a.x AS a, b.x AS b FROM range(-3, 4) a(x), range(-3, 4) b(x) WHERE abs(a.x) + abs(b.x) <= 3)""", sql="""
 SELECT DISTINCT event_id, CAST("row" + a AS INTEGER) AS "row", CAST(col + b AS INTEGER) AS col FROM m, off
@@ -152,7 +154,7 @@ def logratio_sql(src="wide", k=5):
                            "n": "CASE WHEN p0 IS NOT NULL AND q IS NOT NULL THEN 1 ELSE 0 END"}, k)
 
 
-@register("detector_log_ratio", views=("dense", "obs"), extra=STACK + ",\n" + logratio_sql(), sql="""
+@register("detector_log_ratio", views=("dense_p", "obs"), extra=STACK + ",\n" + logratio_sql(), sql="""
 SELECT event_id, "row", col, round(CASE WHEN n >= 12.5 THEN 10 * log10((a / n) / (b / n)) END, 6) AS logratio FROM lr""")
 def q_lr(spark, d):
     """Log ratio of multilooked power."""
@@ -169,7 +171,7 @@ def rho_sql(name, src, x, y, k=5):
         FROM (SELECT * REPLACE (nullif(n, 0) AS n) FROM {name})))"""
 
 
-@register("detector_intensity_correlation", views=("dense", "obs"), extra=STACK + ",\n" + rho_sql("c", "wide", "p0", "q"), sql="""
+@register("detector_intensity_correlation", views=("dense_p", "obs"), extra=STACK + ",\n" + rho_sql("c", "wide", "p0", "q"), sql="""
 SELECT event_id, "row", col, round(rho, 6) AS rho FROM c_r""")
 def q_rho(spark, d):
     """Windowed Pearson correlation."""
@@ -187,7 +189,7 @@ PAIRS_SQL = STACK + ",\n" + ",\n".join(rho_sql(f"c{a}{b}", "wide", a, b) for a,
     ("p0", "p1"), ("p0", "p2"), ("p1", "p2"), ("p0", "q"), ("p1", "q"), ("p2", "q")))
 
 
-@register("detector_correlation_loss", views=("dense", "obs"), extra=PAIRS_SQL, sql="""
+@register("detector_correlation_loss", views=("dense_p", "obs"), extra=PAIRS_SQL, sql="""
 SELECT r.event_id, r."row", r.col, round(CASE WHEN r.rho IS NOT NULL AND c.rho IS NOT NULL THEN
   (greatest(0.001::DOUBLE, r.rho) - greatest(0.001::DOUBLE, c.rho)) / (greatest(0.001::DOUBLE, r.rho) + greatest(0.001::DOUBLE, c.rho)) END, 6) AS intcorr
 FROM cp0p1_r r JOIN cp0q_r c USING (event_id, "row", col)""")
@@ -199,7 +201,7 @@ def q_loss(spark, d):
     return rounded(t.withColumn("intcorr", sar.correlation_loss(F.col("ref"), F.col("co"))), "intcorr")
 
 
-@register("detector_multi_temporal", views=("dense", "obs"), extra=PAIRS_SQL + """,
+@register("detector_multi_temporal", views=("dense_p", "obs"), extra=PAIRS_SQL + """,
 rf AS (SELECT *, 0 AS g FROM cp0p1_r UNION ALL SELECT *, 1 FROM cp0p2_r UNION ALL SELECT *, 2 FROM cp1p2_r),
 cf AS (SELECT *, 0 AS g FROM cp0q_r UNION ALL SELECT *, 1 FROM cp1q_r UNION ALL SELECT *, 2 FROM cp2q_r),
 st AS (SELECT event_id, "row", col, count(rho) AS n, greatest(1.06 * stddev_pop(rho) * pow(count(rho), -0.2), 0.03) AS h FROM rf GROUP BY ALL),
@@ -214,7 +216,7 @@ def q_mt(spark, d):
     return rounded(sar.multi_temporal(pairs, KEYS), "mtcorr")
 
 
-@register("detector_intensity_z", views=("dense", "obs"), extra=STACK + ",\n" + box(
+@register("detector_intensity_z", views=("dense_p", "obs"), extra=STACK + ",\n" + box(
     "b", "stk", {"s": "v", "n": "CASE WHEN v IS NOT NULL THEN 1 ELSE 0 END"}, 5, "event_id, idx") + """,
 dd AS (SELECT event_id, "row", col, idx, CASE WHEN n >= 12.5 THEN 10 * log10(s / n) END AS d FROM b)""", sql="""
 SELECT event_id, "row", col, round(CASE WHEN count(d) FILTER (idx >= 0) >= 2 THEN (max(d) FILTER (idx = -1) - avg(d) FILTER (idx >= 0))
@@ -224,7 +226,7 @@ def q_z(spark, d):
     return rounded(sar.intensity_zscore(dense_power(spark, d), KEYS, 5, tile=TILE), "tsint")
 
 
-@register("tails_deposit_and_scar", views=("dense", "obs"), extra=STACK + ",\n" + logratio_sql() + """,
+@register("tails_deposit_and_scar", views=("dense_p", "obs"), extra=STACK + ",\n" + logratio_sql() + """,
 v AS (SELECT event_id, "row", col, -CASE WHEN n >= 12.5 THEN 10 * log10((a / n) / (b / n)) END AS o FROM lr)""", sql="""
 SELECT event_id, "row", col, round(CASE WHEN o >= 1 THEN o END, 6) AS deposit, round(CASE WHEN o <= -1 THEN -o END, 6) AS scar FROM v""")
 def q_tails(spark, d):
@@ -234,7 +236,7 @@ def q_tails(spark, d):
     return rounded(t.withColumn("deposit", s["deposit"]).withColumn("scar", s["scar"]), "deposit", "scar")
 
 
-@register("radiometric_normalise", views=("dense", "obs"), extra=STACK + ",\n" + logratio_sql() + """,
+@register("radiometric_normalise", views=("dense_p", "obs"), extra=STACK + ",\n" + logratio_sql() + """,
 v AS (SELECT event_id, "row", col, CASE WHEN n >= 12.5 THEN 10 * log10((a / n) / (b / n)) END AS x FROM lr)""", sql="""
 SELECT event_id, "row", col, round(x - median(x) OVER (PARTITION BY event_id), 6) AS logratio FROM v""")
 def q_norm(spark, d):

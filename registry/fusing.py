@@ -63,18 +63,18 @@ def q_ranksum(spark, d):
 RANKS = """rr AS (SELECT d.event_id, d."row", d.col,
   CASE WHEN (o.red + d.col) % 5 <> 0 THEN (o.red % 129) / 128.0::DOUBLE END AS orank,
   CASE WHEN (o.nir + d."row") % 6 <> 0 THEN (o.nir % 129) / 128.0::DOUBLE END AS srank
- FROM dense d LEFT JOIN (SELECT * FROM obs WHERE scene = 4) o USING (event_id, "row", col))"""
+ FROM dense_l d LEFT JOIN obs_l o USING (event_id, "row", col))"""
 
 
 def ranks(spark, d):
-    o = D.observations(spark, d).filter(F.col("scene") == 4).select(
+    o = D.layer_observations(spark, d).select(
         "event_id", "row", "col",
         F.when((F.col("red") + F.col("col")) % 5 != 0, (F.col("red") % 129) / 128.0).alias("optical_rank"),
         F.when((F.col("nir") + F.col("row")) % 6 != 0, (F.col("nir") % 129) / 128.0).alias("sar_rank"))
-    return focal.densify(o, D.grids(spark, d), KEYS)
+    return focal.densify(o, D.layer_grids(spark, d, range(1, 8)), KEYS)
 
 
-@register("combine_rank_pairs", views=("dense", "obs"), extra=RANKS, sql="""
+@register("combine_rank_pairs", views=("dense_l", "obs_l"), extra=RANKS, sql="""
 SELECT event_id, "row", col, round(CASE WHEN orank IS NOT NULL AND srank IS NOT NULL THEN (orank + srank) / 2 ELSE coalesce(orank, srank) END, 9) AS optical,
   greatest(orank, srank) AS sar FROM rr""")
 def q_combine(spark, d):
@@ -104,11 +104,11 @@ for _mode, _score in (("mean", "base"), ("geometric", "base"), ("product", "base
         """Fused score, confidence and optical-only score."""
         return _fused(spark, d, mode).select("event_id", "row", "col", "confidence", F.round("score", 12).alias("score"),
                                              F.round("optical_only", 12).alias("optical_only"))
-    register(f"fuse_{_mode}", views=("dense", "obs"), extra=fuse_sql(_mode), sql=f"""
+    register(f"fuse_{_mode}", views=("dense_l", "obs_l"), extra=fuse_sql(_mode), sql=f"""
 SELECT event_id, "row", col, confidence, round({_score}, 12) AS score, round(ob, 12) AS optical_only FROM f""")(_q)
 
 
-@register("fuse_summary", views=("dense", "obs"), extra=fuse_sql("mean"), sql="""
+@register("fuse_summary", views=("dense_l", "obs_l"), extra=fuse_sql("mean"), sql="""
 SELECT event_id, count(*) FILTER (confidence = 2) AS n_both, count(*) FILTER (confidence = 1) AS n_sar_only,
  count(*) FILTER (confidence = 3) AS n_optical_only, count(base) AS n_scored, round(max(base), 6) AS max_score FROM f GROUP BY 1""")
 def q_fsum(spark, d):
@@ -164,18 +164,19 @@ def q_slopew(spark, d):
     return rounded(out, "slope_max", "slope_w")
 
 
-# two viewing geometries: scene 4 (geom 0) and scene 5 (geom 1), in eighths of a dB
+# two viewing geometries: the even and the odd scene of each pair of scenes, in eighths of a dB
 MAPS = """mp AS (SELECT d.event_id, d."row", d.col, g.geom, (o.red % 97 - 48) / 8.0::DOUBLE AS v,
    (d."row" * 3 + d.col * 5 + g.geom * 7) % 11 = 0 AS masked
-  FROM dense d CROSS JOIN (SELECT unnest([0, 1]) AS geom) g
-  LEFT JOIN obs o ON o.event_id = d.event_id AND o."row" = d."row" AND o.col = d.col AND o.scene = 4 + g.geom),
+  FROM dense_g d CROSS JOIN (SELECT unnest([0, 1]) AS geom) g
+  LEFT JOIN obs o ON o.event_id * 8 + o.scene // 2 = d.event_id AND o."row" = d."row" AND o.col = d.col AND o.scene % 2 = g.geom),
 us AS (SELECT *, CASE WHEN NOT masked THEN v END AS u FROM mp)"""
 
 
 def maps(spark, d):
-    o = D.observations(spark, d).filter(F.col("scene").isin(4, 5)).select(
-        "event_id", (F.col("scene") - 4).alias("geom"), "row", "col", ((F.col("red") % 97 - 48) / 8.0).alias("v"))
-    lay = D.grids(spark, d).withColumn("geom", F.explode(F.array(F.lit(0), F.lit(1))))
+    n = F.col("scene")
+    o = D.observations(spark, d).select((F.col("event_id") * 8 + F.floor(n / 2)).alias("event_id"), (n % 2).cast("int").alias("geom"),
+                                        "row", "col", ((F.col("red") % 97 - 48) / 8.0).alias("v"))
+    lay = D.layer_grids(spark, d, range(4)).withColumn("geom", F.explode(F.array(F.lit(0), F.lit(1))))
     return focal.densify(o, lay, ["event_id", "geom"]).withColumn(
         "masked", (F.col("row") * 3 + F.col("col") * 5 + F.col("geom") * 7) % 11 == 0)
 
@@ -191,7 +192,7 @@ mc AS (SELECT event_id, "row", col, merged, CASE WHEN n_valid = 0 THEN NULL WHEN
    WHEN na = 1 THEN CASE WHEN n_valid > na THEN 3 ELSE 1 END ELSE 0 END AS confidence, n_valid, n_before FROM mg)"""
 
 
-@register("merge_strongest_signed", views=("dense", "obs"), extra=merge_sql(True), sql="""
+@register("merge_strongest_signed", views=("dense_g", "obs"), extra=merge_sql(True), sql="""
 SELECT event_id, "row", col, merged, confidence, CASE WHEN confidence IS NULL OR confidence <> 3 THEN merged END AS agreeing FROM mc""")
 def q_merge(spark, d):
     """Strongest anomaly wins, confidence classes, agreeing-only copy."""
@@ -200,14 +201,14 @@ def q_merge(spark, d):
                     M.agreeing_only(F.col("merged"), F.col("confidence")).alias("agreeing"))
 
 
-@register("merge_strongest_unsigned", views=("dense", "obs"), extra=merge_sql(False), sql="""
+@register("merge_strongest_unsigned", views=("dense_g", "obs"), extra=merge_sql(False), sql="""
 SELECT event_id, "row", col, merged, confidence FROM mc""")
 def q_merge_u(spark, d):
     """The correlation family has no polarity."""
     return M.strongest(maps(spark, d), "intcorr", 3.0).select("event_id", "row", "col", "merged", "confidence")
 
 
-@register("merge_summary", views=("dense", "obs"), extra=merge_sql(True), sql="""
+@register("merge_summary", views=("dense_g", "obs"), extra=merge_sql(True), sql="""
 SELECT event_id, count(*) FILTER (confidence = 1) AS n_single, count(*) FILTER (confidence = 2) AS n_agree,
  count(*) FILTER (confidence = 3) AS n_conflict, count(*) FILTER (n_valid = 1 AND n_before > 1) AS n_mask_recovered,
  count(*) FILTER (n_valid = 0 AND n_before > 0) AS n_mask_blind FROM mc GROUP BY 1""")
@@ -229,11 +230,11 @@ pr AS (SELECT event_id, arg_min(geom, o) AS primary_geom, arg_min(coverage, o) A
 
 
 def primary(spark, d):
-    n = D.grids(spark, d).select("event_id", (F.col("n_rows") * F.col("n_cols")).alias("n_cells"))
+    n = D.layer_grids(spark, d, range(4)).select("event_id", (F.col("n_rows") * F.col("n_cols")).alias("n_cells"))
     return M.choose_primary(maps(spark, d), "logratio", n, min_common=300)
 
 
-@register("fill_primary_choice", views=("dense", "obs"), extra=PRIMARY, sql="""
+@register("fill_primary_choice", views=("dense_g", "obs"), extra=PRIMARY, sql="""
 SELECT event_id, primary_geom, noise, round(coverage, 6) AS coverage FROM pr""")
 def q_primary(spark, d):
     """The quietest eligible pass leads."""
@@ -241,7 +242,7 @@ def q_primary(spark, d):
                                     F.round("coverage", 6).alias("coverage"))
 
 
-@register("fill_blind_spots", views=("dense", "obs"), extra=PRIMARY, sql="""
+@register("fill_blind_spots", views=("dense_g", "obs"), extra=PRIMARY, sql="""
 SELECT event_id, "row", col, arg_min(u, o) FILTER (u IS NOT NULL) AS filled,
   arg_min(CASE WHEN geom = primary_geom THEN 1 ELSE 2 END, o) FILTER (u IS NOT NULL) AS source, count(v) AS n_any
 FROM (SELECT us.*, primary_geom, (CASE WHEN geom = primary_geom THEN 0 ELSE 1 END, -n_seen, geom) AS o
@@ -252,7 +253,7 @@ def q_fill(spark, d):
 
 
 # blobs of a mask; SQL labels by repeated minimum over the 8-neighbourhood
-MASKED = """mk AS (SELECT event_id, "row", col, CAST(nir AS DOUBLE) AS score FROM obs WHERE scene = 6 AND nir >= 4500),
+MASKED = """mk AS (SELECT event_id, "row", col, CAST(nir AS DOUBLE) AS score FROM obs_l WHERE nir >= 4500),
 nb AS (SELECT a.event_id, a."row" * 32 + a.col AS a, b."row" * 32 + b.col AS b FROM mk a JOIN mk b ON a.event_id = b.event_id
    AND abs(a."row" - b."row") <= 1 AND abs(a.col - b.col) <= 1),
 reach AS (SELECT event_id, a, b FROM nb UNION SELECT r.event_id, r.a, n.b FROM reach r JOIN nb n ON r.event_id = n.event_id AND r.b = n.a),
@@ -260,7 +261,7 @@ lb AS (SELECT event_id, CAST(a // 32 AS INTEGER) AS "row", CAST(a % 32 AS INTEGE
 
 
 def scored(spark, d):
-    return D.observations(spark, d).filter(F.col("scene") == 6).select(
+    return D.layer_observations(spark, d).select(
         "event_id", "row", "col", F.col("nir").cast("double").alias("score"), F.lit(32).alias("n_cols"))
 
 
@@ -268,22 +269,22 @@ def _blobs(spark, d):
     return B.label_blobs(scored(spark, d).filter(F.col("score") >= 4500), KEYS, tile=TILE)
 
 
-@register("blob_labels", views=("obs",), extra="RECURSIVE " + MASKED, sql="SELECT * FROM lb")
+@register("blob_labels", views=("obs_l",), extra="RECURSIVE " + MASKED, sql="SELECT * FROM lb")
 def q_blobs(spark, d):
     """8-neighbour components, labelled by their first cell."""
     return _blobs(spark, d)
 
 
-@register("blob_sieve", views=("obs",), extra="RECURSIVE " + MASKED, sql="""
+@register("blob_sieve", views=("obs_l",), extra="RECURSIVE " + MASKED, sql="""
 SELECT o.event_id, o."row", o.col, CASE WHEN c.n < 4 THEN 0 ELSE CAST(o.nir AS DOUBLE) END AS score
-FROM (SELECT * FROM obs WHERE scene = 6) o LEFT JOIN lb USING (event_id, "row", col)
+FROM obs_l o LEFT JOIN lb USING (event_id, "row", col)
 LEFT JOIN (SELECT event_id, blob, count(*) AS n FROM lb GROUP BY ALL) c USING (event_id, blob)""")
 def q_sieve(spark, d):
     """Blobs under four cells are cleared."""
     return B.sieve(scored(spark, d), KEYS, "score", F.col("score") >= 4500, 4, tile=TILE).select("event_id", "row", "col", "score")
 
 
-@register("ranked_candidates", views=("obs",), extra="RECURSIVE " + MASKED + """,
+@register("ranked_candidates", views=("obs_l",), extra="RECURSIVE " + MASKED + """,
 bs AS (SELECT event_id, blob, count(*) AS n_px, max(score) AS peak, round(avg(score), 6) AS mean,
    arg_max(mk."row", (score, -mk."row", -mk.col)) AS peak_row, arg_max(mk.col, (score, -mk."row", -mk.col)) AS peak_col,
    min(mk."row") AS row0, max(mk."row") AS row1, min(mk.col) AS col0, max(mk.col) AS col1
@@ -299,18 +300,20 @@ def q_cand(spark, d):
 LOOK = 79.0
 
 
-def dem_with_look(spark, d):
-    g = D.grids(spark, d)
+def dem_with_look(spark, d, rough_layers=None):
+    """Three times the measured heights with their voids, or a rough made-up surface for given grids."""
     rough = (F.col("row") * 37 + F.col("col") * 61 + F.col("event_id") * 13) % 83
+    h = F.col("h") * 3 if rough_layers is None else F.lit(300.0) + rough * 2
+    g = D.grids(spark, d) if rough_layers is None else rough_layers
     return focal.densify(D.elevation(spark, d), g, KEYS).select(
-        "event_id", "row", "col", "n_rows", "n_cols", (F.lit(300.0) + rough * 2).alias("h"),
+        "event_id", "row", "col", "n_rows", "n_cols", h.alias("h"),
         F.lit(28.0).alias("dx_m"), F.lit(27.5).alias("dy_m"), F.lit(LOOK).alias("look_az"), F.lit(39.0).alias("incidence"))
 
 
 def march_sql(rate, cond):
     """Every step offset of a march joined to every cell."""
     return f"""
-z AS (SELECT *, 300.0::DOUBLE + ("row" * 37 + col * 61 + event_id * 13) % 83 * 2 AS z FROM dense),
+z AS (SELECT d.*, coalesce(3 * h, min(3 * h) OVER (PARTITION BY event_id)) AS z FROM dense d LEFT JOIN dem USING (event_id, "row", col)),
 rel AS (SELECT event_id, CAST(greatest(1, ceil((max(z) - min(z)) / ({rate} * 27.5::DOUBLE))) AS BIGINT) AS n FROM z GROUP BY 1),
 st AS (SELECT k, k * 27.5::DOUBLE AS d, CAST(round_even(-cos(radians({LOOK}::DOUBLE)) * k * 27.5::DOUBLE / 27.5::DOUBLE, 0) AS INTEGER) AS dr,
    CAST(round_even(sin(radians({LOOK}::DOUBLE)) * k * 27.5::DOUBLE / 28.0::DOUBLE, 0) AS INTEGER) AS dc FROM range(1, 400) t(k)),
@@ -318,7 +321,7 @@ hit AS (SELECT DISTINCT a.event_id, a."row", a.col FROM z a JOIN rel USING (even
    JOIN z b ON b.event_id = a.event_id AND {cond})"""
 
 
-@register("radar_shadow_mask", views=("dense",), extra=march_sql("(1 / tan(radians(39.0::DOUBLE)))", """
+@register("radar_shadow_mask", views=("dense", "dem"), extra=march_sql("(1 / tan(radians(39.0::DOUBLE)))", """
    b."row" = a."row" - dr AND b.col = a.col - dc AND b.z > a.z + d * (1 / tan(radians(39.0::DOUBLE)))"""), sql="""
 SELECT d.event_id, d."row", d.col, h.event_id IS NOT NULL AS shadow FROM dense d LEFT JOIN hit h USING (event_id, "row", col)""")
 def q_shadow(spark, d):
@@ -326,7 +329,7 @@ def q_shadow(spark, d):
     return terrain.shadow(dem_with_look(spark, d), KEYS, smooth_k=1, tile=TILE)
 
 
-@register("radar_layover_mask", views=("dense",), extra=march_sql("tan(radians(39.0::DOUBLE))", """(
+@register("radar_layover_mask", views=("dense", "dem"), extra=march_sql("tan(radians(39.0::DOUBLE))", """(
    (b."row" = a."row" - dr AND b.col = a.col - dc AND a.z - b.z > d * tan(radians(39.0::DOUBLE)))
    OR (b."row" = a."row" + dr AND b.col = a.col + dc AND b.z - a.z > d * tan(radians(39.0::DOUBLE))))"""), sql="""
 SELECT d.event_id, d."row", d.col, h.event_id IS NOT NULL AS layover FROM dense d LEFT JOIN hit h USING (event_id, "row", col)""")
@@ -335,9 +338,9 @@ def q_layover(spark, d):
     return terrain.layover(dem_with_look(spark, d), KEYS, smooth_k=1, tile=TILE)
 
 
-@register("layover_fade", views=("dense", "obs"), extra="""
-z AS (SELECT d.*, 300.0::DOUBLE + ("row" * 37 + col * 61 + event_id * 13) % 83 * 2 AS z, CAST(nir AS DOUBLE) AS v FROM dense d
-   LEFT JOIN (SELECT * FROM obs WHERE scene = 5) USING (event_id, "row", col)),
+@register("layover_fade", views=("dense_l", "obs_l"), extra="""
+z AS (SELECT d.*, 300.0::DOUBLE + ("row" * 37 + col * 61 + event_id * 13) % 83 * 2 AS z, CAST(nir AS DOUBLE) AS v FROM dense_l d
+   LEFT JOIN obs_l USING (event_id, "row", col)),
 g AS (SELECT event_id, "row", col, v,
   CASE "row" WHEN 0 THEN lead(z) OVER wc - z WHEN 31 THEN z - lag(z) OVER wc ELSE (lead(z) OVER wc - lag(z) OVER wc) / 2 END / 27.5 AS gy,
   CASE col WHEN 0 THEN lead(z) OVER wr - z WHEN 31 THEN z - lag(z) OVER wr ELSE (lead(z) OVER wr - lag(z) OVER wr) / 2 END / 28.0 AS gx
@@ -351,7 +354,7 @@ nb AS (SELECT t.event_id, t."row", t.col, s.m FROM m t CROSS JOIN (SELECT a.x AS
           sql="""SELECT event_id, "row", col, round(1 - avg(m) * 0.75, 6) AS alpha FROM nb GROUP BY ALL""")
 def q_alpha(spark, d):
     """Fade where a cell faces the radar, is steep and reads high."""
-    v = D.observations(spark, d).filter(F.col("scene") == 5).select("event_id", "row", "col", F.col("nir").cast("double").alias("v"))
-    cells = dem_with_look(spark, d).join(v, ["event_id", "row", "col"], "left").withColumn(
+    v = D.layer_observations(spark, d).select("event_id", "row", "col", F.col("nir").cast("double").alias("v"))
+    cells = dem_with_look(spark, d, D.layer_grids(spark, d, range(1, 8))).join(v, ["event_id", "row", "col"], "left").withColumn(
         "lay_aspect", F.pmod(F.col("look_az") + 180.0, F.lit(360.0)))
     return rounded(terrain.layover_alpha(cells, KEYS, dem_smooth=1, tile=TILE), "alpha")

@@ -18,7 +18,7 @@ from siltmark.sources import driver_tables as D
 
 # ------------------------------------------------------------------ elevation change
 DH = """raw AS (SELECT event_id, "row", col, 2.0::DOUBLE + (red % 33 - 16) / 8.0::DOUBLE
-    - CASE WHEN ("row" - 16) * ("row" - 16) + (col - 16) * (col - 16) <= 36 THEN 40.0::DOUBLE ELSE 0 END AS v FROM obs WHERE scene = 2)"""
+    - CASE WHEN ("row" - 16) * ("row" - 16) + (col - 16) * (col - 16) <= 36 THEN 40.0::DOUBLE ELSE 0 END AS v FROM obs_l)"""
 
 
 def clip_sql(src, n=5, p=""):
@@ -34,14 +34,14 @@ def clip_sql(src, n=5, p=""):
 
 
 def dem_pair(spark, d):
-    o = D.observations(spark, d).filter(F.col("scene") == 2)
+    o = D.layer_observations(spark, d)
     scar = F.when(D.truth_expr(), 40.0).otherwise(0.0)
     pre = o.select("event_id", "row", "col", (100.0 + 20 * F.col("row")).alias("h"))
     post = o.select("event_id", "row", "col", (100.0 + 20 * F.col("row") + 2.0 + (F.col("red") % 33 - 16) / 8.0 - scar).alias("h"))
     return pre, post
 
 
-@register("dem_vertical_offset", views=("obs",), extra=DH + ",\n" + clip_sql("raw"), sql="""
+@register("dem_vertical_offset", views=("obs_l",), extra=DH + ",\n" + clip_sql("raw"), sql="""
 SELECT event_id, off AS "offset", stable_n, round(sigma, 6) AS sigma, n AS n_values FROM fin JOIN mad USING (event_id)
 JOIN (SELECT event_id, count(*) AS n FROM raw GROUP BY 1) USING (event_id)""")
 def q_offset(spark, d):
@@ -49,16 +49,16 @@ def q_offset(spark, d):
     return DEM.difference(*dem_pair(spark, d), KEYS)[1].withColumn("sigma", F.round("sigma", 6))
 
 
-@register("dem_difference", views=("obs",), extra=DH + ",\n" + clip_sql("raw"), sql="""
+@register("dem_difference", views=("obs_l",), extra=DH + ",\n" + clip_sql("raw"), sql="""
 SELECT event_id, "row", col, v - off AS dh FROM raw JOIN fin USING (event_id)""")
 def q_dh(spark, d):
     """Elevation change with the offset removed."""
     return DEM.difference(*dem_pair(spark, d), KEYS)[0]
 
 
-@register("dem_stable_ground", views=("obs",), extra=DH + """,
+@register("dem_stable_ground", views=("obs_l",), extra=DH + """,
 outside AS (SELECT r.* FROM raw r ANTI JOIN (SELECT DISTINCT t.event_id, t."row" + a AS "row", t.col + b AS col
-   FROM (SELECT DISTINCT event_id, "row", col FROM obs WHERE ("row" - 16) * ("row" - 16) + (col - 16) * (col - 16) <= 36) t,
+   FROM (SELECT DISTINCT event_id, "row", col FROM obs_l WHERE ("row" - 16) * ("row" - 16) + (col - 16) * (col - 16) <= 36) t,
    (SELECT a.x AS a, b.x AS b FROM range(-3, 4) a(x), range(-3, 4) b(x) WHERE abs(a.x) + abs(b.x) <= 3)) g USING (event_id, "row", col)),
 """ + clip_sql("outside"), sql="""
 SELECT event_id, off AS offset_m, round(sigma, 6) AS sigma_m, stable_n AS stable_px, true AS ok FROM fin JOIN mad USING (event_id)""")
@@ -66,12 +66,12 @@ def q_stable(spark, d):
     """Residual bias and noise outside the dilated outline."""
     pre, post = dem_pair(spark, d)
     dh = DEM.difference(pre, post, KEYS, coregister=False)[0]
-    mask = D.observations(spark, d).filter(D.truth_expr()).select(
+    mask = D.layer_observations(spark, d).filter(D.truth_expr()).select(
         "event_id", "row", "col", F.lit(32).alias("n_rows"), F.lit(32).alias("n_cols")).distinct()
     return DEM.stable_ground(dh, mask, KEYS).withColumn("sigma_m", F.round("sigma_m", 6))
 
 
-@register("dem_zonal_volume", views=("obs",), extra=DH + """,
+@register("dem_zonal_volume", views=("obs_l",), extra=DH + """,
 z AS (SELECT event_id, v FROM raw WHERE ("row" - 16) * ("row" - 16) + (col - 16) * (col - 16) <= 36)""", sql="""
 SELECT event_id, count(*) AS pixel_count, avg(v) AS mean_dh_m, max(v) AS max_rise_m, min(v) AS max_drop_m, sum(v) * 100 AS v_net,
   sum(greatest(v, 0)) * 100 AS v_deposit, sum(least(v, 0)) * 100 AS v_erosion, count(*) * 100.0::DOUBLE AS covered_area_m2,
@@ -81,7 +81,7 @@ def q_zonal(spark, d):
     """Net, deposit and erosion volume with both error bounds."""
     pre, post = dem_pair(spark, d)
     dh = DEM.difference(pre, post, KEYS, coregister=False)[0]
-    mask = D.observations(spark, d).filter(D.truth_expr()).select("event_id", "row", "col").distinct()
+    mask = D.layer_observations(spark, d).filter(D.truth_expr()).select("event_id", "row", "col").distinct()
     area = mask.select("event_id").distinct().withColumn("outline_area_m2", F.lit(11300.0))
     out = DEM.zonal_volume(dh, mask, KEYS, F.lit(100.0), sigma=F.lit(0.5), outline_area=area)
     return out.drop("outline_area_m2").withColumns({c: F.round(c, 6) for c in ("v_sigma_random_m3", "coverage_frac")})
@@ -373,7 +373,7 @@ def q_ext(spark, d):
 
 # ------------------------------------------------------------------ scoring against truth
 SCORED = """cl AS (SELECT event_id, "row", col, CASE WHEN nir % 7 <> 0 THEN nir / 7000.0::DOUBLE END AS score,
-   ("row" - 16) * ("row" - 16) + (col - 16) * (col - 16) <= 36 AS is_scar FROM obs WHERE scene = 6)"""
+   ("row" - 16) * ("row" - 16) + (col - 16) * (col - 16) <= 36 AS is_scar FROM obs_l)"""
 
 
 def truth_cells(spark, d):
@@ -381,7 +381,7 @@ def truth_cells(spark, d):
                                    D.truth_expr().alias("is_scar"), F.lit(True).alias("in_domain"))
 
 
-@register("score_map_against_truth", views=("obs",), extra=SCORED + """,
+@register("score_map_against_truth", views=("obs_l",), extra=SCORED + """,
 t AS (SELECT event_id, median(coalesce(score, 0)) FILTER (is_scar) AS t50 FROM cl GROUP BY 1)""", sql="""
 SELECT event_id, round(any_value(t50), 6) AS t50, round(count(*) FILTER (NOT is_scar AND coalesce(score, 0) >= t50) / (count(*) FILTER (NOT is_scar))::DOUBLE, 6) AS bg50,
   round(count(*) FILTER (is_scar AND score >= 0.6) / (count(*) FILTER (is_scar))::DOUBLE, 6) AS area,
@@ -393,7 +393,7 @@ def q_score(spark, d):
     return out.select("event_id", *[F.round(c, 6).alias(c) for c in ("t50", "bg50", "area", "bg_flag", "scar_unscored")])
 
 
-@register("first_blob_on_truth", views=("obs",), extra="RECURSIVE " + MASKED + """,
+@register("first_blob_on_truth", views=("obs_l",), extra="RECURSIVE " + MASKED + """,
 bs AS (SELECT lb.event_id, blob, count(*) AS n_px, max(score) AS peak, bool_or((lb."row" - 16) * (lb."row" - 16) + (lb.col - 16) * (lb.col - 16) <= 36) AS touch
   FROM lb JOIN mk USING (event_id, "row", col) GROUP BY ALL HAVING count(*) >= 2),
 rk AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY peak DESC, n_px DESC, blob) AS rn FROM bs)""", sql="""

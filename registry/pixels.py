@@ -165,17 +165,17 @@ def q_area(spark, d):
     return out.withColumn("dbright", F.round("dbright", 12))
 
 
-@register("regrid_nearest_classes", views=("grids", "obs"), extra="""
+@register("regrid_nearest_classes", views=("grids_l", "obs_l"), extra="""
 want AS (SELECT event_id, r, c, CAST(floor((r + 0.5) * 1.5::DOUBLE) AS INTEGER) AS sr, CAST(floor((c + 0.5) * 1.5::DOUBLE) AS INTEGER) AS sc
-  FROM grids, range(21) a(r), range(21) b(c)), one AS (SELECT * FROM obs WHERE scene = 1)""", sql="""
+  FROM grids_l, range(21) a(r), range(21) b(c)), one AS (SELECT * FROM obs_l)""", sql="""
 SELECT want.event_id, CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS col, scl
 FROM want LEFT JOIN one ON one.event_id = want.event_id AND one."row" = sr AND one.col = sc""")
 def q_near(spark, d):
     """Nearest class code under each target centre."""
-    g = D.grids(spark, d)
+    g = D.layer_grids(spark, d, range(1, 8))
     dst = g.select("event_id", "x0", (F.col("dx") * 1.5).alias("dx"), "y0", (F.col("dy") * 1.5).alias("dy"),
                    F.lit(21).alias("n_rows"), F.lit(21).alias("n_cols"))
-    return C.regrid_nearest(D.observations(spark, d).filter(F.col("scene") == 1), g, dst, "scl")
+    return C.regrid_nearest(D.layer_observations(spark, d), g, dst, "scl")
 
 
 @register("common_extent", views=("det", "scenes"), sql="""

@@ -79,6 +79,16 @@ def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.lit(60.0).alias("y0"), F.lit(-1 / 4096).alias("dy")))
 
 
+def layer_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells with every scene as a layer of its own: ``event_id`` is event * 8 + scene."""
+    return observations(spark, sf_dir).withColumn("event_id", F.col("event_id") * 8 + F.col("scene"))
+
+
+def layer_grids(spark: SparkSession, sf_dir: str, numbers) -> DataFrame:
+    """Grids of the layers event * 8 + number."""
+    return grids(spark, sf_dir).withColumn("event_id", F.explode(F.array(*[F.col("event_id") * 8 + n for n in numbers])))
+
+
 def elevation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Height of every cell some scene measured; other cells are voids."""
     h = 100 + 20 * F.col("row") + (F.col("col") * F.col("col")) % 50 + F.col("event_id") % 7
