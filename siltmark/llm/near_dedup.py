@@ -4,11 +4,11 @@ Each document's set of five-word shingles (64-bit hashes) gives 120 MinHash valu
 candidates, and are folded into a 1,024-bit odd sketch: every value flips one bit, so the population count of
 the XOR of two sketches counts the values that differ, precisely at high similarity.
 
-Equal sets are one class.  Classes that share a band are candidates, but pairs are not written out: for a few
-rounds every class is tested only against one head per band, then components are formed.  What remains are
-bands that hold more than one component; there blocks of bounded size are compared sketch against sketch, and
-only pairs of different components whose sketches are near go on.  Every link that counts is confirmed on
-the full sets.  A pair at similarity 0.75 shares no band with probability (1 - 0.75^4)^30 = 1e-5; its sketch is
+Equal sets are one class.  Classes that share a band are candidates, but pairs are not written out: every class
+is tested only against the nearest of its bands' heads, for a few draws of heads, then components are formed.
+What remains are bands that hold more than one component; there blocks of bounded size are compared sketch
+against sketch, and only pairs of different components whose sketches are near go on.  Every link that counts is
+confirmed on the full sets.  A pair at similarity 0.75 shares no band with probability (1 - 0.75^4)^30 = 1e-5; its sketch is
 rejected about as rarely, four and a half standard deviations below.
 """
 
@@ -31,7 +31,7 @@ SKETCH_BITS = 1024
 LANES = SKETCH_BITS // 64
 NUMERATOR, DENOMINATOR = 75, 100
 DEVIATIONS = 4.5
-STAR_ROUNDS = 2
+HEADS = 3
 BLOCK = 2048
 
 _FACTORS = np.random.default_rng(750).integers(0, 2 ** 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -122,12 +122,16 @@ def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return d.mapInArrow(run, f"doc_id {kind}, {ROW} long, n_shingles long, cls binary, bands array<long>, sketch array<long>")
 
 
-def near(a: str, b: str) -> Column:
-    """Sketches whose XOR has few bits set."""
+def differing(a: str, b: str) -> Column:
+    """Bits in which two sketches differ."""
     total = F.lit(0)
     for i in range(LANES):
         total = total + F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i]))
-    return total <= sketch_limit()
+    return total
+
+
+def near(a: str, b: str) -> Column:
+    return differing(a, b) <= sketch_limit()
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
@@ -164,12 +168,11 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def within_bands(members: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` of ``key, cls, root, sketch`` that share a key, differ in root and have near sketches.
+    """Pairs ``a, b`` of ``key, n, cls, root, sketch`` (n rows have the key) that share a key, differ in root and have near sketches.
 
     A key's rows are dealt to blocks; two blocks meet in one task, which holds no more than two blocks.
     """
-    sizes = stable(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
-    m = members.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    m = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     m = m.withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     m = m.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "cls", "root", "sketch")
@@ -220,19 +223,29 @@ def within_bands(members: DataFrame) -> DataFrame:
     return m.mapInArrow(run, "a binary, b binary").distinct()
 
 
-def with_roots(cand: DataFrame, roots: DataFrame | None) -> DataFrame:
-    if roots is None:
-        return cand.withColumn("root", F.col("cls"))
+def with_roots(cand: DataFrame, roots: DataFrame) -> DataFrame:
     r = roots.select(F.col("node").alias("cls"), "root")
     return cand.join(r, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
 
 
-def open_bands(cand: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Rows ``key, cls, root`` of bands that hold more than one component."""
-    c = stable(with_roots(cand, roots).select("key", "cls", "root"))
+def open_bands(cand: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows ``key, n, cls, root`` of bands that hold more than one component; n rows have the key."""
+    c = with_roots(cand, roots).select("key", "cls", "root")
     h = F.xxhash64("root")
-    mixed = stable(c.groupBy("key").agg(F.min(h).alias("lo"), F.max(h).alias("hi")).filter("lo <> hi").select("key"))
-    return stable(c.join(mixed, "key"))
+    mixed = c.groupBy("key").agg(F.min(h).alias("lo"), F.max(h).alias("hi"), F.count(F.lit(1)).alias("n"))
+    return c.join(stable(mixed.filter("lo <> hi").select("key", "n")), "key")
+
+
+def head_tests(cand: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs ``a, b``: for each of a few draws, every class and the nearest by sketch of the heads of its bands."""
+    draws = [F.min_by("cls", F.xxhash64("cls", F.lit(i))).alias(f"h{i}") for i in range(HEADS)]
+    head = stable(cand.groupBy("key").agg(*draws))
+    pairs = cand.join(head, "key").select("cls", F.posexplode(F.array(*[f"h{i}" for i in range(HEADS)])).alias("draw", "head"))
+    pairs = pairs.filter("cls <> head").distinct()
+    pairs = (pairs.join(sketches.select("cls", F.col("sketch").alias("s")), "cls")
+             .join(sketches.select(F.col("cls").alias("head"), F.col("sketch").alias("t")), "head").filter(near("s", "t")))
+    best = pairs.groupBy("cls", "draw").agg(F.min_by("head", differing("s", "t")).alias("head"))
+    return best.select(F.least("cls", "head").alias("a"), F.greatest("cls", "head").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -254,30 +267,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketches = chosen.select("cls", "sketch")
     sets = stable(full_sets(docs, chosen.select("cls", ROW), text_col))
 
-    links, roots = None, None
-    for turn in range(STAR_ROUNDS):
-        open_ = open_bands(cand, roots)
-        if open_.isEmpty():
-            break
-        order = F.xxhash64("cls", F.lit(turn))
-        head = stable(open_.groupBy("key").agg(F.min_by(F.struct("cls", "root"), order).alias("head")))
-        tests = (open_.join(head, "key").filter(F.col("root") != F.col("head.root"))
-                 .select("cls", F.col("head.cls").alias("head")).distinct())
-        tests = (tests.join(sketches.select("cls", F.col("sketch").alias("s")), "cls")
-                 .join(sketches.select(F.col("cls").alias("head"), F.col("sketch").alias("t")), "head").filter(near("s", "t")))
-        far = F.lit(0)
-        for i in range(LANES):
-            far = far + F.bit_count(F.col("s")[i].bitwiseXOR(F.col("t")[i]))
-        best = tests.groupBy("cls").agg(F.min_by("head", far).alias("head")).select(F.col("cls").alias("a"), F.col("head").alias("b"))
-        new = confirmed(stable(best), sets)
-        links = new if links is None else links.union(new)
-        roots = components(links)
+    links = confirmed(stable(head_tests(cand, sketches)), sets)
+    roots = components(links)
     left = open_bands(cand, roots)
-    if not left.isEmpty():
-        rest = stable(within_bands(left.join(sketches, "cls")))
-        if not rest.isEmpty():
-            links = links.union(confirmed(rest, sets))
-            roots = components(links)
+    rest = stable(within_bands(left.join(sketches, "cls")))
+    if not rest.isEmpty():
+        links = links.union(confirmed(rest, sets))
+        roots = components(links)
 
     order = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("id"), F.col(ROW).alias("row"))
     first = some.groupBy("cls").agg(F.min(order).alias("first"))

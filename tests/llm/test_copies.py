@@ -105,8 +105,8 @@ def test_near_group_without_common_head(spark, tmp_path_factory):
 
 def test_blocks_within_bands(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
-    rows = [(1, bytes([k]), bytes([k % 3]), [0] * near_dedup.LANES) for k in range(20)] + [(2, b"x", b"y", [0] * near_dedup.LANES)]
-    df = spark.createDataFrame(rows, "key long, cls binary, root binary, sketch array<long>")
+    rows = [(1, 20, bytes([k]), bytes([k % 3]), [0] * near_dedup.LANES) for k in range(20)] + [(2, 1, b"x", b"y", [0] * near_dedup.LANES)]
+    df = spark.createDataFrame(rows, "key long, n long, cls binary, root binary, sketch array<long>")
     got = {(bytes(r.a), bytes(r.b)) for r in near_dedup.within_bands(df).collect()}
     assert got == {(bytes([a]), bytes([b])) for a in range(20) for b in range(a + 1, 20) if a % 3 != b % 3}
 
