@@ -25,7 +25,7 @@ from siltmark.llm.sharing import id_bucket, read, shared_folder, text_or_empty
 from siltmark.llm.textarrays import LOWER, WHITE, flat, hash_words, mix, slices, words
 
 FOLDS, HELD_OUT = 7, 2
-ORDER = 5
+ORDER = 5                    # an event takes 48 bits, which leaves 16 for a text number
 LOW = 2                      # orders up to this are kept in every task
 SLICE_ROWS = 4096
 SPACE, END = 0x20, 0x0A
@@ -76,20 +76,48 @@ def unpacked(data, kind) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and their counts; a plain sort is much faster here than a hash table."""
+    v = np.sort(values)
+    first = np.flatnonzero(np.r_[True, v[1:] != v[:-1]]) if len(v) else np.empty(0, np.int64)
+    return v[first], np.diff(np.r_[first, len(v)])
+
+
 def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    u, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    return u, np.bincount(inverse, weights=np.concatenate(counts), minlength=len(u)).astype(np.int64)
+    k, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(k)
+    k, n = k[order], n[order]
+    first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.empty(0, np.int64)
+    return k[first], np.add.reduceat(n, first).astype(np.int64) if len(k) else n.astype(np.int64)
 
 
 def count_slice(data: np.ndarray, offsets: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys of some texts and how often the training texts among them have each."""
-    keys, counts = [], []
+    every, learnt, counts = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
     for i, j in slices(offsets):
         e, de, w, dw = symbols(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
-        u, inverse = np.unique(np.concatenate([e, w]), return_inverse=True)
-        keys.append(u)
-        counts.append(np.bincount(inverse, weights=train[i:j][np.concatenate([de, dw])], minlength=len(u)))
-    return merged(keys, counts) if keys else (np.empty(0, np.uint64), np.empty(0, np.int64))
+        for keys, docs in ((e, de), (w, dw)):
+            every.append(distinct(keys)[0])
+            u, n = distinct(keys[train[i:j][docs]])
+            learnt.append(u)
+            counts.append(n)
+    keys = distinct(np.concatenate(every))[0]
+    u, n = merged(learnt, counts)
+    out = np.zeros(len(keys), np.int64)
+    out[np.searchsorted(keys, u)] = n
+    return keys, out
+
+
+def sums_by_text(events: np.ndarray, owner: np.ndarray, n: int, values_of) -> np.ndarray:
+    """Sum of the values of each text's events; ``values_of`` sees every distinct event once, in order.
+
+    Event and text number share one integer, so one plain sort brings equal events together.
+    """
+    both = np.sort(events << np.uint64(16) | owner.astype(np.uint64))
+    event = both >> np.uint64(16)
+    first = np.flatnonzero(np.r_[True, event[1:] != event[:-1]]) if len(event) else np.empty(0, np.int64)
+    value = np.repeat(values_of(event[first]), np.diff(np.r_[first, len(event)]))
+    return np.bincount((both & np.uint64(0xFFFF)).astype(np.int64), weights=value.astype(float), minlength=n)
 
 
 def by_bucket(keys: np.ndarray, buckets: int):
@@ -195,8 +223,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A null text counts as empty and has the end token alone; a null id belongs to the training fold.  Without
     training text every byte costs log10(256).  Repeated rows count as often as they occur.  ``docs`` is read twice
-    and must give the same rows in the same partitions, as a table scan does; a slice whose keys differ
-    between the readings fails the job instead of giving wrong scores.
+    and must give the same rows in the same partitions, as a table scan does; a slice with events it did not
+    have before fails the job instead of giving wrong scores.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
@@ -213,8 +241,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             # training words for the vocabulary, and counts of the lowest levels
             v, m = u[word & (n > 0)], int(n[word].sum())
             rows += [(name, b, True, packed(v[p]), None, None, None) for b, p in by_bucket(v, buckets)]
-            code, at_ = np.unique(u[~word] & np.uint64(0xFFFFFF), return_inverse=True)
-            sums = np.bincount(at_, weights=n[~word], minlength=len(code)).astype(np.int64)
+            code, sums = merged([u[~word] & np.uint64(0xFFFFFF)], [n[~word]])
             live = sums > 0
             rows.append((name, -1, False, None, None, [*code[live].astype(np.int64).tolist(), -1], [*sums[live].tolist(), m]))
             c = list(zip(*rows, strict=True))
@@ -251,10 +278,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tokens = int(n[codes == -1].sum())
     shared = spark.sparkContext.broadcast((codes[codes >= 0], n[codes >= 0]))
 
-    def distinct(table):
-        return pa.table({"n": pa.array([len(np.unique(np.concatenate([unpacked(x.as_buffer(), np.uint64) for x in table.column("keys")])))], pa.int64())})
+    def words_of(table):
+        return pa.table({"n": pa.array([len(distinct(np.concatenate([unpacked(x.as_buffer(), np.uint64) for x in table.column("keys")]))[0])], pa.int64())})
 
-    kinds = counted.filter("vocabulary").select("bucket", "keys").groupBy("bucket").applyInArrow(distinct, "n long").agg(F.sum("n")).first()[0] or 0
+    kinds = counted.filter("vocabulary").select("bucket", "keys").groupBy("bucket").applyInArrow(words_of, "n long").agg(F.sum("n")).first()[0] or 0
     unknown = -np.log10(tokens + kinds + 1)
 
     def answer(table):
@@ -265,33 +292,34 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         value[~word] = code_lengths(u[~word], n_[~word], LowLevels(*shared.value))
         ends = np.cumsum([len(k) for k in keys])
         out = [packed(value[inverse[e - len(k):e]]) for k, e in zip(keys, ends, strict=True)]
-        check = [int(np.bitwise_xor.reduce(k).astype(np.int64)) for k in keys]
-        return pa.table({"slice": table.column("slice"), "bucket": table.column("bucket"), "key_check": pa.array(check, pa.int64()), "answers": pa.array(out, pa.binary())})
+        return pa.table({"slice": table.column("slice"), "keys": table.column("keys"), "answers": pa.array(out, pa.binary())})
 
     asked = counted.filter("vocabulary IS NULL").select("slice", "bucket", "keys", "counts")
-    answers = asked.groupBy("bucket").applyInArrow(answer, "slice long, bucket int, key_check long, answers binary")
+    answers = asked.groupBy("bucket").applyInArrow(answer, "slice long, keys binary, answers binary")
 
     def add_up(texts, found):
         data, offsets = flat(texts.column("text").combine_chunks())
         n_docs = len(offsets) - 1
-        keys, _ = count_slice(data, offsets, np.zeros(n_docs, bool))
-        value = np.empty(len(keys), np.float32)
-        there = {b: (c, v) for b, c, v in zip(*(found.column(c).to_pylist() for c in ("bucket", "key_check", "answers")), strict=True)}
-        for b, part in by_bucket(keys, buckets):
-            c, v = there.get(b, (None, b""))
-            v = unpacked(v, np.float32) if v else np.empty(0, np.float32)
-            if c != int(np.bitwise_xor.reduce(keys[part]).astype(np.int64)) or len(v) != len(part):
+        keys = np.concatenate([np.empty(0, np.uint64), *(unpacked(x.as_buffer(), np.uint64) for x in found.column("keys"))])
+        value = np.concatenate([np.empty(0, np.float32), *(unpacked(x.as_buffer(), np.float32) for x in found.column("answers"))])
+        order = np.argsort(keys)
+        keys, value = keys[order], value[order]
+
+        def look_up(wanted):
+            at = np.searchsorted(keys, wanted)
+            if len(wanted) and (not len(keys) or not np.array_equal(keys[np.minimum(at, len(keys) - 1)], wanted)):
                 raise ValueError("a slice changed between two readings of the documents")
-            value[part] = v
+            return value[at]
+
         cols = [np.zeros(n_docs, np.int64), np.zeros(n_docs, np.int64), np.zeros(n_docs), np.zeros(n_docs)]
         for i, j in slices(offsets):
             e, de, w, dw = symbols(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
-            seen = value[np.searchsorted(keys, w)].view(np.int32)
+            seen = look_up(w).view(np.int32)
             base = np.log10(seen + 1.0) + unknown
             cols[0][i:j] = np.bincount(dw, minlength=j - i)
             cols[1][i:j] = np.bincount(dw, weights=seen > 0, minlength=j - i)
             cols[2][i:j] = np.bincount(dw, weights=base, minlength=j - i)
-            cols[3][i:j] = np.bincount(de, weights=value[np.searchsorted(keys, e)].astype(float), minlength=j - i)
+            cols[3][i:j] = sums_by_text(e, de, j - i, look_up)
         return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": cols[0], "n_known": cols[1],
                          "train_tokens": np.full(n_docs, tokens), "base_score": cols[2], "score": cols[3]})
 

@@ -37,12 +37,12 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``limit`` bytes; a longer text is a range of its own."""
+    """Ranges of at most 65,535 texts of about ``limit`` bytes; a longer text is a range of its own."""
     n, i = len(offsets) - 1, 0
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
-        yield i, min(j, n)
-        i = min(j, n)
+        j = min(max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1), i + 0xFFFF, n)
+        yield i, j
+        i = j
 
 
 def words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
