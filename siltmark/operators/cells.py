@@ -136,15 +136,15 @@ def scene_peaks(obs: DataFrame, bands=BANDS, keys=("event_id", "scene")) -> Data
         sum((F.count(b) for b in bands), F.lit(0)).alias("n_valid"))
 
 
-def wrapped(peak: Column, n_valid: Column, zero_dn: Column) -> Column:
+def wrapped(peak: Column, n_valid: Column, zero_dn: Column, min_n: int = WRAPPED_MIN_N) -> Column:
     """The scene provably lost its high byte."""
-    return (zero_dn > WRAPPED_MAX) & (n_valid >= WRAPPED_MIN_N) & (peak <= WRAPPED_MAX)
+    return (zero_dn > WRAPPED_MAX) & (n_valid >= min_n) & (peak <= WRAPPED_MAX)
 
 
-def drop_corrupt(obs: DataFrame, zero_dn: Column, bands=BANDS) -> DataFrame:
+def drop_corrupt(obs: DataFrame, zero_dn: Column, bands=BANDS, keys=("event_id", "scene"), min_n: int = WRAPPED_MIN_N) -> DataFrame:
     """Observations without the scenes whose bands were cut to 8 bits."""
-    bad = scene_peaks(obs, bands).filter(wrapped(F.col("peak"), F.col("n_valid"), zero_dn))
-    return obs.join(bad.select("event_id", "scene"), ["event_id", "scene"], "left_anti")
+    bad = scene_peaks(obs, bands, keys).filter(wrapped(F.col("peak"), F.col("n_valid"), zero_dn, min_n))
+    return obs.join(bad.select(*keys), list(keys), "left_anti")
 
 
 def sides_lost(before: DataFrame, after: DataFrame) -> DataFrame:

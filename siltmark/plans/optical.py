@@ -46,6 +46,32 @@ def run(obs: DataFrame, picked: DataFrame | None = None, *, zero_dn: float = 0.0
     return C.change_layers(comp.withColumns({b: C.s2_reflectance(F.col(b), off) for b in bands}))
 
 
+def auto_run(events: DataFrame, scenes: DataFrame, cells: DataFrame, sources: list[str], *, pre_days: int = 60, post_days: int = 60,
+             k: int = R.RUN_LIMIT, zero_dn: float = 0.0, min_n: int = C.WRAPPED_MIN_N,
+             bands=("red", "nir", "green", "blue", "swir1")) -> DataFrame:
+    """Search, pick, composite and change with fallback: event_id, source, row, col and the change layers.
+
+    Each side of each source takes its ``k`` cheapest scenes; scenes cut to 8 bits are left out.  An event uses
+    the first of ``sources`` whose two sides both measured something; a source with an empty, corrupt or
+    uncovered side is passed over, and an event without any source has no rows.  ``cells``: scene_id, row, col,
+    scl and the bands.
+    """
+    found = S.scene_search(events, scenes.filter(F.col("source").isin(*sources)), pre_days=pre_days, post_days=post_days)
+    found = found.withColumn("cost", R.blended_cost(F.col("gap"), F.col("cloud_pct")))
+    picked = R.top_per_side(found, ("cost", "scene_id"), k, keys=("event_id", "source", "side")).select("event_id", "source", "side", "scene_id")
+    obs = cells.filter(~F.col("scl").isin(*C.SCL_NODATA)).join(picked, "scene_id")
+    obs = C.drop_corrupt(obs, F.lit(zero_dn), bands, ("event_id", "source", "scene_id"), min_n)
+    comp = C.median_composite(obs, bands, ("event_id", "source", "side", "row", "col"))
+
+    def seen(side: str) -> Column:
+        return F.bool_or((F.col("side") == side) & F.col("red").isNotNull())
+    rank = F.array_position(F.array(*[F.lit(s) for s in sources]), F.col("source"))
+    whole = comp.groupBy("event_id", "source").agg((seen("pre") & seen("post")).alias("_ok")).filter("_ok")
+    choice = whole.groupBy("event_id").agg(F.min_by("source", rank).alias("source"))
+    comp = comp.join(choice, ["event_id", "source"]).withColumns({b: C.s2_reflectance(F.col(b), F.lit(0.0)) for b in bands})
+    return C.change_layers(comp, ("event_id", "source", "row", "col"))
+
+
 def product_mosaic(obs: DataFrame, order: str, coefficient: Column, bands=("red", "green", "blue")) -> DataFrame:
     """Counts to reflectance by each scene's coefficient, haze removed, cast balanced, first valid scene wins."""
     from siltmark.functions import tone
