@@ -376,12 +376,12 @@ def test_ledger_stream_batches(spark, tmp_path):
     from siltmark.streaming import ledger_batch
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     run = ledger_batch(out)
-    for i, rows in enumerate(([("a", 1), ("b", 1)], [("b", 2), ("c", 2)])):
-        spark.createDataFrame(rows, "order_id string, v int").coalesce(1).write.mode("append").parquet(src)
-        q = (spark.readStream.schema("order_id string, v int").parquet(src).writeStream.foreachBatch(run)
+    for rows in ([("a", 1, 1), ("b", 1, 1)], [("b", 2, 9), ("b", 3, 5), ("c", 2, 1)]):
+        spark.createDataFrame(rows, "order_id string, v int, created int").coalesce(1).write.mode("append").parquet(src)
+        q = (spark.readStream.schema("order_id string, v int, created int").parquet(src).writeStream.foreachBatch(run)
              .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
         q.awaitTermination(60)
-    got = {r["order_id"]: r["v"] for r in spark.read.parquet(f"{out}/v=1").collect()}
+    got = {r["order_id"]: r["v"] for r in spark.read.parquet(f"{out}/version=1").collect()}
     assert got == {"a": 1, "b": 2, "c": 2}
 
 
