@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -31,6 +32,16 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
     return spark
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of what no table refers to any more.
+
+    Spark removes shuffle files and driver-side state of dropped tables only when the driver collects garbage,
+    which a long iterative job with a large heap may put off until disks are full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The folder ``spark.checkpoint.dir`` names; only a local session may fall back to a fresh temporary one."""
     sc = spark.sparkContext
