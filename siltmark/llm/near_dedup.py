@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltmark.llm.sharing import ROW, numbered, only_rows, read, stable
+from siltmark.llm.sharing import ROW, numbered, only_rows, read, release, stable
 from siltmark.llm.textarrays import LOWER, WHITE, flat, hash_words, mix, slices, words
 from siltmark.operators.graph import components
 
@@ -130,10 +130,6 @@ def differing(a: str, b: str) -> Column:
     return total
 
 
-def near(a: str, b: str) -> Column:
-    return differing(a, b) <= sketch_limit()
-
-
 def full_sets(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
     """``cls, members``: the whole sorted shingle set of each wanted class, from the text of one row of it."""
     texts = numbered(docs).select(ROW, F.col(text_col).alias("text")).join(wanted, ROW).select("cls", "text")
@@ -243,8 +239,9 @@ def head_tests(cand: DataFrame, sketches: DataFrame) -> DataFrame:
     pairs = cand.join(head, "key").select("cls", F.posexplode(F.array(*[f"h{i}" for i in range(HEADS)])).alias("draw", "head"))
     pairs = pairs.filter("cls <> head").distinct()
     pairs = (pairs.join(sketches.select("cls", F.col("sketch").alias("s")), "cls")
-             .join(sketches.select(F.col("cls").alias("head"), F.col("sketch").alias("t")), "head").filter(near("s", "t")))
-    best = pairs.groupBy("cls", "draw").agg(F.min_by("head", differing("s", "t")).alias("head"))
+             .join(sketches.select(F.col("cls").alias("head"), F.col("sketch").alias("t")), "head")
+             .select("cls", "draw", "head", differing("s", "t").alias("bits")).filter(F.col("bits") <= sketch_limit()))
+    best = pairs.groupBy("cls", "draw").agg(F.min_by("head", "bits").alias("head"))
     return best.select(F.least("cls", "head").alias("a"), F.greatest("cls", "head").alias("b")).distinct()
 
 
@@ -267,10 +264,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketches = chosen.select("cls", "sketch")
     sets = stable(full_sets(docs, chosen.select("cls", ROW), text_col))
 
+    spark = docs.sparkSession
+    release(spark)
     links = confirmed(stable(head_tests(cand, sketches)), sets)
     roots = components(links)
     left = open_bands(cand, roots)
     rest = stable(within_bands(left.join(sketches, "cls")))
+    release(spark)
     if not rest.isEmpty():
         links = links.union(confirmed(rest, sets))
         roots = components(links)

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltmark.session import shared_folder, stable
+from siltmark.session import release, shared_folder, stable
 
 ROW = "_siltmark_row"
 
-__all__ = ["ROW", "read", "shared_folder", "stable", "text_or_empty", "id_bucket", "numbered", "only_rows"]
+__all__ = ["ROW", "read", "release", "shared_folder", "stable", "text_or_empty", "id_bucket", "numbered", "only_rows"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
