@@ -69,17 +69,16 @@ def near_brute(rows):
     return [(i, len(s), min(members[find(k)], key=big)) for k, ((i, _), s) in enumerate(zip(rows, sets, strict=True))]
 
 
-def test_near_components(docs, rows, none):
+def test_near_components(docs, rows):
     got = near_dedup.near_duplicates(docs).collect()
     key = lambda r: (big(r[0]), r[1], big(r[2]))
     want = sorted(((i, n, c if n else i) for i, n, c in near_brute(rows)), key=key)
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=key) == want
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
-    out = near_dedup.drop_near_copies(docs)
-    assert out.columns == docs.columns
-    empty = sum(1 for _, n, _ in want if not n)
-    assert out.count() == empty + len({(c, n > 0) for _, n, c in want if n})
-    assert near_dedup.near_duplicates(none).count() == 0
+    # one row of every component stays, and every text without words
+    stay = [r for r in got if r.stays]
+    assert len(stay) == sum(1 for _, n, _ in want if not n) + len({c for _, n, c in want if n})
+    assert all(r.kept for r in stay)
 
 
 def test_near_group_without_common_head(spark, tmp_path_factory):
