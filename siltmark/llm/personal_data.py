@@ -1,16 +1,20 @@
 """Personal data by bootstrapped contextual extraction (operator 10).
 
-Seeds are what the four fixed patterns find (``base_spans``).  Every seed and every other identifier-like token
-occurs in contexts: the words beside it together with its shape (digits kept by number, letters folded).
-These contexts are patterns.  Spark scores the graph of patterns and instances in rounds: a pattern is
-as reliable as its instances are known, an instance as likely as the noisy-or of its patterns.  Reliable, well
-supported patterns then tag instances that no fixed pattern knows.  Base spans always stay.
+Seeds are what the four fixed patterns find (``base_spans``).  Every seed and every other identifier-like piece of
+text (one token or several: numbers in groups, addresses with the at sign spelled out) occurs in contexts, the words
+beside it.  These contexts are patterns; of the piece itself they know only whether it is like a mail address or
+like a number.  Spark scores the graph of patterns and instances in rounds: a pattern is as reliable as its
+instances are known, an instance as likely as the noisy-or of its patterns.  Instances that reliable, well supported
+patterns tag are known in the next round and support further patterns, until a round tags nothing new.  Base spans
+always stay.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,13 +32,22 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 MARK = re.compile(r"[0-9@]+")
 EDGE = "\"'`.,;:!?()[]{}<>"
+NUMERIC = re.compile(r"[0-9+().\-\u2013/]+")
+# what may stand between the groups of one number
+JOINT = re.compile(r"\)?[ \t\xa0]{1,2}(?:[-\u2013/][ \t\xa0]{1,2})?\(?")
+LABEL = re.compile(r"[^\W\d_]+[:=]+")
+# at sign and dots of an address, spelled out, in brackets or apart
+DOT = r"(?:\s?[\[({<]\s?(?:dot|punkt|punto|point|\.)\s?[\])}>]\s?|\s(?:dot|punkt|punto|point)\s|\.)"
+SPELLED = re.compile(r"(?:\s?[\[({<]\s?(?:at|ät|arroba|arobase|@)\s?[\])}>]\s?|\s(?:at|ät|arroba|arobase)\s|\s@\s?|@\s)[^\W_][\w-]*(?:" + DOT + r"[\w-]+)+", re.I)
+DOT_BEFORE = re.compile(DOT + r"\Z", re.I)
 
-ROUNDS = 3
 MIN_SUPPORT = 5      # distinct seeds a pattern must have met
 MIN_PATTERN = 0.8    # share of its instances that must be known
 MIN_INSTANCE = 0.9
 SMOOTHING = 1.0
-LONGEST = 64         # longer tokens are no identifiers of a person
+LONGEST = 64         # longer pieces are no identifiers of a person
+FEWEST = 5           # digits of a number that can name a person; an address of four parts may have fewer
+MOST = 19            # digits of groups taken together, as in the longest card
 VIEW = 80
 
 
@@ -73,15 +86,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def shape(token: str) -> str:
-    """Digits become 9 one by one, runs of letters become one a, the rest stays."""
-    return re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]", "9", token))
+def looks_numeric(piece: str) -> bool:
+    return sum(c in "0123456789" for c in piece) >= FEWEST or piece.count(".") >= 3 and any(c in "0123456789" for c in piece)
 
 
-def other_tokens(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
-    """Tokens with a digit or an at sign that no span touches, without punctuation at their edges."""
-    spans = sorted((s, e) for _, s, e in taken)
-    last, k = 0, 0
+def marked_tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Tokens with a digit or an at sign, without punctuation at their edges and without a label before them."""
+    last = 0
     for m in MARK.finditer(text):
         if m.start() < last:
             continue
@@ -93,28 +104,98 @@ def other_tokens(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple
         last = b
         while a < b and text[a] in EDGE:
             a += 1
+        label = LABEL.match(text, a, b)
+        if label:
+            a = label.end()
+            while a < b and text[a] in EDGE:
+                a += 1
         while b > a and text[b - 1] in EDGE:
             b -= 1
-        while k < len(spans) and spans[k][1] <= a:
-            k += 1
-        if b > a and b - a <= LONGEST and not (k < len(spans) and spans[k][0] < b):
+        if b > a:
             yield a, b
 
 
-def contexts(text: str, start: int, end: int) -> list[str]:
-    """Pattern names of an occurrence: shape with the words before, after, and on both sides."""
-    before = text[max(0, start - VIEW):start].lower().split()
-    after = text[end:end + VIEW].lower().split()
+def spelled_addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses whose at sign or dots are spelled out, in brackets or apart."""
+    for m in SPELLED.finditer(text):
+        a = m.start()
+        while True:
+            end = a
+            while a > 0 and end - a < LONGEST and (text[a - 1].isalnum() or text[a - 1] in LOCAL):
+                a -= 1
+            if a == end:
+                break
+            dot = DOT_BEFORE.search(text, max(0, a - 12), a)
+            if not dot or dot.start() == 0 or not text[dot.start() - 1].isalnum() or m.start() - dot.start() > LONGEST:
+                break
+            a = dot.start()
+        while a < m.start() and text[a] in EDGE:
+            a += 1
+        if a < m.start():
+            yield a, m.end()
+
+
+def other_pieces(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, bool]]:
+    """Start and end of every identifier-like piece that no span touches, and whether it is a whole.
+
+    Tokens of digits and signs that follow each other are one number; its parts, down to a token, are pieces too.
+    """
+    spans = sorted((s, e) for _, s, e in taken)
+    starts = [s for s, _ in spans]
+    ends = list(accumulate((e for _, e in spans), max))
+
+    def free(a: int, b: int) -> bool:
+        k = bisect_left(starts, b)
+        return b - a <= LONGEST and (k == 0 or ends[k - 1] <= a)
+
+    out = [(a, b, True) for a, b in spelled_addresses(text) if free(a, b)]
+    run: list[tuple[int, int, int]] = []  # start, end and digits of the groups of one number
+
+    def flush() -> None:
+        for i, (a, _, _) in enumerate(run):
+            digits = 0
+            for j in range(i, len(run)):
+                digits += run[j][2]
+                b = run[j][1]
+                if j > i and (digits > MOST or b - a > LONGEST):
+                    break
+                if looks_numeric(text[a:b]) and free(a, b):
+                    opened = a > 0 and text[a - 1] == "(" and ")" in text[a:b]
+                    out.append((a - opened, b, i == 0 and j == len(run) - 1))
+        run.clear()
+
+    for a, b in marked_tokens(text):
+        piece = text[a:b]
+        if NUMERIC.fullmatch(piece) and free(a, b):
+            if run and not JOINT.fullmatch(text, run[-1][1], a):
+                flush()
+            run.append((a, b, sum(c in "0123456789" for c in piece)))
+            continue
+        flush()
+        if ("@" in piece and any(c.isalnum() for c in piece) or looks_numeric(piece)) and free(a, b):
+            out.append((a, b, True))
+    flush()
+    return out
+
+
+def contexts(text: str, start: int, end: int, like: str) -> list[str]:
+    """Pattern names of an occurrence: the words before, after, and on both sides."""
+    before = [w.strip(EDGE) or w for w in text[max(0, start - VIEW):start].lower().split()]
+    after = [w.strip(EDGE) or w for w in text[end:end + VIEW].lower().split()]
     left, right = " ".join(before[-1:]), " ".join(after[:1])
-    s = shape(text[start:end])
-    return [f"{s}\x1f{x}" for x in (f"< {left}", f"> {right}", f"<> {left} _ {right}", f"<< {' '.join(before[-2:])}")]
+    return [f"{like}\x1f{x}" for x in (f"< {left}", f"> {right}", f"<> {left} _ {right}", f"<< {' '.join(before[-2:])}")]
+
+
+def like(kind: int, piece: str) -> str:
+    """The loose class of a piece: a mail address or a number."""
+    return "mail" if kind == 0 or kind < 0 and ("@" in piece or SPELLED.search(piece)) else "number"
 
 
-OCCURRENCE = "array<struct<kind:int,begin:int,stop:int,value:string,patterns:array<string>>>"
+OCCURRENCE = "array<struct<kind:int,begin:int,stop:int,value:string,whole:boolean,patterns:array<string>>>"
 
 
 def find_occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, occ``: every base span (kind 0-3) and other token (kind -1) of each text with its contexts."""
+    """``doc_id, occ``: every base span (kind 0-3) and other piece (kind -1) of each text with its contexts."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -122,9 +203,10 @@ def find_occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             found = []
             for t in b.column(1).to_pylist():
                 base = base_spans(t)
-                every = [*base, *((-1, s, e) for s, e in other_tokens(t, base))]
-                found.append([{"kind": k, "begin": s, "stop": e, "value": t[s:e].lower(), "patterns": contexts(t, s, e)} for k, s, e in every])
-            shape_ = pa.list_(pa.struct([("kind", pa.int32()), ("begin", pa.int32()), ("stop", pa.int32()), ("value", pa.string()),
+                every = [*((k, s, e, True) for k, s, e in base), *((-1, s, e, w) for s, e, w in other_pieces(t, base))]
+                found.append([{"kind": k, "begin": s, "stop": e, "value": t[s:e].lower(), "whole": w, "patterns": contexts(t, s, e, like(k, t[s:e]))}
+                              for k, s, e, w in every])
+            shape_ = pa.list_(pa.struct([("kind", pa.int32()), ("begin", pa.int32()), ("stop", pa.int32()), ("value", pa.string()), ("whole", pa.bool_()),
                                         ("patterns", pa.list_(pa.string()))]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, shape_)], ["doc_id", "occ"])
 
@@ -133,26 +215,51 @@ def find_occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def discovered(occ: DataFrame) -> DataFrame:
-    """``value, kind`` of instances that reliable patterns tag.  ``occ``: value, kind (-1 unknown), pattern."""
-    edges = stable(occ.groupBy("pattern", "value").agg(F.max("kind").alias("kind")))
-    # the kind a pattern speaks for is the one most of its seeds have
-    seeds = edges.filter("kind >= 0").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("n"))
-    speaks = seeds.groupBy("pattern").agg(F.max_by("kind", F.struct("n", -F.col("kind"))).alias("says"), F.sum("n").alias("support"))
-    speaks = stable(speaks.filter(F.col("support") >= MIN_SUPPORT))
-    edges = stable(edges.join(speaks, "pattern"))
-    score = None
-    for _ in range(ROUNDS):
-        if score is None:
-            known = edges.withColumn("s", F.when(F.col("kind") == F.col("says"), 1.0).otherwise(0.0))
-        else:
-            known = edges.join(score, "value", "left").withColumn(
-                "s", F.when(F.col("kind") == F.col("says"), 1.0).when(F.col("kind") >= 0, 0.0)
-                .when(F.col("guess") == F.col("says"), F.coalesce("p", F.lit(0.0))).otherwise(0.0)).drop("p", "guess")
-        trust = stable(known.groupBy("pattern").agg((F.sum("s") / (F.count(F.lit(1)) + SMOOTHING)).alias("conf")))
+    """``value, whole, kind, p`` of instances that reliable patterns tag.  ``occ``: value, whole, kind (-1 unknown), pattern.
+
+    A part of a longer number is an instance of its own, and no evidence for or against a pattern.
+    """
+    edges = stable(occ.groupBy("pattern", "value", "whole").agg(F.max("kind").alias("kind")))
+    # a pattern that meets fewer instances can never have the support
+    met = edges.filter("whole").groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_SUPPORT).select("pattern")
+    edges = stable(edges.join(met, "pattern"))
+    known = None
+    while True:
+        seen = edges if known is None else edges.join(known.withColumnRenamed("kind", "guess"), ["value", "whole"], "left")
+        is_ = F.col("kind") if known is None else F.when(F.col("kind") < 0, F.coalesce("guess", F.lit(-1))).otherwise(F.col("kind"))
+        weight = F.lit(1.0) if known is None else F.when(F.col("kind") < 0, F.coalesce("p", F.lit(0.0))).otherwise(1.0)
+        by_pattern = seen.filter("whole").select("pattern", is_.alias("is"), weight.alias("w")).groupBy("pattern").agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(F.col("is") >= 0).alias("support"),
+            *[F.sum(F.when(F.col("is") == k, F.col("w")).otherwise(0.0)).alias(f"w{k}") for k in range(len(KINDS))])
+        # the kind a pattern speaks for is the one most of its known instances have, the earlier listed of two
+        top = F.greatest(*[F.col(f"w{k}") for k in range(len(KINDS))])
+        says = F.coalesce(*[F.when(F.col(f"w{k}") == top, F.lit(k)) for k in range(len(KINDS))])
+        trust = by_pattern.filter(F.col("support") >= MIN_SUPPORT).select("pattern", says.alias("says"), (top / (F.col("n") + SMOOTHING)).alias("conf"))
         tagged = edges.filter("kind < 0").join(trust.filter(F.col("conf") >= MIN_PATTERN), "pattern")
-        by_kind = tagged.groupBy("value", "says").agg((1 - F.exp(F.sum(F.log1p(-F.least("conf", F.lit(0.999)))))).alias("p"))
-        score = stable(by_kind.groupBy("value").agg(F.max("p").alias("p"), F.max_by("says", F.struct("p", -F.col("says"))).alias("guess")))
-    return score.filter(F.col("p") >= MIN_INSTANCE).select("value", F.col("guess").alias("kind"))
+        by_kind = tagged.groupBy("value", "whole", "says").agg((1 - F.exp(F.sum(F.log1p(-F.least("conf", F.lit(0.999)))))).alias("p"))
+        found = by_kind.groupBy("value", "whole").agg(F.max_by("says", F.struct("p", -F.col("says"))).alias("kind"), F.max("p").alias("p")).filter(
+            F.col("p") >= MIN_INSTANCE)
+        if known is None:
+            known = stable(found)
+            if known.isEmpty():
+                return known
+            continue
+        # what is tagged stays tagged, so the rounds end
+        new = stable(found.join(known.select("value", "whole"), ["value", "whole"], "left_anti"))
+        if new.isEmpty():
+            return known
+        known = stable(known.unionByName(new))
+
+
+def apart(found: list[dict]) -> list[dict]:
+    """Of pieces that overlap the likelier, then the longer, then the earlier."""
+    starts, out = [], []
+    for x in sorted(found, key=lambda x: (-round(x["p"], 9), x["begin"] - x["stop"], x["begin"], x["kind"])):
+        k = bisect_left(starts, x["stop"])
+        if k == 0 or out[k - 1]["stop"] <= x["begin"]:
+            starts.insert(k, x["begin"])
+            out.insert(k, x)
+    return out
 
 
 def joined(spans: str) -> str:
@@ -166,13 +273,22 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Counts of base spans per kind, their digest, and all spans with those the contexts found.
 
     A null text counts as empty; a null id stays null; repeated rows give repeated results.  An instance that
-    reliable patterns give to two kinds goes to the likelier, then the earlier listed.  Other columns are ignored.
+    reliable patterns give to two kinds goes to the likelier, then the earlier listed; of found instances that
+    overlap the likelier stays, then the longer, then the earlier.  Other columns are ignored.
     """
     rows = stable(find_occurrences(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
     one = rows.select("row", F.explode("occ").alias("o")).select("row", "o.*")
-    new = stable(discovered(one.select("value", "kind", F.explode("patterns").alias("pattern"))))
-    more = (one.filter("kind < 0").select("row", "begin", "stop", "value").join(new, "value")
-            .groupBy("row").agg(F.collect_list(F.struct("kind", "begin", "stop")).alias("added")))  # at most a document's own tokens
+    new = discovered(one.select("value", "whole", "kind", F.explode("patterns").alias("pattern")))
+    more = (one.filter("kind < 0").select("row", "begin", "stop", "value", "whole").join(new, ["value", "whole"])
+            .groupBy("row").agg(F.collect_list(F.struct("kind", "begin", "stop", "p")).alias("added")))  # at most a document's own pieces
+
+    def choose(batches):
+        kind = pa.list_(pa.struct([("kind", pa.int32()), ("begin", pa.int32()), ("stop", pa.int32())]))
+        for b in batches:
+            added = [[{k: x[k] for k in ("kind", "begin", "stop")} for x in apart(found)] for found in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(added, kind)], ["row", "added"])
+
+    more = more.mapInArrow(choose, "row long, added array<struct<kind:int,begin:int,stop:int>>")
     base = "transform(filter(occ, x -> x.kind >= 0), x -> named_struct('kind', x.kind, 'begin', x.begin, 'stop', x.stop))"
     out = rows.select("row", "doc_id", F.expr(base).alias("base")).join(stable(more), "row", "left")
     out = out.withColumn("every", F.expr("concat(base, coalesce(added, array()))"))

@@ -187,3 +187,29 @@ def test_personal_data_bootstraps(spark, docs, none):
         assert got[i].base_sha256 == sha(text)
         assert set(text.split(",")) - {""} <= set(got[i].spans.split(","))
     assert personal_data.personal_data(docs).count() == docs.count() and personal_data.personal_data(none).count() == 0
+
+
+def test_personal_data_finds_other_shapes(spark):
+    texts = [f"please call +1 ({200 + k}) 555-{1000 + 37 * k} today" for k in range(120)]
+    texts += [f"write mail to a{k}@host{k}.example.org soon" for k in range(40)]
+    # shapes that no seed has
+    fresh = {"please call 555-0199 today": "phone:12:20", "please call 5550 1234 today": "phone:12:21", "please call 55501234 today": "phone:12:20",
+             "please call: (743) 555-0100, today": "phone:13:27", "write mail to joe (at) example (dot) com soon": "email:14:40",
+             "write mail to jo dot doe at example.org soon": "email:14:39"}
+    texts += fresh
+    # fifteen found numbers make a context known in which no seed stands
+    texts += [f"please call 555-02{k}0 today" for k in range(10, 25)] + [f"ring bell 555-02{k}0 quickly" for k in range(10, 25)]
+    fresh["ring bell 4444-1111 quickly"] = "phone:10:19"
+    fresh["room 55501 is free, of 1234567 rooms"] = ""
+    texts += [t for t in fresh if t not in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {texts[r.doc_id]: r for r in personal_data.personal_data(df).collect()}
+    for t, spans in fresh.items():
+        assert got[t].spans == spans and got[t].base_sha256 == sha(""), (t, got[t].spans)
+
+
+def test_pieces_of_a_long_number():
+    text = "9 " * 5000 + "a@ " * 5000 + "x at y " * 5000
+    assert len(personal_data.other_pieces(text, [])) < 100_000
+    found = [{"kind": 2, "begin": b, "stop": e, "p": p} for b, e, p in ((0, 9, 0.95), (0, 19, 0.99), (10, 19, 0.95), (30, 39, 0.91))]
+    assert [(x["begin"], x["stop"]) for x in personal_data.apart(found)] == [(0, 19), (30, 39)]
