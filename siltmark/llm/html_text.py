@@ -42,7 +42,6 @@ SPACE = re.compile(r"[\s]+")
 SIGMA = 1.0
 RADIUS = 2
 OWN = 8
-DEPTH = 4096
 
 
 class Line:
@@ -59,6 +58,8 @@ class Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, bool, int]] = []  # name, never content, number of the main element
+        self.places: dict[str, list[int]] = {}        # places in the stack by name, so that no depth makes a search long
+        self.fences: list[int] = []
         self.lines: list[Line] = []
         self.mains = 0
         self.tags = 0
@@ -70,20 +71,36 @@ class Lines(HTMLParser):
         self.lines.append(self.line)
         return self.line
 
-    def pop_to(self, names: tuple[str, ...], fences: frozenset) -> None:
-        for k in range(len(self.stack) - 1, -1, -1):
-            name = self.stack[k][0]
-            if name in names:
-                del self.stack[k:]
-                return
-            if name in fences:
-                return
+    def push(self, tag: str, off: bool, main: int) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in FENCES:
+            self.fences.append(len(self.stack))
+        self.stack.append((tag, off, main))
+
+    def nearest(self, tag: str) -> int:
+        """Place of the innermost such element that no fence shuts in, or -1."""
+        places = self.places.get(tag)
+        if not places or tag not in FENCES and self.fences and self.fences[-1] > places[-1]:
+            return -1
+        return places[-1]
+
+    def cut(self, k: int) -> None:
+        while len(self.stack) > k:
+            tag = self.stack.pop()[0]
+            self.places[tag].pop()
+            if tag in FENCES:
+                self.fences.pop()
+
+    def pop_to(self, names: tuple[str, ...]) -> None:
+        k = max(map(self.nearest, names))
+        if k >= 0:
+            self.cut(k)
 
     def handle_starttag(self, tag, attrs):
         if tag in CLOSES_P:
-            self.pop_to(("p",), FENCES)
+            self.pop_to(("p",))
         elif tag in CLOSES:
-            self.pop_to(CLOSES[tag], FENCES)
+            self.pop_to(CLOSES[tag])
         if tag in BLOCK:
             self.fresh()
         self.line.tags += 1
@@ -101,8 +118,7 @@ class Lines(HTMLParser):
         if tag in MAIN and not off and not main:
             self.mains += 1
             main = self.mains
-        if len(self.stack) < DEPTH:
-            self.stack.append((tag, off, main))
+        self.push(tag, off, main)
         if tag in BLOCK:
             self.fresh()
             self.line.heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
@@ -121,15 +137,12 @@ class Lines(HTMLParser):
         self.line.tags += 1
         if tag in VOID:
             return
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                was = self.stack[-1][1]
-                del self.stack[k:]
-                if tag in BLOCK or was != (self.stack[-1][1] if self.stack else False):
-                    self.fresh()
-                return
-            if tag not in FENCES and self.stack[k][0] in FENCES:
-                return
+        k = self.nearest(tag)
+        if k >= 0:
+            was = self.stack[-1][1]
+            self.cut(k)
+            if tag in BLOCK or was != (self.stack[-1][1] if self.stack else False):
+                self.fresh()
 
     def handle_data(self, data):
         self.line.text.append(data)

@@ -81,3 +81,11 @@ def test_ratio_without_article():
 def test_extract_edges(spark):
     got = {r.page_id: r for r in html_text.extract(frame(spark, PAGES[1:3])).collect()}
     assert got[2].text == "" and got[2].n_chars == 0 and got[3].url == "http://c/"
+
+
+def test_no_depth_is_too_deep():
+    for open_ in ("<div>", "<font>", "<a>"):
+        page = open_ * 6000 + "<script>var source = 1;</script><nav>menu of links</nav><p>inside some text</p><footer>foot</footer>"
+        assert html_text.main_text(page) == "inside some text"
+    # an end tag far down closes its own element, not an outer one of that name
+    assert html_text.main_text("<nav>" + "<span>" * 6000 + "<nav>x</nav>still a menu" + "</span>" * 6000 + "</nav><p>text</p>") == "text"
