@@ -2,16 +2,19 @@
 
 The standard library's streaming parser turns a page into lines, one per block element.  Each line has its
 text length over the number of tags in it.  The ratios are smoothed with a Gaussian over neighbouring lines,
-and clustered with a threshold (their standard deviation, never above the mean): runs of lines above it are content.
-Inside an ``article`` or ``main`` element the cluster spans from the first to the last of its lines, so short
-paragraphs between long ones stay.  Lines of elements that are never content (menus, headers, footers,
-sidebars, adverts, forms, scripts, styles, comments) are put in no cluster.
+and clustered with a threshold (their standard deviation, never above the mean): runs of lines above it are content,
+on every page and wherever they stand.  If the clusters hold at least half of the text of an ``article`` or ``main``
+element, they extend to all its lines, so short paragraphs between long ones stay.  Class and id names (adverts,
+comments, widgets) and forms are a weight: their lines count an eighth and must by themselves reach the page's mean, unless all
+lines of the page are such.  Menus, headers, footers, sidebars, scripts and styles are put in no cluster, but an
+article inside such a menu or sidebar is weighed like a named one.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -25,11 +28,12 @@ BLOCK = frozenset("""address article aside blockquote body caption center dd det
 figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre
 section summary table tbody td tfoot th thead tr ul""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NEVER = frozenset("""nav header footer aside form script style noscript template button select textarea iframe svg canvas object
+NEVER = frozenset("""nav header footer aside script style noscript template button select textarea iframe svg canvas object
 menu dialog head title""".split())
 RAW = frozenset(("script", "style"))
+PLACED = frozenset("nav header footer aside menu dialog".split())  # an article inside is looked at nonetheless
 MAIN = frozenset(("article", "main"))
-ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
+ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar".split())
 WORDS = re.compile(r"(?:^|[^a-z])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|breadcrumb\w*|comment\w*|disqus|cookie\w*|consent|notice\w*"
                    r"|popup|modal|sidebar\w*|side-bar|menu\w*|nav|navbar|navigation|footer|masthead|share|sharing|social|related|newsletter"
                    r"|subscribe\w*|signup|login|widget\w*|pagination|pager|toolbar|skip-link|paywall|replies|reply|respond)(?:$|[^a-z])")
@@ -42,14 +46,16 @@ SPACE = re.compile(r"[\s]+")
 SIGMA = 1.0
 RADIUS = 2
 OWN = 8
+NAMED = 1 / OWN
+OFF, SHUT = 1, 2  # never content unless in an article, never content at all
 
 
 class Line:
-    __slots__ = ("text", "tags", "off", "main", "heading")
+    __slots__ = ("text", "tags", "off", "main", "named", "heading")
 
-    def __init__(self, off: bool, main: int, heading: bool):
+    def __init__(self, off: int, main: int, named: bool, heading: bool):
         self.text: list[str] = []
-        self.tags, self.off, self.main, self.heading = 0, off, main, heading
+        self.tags, self.off, self.main, self.named, self.heading = 0, off, main, named, heading
 
 
 class Lines(HTMLParser):
@@ -57,7 +63,7 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int]] = []  # name, never content, number of the main element
+        self.stack: list[tuple[str, int, int, bool]] = []  # name, never content, number of the main element, named
         self.places: dict[str, list[int]] = {}        # places in the stack by name, so that no depth makes a search long
         self.fences: list[int] = []
         self.lines: list[Line] = []
@@ -65,17 +71,19 @@ class Lines(HTMLParser):
         self.tags = 0
         self.line = self.fresh()
 
+    def state(self) -> tuple[int, int, bool]:
+        return self.stack[-1][1:] if self.stack else (0, 0, False)
+
     def fresh(self) -> Line:
-        off, main = (self.stack[-1][1], self.stack[-1][2]) if self.stack else (False, 0)
-        self.line = Line(off, main, False)
+        self.line = Line(*self.state(), False)
         self.lines.append(self.line)
         return self.line
 
-    def push(self, tag: str, off: bool, main: int) -> None:
+    def push(self, tag: str, off: int, main: int, named: bool) -> None:
         self.places.setdefault(tag, []).append(len(self.stack))
         if tag in FENCES:
             self.fences.append(len(self.stack))
-        self.stack.append((tag, off, main))
+        self.stack.append((tag, off, main, named))
 
     def nearest(self, tag: str) -> int:
         """Place of the innermost such element that no fence shuts in, or -1."""
@@ -108,21 +116,29 @@ class Lines(HTMLParser):
             if tag == "br":
                 self.line.text.append(" ")
             return
-        off, main = (self.stack[-1][1], self.stack[-1][2]) if self.stack else (False, 0)
-        if not off:
-            off = tag in NEVER and not (tag == "header" and main)
-            if not off and tag not in ("html", "body", "article", "main"):
-                a = dict(attrs)
-                off = ("hidden" in a or a.get("aria-hidden") == "true" or a.get("role") in ROLES
-                       or bool(WORDS.search(f"{a.get('class') or ''} {a.get('id') or ''}".lower())))
-        if tag in MAIN and not off and not main:
-            self.mains += 1
-            main = self.mains
-        self.push(tag, off, main)
+        off, main, named = self.state()
+        if off != SHUT:
+            a = dict(attrs)
+            by_name = tag == "form" or a.get("role") == "form" or bool(WORDS.search(f"{a.get('class') or ''} {a.get('id') or ''}".lower()))
+            if "hidden" in a or a.get("aria-hidden") == "true" or tag in NEVER - PLACED:
+                off = SHUT if tag not in ("html", "body") else off
+            elif tag in MAIN:
+                if not main:
+                    self.mains += 1
+                    main = self.mains
+                    # an article is looked at wherever it stands; what its own name says counts only in a named place
+                    named = bool(off) or named and by_name
+                    off = 0
+            elif not off and tag not in ("html", "body"):
+                if tag in PLACED and not (tag == "header" and main) or a.get("role") in ROLES:
+                    off, main = OFF, 0
+                else:
+                    named = named or by_name
+        self.push(tag, off, main, named)
         if tag in BLOCK:
             self.fresh()
             self.line.heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-        elif off != self.line.off:
+        elif (off, main, named) != (self.line.off, self.line.main, self.line.named):
             self.fresh()
 
     def handle_startendtag(self, tag, attrs):
@@ -139,9 +155,9 @@ class Lines(HTMLParser):
             return
         k = self.nearest(tag)
         if k >= 0:
-            was = self.stack[-1][1]
+            was = self.state()
             self.cut(k)
-            if tag in BLOCK or was != (self.stack[-1][1] if self.stack else False):
+            if tag in BLOCK or was != self.state():
                 self.fresh()
 
     def handle_data(self, data):
@@ -174,15 +190,23 @@ def main_text(html: str) -> str:
     usable = [k for k in lines if not k[2].off]
     if not usable:
         return ""
-    smooth = smoothed([0.0 if x.off else ratio for _, ratio, x in lines])
+    weigh = not all(x.named for _, _, x in usable)
+    named = [weigh and x.named for _, _, x in lines]
+    ratios = [0.0 if x.off else ratio * (NAMED if w else 1) for (_, ratio, x), w in zip(lines, named, strict=True)]
+    smooth = smoothed(ratios)
     mean = sum(smooth) / len(smooth)
     spread = math.sqrt(sum((v - mean) ** 2 for v in smooth) / len(smooth))
     limit = min(spread, mean)
     # smoothing lifts a menu between paragraphs, so a line must also have some text of its own
-    content = [not x.off and v >= limit and ratio >= limit / OWN for v, (_, ratio, x) in zip(smooth, lines, strict=True)]
-    regions = {x.main for ok, (_, _, x) in zip(content, lines, strict=True) if ok and x.main}
-    if regions:
-        content = [not x.off and x.main in regions for _, _, x in lines]
+    named_limit = max(limit, sum(ratio for ratio, (_, _, x) in zip(ratios, lines, strict=True) if not x.off) / len(usable))
+    content = [not x.off and v >= limit and ratio >= (named_limit if w else limit / OWN)
+               for v, ratio, w, (_, _, x) in zip(smooth, ratios, named, lines, strict=True)]
+    chosen, whole = Counter(), Counter()
+    for ok, w, (text, _, x) in zip(content, named, lines, strict=True):
+        if x.main and not x.off and not w:
+            whole[x.main] += len(text)
+            chosen[x.main] += ok * len(text)
+    content = [ok or not x.off and not w and 0 < whole[x.main] <= 2 * chosen[x.main] for ok, w, (_, _, x) in zip(content, named, lines, strict=True)]
     return "\n\n".join(t for ok, (t, _, _) in zip(content, lines, strict=True) if ok)
 
 

@@ -89,3 +89,23 @@ def test_no_depth_is_too_deep():
         assert html_text.main_text(page) == "inside some text"
     # an end tag far down closes its own element, not an outer one of that name
     assert html_text.main_text("<nav>" + "<span>" * 6000 + "<nav>x</nav>still a menu" + "</span>" * 6000 + "</nav><p>text</p>") == "text"
+
+
+def test_ratio_decides_on_every_page():
+    long = "word " * 60
+    text = long.strip()
+    # a small teaser article beside a main text in a div
+    page = f"<body><div><p>{long}</p><p>{long}</p><p>{long}</p></div><article><p>{long[:100]}</p></article></body>"
+    assert html_text.main_text(page).split("\n\n")[:3] == [text] * 3
+    # clustered lines outside the article stay, short ones inside it too
+    page = f"<article><p>{long}</p><p>{long}</p><p>Yes.</p></article><ul><li><a>a</a><li><a>b</a></ul><div><p>{long}</p><p>{long}</p></div>"
+    assert html_text.main_text(page) == "\n\n".join([text, text, "Yes.", text, text])
+
+
+def test_names_and_places_are_weights():
+    long = "word " * 60
+    text = long.strip()
+    for open_, close in (('<div class="widget Blog"><article>', "</article></div>"), ('<div class="post has-comments">', "</div>"),
+                         ('<section id="related-work">', "</section>"), ("<form>", "</form>"), ("<aside><article>", "</article></aside>")):
+        assert html_text.main_text(f"<nav><a>Home</a></nav>{open_}<p>{long}</p><p>{long}</p>{close}<footer>me</footer>") == f"{text}\n\n{text}", open_
+    assert html_text.main_text(f'<p>{long}</p><p>{long}</p><div class="comments"><p>I disagree.</p></div>') == f"{text}\n\n{text}"
