@@ -218,6 +218,36 @@ def _split(table: pa.Table):
     return keys, u, inverse, np.bincount(inverse, weights=np.concatenate(counts), minlength=len(u)).astype(np.int64)
 
 
+def answered(table: pa.Table, low: LowLevels) -> pa.Table:
+    """Per slice the code lengths of its events (float32) and the counts of its words (int64), in the order of its keys."""
+    keys, u, inverse, n = _split(table)
+    words_at = int(np.searchsorted(u, WORD_FLAG))  # words sort behind all events
+    length = code_lengths(u[:words_at], n[:words_at], low).astype(np.float32)
+    ends = np.cumsum([len(k) for k in keys])
+    lengths, counts = [], []
+    for k, e in zip(keys, ends, strict=True):
+        at = inverse[e - len(k):e]
+        cut = int(np.searchsorted(k, WORD_FLAG))
+        lengths.append(packed(length[at[:cut]]) if cut else None)
+        counts.append(packed(n[at[cut:]]) if cut < len(k) else None)
+    return pa.table({"slice": table.column("slice"), "keys": table.column("keys"), "lengths": pa.array(lengths, pa.binary()),
+                     "counts": pa.array(counts, pa.binary())})
+
+
+def gathered(found: pa.Table) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Sorted events with their code lengths and sorted words with their counts, from the answers to a slice."""
+    keys = [unpacked(x.as_buffer(), np.uint64) for x in found.column("keys")]
+    cuts = [int(np.searchsorted(k, WORD_FLAG)) for k in keys]
+    out = []
+    for name, kind, parts in (("lengths", np.float32, [k[:c] for k, c in zip(keys, cuts, strict=True)]),
+                              ("counts", np.int64, [k[c:] for k, c in zip(keys, cuts, strict=True)])):
+        k = np.concatenate([np.empty(0, np.uint64), *parts])
+        v = np.concatenate([np.empty(0, kind), *(unpacked(x.as_buffer(), kind) for x in found.column(name) if x.is_valid)])
+        order = np.argsort(k)
+        out.append((k[order], v[order]))
+    return out[0], out[1]
+
+
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
     """Per document: tokens, known tokens, training tokens, unigram score and model score (log10).
 
@@ -285,27 +315,17 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     unknown = -np.log10(tokens + kinds + 1)
 
     def answer(table):
-        keys, u, inverse, n_ = _split(table)
-        word = u >= WORD_FLAG
-        value = np.empty(len(u), np.float32)  # a word's is its count, by bits
-        value[word] = n_[word].astype(np.int32).view(np.float32)
-        value[~word] = code_lengths(u[~word], n_[~word], LowLevels(*shared.value))
-        ends = np.cumsum([len(k) for k in keys])
-        out = [packed(value[inverse[e - len(k):e]]) for k, e in zip(keys, ends, strict=True)]
-        return pa.table({"slice": table.column("slice"), "keys": table.column("keys"), "answers": pa.array(out, pa.binary())})
+        return answered(table, LowLevels(*shared.value))
 
     asked = counted.filter("vocabulary IS NULL").select("slice", "bucket", "keys", "counts")
-    answers = asked.groupBy("bucket").applyInArrow(answer, "slice long, keys binary, answers binary")
+    answers = asked.groupBy("bucket").applyInArrow(answer, "slice long, keys binary, lengths binary, counts binary")
 
     def add_up(texts, found):
         data, offsets = flat(texts.column("text").combine_chunks())
         n_docs = len(offsets) - 1
-        keys = np.concatenate([np.empty(0, np.uint64), *(unpacked(x.as_buffer(), np.uint64) for x in found.column("keys"))])
-        value = np.concatenate([np.empty(0, np.float32), *(unpacked(x.as_buffer(), np.float32) for x in found.column("answers"))])
-        order = np.argsort(keys)
-        keys, value = keys[order], value[order]
+        events, counts = gathered(found)
 
-        def look_up(wanted):
+        def look_up(wanted, keys, value):
             at = np.searchsorted(keys, wanted)
             if len(wanted) and (not len(keys) or not np.array_equal(keys[np.minimum(at, len(keys) - 1)], wanted)):
                 raise ValueError("a slice changed between two readings of the documents")
@@ -314,12 +334,12 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         cols = [np.zeros(n_docs, np.int64), np.zeros(n_docs, np.int64), np.zeros(n_docs), np.zeros(n_docs)]
         for i, j in slices(offsets):
             e, de, w, dw = symbols(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
-            seen = look_up(w).view(np.int32)
+            seen = look_up(w, *counts)
             base = np.log10(seen + 1.0) + unknown
             cols[0][i:j] = np.bincount(dw, minlength=j - i)
             cols[1][i:j] = np.bincount(dw, weights=seen > 0, minlength=j - i)
             cols[2][i:j] = np.bincount(dw, weights=base, minlength=j - i)
-            cols[3][i:j] = sums_by_text(e, de, j - i, look_up)
+            cols[3][i:j] = sums_by_text(e, de, j - i, lambda wanted: look_up(wanted, *events))
         return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": cols[0], "n_known": cols[1],
                          "train_tokens": np.full(n_docs, tokens), "base_score": cols[2], "score": cols[3]})
 

@@ -7,6 +7,8 @@ import random
 import re
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from siltmark.llm import bpe, decontamination, personal_data, ppm, quality
@@ -213,3 +215,14 @@ def test_pieces_of_a_long_number():
     assert len(personal_data.other_pieces(text, [])) < 100_000
     found = [{"kind": 2, "begin": b, "stop": e, "p": p} for b, e, p in ((0, 9, 0.95), (0, 19, 0.99), (10, 19, 0.95), (30, 39, 0.91))]
     assert [(x["begin"], x["stop"]) for x in personal_data.apart(found)] == [(0, 19), (30, 39)]
+
+
+def test_ppm_counts_beyond_32_bits():
+    keys = np.array([0x0A0A0A0A0A61, int(ppm.WORD_FLAG) + 7], np.uint64)
+    per_slice = np.array([3, 2**31 - 1], np.int32)
+    asked = pa.table({"slice": [0, 1, 2], "keys": pa.array([ppm.packed(keys)] * 2 + [ppm.packed(keys[1:])], pa.binary()),
+                      "counts": pa.array([ppm.packed(per_slice)] * 2 + [ppm.packed(per_slice[1:])], pa.binary())})
+    low = ppm.LowLevels(np.array([0x0A0A61]), np.array([6]))
+    for k, n in ((0, 1), (2, 0)):
+        (events, lengths), (words, counts) = ppm.gathered(ppm.answered(asked, low).slice(k, 1))
+        assert len(events) == len(lengths) == n and words.tolist() == [keys[1]] and counts.tolist() == [3 * (2**31 - 1)]
