@@ -82,8 +82,9 @@ def leading(v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """
     d = len(v)
     norm = float(np.abs(v).sum(axis=1).max()) or 1.0
-    tolerance = 8 * d * EPS * norm
-    counts = {-2 * norm: d, 2 * norm: 0}
+    v = v / norm
+    tolerance = 8 * d * EPS
+    counts = {-2.0: d, 2.0: 0}
 
     def count(s):
         if s not in counts:
@@ -106,7 +107,7 @@ def leading(v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
             raise ArithmeticError(f"eigenvalue {number} is not certified")
         values.append(value)
         vectors = np.vstack([vectors, x])
-    return np.array(values), vectors
+    return np.array(values) * norm, vectors
 
 
 def usable(embedding: str) -> Column:
