@@ -1,10 +1,11 @@
-"""SentencePiece encoding and decoding over a distinct-chunk table (operator 13).
+"""SentencePiece encoding and decoding over distinct-chunk tables (operator 13).
 
 No piece of the vocabulary has a white-space marker behind another character, so no merge crosses the start of a
 marked word: a text's tokens are those of its marked words, one after another.  Every slice of documents lists its
-distinct words with a code each; the words of all slices meet in one table sorted by word, where each distinct word
-is segmented once; ids go back to the slices by code and are joined to the documents by position.  Texts are not
-shuffled, only a code per position and the distinct words of each slice.
+distinct words with a code each; each distinct word is segmented once, all of them together; ids and decoded bytes of
+the table's entries are joined back to the documents by the code at each position.  Texts are not shuffled and a slice
+bounds memory.  A table for the whole corpus was built and left again: sending every slice's distinct words to it and
+the ids back shuffles several times the input, to save segmenting that costs less than the sending (see README).
 
 Segmenting follows the vocabulary's scores: the best-scored pair of neighbours is merged first, the leftmost among
 equals; characters without a piece become byte pieces.  Decoding feeds pieces to an incremental UTF-8 machine.
@@ -15,7 +16,6 @@ from __future__ import annotations
 import codecs
 import hashlib
 import heapq
-import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltmark.llm.sharing import read, text_or_empty
-from siltmark.llm.sliced import Names, in_code_order, packed_lists, unpacked_lists
 from siltmark.llm.textarrays import flat, slices
 
 MARK = "▁"
 LONG = 64
+SLICE = 8 << 20  # bytes of text that share a table
 NO_RANK = 1 << 40
 SHIFT = 22  # bits for a symbol; code points and pieces stay below
 
@@ -82,7 +82,8 @@ class Pieces:
         self.crossing = any(MARK in p.lstrip(MARK) for p in whole)
         used = {c for p in whole for c in p}
         self.alone = np.array([b < 128 and chr(b) not in used and b != 0x20 for b in range(256)])
-        self.text = [str(i) for i in range(n)]
+        self.labels = pa.array([f",{i}".encode() for i in range(n)], pa.large_binary())
+        self.spelled = pa.array(self.bytes_of, pa.large_binary())
 
     def cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Starts of all marked words in ``data`` (texts with their marker as a space), and its length."""
@@ -94,20 +95,26 @@ class Pieces:
         first[len(data)] = True
         return np.flatnonzero(first)
 
-    def segment(self, words: list[str]) -> Iterator[list[int]]:
-        """Ids of each marked word (its markers as spaces)."""
-        points = np.frombuffer("".join(words).replace(" ", MARK).encode("utf-32-le"), np.uint32)
+    def segment(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the marked words (their markers as spaces), one word after another, and how many each has."""
+        raw, _ = flat(words)
+        points = np.frombuffer(raw.tobytes().decode().replace(" ", MARK).encode("utf-32-le"), np.uint32)
         symbols = self.symbol_of_char[points]
-        sizes = np.array([len(w) for w in words], np.int64)
+        sizes = pc.utf8_length(words).to_numpy().astype(np.int64)
         ends = np.cumsum(sizes)
-        long = sizes > LONG
+        long = np.flatnonzero(sizes > LONG)
         owner = np.repeat(np.arange(len(words)), sizes)
-        short = self.merged_together(symbols[~long[owner]], owner[~long[owner]], len(words))
-        for w, ids in enumerate(short):
-            yield self.with_bytes(self.merged_long(symbols[ends[w] - sizes[w]:ends[w]].tolist()) if long[w] else ids)
-
-    def merged_together(self, ids: np.ndarray, owner: np.ndarray, n: int) -> list[list[int]]:
-        """Symbols of many short words after all merges; every round applies each word's next merge."""
+        short = (sizes <= LONG)[owner]
+        parts = [self.merged_together(symbols[short], owner[short])]
+        for w in long:
+            ids = np.array(self.merged_long(symbols[ends[w] - sizes[w]:ends[w]].tolist()), np.int64)
+            parts.append((np.full(len(ids), w), ids))
+        owner, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(owner, kind="stable")
+        return self.with_bytes(owner[order], ids[order], len(words))
+
+    def merged_together(self, ids: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Owners and symbols of many short words after all merges; every round applies each word's next merge."""
         done = [(owner[:0], ids[:0])]
         while len(ids):
             key = ids[:-1] << SHIFT | ids[1:]
@@ -123,10 +130,7 @@ class Pieces:
             ids[at] = self.pair_out[slot[at]]
             live[at + 1] = False
             ids, owner = ids[live], owner[live]
-        who, what = np.concatenate([o for o, _ in done]), np.concatenate([i for _, i in done])
-        order = np.argsort(who, kind="stable")
-        what, ends = what[order].tolist(), np.cumsum(np.bincount(who, minlength=n)).tolist()
-        return [what[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if n else []
+        return np.concatenate([o for o, _ in done]), np.concatenate([i for _, i in done])
 
     def merged_long(self, ids: list[int]) -> list[int]:
         """The same for one long word, with a queue of its pairs."""
@@ -147,15 +151,20 @@ class Pieces:
                     heapq.heappush(queue, (pairs[q][0], a, q))
         return [t for t, ok in zip(ids, alive, strict=True) if ok]
 
-    def with_bytes(self, symbols: list[int]) -> list[int]:
-        if not symbols or max(symbols) < self.size:
-            return symbols
-        return [i for s in symbols for i in ([s] if s < self.size else self.byte_id[list(chr(s - self.size).encode())].tolist())]
-
-    def joined(self, ids: list[int]) -> str:
-        """Text of ids inside a text: markers are spaces."""
-        state = codecs.getincrementaldecoder("utf-8")("replace")
-        return "".join([state.decode(self.bytes_of[i]) for i in ids]) + state.decode(b"", True)
+    def with_bytes(self, owner: np.ndarray, symbols: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids by owner and their number; a character without a piece becomes the pieces of its bytes."""
+        other = np.flatnonzero(symbols >= self.size)
+        if len(other):
+            kinds, which = np.unique(symbols[other], return_inverse=True)
+            spelled = [self.byte_id[list(chr(k - self.size).encode())] for k in kinds.tolist()]
+            times = np.ones(len(symbols), np.int64)
+            times[other] = np.array([len(x) for x in spelled])[which]
+            at = np.cumsum(times) - times
+            owner, symbols = np.repeat(owner, times), np.repeat(symbols, times)
+            for k in range(4):
+                sure = np.array([len(x) > k for x in spelled])[which]
+                symbols[at[other][sure] + k] = np.array([x[k] if len(x) > k else 0 for x in spelled])[which[sure]]
+        return symbols, np.bincount(owner, minlength=n)
 
     def marked(self, texts: pa.Array) -> pa.Array:
         """Texts as the model sees them: a marker in front, every marker as a space."""
@@ -163,14 +172,45 @@ class Pieces:
         return pc.binary_join_element_wise(pc.if_else(pc.equal(pc.binary_length(texts), 0), "", " ").cast(pa.large_string()), texts, pa.scalar("", pa.large_string()))
 
     def encode(self, text: str) -> list[int]:
-        data, offsets = flat(self.marked(pa.array([text], pa.string())))
-        cuts = self.cuts(data, offsets).tolist()
-        raw = data.tobytes()
-        return [i for ids in self.segment([raw[a:b].decode() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]) for i in ids]
+        words, codes, _ = self.chunks(*flat(self.marked(pa.array([text], pa.string()))))
+        ids, n = self.segment(words)
+        stops = np.concatenate([[0], np.cumsum(n)])
+        return [i for c in codes for i in ids[stops[c]:stops[c + 1]].tolist()]
 
     def decode(self, ids: Iterable[int]) -> str:
-        """Text of a whole text's ids; the marker in front is not text."""
-        return self.joined(list(ids)).removeprefix(" ")
+        """Text of a whole text's ids; the marker in front is not text, incomplete bytes become U+FFFD."""
+        state = codecs.getincrementaldecoder("utf-8")("replace")
+        return ("".join([state.decode(self.bytes_of[i]) for i in ids]) + state.decode(b"", True)).removeprefix(" ")
+
+    def chunks(self, data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Distinct marked words, the number of the word at each position, and the position each text ends at."""
+        cuts = self.cuts(data, offsets)
+        words = pa.Array.from_buffers(pa.large_string(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+        found = words.dictionary_encode()
+        return found.dictionary, found.indices.to_numpy(), np.searchsorted(cuts, offsets[1:])
+
+    def table(self, words: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array]:
+        """The chunk table: number of ids, ids as text (a comma before each) and decoded bytes of every distinct word."""
+        ids, n = self.segment(words)
+        return n, joined(self.labels, ids, n), joined(self.spelled, ids, n)
+
+
+def joined(strings: pa.Array, ids: np.ndarray, n: np.ndarray) -> pa.Array:
+    """One binary per word: the strings of its ids, one after another."""
+    each = strings.take(pa.array(ids))
+    _, offsets, data = each.buffers()
+    ends = np.frombuffer(offsets, np.int64)[np.concatenate([[0], np.cumsum(n)])] if len(each) else np.zeros(len(n) + 1, np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends), data])
+
+
+def by_text(strings: pa.Array, codes: pa.Array, ends: np.ndarray) -> Iterator[memoryview]:
+    """For each text, the table's strings at its positions, one after another."""
+    each = strings.take(codes)
+    _, offsets, data = each.buffers()
+    stops = np.frombuffer(offsets, np.int64)[np.concatenate([[0], ends])] if len(each) else np.zeros(len(ends) + 1, np.int64)
+    view = memoryview(data) if data is not None else memoryview(b"")
+    for a, b in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True):
+        yield view[a:b]
 
 
 def default_path() -> str:
@@ -188,116 +228,61 @@ def vocabulary(path: str | None) -> Pieces:
     return _LOADED[path]
 
 
-def word_slices(batches, path: str | None):
-    """Each slice's name, rows of its batch, distinct words, codes by position and the positions each text ends at."""
-    name, voc = Names(), vocabulary(path)
-    for b in batches:
-        data, offsets = flat(voc.marked(b.column(1)))
-        for i, j in slices(offsets):
-            part, at = data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]
-            cuts = voc.cuts(part, at)
-            words = pa.Array.from_buffers(pa.large_string(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(part))])
-            found = words.dictionary_encode()
-            yield name(), b.slice(i, j - i), found.dictionary, found.indices.to_numpy(), np.searchsorted(cuts, at[1:])
-
-
-def stamp(words: pa.Array) -> int:
-    """Checksum of a slice's distinct words in code order."""
-    data, offsets = flat(words)
-    return zlib.crc32(np.ascontiguousarray(data).data, zlib.crc32(np.ascontiguousarray(offsets).data))
-
-
-def chunk_table(words: DataFrame, path: str | None = None) -> DataFrame:
-    """``slice, code, n, ids, text`` for ``slice, code, word``: words are sorted, each distinct one is segmented once."""
-
-    def run(batches):
-        voc, last = vocabulary(path), None
-        for b in batches:
-            found = b.column(2).dictionary_encode()
-            texts = found.dictionary.to_pylist()
-            fresh = [w for w in texts if last is None or w != last[0]]
-            # a word that goes on from the batch before keeps its entry
-            rows = {} if last is None else {last[0]: last[1]}
-            for w, ids in zip(fresh, voc.segment(fresh), strict=True):
-                rows[w] = len(ids), "," + ",".join([voc.text[i] for i in ids]), voc.joined(ids)
-            entries = [rows[w] for w in texts]
-            if texts:
-                last = texts[-1], entries[-1]
-            at = found.indices
-            cols = [pa.array([e[k] for e in entries], kind).take(at) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["slice", "code", "n", "ids", "text"])
-
-    return words.repartition("word").sortWithinPartitions("word").mapInArrow(run, "slice long, code int, n long, ids string, text string")
-
-
-def sliced_words(d: DataFrame, path: str | None) -> tuple[DataFrame, DataFrame]:
-    """Distinct words ``slice, code, word`` of every slice of ``doc_id, text``; and ``slice, doc_id, codes, stamp`` by document."""
-    kind = d.schema["doc_id"].dataType.simpleString()
-
-    def words(batches):
-        for name, _, distinct, _, _ in word_slices(batches, path):
-            k = len(distinct)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, name), pa.int64()), pa.array(np.arange(k), pa.int32()), distinct.cast(pa.string())], ["slice", "code", "word"])
-
-    def positions(batches):
-        for name, rows, distinct, codes, ends in word_slices(batches, path):
-            k = rows.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, name), pa.int64()), rows.column(0), packed_lists(codes, ends, len(distinct)),
-                                              pa.array(np.full(k, stamp(distinct)), pa.int64())], ["slice", "doc_id", "codes", "stamp"])
-
-    return d.mapInArrow(words, "slice long, code int, word string"), d.mapInArrow(positions, f"slice long, doc_id {kind}, codes binary, stamp long")
-
-
-def laid_out(docs: pa.Table, answers: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
-    """Answers in code order, the code at every position of the slice's documents, and the positions each ends at."""
-    answers = in_code_order(answers)
-    if len(docs) and any(s != stamp(answers.column("text").combine_chunks()) for s in set(docs.column("stamp").to_pylist())):
-        raise ValueError("a slice changed between two readings of the documents")
-    codes, sizes = unpacked_lists(docs.column("codes"), len(answers))
-    return answers, codes, np.cumsum(sizes)
+def digests(texts: pa.Array, voc: Pieces) -> Iterator[tuple[int, str, str]]:
+    """Number of ids, SHA-256 of the ids and of the decoded text of every text of one slice."""
+    words, codes, ends = voc.chunks(*flat(voc.marked(texts)))
+    n, ids, back = voc.table(words)
+    total = np.concatenate([[0], np.cumsum(n[codes])])
+    at = pa.array(codes)
+    spelled = pc.equal(back, words.cast(pa.large_binary()))
+    if not pc.all(spelled, min_count=0).as_py():
+        raise ValueError("the model's pieces do not spell what they encode")
+    for start, end, i, d in zip([0, *ends[:-1].tolist()], ends.tolist(), by_text(ids, at, ends), by_text(back, at, ends), strict=True):
+        # the comma in front is not of the list, the space in front not of the text
+        yield int(total[end] - total[start]), hashlib.sha256(i[1:]).hexdigest(), hashlib.sha256(d[1:]).hexdigest()
 
 
 def encode_digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` per document.
 
     A null text counts as empty and has no tokens; a null id stays null; repeated rows give repeated results;
-    other columns are not read; no rows in, no rows out.  ``docs`` is read twice and must give the same rows in the
-    same partitions, as a table scan does; a slice that changed fails the job instead of giving wrong digests.
+    other columns are not read; no rows in, no rows out.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     kind = d.schema["doc_id"].dataType.simpleString()
-    words, placed = sliced_words(d, path)
-    answers = chunk_table(words, path)
 
-    def join_back(rows, found):
-        found, codes, ends = laid_out(rows, found)
-        total = np.concatenate([[0], np.cumsum(found.column("n").to_numpy()[codes])])
-        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-        at = pa.array(codes)
-        hashes = []
-        for column, skip in (("ids", 1), ("text", 1)):
-            data, offsets = flat(found.column(column).combine_chunks().cast(pa.large_string()).take(at))
-            data = np.ascontiguousarray(data).data
-            hashes.append([hashlib.sha256(data[offsets[a] + skip:offsets[b]] if b > a else b"").hexdigest() for a, b in zip(starts, ends, strict=True)])
-        return pa.table({"doc_id": rows.column("doc_id"), "n_tokens": pa.array(total[ends] - total[starts], pa.int64()), "ids_sha256": pa.array(hashes[0], pa.string()),
-                         "decoded_sha256": pa.array(hashes[1], pa.string())})
+    def run(batches):
+        voc = vocabulary(path)
+        for b in batches:
+            _, offsets = flat(b.column(1))
+            for i, j in slices(offsets, SLICE):
+                got = list(digests(b.column(1).slice(i, j - i), voc))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(i, j - i), *(pa.array([g[k] for g in got], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string())))],
+                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return placed.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(join_back, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return d.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_ids(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The ids themselves: ``doc_id, ids array<int>``, same rules as ``encode_digests``."""
     d = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     kind = d.schema["doc_id"].dataType.simpleString()
-    words, placed = sliced_words(d, path)
-
-    def join_back(rows, found):
-        found, codes, ends = laid_out(rows, found)
-        table = [[int(i) for i in ids.split(",")[1:]] for ids in found.column("ids").to_pylist()]
-        out = [[i for c in codes[a:b] for i in table[c]] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if len(ends) else []
-        return pa.table({"doc_id": rows.column("doc_id"), "ids": pa.array(out, pa.list_(pa.int32()))})
 
-    return placed.groupBy("slice").cogroup(chunk_table(words, path).groupBy("slice")).applyInArrow(join_back, f"doc_id {kind}, ids array<int>")
+    def run(batches):
+        voc = vocabulary(path)
+        for b in batches:
+            _, offsets = flat(b.column(1))
+            for i, j in slices(offsets, SLICE):
+                words, codes, ends = voc.chunks(*flat(voc.marked(b.column(1).slice(i, j - i))))
+                ids, n = voc.segment(words)
+                stops = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                table = pa.ListArray.from_arrays(pa.array(stops), pa.array(ids.astype(np.int32)))
+                each = table.take(pa.array(codes))
+                at = np.concatenate([[0], np.cumsum(n[codes])])[np.concatenate([[0], ends])].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(at), each.flatten())], ["doc_id", "ids"])
+
+    return d.mapInArrow(run, f"doc_id {kind}, ids array<int>")
 
 
 def decode_ids(tokens: DataFrame, path: str | None = None) -> DataFrame:
