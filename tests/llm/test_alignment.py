@@ -47,18 +47,15 @@ def test_pieces_match_the_library_on_hostile_texts(model):
         assert voc.decode(model.encode(t)) == model.decode(model.encode(t)), t
 
 
-def test_each_distinct_word_is_segmented_once(spark, monkeypatch):
-    voc = pieces.vocabulary(None)
-    seen = []
-    monkeypatch.setattr(pieces.Pieces, "segment", lambda self, words, f=pieces.Pieces.segment: (seen.extend(words), f(self, words))[1])
+def test_words_are_cut_at_markers_and_listed_once():
     import pyarrow as pa
-    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["the cat the cat", "the dog"])], ["doc_id", "text"])
-    data, offsets = pieces.flat(voc.marked(batch.column(1)))
-    cuts = voc.cuts(data, offsets)
-    assert [data.tobytes()[a:b].decode() for a, b in zip(cuts[:-1], cuts[1:])] == [" the", " cat", " the", " cat", " the", " dog"]
+    voc = pieces.vocabulary(None)
+    words, codes, ends = voc.chunks(*pieces.flat(voc.marked(pa.array(["the cat the cat", None, "", "the\n\ndog  x "]))))
+    assert words.to_pylist() == [" the", " cat", "\n\n", "dog", "  x", " "]
+    assert codes.tolist() == [0, 1, 0, 1, 0, 2, 3, 4, 5] and ends.tolist() == [4, 4, 4, 9]
 
 
-def test_a_changed_slice_fails_instead_of_giving_wrong_ids():
+def test_incomplete_answers_fail():
     import pyarrow as pa
     from siltmark.llm.sliced import in_code_order
     with pytest.raises(ValueError):
