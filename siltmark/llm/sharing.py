@@ -9,13 +9,20 @@ from siltmark.session import release, shared_folder, stable
 
 ROW = "_siltmark_row"
 
-__all__ = ["ROW", "read", "release", "shared_folder", "stable", "text_or_empty", "id_bucket", "numbered", "only_rows"]
+__all__ = ["ROW", "read", "release", "shared_folder", "stable", "stored", "text_or_empty", "id_bucket", "numbered", "only_rows"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read from there: one job, and nothing of it stays on the driver."""
+    path = shared_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
