@@ -102,22 +102,68 @@ def test_near_group_without_common_head(spark, tmp_path_factory):
     assert got == {i: c for i, _, c in near_brute(rows)}
 
 
-def test_blocks_within_bands(spark, monkeypatch):
+def test_blocks_of_large_bands(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
-    rows = [(1, 20, bytes([k]), bytes([k % 3]), [0] * near_dedup.LANES) for k in range(20)] + [(2, 1, b"x", b"y", [0] * near_dedup.LANES)]
-    df = spark.createDataFrame(rows, "key long, n long, cls binary, root binary, sketch array<long>")
-    got = {(bytes(r.a), bytes(r.b)) for r in near_dedup.within_bands(df).collect()}
-    assert got == {(bytes([a]), bytes([b])) for a in range(20) for b in range(a + 1, 20) if a % 3 != b % 3}
+    blank = bytes(near_dedup.SKETCH_BITS // 8)
+    rows = [(1, 20, 3, k, k % 3, blank) for k in range(20)] + [(2, 1, 50, 50, 51, blank)]
+    df = spark.createDataFrame(rows, "key long, n long, head long, node long, root long, sketch binary")
+    got = {(r.a, r.b) for r in near_dedup.cross_pairs(df).collect()}
+    assert got == {(a, b) for a in range(20) for b in range(a + 1, 20) if a % 3 != b % 3}
+    # every block is a tree that holds the head
+    trees = [(r.a, r.b) for r in near_dedup.band_forests(df).collect()]
+    assert len(trees) == 19 and {r.root for r in near_dedup.connected(spark.createDataFrame(trees, "a long, b long")).collect()} == {0}
+
+
+def test_forest_is_short_and_spans():
+    rng = np.random.default_rng(5)
+    path = rng.integers(0, 2 ** 64, (1, near_dedup.LANES), dtype=np.uint64)
+    step = np.zeros((40, near_dedup.SKETCH_BITS), np.uint8)
+    for k in range(1, 40):  # each row differs from the one before in 60 more bits
+        step[k] = step[k - 1]
+        step[k, (k - 1) * 50:(k - 1) * 50 + 60] ^= 1
+    rows = np.packbits(step, axis=1).view(np.uint64) ^ path
+    edges = near_dedup.forest(rows)
+    assert len(edges) == 39 and len({b for _, b in edges} | {a for a, _ in edges}) == 40
+    far = np.concatenate([rows, rng.integers(0, 2 ** 64, (3, near_dedup.LANES), dtype=np.uint64)])
+    assert sorted(near_dedup.forest(far)) == sorted(edges)
+    assert near_dedup.forest(rows[:1]) == [] and near_dedup.forest(rows[[0, 0]]) == [(0, 1)]
+
+
+@pytest.mark.parametrize("edges", [[], [(1, 2)], [(k, k + 1) for k in range(200)], [(k, (k * 7 + 3) % 101) for k in range(101)], [(5, 5 + k) for k in range(1, 40)] + [(100, 101)]])
+def test_connected(spark, tmp_path, edges):
+    path = str(tmp_path / "edges")
+    spark.createDataFrame([e for e in edges if e[0] != e[1]], "a long, b long").write.parquet(path)
+    up = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = top(a), top(b)
+            up[max(x, y)] = min(x, y)
+    assert {r.node: r.root for r in near_dedup.connected(spark.read.parquet(path)).collect()} == {x: top(x) for x in list(up)}
 
 
-def test_odd_sketch_counts_differences():
+def test_odd_sketches_part_near_from_far():
     rng = np.random.default_rng(1)
-    a = rng.integers(0, 2 ** 64, 2000, dtype=np.uint64)
-    b = np.r_[a[:1750], rng.integers(0, 2 ** 64, 250, dtype=np.uint64)]  # similarity 0.78
-    c = rng.integers(0, 2 ** 64, 2000, dtype=np.uint64)
-    _, _, sk = near_dedup.signatures(np.r_[np.sort(a), np.sort(b), np.sort(c)], np.array([2000] * 3))
-    count = lambda x, y: int(np.bitwise_count(sk[x] ^ sk[y]).sum())
-    assert count(0, 1) <= near_dedup.sketch_limit() < count(0, 2)
+    make = lambda n: rng.integers(0, 2 ** 64, n, dtype=np.uint64)
+    counts = collections.defaultdict(list)
+    for _ in range(12):
+        base = make(1000)
+        sets = [np.sort(base)] + [np.sort(np.r_[base[:1000 - k], make(k)]) for k in (143, 250, 400)]  # similarity 0.75, 0.6, 0.43
+        sk = near_dedup.sketches(np.concatenate(sets), np.arange(4) * 1000)
+        for k in range(1, 4):
+            counts[k].append(int(np.bitwise_count(sk[0] ^ sk[k]).sum()))
+    assert max(counts[1]) <= near_dedup.sketch_limit() < min(counts[2] + counts[3])
+    assert abs(np.mean(counts[1]) - near_dedup.expected_bits(0.75)) < 25
+
+
+def test_near_nothing(none, spark):
+    assert near_dedup.near_duplicates(none).count() == 0
+    assert near_dedup.drop_near_copies(none).columns == none.columns and near_dedup.drop_near_copies(none).count() == 0
 
 
 def test_components_of_a_long_path(spark):
