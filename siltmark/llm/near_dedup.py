@@ -8,9 +8,9 @@ that differ, precisely at high similarity.
 Candidates are verified in two passes over the bands.  The first compares the sketches of a band's rows, block by block
 of bounded size, and sends on a forest only: trees of sure pairs, joined by the nearest of the other pairs that may be
 links.  The forests' edges are confirmed on the full sets and form components.  The second pass looks at bands that
-still hold several components and sends on every pair of two components whose sketches allow a link; those are
-confirmed as well.  So every link between components is confirmed or refuted on full sets, and what is sent on grows
-with the rows, not with the pairs, of a group.  A pair at similarity 0.75 shares no band with probability
+still hold several components: rows that have a row of another component within the sketches' reach get their full sets
+brought along, and every such pair is confirmed or refuted on the spot, in the first band it shares.  So every link
+between components is decided on full sets, and what is sent on grows with the rows, not with the pairs, of a group.  A pair at similarity 0.75 shares no band with probability
 (1 - 0.75^4)^30 = 1e-5, and its sketch is rejected about as rarely, four and a half standard deviations below.
 """
 
@@ -35,6 +35,7 @@ NUMERATOR, DENOMINATOR = 75, 100
 DEVIATIONS = 4.5
 SURE = 0.8  # estimated similarity from which a pair is taken for a likely link
 BLOCK = 2048
+BLOCK_SHINGLES = 1 << 23
 SETS = 1024  # sets whose sketches are folded together
 
 _FACTORS = np.random.default_rng(750).integers(0, 2 ** 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -142,12 +143,12 @@ def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
-    """``node, sketch, members``: odd sketch and whole sorted shingle set of the rows ``node`` with set key ``cls``."""
-    texts = numbered(docs).select(F.col(ROW).alias("node"), F.col(text_col).alias("text")).join(wanted, "node").select("node", "cls", "text")
+    """``node, bands, sketch, members``: odd sketch and whole sorted shingle set of the rows ``node`` with set key ``cls``."""
+    texts = numbered(docs).select(F.col(ROW).alias("node"), F.col(text_col).alias("text")).join(wanted, "node").select("node", "cls", "bands", "text")
 
     def run(batches):
         for b in batches:
-            data, offsets = flat(b.column(2))
+            data, offsets = flat(b.column(3))
             for i, j in slices(offsets):
                 for i, j in zip(range(i, j, SETS), [*range(i + SETS, j, SETS), j], strict=True):
                     values, sizes = shingle_sets(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
@@ -155,10 +156,16 @@ def full_sets(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
                     if not sizes.all() or _fixed(set_keys(values, ends - sizes), 16).to_pylist() != b.column(1).slice(i, j - i).to_pylist():
                         raise ValueError("a row changed between two readings of the documents")
                     full = [values[e - s:e].tobytes() for e, s in zip(ends, sizes, strict=True)]
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), _fixed(sketches(values, ends - sizes), SKETCH_BITS // 8), pa.array(full, pa.binary())],
-                                                     ["node", "sketch", "members"])
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), _fixed(sketches(values, ends - sizes), SKETCH_BITS // 8),
+                                                      pa.array(full, pa.binary())], ["node", "bands", "sketch", "members"])
+
+    return texts.mapInArrow(run, "node long, bands array<long>, sketch binary, members binary")
+
 
-    return texts.mapInArrow(run, "node long, sketch binary, members binary")
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -166,11 +173,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def check(batches):
         for b in batches:
-            ok = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both))
+            ok = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a")
@@ -265,31 +268,79 @@ def band_forests(members: DataFrame) -> DataFrame:
     return m.mapInArrow(run, "a long, b long").distinct()
 
 
-def cross_pairs(members: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` of ``key, n, node, root, sketch`` (n rows have the key) that share a key, differ in root and may be a link.
-
-    A key's rows are dealt to blocks; two blocks meet in one task, which holds no more than two blocks.
-    """
-    m = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+def block_pairs(members: DataFrame, blocks, *columns: str) -> DataFrame:
+    """Rows of each ``key`` dealt to ``blocks`` blocks; every two blocks, and each with itself, form a group ``key, i, j``."""
+    m = members.withColumn("blocks", blocks)
     m = m.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    m = m.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "root", "sketch")
-    m = m.repartition(shuffle_partitions(members), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    limit = sketch_limit()
+    m = m.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "root", "bands", "sketch", *columns)
+    return m.repartition(shuffle_partitions(members), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def crossing(g: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows of a group, and the bits they differ in, that differ in root, may be a link and share no earlier band.
+
+    Of a group of two blocks only pairs between the blocks count.
+    """
+    root, mine = (g.column(c).to_numpy() for c in ("root", "mine"))
+    key, i, j = (g.column(c)[0].as_py() for c in ("key", "i", "j"))
+    bands, sketch, limit = np.asarray(g.column("bands").combine_chunks().flatten()).reshape(-1, BANDS), _lanes(g.column("sketch")), sketch_limit()
+    left, right, out = np.flatnonzero(mine == i), np.flatnonzero(mine == j), []
+    for x in left:
+        r = right[(right > x) | (i != j)]
+        r = r[root[r] != root[x]]
+        bits = np.bitwise_count(sketch[r] ^ sketch[x]).sum(axis=1)
+        r, bits = r[bits <= limit], bits[bits <= limit]
+        if len(r):
+            first = bands[x][(bands[r] == bands[x]).argmax(axis=1)] == key
+            out.append((np.full(first.sum(), x), r[first], bits[first]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, int),) * 3
+
+
+def undecided(members: DataFrame) -> DataFrame:
+    """Those ``key, node`` of ``key, n, node, root, bands, sketch`` (n rows have the key) that may be linked with another root in that band."""
 
     def run(batches):
         for g in by_group(batches, 3):
-            node, root, mine = (g.column(c).to_numpy() for c in ("node", "root", "mine"))
-            i, j, sketch = g.column("i")[0].as_py(), g.column("j")[0].as_py(), _lanes(g.column("sketch"))
-            left, right, out = np.flatnonzero(mine == i), np.flatnonzero(mine == j), ([], [])
-            for x in left:
-                r = right[(right > x) | (i != j)]
-                r = r[root[r] != root[x]]
-                r = r[np.bitwise_count(sketch[r] ^ sketch[x]).sum(axis=1) <= limit]
-                out[0].extend([x] * len(r))
-                out[1].extend(r.tolist())
-            if out[0]:
-                yield _pairs(node, *out)
+            a, b, _ = crossing(g)
+            rows = np.union1d(a, b)
+            if len(rows):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), g.column("key")[0].as_py())), pa.array(g.column("node").to_numpy()[rows])], ["key", "node"])
+
+    return block_pairs(members, F.ceil(F.col("n") / BLOCK).cast("int")).mapInArrow(run, "key long, node long").distinct()
+
+
+def cross_links(members: DataFrame) -> DataFrame:
+    """Links ``a, b`` that join the roots of the rows ``key, node, root, bands, sketch, members`` of each key, decided on the full sets.
+
+    Blocks are bounded in rows and in shingles; two of them meet in one task.
+    """
+    sizes = members.groupBy("key").agg(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.length("members")) / 8 / BLOCK_SHINGLES).alias("parts"))
+    m = block_pairs(members.join(sizes, "key"), F.ceil("parts").cast("int"), "members")
+
+    def run(batches):
+        for g in by_group(batches, 3):
+            a, b, bits = crossing(g)
+            if not len(a):
+                continue
+            root, full = g.column("root").to_numpy(), g.column("members")
+            up = {r: r for r in set(root[np.union1d(a, b)].tolist())}
+
+            def top(t, up=up):
+                while up[t] != t:
+                    up[t] = t = up[up[t]]
+                return t
+
+            found = ([], [])
+            for k in np.argsort(bits, kind="stable"):
+                x, y = int(a[k]), int(b[k])
+                r, s = top(int(root[x])), top(int(root[y]))
+                if r != s and similar(*(np.frombuffer(full[z].as_buffer(), np.uint64) for z in (x, y))):
+                    up[s] = r
+                    found[0].append(x)
+                    found[1].append(y)
+            if found[0]:
+                yield _pairs(g.column("node").to_numpy(), *found)
 
     return m.mapInArrow(run, "a long, b long").distinct()
 
@@ -334,17 +385,13 @@ def linked(docs: DataFrame, reps: DataFrame, text_col: str) -> DataFrame:
     member = reps.select("node", F.explode("bands").alias("key"))
     shared = member.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("head")).filter("n > 1")
     cand = stored(member.join(shared, "key").select("key", "n", "head", "node"), "candidates")
-    chosen = reps.select("node", "cls").join(cand.select("node").distinct(), "node")
+    chosen = reps.join(cand.select("node").distinct(), "node")
     # stored by node, so that joins with pairs of nodes move the pairs only
     sets = stable(full_sets(docs, chosen, text_col).repartition(shuffle_partitions(docs), "node"))
-    sketch = sets.select("node", "sketch")
-
-    forests = stored(band_forests(cand.join(sketch, "node")), "forests")
+    forests = stored(band_forests(cand.join(sets.select("node", "sketch"), "node")), "forests")
     roots = connected(stored(confirmed(forests, sets), "links"))
-    rest = stored(cross_pairs(open_bands(cand, roots).join(sketch, "node")), "pairs")
-    if rest.isEmpty():
-        return roots
-    more = stored(confirmed(rest, sets), "links")
+    rest = stored(undecided(open_bands(cand, roots).join(sets.select("node", "bands", "sketch"), "node")), "undecided")
+    more = stored(cross_links(with_roots(rest, roots).join(sets, "node")), "links")
     if more.isEmpty():
         return roots
     ends = with_roots(with_roots(more.withColumnRenamed("a", "node"), roots).select(F.col("root").alias("a"), F.col("b").alias("node")), roots)
