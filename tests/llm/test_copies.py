@@ -104,11 +104,22 @@ def test_near_group_without_common_head(spark, tmp_path_factory):
 
 def test_blocks_of_large_bands(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
-    blank = bytes(near_dedup.SKETCH_BITS // 8)
-    rows = [(1, 20, 3, k, k % 3, blank) for k in range(20)] + [(2, 1, 50, 50, 51, blank)]
-    df = spark.createDataFrame(rows, "key long, n long, head long, node long, root long, sketch binary")
-    got = {(r.a, r.b) for r in near_dedup.cross_pairs(df).collect()}
-    assert got == {(a, b) for a in range(20) for b in range(a + 1, 20) if a % 3 != b % 3}
+    blank, bands = bytes(near_dedup.SKETCH_BITS // 8), [1] + list(range(-29, 0))
+    base = np.arange(100, dtype=np.uint64)
+    full = lambda k: (base + np.uint64(1000 * (k % 5))).tobytes()
+    rows = [(1, 20, 3, k, k % 3, bands, blank, full(k)) for k in range(20)] + [(2, 1, 50, 50, 51, [2] * 30, blank, full(0))]
+    df = spark.createDataFrame(rows, "key long, n long, head long, node long, root long, bands array<long>, sketch binary, members binary")
+    assert {(r.key, r.node) for r in near_dedup.undecided(df).collect()} == {(1, k) for k in range(20)}
+    # links join equal sets of different roots, and join all roots that have any
+    links = [(r.a, r.b) for r in near_dedup.cross_links(df).collect()]
+    assert links and all(a % 5 == b % 5 and a % 3 != b % 3 for a, b in links)
+    up = {r: r for r in range(3)}
+    for a, b in links:
+        up = {r: up[a % 3] if t == up[b % 3] else t for r, t in up.items()}
+    assert len(set(up.values())) == 1
+    # a pair that shares an earlier band is left to that band
+    later = df.withColumn("key", near_dedup.F.lit(-29))
+    assert near_dedup.undecided(later).count() == 0
     # every block is a tree that holds the head
     trees = [(r.a, r.b) for r in near_dedup.band_forests(df).collect()]
     assert len(trees) == 19 and {r.root for r in near_dedup.connected(spark.createDataFrame(trees, "a long, b long")).collect()} == {0}
