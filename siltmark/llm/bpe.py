@@ -1,10 +1,12 @@
 """Byte-pair encoding and decoding as streaming transducers (operator 4).
 
 A merge list has a sufficient lookahead: how many bytes to the right of a token end can still change
-whether that end is a token boundary.  It follows from the list alone (``sufficient_lookahead``).  A
-pre-token longer than the window is therefore encoded in windows: tokens that end that far before the
-window's end are stable and are emitted, the rest is carried over.  Memory stays constant however long
-a text or word is.  Decoding feeds token bytes to an incremental UTF-8 state machine.
+whether that end is a token boundary.  It follows from the list alone (``sufficient_lookahead``).  The transducer is
+fed bytes window by window, words one after another; tokens that end that far before the window's end, or belong to a
+word that ends inside it, are stable and are emitted, and the rest of the last word is fed again with the next window.
+So memory stays constant however long a word is.  Its output for the distinct words of a slice of documents is the
+slice's cache; documents take their tokens from it by the number of the word at each position.  Long texts are cut
+where no pre-token can span.  Decoding feeds token bytes to an incremental UTF-8 state machine.
 """
 
 from __future__ import annotations
@@ -12,7 +14,6 @@ from __future__ import annotations
 import codecs
 import hashlib
 import heapq
-import itertools
 import json
 import re
 import sys
@@ -21,37 +22,27 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltmark.llm.pieces import by_text, joined
 from siltmark.llm.sharing import read, text_or_empty
+from siltmark.llm.textarrays import flat
 
-# fixed values: white space, and the pre-token pattern of the public byte-level vocabularies
-SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-PRETOKEN = r" ?[{L}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
-MEMO_WORDS = 300_000
-MEMO_BYTES = 48
+# fixed values: white space of the public byte-level vocabularies' pre-token pattern, and its contractions
+SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+CONTRACTIONS = "s", "t", "re", "ve", "m", "ll", "d"
+OTHER, LETTER, NUMBER, SPACE = range(4)
 NO_RANK = 1 << 40
 MIX = 0x9E3779B97F4A7C15
-WINDOW = 4096
-DECODE_BLOCK = 1 << 16
-GROUP_CHARS = 1 << 20
+WINDOW = 1 << 18
+LONG = 64
+SEGMENT = 1 << 20  # characters of a text that are cut into words at once
+SLICE = 8 << 20  # bytes of text that share a cache
 TABLE_BITS = 18
 
 
-def category_ranges(initial: str) -> str:
-    """Character-class ranges of all code points whose Unicode category starts with ``initial``."""
-    out, start = [], None
-    for c in range(sys.maxunicode + 2):
-        inside = c <= sys.maxunicode and unicodedata.category(chr(c))[0] == initial
-        if inside and start is None:
-            start = c
-        elif not inside and start is not None:
-            out.append(re.escape(chr(start)) + "-" + re.escape(chr(c - 1)))
-            start = None
-    return "".join(out)
-
-
 def byte_letters() -> dict[str, int]:
     """Printable letter of every byte in byte-level vocabulary files, inverted."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -64,6 +55,16 @@ def byte_letters() -> dict[str, int]:
     return out
 
 
+def character_kinds() -> np.ndarray:
+    """Letter, number, white space or other for every code point."""
+    initial = np.frombuffer("".join([unicodedata.category(chr(c))[0] for c in range(sys.maxunicode + 1)]).encode(), np.uint8)
+    kinds = np.zeros(sys.maxunicode + 1, np.uint8)
+    kinds[initial == ord("L")] = LETTER
+    kinds[initial == ord("N")] = NUMBER
+    kinds[SPACES] = SPACE
+    return kinds
+
+
 def sufficient_lookahead(merges: list[tuple[bytes, bytes]]) -> int:
     """Bytes to the right of a boundary that can influence it.
 
@@ -101,11 +102,13 @@ class Transducer:
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         for s, i in self.special.items():
             self.bytes_of[i] = s.encode()
-        self.split = re.compile(PRETOKEN.format(L=category_ranges("L"), N=category_ranges("N"), S=SPACE))
         self.special_at = re.compile("|".join(map(re.escape, self.special))) if self.special else None
-        self.first = [self.id_of[bytes([b])] for b in range(256)]
-        self.first_np = np.array(self.first, np.int64)
-        self.memo: dict[str, tuple[int, str, bytes]] = {}
+        self.first = np.array([self.id_of[bytes([b])] for b in range(256)], np.int64)
+        self.kinds = character_kinds()
+        size = max(self.bytes_of) + 1
+        self.labels = pa.array([f",{i}".encode() for i in range(size)], pa.large_binary())
+        self.spelled = pa.array([self.bytes_of.get(i, b"") for i in range(size)], pa.large_binary())
+        self.length = pc.binary_length(self.spelled).to_numpy()
         self.fill_table()
 
     def fill_table(self) -> None:
@@ -135,159 +138,178 @@ class Transducer:
             todo = todo[(there != k[todo]) & (there >= 0)]
         return h
 
-    def merged_many(self, words: list[bytes]) -> list[list[int]]:
-        """``merged`` of many short words at once: every round applies each word's next merge."""
-        ids = self.first_np[np.frombuffer(b"".join(words), np.uint8)]
-        owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
-        done: list[tuple[np.ndarray, np.ndarray]] = []
+    def merged_together(self, ids: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Owners and tokens of many short words after all merges; every round applies each word's next merge."""
+        done = [(owner[:0], ids[:0])]
         while len(ids):
             slot = self.look_up(ids[:-1], ids[1:])
             rank = np.append(np.where(owner[:-1] == owner[1:], self.slot_rank[slot], NO_RANK), NO_RANK)
-            starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            best = np.minimum.reduceat(rank, starts)
-            best = np.repeat(best, np.diff(np.r_[starts, len(ids)]))
+            starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            best = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.append(starts, len(ids))))
             live = best < NO_RANK
             done.append((owner[~live], ids[~live]))
             at = np.flatnonzero(live & (rank == best))
-            at = at[np.r_[True, owner[at][1:] != owner[at][:-1]]] if len(at) else at
+            at = at[np.append(True, owner[at][1:] != owner[at][:-1])] if len(at) else at
             ids[at] = self.slot_out[slot[at]]
             live[at + 1] = False
             ids, owner = ids[live], owner[live]
-        owner = np.concatenate([o for o, _ in done]) if done else np.empty(0, np.int64)
-        flat = np.concatenate([i for _, i in done]) if done else owner
-        order = np.argsort(owner, kind="stable")
-        flat = flat[order].tolist()
-        ends = np.cumsum(np.bincount(owner, minlength=len(words))).tolist()
-        return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if words else []
-
-    def learn(self, words: set[str]) -> None:
-        """Put the entries of unseen short words into the memo."""
-        new = [w for w in words if len(w) <= MEMO_BYTES]
-        raw = [w.encode() for w in new]
-        token = self.bytes_of
-        for w, ids in zip(new, self.merged_many(raw), strict=True):
-            self.memo[w] = (len(ids), ",".join(map(str, ids)), b"".join([token[i] for i in ids]))
-
-    def merged(self, data: bytes) -> list[int]:
-        """All merges of one window, lowest rank first, leftmost among equals."""
-        ids = [self.first[b] for b in data]
-        rank = self.rank
-        if len(ids) <= 24:
-            while len(ids) > 1:
-                best = min(((rank[p][0], i) for i in range(len(ids) - 1) if (p := (ids[i], ids[i + 1])) in rank), default=None)
-                if best is None:
-                    break
-                i = best[1]
-                ids[i:i + 2] = [rank[ids[i], ids[i + 1]][1]]
-            return ids
-        n = len(ids)
+        return np.concatenate([o for o, _ in done]), np.concatenate([i for _, i in done])
+
+    def merged_long(self, ids: list[int]) -> list[int]:
+        """The same for one long word, with a queue of its pairs."""
+        n, rank = len(ids), self.rank
         after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap = [(rank[p][0], i, p) for i in range(n - 1) if (p := (ids[i], ids[i + 1])) in rank]
-        heapq.heapify(heap)
-        while heap:
-            _, i, p = heapq.heappop(heap)
+        queue = [(rank[p][0], i, p) for i in range(n - 1) if (p := (ids[i], ids[i + 1])) in rank]
+        heapq.heapify(queue)
+        while queue:
+            _, i, p = heapq.heappop(queue)
             j = after[i]
             if not alive[i] or j >= n or (ids[i], ids[j]) != p:
                 continue
-            ids[i] = rank[p][1]
-            alive[j] = False
-            after[i] = after[j]
+            ids[i], alive[j], after[i] = rank[p][1], False, after[j]
             if after[j] < n:
                 before[after[j]] = i
             for a, b in ((before[i], i), (i, after[i])):
                 if a >= 0 and b < n and (q := (ids[a], ids[b])) in rank:
-                    heapq.heappush(heap, (rank[q][0], a, q))
+                    heapq.heappush(queue, (rank[q][0], a, q))
         return [t for t, ok in zip(ids, alive, strict=True) if ok]
 
-    def long_word(self, data: bytes) -> Iterator[int]:
-        """Tokens of a word of any length; a token is emitted once no later byte can change it."""
-        at = 0
+    def feed(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of the words between ``offsets``, one word after another, and how many each has."""
+        at, owners, tokens = 0, [], []
         while at < len(data):
-            part = data[at:at + self.window]
-            last = at + len(part) == len(data)
-            stable, end = len(part) - self.lookahead, 0
-            for t in self.merged(part):
-                end += len(self.bytes_of[t])
-                if not last and end > stable:
-                    break
-                yield t
-                at += len(self.bytes_of[t])
-
-    def word(self, word: str) -> tuple[int, str, bytes]:
-        """Token count, decimal ids and decoded bytes of one pre-token."""
-        data = word.encode()
-        ids = self.merged(data) if len(data) <= self.window else self.long_word(data)
-        texts, out = [], []
-        for t in ids:
-            texts.append(str(t))
-            out.append(self.bytes_of[t])
-        return len(texts), ",".join(texts), b"".join(out)
-
-    def cut(self, text: str) -> list[str]:
-        """Pre-tokens and special tokens of a text, in order."""
-        if not self.special_at or not any(x in text for x in self.special):
-            return self.split.findall(text)
-        out, at = [], 0
-        for mark in self.special_at.finditer(text):
-            out += self.split.findall(text[at:mark.start()])
-            out.append(mark.group())
-            at = mark.end()
-        return out + self.split.findall(text[at:])
-
-    def entries(self, words: list[str]) -> list[tuple[int, str, bytes]]:
-        memo = self.memo
-        unseen = {w for w in words if w not in memo}
-        if unseen:
-            if len(memo) >= MEMO_WORDS:
-                memo.clear()
-                unseen = set(words)
-            for s, i in self.special.items():
-                memo[s] = (1, str(i), self.bytes_of[i])
-            self.learn(unseen - memo.keys())
-        return [memo[w] if w in memo else self.word(w) for w in words]
-
-    def pieces(self, text: str) -> Iterator[tuple[int, str, bytes]]:
-        """Count, ids and bytes of every pre-token and special token in order."""
-        words = self.cut(text)
-        for k in range(0, len(words), DECODE_BLOCK):
-            yield from self.entries(words[k:k + DECODE_BLOCK])
-
-    def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
-        """``digest`` of many texts; words new to the memo are encoded together, group by group."""
-        group: list[list[str]] = []
-        size = 0
-        for t in [*texts, None]:
-            if t is None or size > GROUP_CHARS:
-                short = [w for w in group if len(w) <= DECODE_BLOCK]
-                found = iter(self.entries([w for g in short for w in g]))
-                for g in group:
-                    if len(g) <= DECODE_BLOCK:
-                        yield self.digest([list(itertools.islice(found, len(g)))])
-                    else:
-                        yield self.digest(self.entries(g[k:k + DECODE_BLOCK]) for k in range(0, len(g), DECODE_BLOCK))
-                group, size = [], 0
-            if t is not None:
-                group.append(self.cut(t))
-                size += len(t)
+            end = min(at + self.window, len(data))
+            first, last = np.searchsorted(offsets, at, "right") - 1, np.searchsorted(offsets, end, "left")
+            cuts = np.concatenate([[at], offsets[first + 1:last], [end]])
+            sizes = np.diff(cuts)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            ids = self.first[data[at:end]]
+            short = (sizes <= LONG)[owner]
+            parts = [self.merged_together(ids[short], owner[short])]
+            for w in np.flatnonzero(sizes > LONG):
+                long = np.array(self.merged_long(ids[cuts[w] - at:cuts[w + 1] - at].tolist()), np.int64)
+                parts.append((np.full(len(long), w), long))
+            owner, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(owner, kind="stable")
+            owner, ids = owner[order], ids[order]
+            if end != offsets[last]:  # the last word goes on: only its stable tokens are out
+                ends = at + np.cumsum(self.length[ids])
+                out = (owner < len(sizes) - 1) | (ends <= end - self.lookahead)
+                owner, ids, end = owner[out], ids[out], int(ends[out][-1])
+            owners.append(owner + first)
+            tokens.append(ids)
+            at = end
+        owner = np.concatenate([np.empty(0, np.int64), *owners])
+        return np.concatenate([np.empty(0, np.int64), *tokens]), np.bincount(owner, minlength=len(offsets) - 1)
+
+    def cuts(self, data: np.ndarray, offsets: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        """Starts of all words of segments, and the end of the data; segments in ``whole`` are one word each.
+
+        Words are runs of letters, of numbers, of white space or of anything else.  White space before another run
+        leaves its last character to it if that is a space, else as a word of its own.  A quote that starts a word and
+        a contraction's letters behind it are a word.
+        """
+        points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        place = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+        n = len(points)
+        first = np.zeros(n + 1, bool)
+        edges = np.searchsorted(place, offsets)
+        first[edges] = True
+        first[n] = True
+        kind = np.append(self.kinds[points], OTHER)
+        start = first.copy()
+        start[1:n] |= kind[1:n] != kind[:n - 1]
+        left = (kind[:n] == SPACE) & ((kind[1:] != SPACE) & ~first[1:])
+        start[:n] |= left
+        start[1 + np.flatnonzero(left & (points == 0x20))] = False
+        quote = np.flatnonzero(start[:n] & (points == 0x27))
+        padded = np.concatenate([points, [0, 0, 0]])
+        stop = np.append(first, [True, True, True])
+        for letters in CONTRACTIONS:
+            hit = np.ones(len(quote), bool)
+            for k, c in enumerate(letters, 1):
+                hit &= (padded[quote + k] == ord(c)) & ~stop[quote + k]
+            at = quote[hit]
+            start[at + 1] = False
+            start[at + 1 + len(letters)] = True
+        for s in whole:
+            start[edges[s] + 1:edges[s + 1]] = False
+        return place[np.flatnonzero(start)]
+
+    def segments(self, text: str) -> Iterator[tuple[str, bool]]:
+        """Parts of a text that words do not span, and whether a part is a special token."""
+        at = 0
+        marks = self.special_at.finditer(text) if self.special_at else ()
+        for begin, end in [*((m.start(), m.end()) for m in marks), (len(text), len(text))]:
+            while at < begin:
+                # a word may begin with a space but never goes on with one after other characters
+                to = at + SEGMENT
+                while to < begin and not (text[to] == " " and not text[to - 1].isspace()):
+                    to = text.find(" ", to + 1, begin)
+                    to = begin if to < 0 else to
+                to = min(to, begin)
+                yield text[at:to], False
+                at = to
+            if end > begin:
+                yield text[begin:end], True
+            at = end
+
+    def chunks(self, texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Distinct words of texts, the number of the word at each position, and the position each text ends at."""
+        parts = [(p, mark, i) for i, t in enumerate(texts) for p, mark in self.segments(t)]
+        data, offsets = flat(pa.array([p for p, _, _ in parts], pa.large_string()))
+        cuts = self.cuts(data, offsets, np.array([k for k, (_, mark, _) in enumerate(parts) if mark], np.int64))
+        words = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+        found = words.dictionary_encode()
+        size = np.zeros(len(texts), np.int64)
+        np.add.at(size, [i for _, _, i in parts], np.diff(offsets))
+        return found.dictionary, found.indices.to_numpy(), np.searchsorted(cuts, np.cumsum(size))
+
+    def tokens(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of distinct words, one word after another, and how many each has."""
+        data, offsets = flat(words.cast(pa.large_string()))
+        ids, n = self.feed(data, offsets)
+        for s, i in self.special.items():
+            w = pc.index(words, pa.scalar(s.encode(), pa.large_binary())).as_py()
+            if w >= 0:
+                at = int(n[:w].sum())
+                ids, n[w] = np.concatenate([ids[:at], [i], ids[at + n[w]:]]), 1
+        return ids, n
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for _, ids, _ in self.pieces(text) for i in ids.split(",")]
+        words, codes, _ = self.chunks([text])
+        ids, n = self.tokens(words)
+        stops = np.concatenate([[0], np.cumsum(n)])
+        return [i for c in codes for i in ids[stops[c]:stops[c + 1]].tolist()]
 
     def decode(self, ids: Iterable[int]) -> str:
         return "".join(decoded(self.bytes_of.get(i, b"") for i in ids))
 
-    def digest(self, blocks: Iterable[list[tuple[int, str, bytes]]]) -> tuple[int, str, str]:
-        """Token count, SHA-256 of the ids and SHA-256 of the decoded text, block after block."""
-        n = 0
-        ids_hash, text_hash = hashlib.sha256(), hashlib.sha256()
-        state = codecs.getincrementaldecoder("utf-8")("replace")
-        for block in blocks:
-            if block:
-                ids_hash.update(("," * (n > 0) + ",".join([e[1] for e in block])).encode())
-                text_hash.update(state.decode(b"".join([e[2] for e in block])).encode())
-                n += sum([e[0] for e in block])
-        text_hash.update(state.decode(b"", True).encode())
-        return n, ids_hash.hexdigest(), text_hash.hexdigest()
+    def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
+        """Token count, SHA-256 of the ids and SHA-256 of the decoded text of every text of a slice."""
+        words, codes, ends = self.chunks(texts)
+        ids, n = self.tokens(words)
+        total = np.concatenate([[0], np.cumsum(n[codes])])
+        labels, back, at = joined(self.labels, ids, n), joined(self.spelled, ids, n), pa.array(codes)
+        for start, end, i, d in zip([0, *ends[:-1].tolist()], ends.tolist(), by_text(labels, at, ends), by_text(back, at, ends), strict=True):
+            text_hash, state = hashlib.sha256(), codecs.getincrementaldecoder("utf-8")("replace")
+            for k in range(0, len(d), SEGMENT):
+                text_hash.update(state.decode(d[k:k + SEGMENT]).encode())
+            text_hash.update(state.decode(b"", True).encode())
+            yield int(total[end] - total[start]), hashlib.sha256(i[1:]).hexdigest(), text_hash.hexdigest()
+
+
+def by_slice(texts: list[str]) -> Iterator[list[str]]:
+    """Runs of texts of about a slice's size; a longer text is a run of its own."""
+    run, size = [], 0
+    for t in texts:
+        if run and size + len(t) > SLICE:
+            yield run
+            run, size = [], 0
+        run.append(t)
+        size += len(t)
+    if run:
+        yield run
 
 
 def decoded(parts: Iterable[bytes]) -> Iterator[str]:
@@ -305,26 +327,25 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-_LOADED: dict[str, Transducer] = {}
+_LOADED: dict[str | None, Transducer] = {}
 
 
-def transducer(path: str) -> Transducer:
-    """The vocabulary of ``path``, read once in each worker process."""
+def transducer(path: str | None) -> Transducer:
+    """The vocabulary of ``path``, read once in each worker process; without a path the public one, where the worker has it."""
     if path not in _LOADED:
-        _LOADED[path] = Transducer(path)
+        _LOADED[path] = Transducer(path or default_path())
     return _LOADED[path]
 
 
 def encode_digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Token count and digests per document.  A null text counts as empty; a null id stays null; repeated
     rows give repeated results; other columns are not read; no rows in, no rows out."""
-    path = path or default_path()
     kind = docs.schema[id_col].dataType
 
     def run(batches):
         t = transducer(path)
         for b in batches:
-            got = list(t.digests(b.column(1).to_pylist()))
+            got = [g for texts in by_slice(b.column(1).to_pylist()) for g in t.digests(texts)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.string()),
                  pa.array([g[2] for g in got], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
@@ -335,7 +356,6 @@ def encode_digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_
 
 def encode_ids(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The token ids themselves: ``doc_id, ids array<int>``, same rules as ``encode_digests``."""
-    path = path or default_path()
     kind = docs.schema[id_col].dataType
 
     def run(batches):
@@ -350,7 +370,6 @@ def encode_ids(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
 
 def decode_ids(tokens: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id, text`` from ``doc_id, ids``; unknown ids give no bytes, null ids the empty text."""
-    path = path or default_path()
     kind = tokens.schema["doc_id"].dataType
 
     def run(batches):

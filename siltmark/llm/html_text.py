@@ -4,7 +4,9 @@ The standard library's streaming parser turns a page into lines, one per block e
 text length over the number of tags in it.  The ratios are smoothed with a Gaussian over neighbouring lines,
 and clustered with a threshold (their standard deviation, never above the mean): runs of lines above it are content,
 on every page and wherever they stand.  If the clusters hold at least half of the text of an ``article`` or ``main``
-element, they extend to all its lines, so short paragraphs between long ones stay.  Class and id names (adverts,
+element, or any of the page's only one, they extend to all its lines, so short paragraphs between long ones stay.  On a
+page without such an element they extend to the innermost element that holds most of their text, if they hold half of
+what it holds; where that is the whole page, only to the lines between the first and the last of them.  Class and id names (adverts,
 comments, widgets) and forms are a weight: their lines count an eighth and must by themselves reach the page's mean, unless all
 lines of the page are such.  Menus, headers, footers, sidebars, scripts and styles are put in no cluster, but an
 article inside such a menu or sidebar is weighed like a named one.
@@ -51,15 +53,18 @@ OFF, SHUT = 1, 2  # never content unless in an article, never content at all
 
 
 class Line:
-    __slots__ = ("text", "tags", "off", "main", "named", "heading")
+    __slots__ = ("text", "tags", "off", "main", "named", "element")
 
-    def __init__(self, off: int, main: int, named: bool, heading: bool):
+    def __init__(self, off: int, main: int, named: bool, element: int):
         self.text: list[str] = []
-        self.tags, self.off, self.main, self.named, self.heading = 0, off, main, named, heading
+        self.tags, self.off, self.main, self.named, self.element = 0, off, main, named, element
 
 
 class Lines(HTMLParser):
-    """Collects block lines from parser events."""
+    """Collects block lines from parser events.
+
+    What stands in ``<! >`` and is no comment is left out up to the next ``>``, whatever it holds.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -68,14 +73,20 @@ class Lines(HTMLParser):
         self.fences: list[int] = []
         self.lines: list[Line] = []
         self.mains = 0
-        self.tags = 0
+        self.parents = [0]                            # of every block element, by its number; 0 is the page, html and body
+        self.inside = [0]                             # numbers of the open elements' blocks
         self.line = self.fresh()
 
     def state(self) -> tuple[int, int, bool]:
         return self.stack[-1][1:] if self.stack else (0, 0, False)
 
+    def parse_html_declaration(self, i: int) -> int:
+        if self.rawdata.startswith("<!--", i):
+            return self.parse_comment(i)
+        return self.rawdata.find(">", i + 2) + 1 or -1
+
     def fresh(self) -> Line:
-        self.line = Line(*self.state(), False)
+        self.line = Line(*self.state(), self.inside[-1])
         self.lines.append(self.line)
         return self.line
 
@@ -84,6 +95,11 @@ class Lines(HTMLParser):
         if tag in FENCES:
             self.fences.append(len(self.stack))
         self.stack.append((tag, off, main, named))
+        if tag in BLOCK and tag not in ("html", "body"):
+            self.parents.append(self.inside[-1])
+            self.inside.append(len(self.parents) - 1)
+        else:
+            self.inside.append(self.inside[-1])
 
     def nearest(self, tag: str) -> int:
         """Place of the innermost such element that no fence shuts in, or -1."""
@@ -95,6 +111,7 @@ class Lines(HTMLParser):
     def cut(self, k: int) -> None:
         while len(self.stack) > k:
             tag = self.stack.pop()[0]
+            self.inside.pop()
             self.places[tag].pop()
             if tag in FENCES:
                 self.fences.pop()
@@ -137,7 +154,6 @@ class Lines(HTMLParser):
         self.push(tag, off, main, named)
         if tag in BLOCK:
             self.fresh()
-            self.line.heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
         elif (off, main, named) != (self.line.off, self.line.main, self.line.named):
             self.fresh()
 
@@ -174,14 +190,49 @@ def smoothed(values: list[float]) -> list[float]:
     return out
 
 
+def read_lines(html: str) -> Lines:
+    """A page's lines.  Markup that the page's end cuts off is no text."""
+    p = Lines()
+    p.feed(html)
+    if p.cdata_elem is None and re.match("<[A-Za-z/!?]", p.rawdata):
+        p.rawdata = ""
+    p.close()
+    return p
+
+
+def held(parents: list[int], element: list[int], size: list[int], ok: list[bool]) -> list[bool]:
+    """Whether each line lies in the innermost element that holds more than half of the chosen text, if that is half of its text.
+
+    If that element is the page, the lines between the first and the last chosen one.
+    """
+    whole, chosen = [0] * len(parents), [0] * len(parents)
+    for e, n, c in zip(element, size, ok, strict=True):
+        whole[e] += n
+        chosen[e] += c * n
+    for e in range(len(parents) - 1, 0, -1):
+        whole[parents[e]] += whole[e]
+        chosen[parents[e]] += chosen[e]
+    top = 0
+    for e in range(1, len(parents)):
+        if parents[e] == top and 2 * chosen[e] > chosen[0]:
+            top = e
+    if 2 * chosen[top] < whole[top] or True not in ok:
+        return [False] * len(ok)
+    if not top:
+        first, last = ok.index(True), len(ok) - ok[::-1].index(True)
+        return [first <= k < last for k in range(len(ok))]
+    inside = [False] * len(parents)
+    for e in range(top, len(parents)):
+        inside[e] = e == top or inside[parents[e]]
+    return [inside[e] for e in element]
+
+
 def main_text(html: str) -> str:
     """Content blocks joined by a blank line; empty if the page has none.
 
     White space inside a block becomes one space.  Malformed markup is read as far as the parser goes.
     """
-    p = Lines()
-    p.feed(html)
-    p.close()
+    p = read_lines(html)
     lines = []
     for x in p.lines:
         text = SPACE.sub(" ", "".join(x.text)).strip()
@@ -206,7 +257,13 @@ def main_text(html: str) -> str:
         if x.main and not x.off and not w:
             whole[x.main] += len(text)
             chosen[x.main] += ok * len(text)
-    content = [ok or not x.off and not w and 0 < whole[x.main] <= 2 * chosen[x.main] for ok, w, (_, _, x) in zip(content, named, lines, strict=True)]
+    taken = {m for m in whole if 0 < whole[m] <= 2 * chosen[m] or chosen[m] and len(whole) == 1}
+    open_to_all = [not x.off and not w for w, (_, _, x) in zip(named, lines, strict=True)]
+    if taken:
+        content = [ok or free and x.main in taken for ok, free, (_, _, x) in zip(content, open_to_all, lines, strict=True)]
+    elif not whole:
+        inside = held(p.parents, [x.element for _, _, x in lines], [len(t) * free for free, (t, _, _) in zip(open_to_all, lines, strict=True)], content)
+        content = [ok or free and here for ok, free, here in zip(content, open_to_all, inside, strict=True)]
     return "\n\n".join(t for ok, (t, _, _) in zip(content, lines, strict=True) if ok)
 
 
