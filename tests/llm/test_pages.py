@@ -3,6 +3,10 @@
 import base64
 import gzip
 import hashlib
+import random
+import time
+
+import pytest
 
 from siltmark.llm import html_text, warc
 from siltmark.llm.sharing import shared_folder
@@ -109,3 +113,37 @@ def test_names_and_places_are_weights():
                          ('<section id="related-work">', "</section>"), ("<form>", "</form>"), ("<aside><article>", "</article></aside>")):
         assert html_text.main_text(f"<nav><a>Home</a></nav>{open_}<p>{long}</p><p>{long}</p>{close}<footer>me</footer>") == f"{text}\n\n{text}", open_
     assert html_text.main_text(f'<p>{long}</p><p>{long}</p><div class="comments"><p>I disagree.</p></div>') == f"{text}\n\n{text}"
+
+
+@pytest.mark.parametrize("part", ["<a ", "<a href=\"", "<!", "</", "<?", "&", "&#", "<div>", "<p>", "</p>", "<a b=c ", "<![CDATA[", "<script>", "x<", "<![foo[x]]>", "<![ x>", "<!--", "<b><i>", "</b></i>", "<li>", "<a <a>", "'\"<", "<a b='"])
+def test_hostile_pages_are_read_in_linear_time(part):
+    started = time.time()
+    for tail in ("", ">", "<p>" + "some words that are the text of the page " * 5):
+        assert isinstance(html_text.main_text(part * ((1 << 20) // 3 // len(part)) + tail), str)
+    assert time.time() - started < 30
+
+
+def test_malformed_pages_never_fail():
+    rng = random.Random(8)
+    parts = ["<", ">", "!", "[", "]", "--", "/", "a", "p", "div", " ", '"', "'", "=", "&", "#", ";", "x", "script", "CDATA", "doctype", "?", "<p>", "</p>", "<article>", "word ", "\x00", "<!", "<![", "]]>", "é", "<!--", "-->"]
+    for _ in range(5000):
+        page = "".join(rng.choice(parts) for _ in range(rng.randrange(40)))
+        assert isinstance(html_text.main_text(page), str), page
+
+
+def test_cut_off_markup_is_no_text():
+    long = "<p>" + "Words of the article that go on for a while. " * 4 + "</p>"
+    want = html_text.main_text(long)
+    for tail in ('<a href="x', "<!DOCTYPE [<!x", "</di", "<?php x", "<!-- never closed", "<![CDATA[ x"):
+        assert html_text.main_text(long + tail) == want
+    assert html_text.main_text(long + "<![foo[x]]>" + "<![ x>") == want
+    assert html_text.main_text("<p>" + "one < two and three <3 four " * 5) == ("one < two and three <3 four " * 5).strip()
+
+
+def test_short_lines_of_the_main_block_stay():
+    long = "A long paragraph of the text, with many words in it, so that its ratio is high. " * 4
+    page = f"<body><ul class=menu><li><a href=/>Home</a></ul><div><p>{long}</p><p>Yes.</p><p>{long}</p><h2>Last words</h2><ul><li>one</li><li>two</li></ul></div><div class=footer>(c) us</div></body>"
+    assert html_text.main_text(page).split("\n\n") == [long.strip(), "Yes.", long.strip(), "Last words", "one", "two"]
+    short = [f"Line {k} of it." for k in range(30)]
+    page = "<body><article>" + "".join(f"<p>{x}</p>" for x in short) + f"</article><div><p>{long * 5}</p></div></body>"
+    assert html_text.main_text(page).split("\n\n")[:30] == short

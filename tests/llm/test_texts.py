@@ -35,9 +35,23 @@ def test_tokens_match_the_library(docs, rows, none):
     assert sorted(map(tuple, back.collect()), key=key) == sorted(((i, x or "") for i, x in rows), key=key)
 
 
-def test_long_words_stream():
+def test_words_match_the_library_on_hostile_texts(monkeypatch):
     from tokenizers import Tokenizer
     lib, own = Tokenizer.from_file(bpe.default_path()), bpe.transducer(bpe.default_path())
+    rng = random.Random(2)
+    letters = " \n\t\r''abdlmrstvLE12é日本\u00a0\u3000٣½²\U0001f600.,!_-\x00\x1c\x85" + "a" * 4
+    texts = ["".join(rng.choice(letters) for _ in range(rng.choice([1, 2, 5, 30, 150]))) for _ in range(3000)]
+    texts += ["a<|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>\n\n y", "'s", "don't", " 's", "''s's", "'tis 'T 'll'", "x\n's", "  ", "a  ", "\n a"]
+    for segment in (1 << 20, 7):
+        monkeypatch.setattr(bpe, "SEGMENT", segment)
+        for t in texts:
+            assert own.encode(t) == lib.encode(t, add_special_tokens=False).ids, (segment, t)
+
+
+def test_long_words_stream(monkeypatch):
+    from tokenizers import Tokenizer
+    lib, own = Tokenizer.from_file(bpe.default_path()), bpe.transducer(bpe.default_path())
+    monkeypatch.setattr(own, "window", 2048)
     rng = random.Random(5)
     for alphabet in ("ab", "theinr", "aeiounth", "=-", "日本語"):
         x = "".join(rng.choice(alphabet) for _ in range(3 * own.window + 7))
