@@ -7,7 +7,7 @@ import importlib
 ALL: dict = {}
 SQL: dict[str, str] = {}
 
-FAMILIES = ("catalog", "pixels", "detectors", "fusing", "pairs", "measure", "extras", "composed")
+FAMILIES = ("catalog", "pixels", "detectors", "fusing", "pairs", "measure", "extras", "composed", "ingest")
 
 # SQL twins of siltmark.sources.driver_tables
 VIEWS = {

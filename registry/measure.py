@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from registry.base import register
 from registry.detectors import KEYS, TILE
-from registry.fusing import MASKED, scored
+from registry.fusing import MASKED, PRIMARY, maps, primary, scored
+from registry.pixels import COMP, change
 from siltmark.functions import geo
 from siltmark.functions import volume as V
 from siltmark.operators import dem as DEM
 from siltmark.operators import focal
 from siltmark.operators import ledger as L
+from siltmark.operators import merge as M
 from siltmark.operators import scoring as SC
 from siltmark.operators import volumes as VO
 from siltmark.sources import driver_tables as D
@@ -404,26 +406,69 @@ def q_truthrank(spark, d):
     return SC.truth_rank(c, KEYS, 4500, 2, tile=TILE)
 
 
-VAR = """sc AS (SELECT o_custkey % 500 AS event, v.variant, avg(o_totalprice % 1000) / 1000 AS bg50 FROM orders
-   JOIN (SELECT unnest(['none', 'asc', 'desc', 'merged', 'fill-auto']) AS variant, unnest([0, 1, 2, 3, 4]) AS k) v ON (o_orderkey % 5) = v.k
-   WHERE NOT (o_custkey % 500 % 10 = 3 AND v.variant NOT IN ('none', 'desc')) GROUP BY ALL),
+VARIANTS = ["none", "asc", "desc", "merged", "fill-auto"]
+
+
+def variant_maps(spark, d):
+    """Score of every cell under every rule: no radar, either pass, the strongest of both, the primary with filled blind spots."""
+    m = maps(spark, d)
+    u = F.when(~F.col("masked"), F.col("v"))
+    seen = m.groupBy("event_id").agg(F.count_if((F.col("geom") == 0) & u.isNotNull()).alias("n_asc"), F.count_if((F.col("geom") == 1) & u.isNotNull()).alias("n_desc"))
+    cell = ["event_id", "row", "col"]
+
+    def layer(df, name, score):
+        return df.select(*cell, F.lit(name).alias("variant"), F.abs(score).alias("score"))
+    one = [layer(m.filter(F.col("geom") == g), name, u).join(seen.filter(F.col(n) > 0).select("event_id"), "event_id")
+           for g, name, n in ((0, "asc", "n_asc"), (1, "desc", "n_desc"))]
+    two = seen.filter("n_asc > 0 AND n_desc > 0").select("event_id")
+    both = [layer(M.strongest(m, "logratio", 3.0), "merged", F.col("merged")).join(two, "event_id"),
+            layer(M.fill(m, primary(spark, d)), "fill-auto", F.col("filled")).join(two, "event_id")]
+    grid = focal.densify(change(spark, d), D.grids(spark, d), KEYS).withColumn("event_id", F.explode(F.array(*[F.col("event_id") * 8 + g for g in range(4)])))
+    out = layer(grid, "none", F.col("dbright") * 100)
+    for x in one + both:
+        out = out.unionByName(x)
+    return out
+
+
+VAR = PRIMARY + """,
+mg AS (SELECT event_id, "row", col, arg_max(u, (abs(u), -geom)) FILTER (u IS NOT NULL) AS merged FROM us GROUP BY ALL),
+fl AS (SELECT event_id, "row", col, arg_min(u, o) FILTER (u IS NOT NULL) AS filled
+  FROM (SELECT us.*, (CASE WHEN geom = primary_geom THEN 0 ELSE 1 END, -n_seen, geom) AS o FROM us JOIN pg USING (event_id, geom) JOIN pr USING (event_id)) GROUP BY ALL),
+se AS (SELECT event_id, count(u) FILTER (geom = 0) AS na, count(u) FILTER (geom = 1) AS nd FROM us GROUP BY 1),
+vm AS (SELECT event_id, "row", col, 'asc' AS variant, abs(u) AS score FROM us JOIN se USING (event_id) WHERE geom = 0 AND na > 0
+  UNION ALL SELECT event_id, "row", col, 'desc', abs(u) FROM us JOIN se USING (event_id) WHERE geom = 1 AND nd > 0
+  UNION ALL SELECT event_id, "row", col, 'merged', abs(merged) FROM mg JOIN se USING (event_id) WHERE na > 0 AND nd > 0
+  UNION ALL SELECT event_id, "row", col, 'fill-auto', abs(filled) FROM fl JOIN se USING (event_id) WHERE na > 0 AND nd > 0
+  UNION ALL SELECT d.event_id, d."row", d.col, 'none', abs(dbright * 100) FROM dense_g d LEFT JOIN chg c ON c.event_id = d.event_id // 8 AND c."row" = d."row" AND c.col = d.col),
+tr AS (SELECT *, ("row" - 16) * ("row" - 16) + (col - 16) * (col - 16) <= 36 AS is_scar FROM vm),
+t5 AS (SELECT event_id, variant, median(coalesce(score, 0)) FILTER (is_scar) AS t50 FROM tr GROUP BY ALL),
+sc AS (SELECT event_id AS event, variant, CASE WHEN any_value(t50) > 0 THEN count(*) FILTER (NOT is_scar AND coalesce(score, 0) >= t50) / (count(*) FILTER (NOT is_scar))::DOUBLE ELSE 1 END AS bg50
+  FROM tr JOIN t5 USING (event_id, variant) GROUP BY ALL),
 pick AS (SELECT e.event, v.variant, CASE WHEN v.variant = 'none' OR EXISTS (SELECT 1 FROM sc s WHERE s.event = e.event AND s.variant = v.variant) THEN v.variant
-   WHEN EXISTS (SELECT 1 FROM sc s WHERE s.event = e.event AND s.variant = 'desc') THEN 'desc' ELSE 'asc' END AS used
+   WHEN EXISTS (SELECT 1 FROM sc s WHERE s.event = e.event AND s.variant = 'desc') THEN 'desc'
+   WHEN EXISTS (SELECT 1 FROM sc s WHERE s.event = e.event AND s.variant = 'asc') THEN 'asc' END AS used
   FROM (SELECT DISTINCT event FROM sc) e CROSS JOIN (SELECT unnest(['none', 'asc', 'desc', 'merged', 'fill-auto']) AS variant) v)"""
-VARIANTS = ["none", "asc", "desc", "merged", "fill-auto"]
 
 
-@register("rule_variants_compared", extra=VAR, sql="""
+def variant_scores(spark, d):
+    truth = focal.densify(D.elevation(spark, d), D.layer_grids(spark, d, range(4)), KEYS).select("event_id", "row", "col", D.truth_expr().alias("is_scar"))
+    return SC.score_variants(variant_maps(spark, d), truth, KEYS, 3.0).withColumnRenamed("event_id", "event")
+
+
+@register("rule_variants_compared", views=("dense_g", "obs"), extra=COMP + ",\n" + VAR, sql="""
 SELECT p.variant, round(max(bg50), 6) AS worst, round(avg(bg50), 6) AS mean, count(*) AS n_events
 FROM pick p JOIN sc ON sc.event = p.event AND sc.variant = p.used GROUP BY 1""")
 def q_variants(spark, d):
-    """Worst and mean per rule, one-pass events fall back to that pass."""
-    o = D.table(spark, d, "orders")
-    v = F.element_at(F.array(*[F.lit(x) for x in VARIANTS]), (F.col("o_orderkey") % 5 + 1).cast("int"))
-    s = o.select((F.col("o_custkey") % 500).alias("event"), v.alias("variant"), "o_totalprice")
-    s = s.filter(~((F.col("event") % 10 == 3) & ~F.col("variant").isin("none", "desc")))
-    s = s.groupBy("event", "variant").agg((F.avg(F.col("o_totalprice") % 1000) / 1000).alias("bg50"))
-    return SC.compare_variants(s, VARIANTS).select("variant", F.round("worst", 6).alias("worst"), F.round("mean", 6).alias("mean"), "n_events")
+    """Worst and mean background at half recall per rule, over the real maps of every event."""
+    return SC.compare_variants(variant_scores(spark, d), VARIANTS).select("variant", F.round("worst", 6).alias("worst"), F.round("mean", 6).alias("mean"), "n_events")
+
+
+@register("rule_variant_table", views=("dense_g", "obs"), extra=COMP + ",\n" + VAR, sql="""
+SELECT p.event, """ + ", ".join(f"round(max(bg50) FILTER (p.variant = '{v}'), 6) AS \"{v}\"" for v in VARIANTS) + """
+FROM pick p LEFT JOIN sc ON sc.event = p.event AND sc.variant = p.used GROUP BY 1""")
+def q_vtable(spark, d):
+    """Event by variant, one-pass events take that pass's score."""
+    return SC.variant_table(variant_scores(spark, d), VARIANTS).withColumns({v: F.round(F.col(f"`{v}`"), 6) for v in VARIANTS})
 
 
 @register("blind_shares", views=("dense",), sql="""

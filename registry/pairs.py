@@ -111,6 +111,15 @@ def q_stereo(spark, d):
     return vhr.stereo_mates(D.strips(spark, d).withColumn("site", F.lit(0)), ("site",))
 
 
+@register("strip_stereo_mate_ids", views=("strips",), extra="""
+o AS (SELECT feature_id, sensor, epoch_us(acq) AS t FROM strips WHERE sensor_type <> 'Radar')""", sql="""
+SELECT 0 AS site, a.sensor, a.feature_id, b.feature_id AS mate_id, (b.t - a.t) / 1000000.0::DOUBLE AS ahead_s
+FROM o a JOIN o b ON a.sensor = b.sensor AND a.feature_id <> b.feature_id AND abs(a.t - b.t) < 300000000""")
+def q_mates(spark, d):
+    """The mates of every strip by id, and how much later each was taken."""
+    return vhr.stereo_mate_ids(D.strips(spark, d).withColumn("site", F.lit(0)), ("site",))
+
+
 @register("strip_hide_reasons_top", views=("det", "strips"), extra=STR + """,
 r AS (SELECT event_id, side, unnest(list_filter([CASE WHEN third_party THEN 'third-party' END,
    CASE WHEN grade = 'visual' AND ona > 45 THEN 'off-nadir > 45°' END, CASE WHEN sun_el < 15 THEN 'low sun' END,
@@ -254,7 +263,7 @@ def q_cdplan(spark, d):
 
 @register("footprint_best_partner", views=("scenes",), extra="""
 a AS (SELECT scene_id AS anchor_id, w + 0.25 AS aw, s + 0.25 AS as_, e - 0.25 AS ae, n - 0.25 AS an FROM scenes WHERE source = 'Sentinel-2'),
-b AS (SELECT scene_id AS partner_id, w, s, e, n FROM scenes WHERE source = 'NISAR' AND relative_orbit = 3),
+b AS (SELECT scene_id AS partner_id, w, s, e, n FROM scenes WHERE source = 'NISAR'),
 m AS (SELECT *, (least(ae, e) - greatest(aw, w)) * (least(an, n) - greatest(as_, s)) AS inter, (ae - aw) * (an - as_) AS fa, (e - w) * (n - s) AS fb
   FROM a JOIN b ON w <= ae AND aw <= e AND s <= an AND as_ <= n)""", sql="""
 SELECT anchor_id, partner_id, round(agree, 6) AS agree, round(covered, 6) AS covered FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id
@@ -265,8 +274,7 @@ def q_partner(spark, d):
     b = F.col("bbox")
     inner = F.struct((b["w"] + 0.25).alias("w"), (b["s"] + 0.25).alias("s"), (b["e"] - 0.25).alias("e"), (b["n"] - 0.25).alias("n"))
     a = sc.filter(F.col("source") == "Sentinel-2").select(F.col("scene_id").alias("anchor_id"), inner.alias("a_box"))
-    p = sc.filter((F.col("source") == "NISAR") & (F.col("relative_orbit") == 3)).select(
-        F.col("scene_id").alias("partner_id"), F.col("bbox").alias("p_box"))
+    p = sc.filter(F.col("source") == "NISAR").select(F.col("scene_id").alias("partner_id"), F.col("bbox").alias("p_box"))
     return P.footprint_partner(a, p).withColumns({"agree": F.round("agree", 6), "covered": F.round("covered", 6)})
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from siltmark.operators.blobs import blob_stats, label_blobs
 from siltmark.operators.focal import TILE
 from siltmark.operators.order_stats import medians
-from siltmark.operators.ranking import top_per_side
 
 MISS = 999
 
@@ -58,27 +57,33 @@ def truth_rank(cells: DataFrame, keys: list[str], show_at: float, min_px: int, t
         F.first("best").isNotNull(), F.count_if(beats) + 1).alias("rank"))
 
 
-def compare_variants(scores: DataFrame, variants: list[str], metric: str = "bg50", worst: str = "max") -> DataFrame:
-    """Worst case and mean of a metric per variant.
+def score_variants(maps: DataFrame, truth: DataFrame, keys: list[str], show_at: float) -> DataFrame:
+    """``score_map`` of every rule variant of every event: keys, variant, t50, bg50, area, bg_flag, scar_unscored.
 
-    ``scores``: event, variant, metric.  An event with a single pass scores every radar
-    rule as that pass ('desc' if it has one, else 'asc').
+    ``maps``: keys, variant, row, col, score, one row per cell of each variant that exists; ``truth``: keys, row, col, is_scar.
     """
-    have = scores.groupBy("event").agg(F.collect_set("variant").alias("_v"))
+    return score_map(maps.join(truth, [*keys, "row", "col"]).withColumn("in_domain", F.lit(True)), [*keys, "variant"], show_at)
+
+
+def used_variant(scores: DataFrame, variants: list[str], key: str = "event") -> DataFrame:
+    """Which variant's score stands for each variant of each event: its own, or the single pass's ('desc' if there is one)."""
+    have = scores.groupBy(key).agg(F.collect_set("variant").alias("_v"))
     want = have.withColumn("variant", F.explode(F.array(*[F.lit(v) for v in variants])))
     single = F.when(F.array_contains("_v", "desc"), "desc").when(F.array_contains("_v", "asc"), "asc")
     use = F.when(F.array_contains("_v", F.col("variant")) | (F.col("variant") == "none"), F.col("variant")).otherwise(single)
-    j = want.withColumn("used", use).join(
-        scores.select("event", F.col("variant").alias("used"), metric), ["event", "used"])
+    return want.select(key, "variant", use.alias("used"))
+
+
+def compare_variants(scores: DataFrame, variants: list[str], metric: str = "bg50", worst: str = "max", key: str = "event") -> DataFrame:
+    """Worst case and mean of a metric per variant; a missing rank counts as ``MISS``.  ``scores``: key, variant, metric."""
+    j = used_variant(scores, variants, key).join(scores.select(key, F.col("variant").alias("used"), metric), [key, "used"])
     v = F.coalesce(F.col(metric), F.lit(float(MISS))) if metric == "rank" else F.col(metric)
     return j.groupBy("variant").agg((F.max(v) if worst == "max" else F.min(v)).alias("worst"), F.avg(v).alias("mean"),
                                     F.count(F.lit(1)).alias("n_events"))
 
 
-def variant_table(scores: DataFrame, events: list[str], metric: str = "bg50") -> DataFrame:
-    """Variant by event table."""
-    return scores.groupBy("variant").pivot("event", events).agg(F.max(metric))
-
-
-def ranked_list(st: DataFrame, keys: list[str], limit: int = 20) -> DataFrame:
-    return top_per_side(st, (F.col("peak").desc(), F.col("n_px").desc(), "blob"), limit, keys=tuple(keys))
+def variant_table(scores: DataFrame, variants: list[str], metric: str = "bg50", key: str = "event") -> DataFrame:
+    """A row per event, a column per variant; a variant without a score of its own takes the single pass's, a missing rank is ``MISS``."""
+    j = used_variant(scores, variants, key).join(scores.select(key, F.col("variant").alias("used"), metric), [key, "used"], "left")
+    v = F.coalesce(F.col(metric).cast("double"), F.when(F.col("used").isNotNull(), F.lit(float(MISS)))) if metric == "rank" else F.col(metric)
+    return j.groupBy(key).pivot("variant", variants).agg(F.max(v))

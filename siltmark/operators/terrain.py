@@ -23,11 +23,19 @@ def _ground(dem: DataFrame, keys: list[str], smooth_k: int, tile: int) -> DataFr
 
 
 def _look(df: DataFrame, rate: Column, max_steps: int | None) -> DataFrame:
-    """Step length, number of steps and the largest reach in cells; relief bounds the steps, a limit may cut them."""
-    step = F.least("dx_m", "dy_m")
-    n = F.greatest(F.lit(1), F.ceil(F.col("relief") / (rate * step))).cast("int")
+    """Step length, number of steps and the largest reach in cells.
+
+    Relief bounds the steps, and so does the raster: past its last row or column a step meets nothing.  A limit may cut
+    them further.
+    """
+    step, az = F.least("dx_m", "dy_m"), F.radians("look_az")
+
+    def off_after(cells: str, metres: str, turn: Column) -> Column:
+        return F.when(F.abs(turn) > 1e-9, F.ceil((F.col(cells) + 1) * F.col(metres) / (step * F.abs(turn))))
+    n = F.least(F.ceil(F.col("relief") / (rate * step)), off_after("n_rows", "dy_m", F.cos(az)), off_after("n_cols", "dx_m", F.sin(az)))
+    n = F.greatest(F.lit(1), n).cast("int")
     n = n if max_steps is None else F.least(F.lit(max_steps), n)
-    reach = F.ceil(n * step / F.least("dx_m", "dy_m")).cast("int") + 1
+    reach = F.least(F.ceil(n * step / F.least("dx_m", "dy_m")).cast("int") + 1, F.greatest("n_rows", "n_cols"))
     return df.withColumn("_step", step).withColumn("_n", n).withColumn("_rate", rate).withColumn("_reach", reach)
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltmark.functions import geo
@@ -10,16 +12,40 @@ from siltmark.functions import geo
 LAYOUT = r"/(?:planet_cache|planet_render)/([^/]+)/(pre|post)/([^/]+)/"
 
 
-def read_deliveries(spark: SparkSession, root: str) -> DataFrame:
-    """One row per delivered scene: event, side, order, scene id and footprint points."""
-    docs = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*_metadata.json")
-            .text(root, wholetext=True).select("value", F.input_file_name().alias("path")))
+FILES = {"recursiveFileLookup": "true", "pathGlobFilter": "*_metadata.json", "wholetext": "true"}
+
+
+def write_deliveries(files: DataFrame, root: str) -> int:
+    """Write ``path, body`` below a folder all executors reach; a file is whole or not there.  Returns how many.
+
+    A repeated task writes the same files again.
+    """
+    def run(batches):
+        there, base = fs.FileSystem.from_uri(root if ":" in root.split("/")[0] else f"file://{root}")
+        n = 0
+        for b in batches:
+            for path, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                to = f"{base}/{path}"
+                folder, name = to.rsplit("/", 1)
+                there.create_dir(folder, recursive=True)
+                with there.open_output_stream(f"{folder}/.{name}.part") as out:
+                    out.write(body.encode())
+                there.move(f"{folder}/.{name}.part", to)
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    return files.select("path", "body").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def delivered(docs: DataFrame, path: Column) -> DataFrame:
+    """One row per delivered scene from ``value`` (a metadata file) and its path: event, side, order, scene id, footprint points."""
+    docs = docs.select("value", path.alias("path"))
     name = F.element_at(F.split("path", "/"), -1)
-    pts = F.regexp_extract_all(F.get_json_object("value", "$.geometry.coordinates"),
-                               F.lit(r"\[\s*(-?[\d.eE+-]+)\s*,\s*(-?[\d.eE+-]+)"), F.lit(0))
+    pair = r"\[\s*(-?[\d.eE+-]+)\s*,\s*(-?[\d.eE+-]+)"
+    pts = F.regexp_extract_all(F.get_json_object("value", "$.geometry.coordinates"), F.lit(pair), F.lit(0))
 
     def num(p, i):
-        return F.regexp_extract(p, r"\[\s*(-?[\d.eE+-]+)\s*,\s*(-?[\d.eE+-]+)", i).try_cast("double")
+        return F.regexp_extract(p, pair, i).try_cast("double")
     return docs.select(
         F.regexp_extract("path", LAYOUT, 1).alias("event_id"), F.regexp_extract("path", LAYOUT, 2).alias("side"),
         F.regexp_extract("path", LAYOUT, 3).alias("order_id"),
@@ -28,6 +54,27 @@ def read_deliveries(spark: SparkSession, root: str) -> DataFrame:
     ).filter(F.col("order_id") != "")
 
 
+def read_deliveries(spark: SparkSession, root: str) -> DataFrame:
+    """All delivered scenes below ``root``."""
+    return delivered(spark.read.options(**FILES).text(root), F.col("_metadata.file_path"))
+
+
+def read_new_deliveries(spark: SparkSession, root: str, state: str) -> DataFrame:
+    """Scenes whose files no earlier call with the same ``state`` folder has read; files read before are not opened again.
+
+    The file source keeps its own list of known files, so a call that is lost half-way is taken up by the next one, and
+    no file is counted twice.  What a call read is a partition of the state's table.
+    """
+    found, log = f"{state}/scenes", f"{state}/log"
+    query = (delivered(spark.readStream.options(**FILES).format("text").load(root), F.col("_metadata.file_path"))
+             .writeStream.option("checkpointLocation", log).trigger(availableNow=True)
+             .foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{found}/call={n}")).start())
+    query.awaitTermination()
+    calls = [p["batchId"] for p in query.recentProgress if p["numInputRows"]]
+    shape = "event_id string, side string, order_id string, scene_id string, points array<struct<lon:double,lat:double>>"
+    return spark.read.schema(shape).parquet(*[f"{found}/call={n}" for n in calls]) if calls else spark.createDataFrame([], shape)
+
+
 def adopt(ledger: DataFrame, scenes: DataFrame) -> DataFrame:
     """Known orders keep their row (a missing footprint is filled in); new ones are added."""
     b = F.when(F.size("points") > 0, geo.ring_box(F.col("points")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,7 +16,17 @@ def write_metadata(runs: DataFrame, path: str) -> None:
     runs.write.mode("overwrite").partitionBy("event_id").json(path)
 
 
-def write_scores(fused: DataFrame, path: str) -> None:
-    """Score bands as columns, partitioned by event and ordered within files by row."""
-    (fused.repartition("event_id", F.floor(F.col("row") / 256)).sortWithinPartitions("row", "col")
-     .write.mode("overwrite").partitionBy("event_id").parquet(path))
+def write_scores(fused: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Score bands as columns, one partition per event; an event's rows replace what the table holds of that event.
+
+    Events that ``fused`` does not hold keep their files: partitions are overwritten one by one.
+    """
+    (fused.repartition("event_id", F.floor(F.col("row") / 256)).sortWithinPartitions("event_id", "row", "col")
+     .write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("event_id").parquet(path))
+
+
+def read_scores(spark: SparkSession, path: str, events: list | None = None, columns: str | None = None) -> DataFrame:
+    """The score table; with ``events`` only their partitions are listed and read.  ``columns`` is its schema, if known."""
+    reader = spark.read if columns is None else spark.read.schema(columns)
+    table = reader.parquet(path)
+    return table if events is None else table.filter(F.col("event_id").isin(events))

@@ -332,6 +332,87 @@ def test_redaction(spark):
     assert list(urls) == ["a&amp;zmax=1", "a?v=2", "a%3Fv%3D2", "a?v=2"]
 
 
+def test_known_keys_and_hosts(spark):
+    import base64
+    from urllib.parse import quote, quote_plus
+    uid = "01234567-89ab-cdef-0123-456789abcdef"
+    keys = [base64.b64encode(uid.encode()).decode(), base64.urlsafe_b64encode(uid.replace("-", "").encode()).decode().rstrip("="), "plain key+/ä value"]
+    spelled = [[keys[0], uid, uid.upper(), uid.replace("-", ""), uid.replace("-", "").upper()], [keys[1], uid.replace("-", "")], [keys[2], quote(keys[2], safe=""), quote_plus(keys[2])]]
+    for k, forms in zip(keys, spelled):
+        out = one(spark, *[text.redact(F.lit(f"x {f} y"), F.lit(k)) for f in forms])
+        assert list(out) == ["x <KEY> y"] * len(forms), (k, out)
+    assert list(one(spark, text.redact(F.lit("abc def"), F.lit("abc")), text.redact(F.lit("abc"), F.lit(None).cast("string")), text.redact(F.lit(None).cast("string"), F.lit(keys[0])))) == ["abc def", "abc", None]
+    urls = {"https://planet.com/a?api_key=ABCDEFGHI x": "https://planet.com/a x", "https://t.planet.com/a?v=1&api_key=ABCDEFGHI": "https://t.planet.com/a?v=1",
+            "https://notplanet.com/a?api_key=ABCDEFGHI": "https://notplanet.com/a?api_key=ABCDEFGHI", "https://other.org/planet.com/?api_key=ABCDEFGHI": "https://other.org/planet.com/?api_key=ABCDEFGHI",
+            "https://planet.com/a?api_key=ABCDEFGHI https://planet.com/a?api_key=ABCDEFGHI&v=2": "https://planet.com/a https://planet.com/a?v=2", "no url": "no url", "": ""}
+    assert list(one(spark, *[text.strip_url_keys(F.lit(u), "planet.com") for u in urls])) == list(urls.values())
+
+
+def test_deliveries_are_read_once(spark, tmp_path):
+    root, state = str(tmp_path / "d"), str(tmp_path / "s")
+    files = lambda ks: spark.createDataFrame([(f"a/planet_cache/ev{k % 2}/pre/ord{k}/2024_{k}_3B_metadata.json", "{}") for k in ks], "path string, body string")
+    assert deliveries.write_deliveries(files(range(5)), root) == 5
+    first = {r.order_id for r in deliveries.read_new_deliveries(spark, root, state).collect()}
+    assert first == {f"ord{k}" for k in range(5)}
+    assert deliveries.read_new_deliveries(spark, root, state).count() == 0
+    deliveries.write_deliveries(files(range(5, 8)), root)
+    assert {r.order_id for r in deliveries.read_new_deliveries(spark, root, state).collect()} == {"ord5", "ord6", "ord7"}
+    assert deliveries.read_deliveries(spark, root).count() == 8
+
+
+def test_stereo_mates_of_a_crowded_bucket(spark, monkeypatch):
+    from siltmark.operators import vhr
+    rng = np.random.default_rng(3)
+    rows = [(i, "WV0" + str(1 + i % 2), "Radar" if i % 17 == 0 else None, int(t)) for i, t in enumerate(np.r_[rng.integers(0, 400, 120), rng.integers(0, 5000, 80), [7, 7, 307, 306]])]
+    df = spark.createDataFrame(rows, "feature_id int, sensor string, sensor_type string, s int").withColumn("acq", F.timestamp_seconds("s").cast("timestamp_ntz")).withColumn("event_id", F.lit(1))
+    want = {(a[0], b[0], float(b[3] - a[3])) for a in rows for b in rows if a[0] != b[0] and a[1] == b[1] and not a[2] and not b[2] and abs(a[3] - b[3]) < 300}
+    for crowd in (10 ** 6, 20, 0):
+        monkeypatch.setattr(vhr, "CROWD", crowd)
+        got = [(r.feature_id, r.mate_id, r.ahead_s) for r in vhr.stereo_mate_ids(df).collect()]
+        assert len(got) == len(want) and set(got) == want, crowd
+
+
+def test_rewriting_an_event_prunes_and_keeps_files(spark, tmp_path):
+    path, shape = str(tmp_path / "t"), "row int, col int, score double, event_id int"
+    cells = spark.createDataFrame([(e, r, 0, float(e)) for e in range(4) for r in range(3)], "event_id int, row int, col int, score double")
+    sinks.write_scores(cells, path)
+    before = {r.f for r in spark.read.parquet(path).filter("event_id <> 2").select(F.col("_metadata.file_path").alias("f")).collect()}
+    sinks.write_scores(cells.filter("event_id = 2").withColumn("score", F.lit(9.0)), path)
+    after = {r.f for r in spark.read.parquet(path).filter("event_id <> 2").select(F.col("_metadata.file_path").alias("f")).collect()}
+    assert before == after and spark.read.parquet(path).count() == 12
+    one_event = sinks.read_scores(spark, path, [2], shape)
+    assert {r.score for r in one_event.collect()} == {9.0}
+    plan = one_event._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [event_id" in plan.replace("isnotnull(event_id", "event_id").replace("[(event_id", "[event_id")
+
+
+def test_marching_ends_at_the_raster(spark):
+    """A tall wall in a small raster: steps past the edges are no work and change nothing."""
+    from siltmark.operators import terrain
+    a = np.zeros((9, 9))
+    a[4, 4] = 5000.0
+    for az in (0.0, 79.0, 90.0, 200.0):
+        df = grid(spark, a).withColumnRenamed("v", "h").select("*", *[F.lit(v).alias(n) for n, v in (("dx_m", 10.0), ("dy_m", 12.0), ("look_az", az), ("incidence", 39.0))])
+        look = terrain._look(df.withColumn("relief", F.lit(5000.0)), F.lit(0.8), None).first()
+        assert look["_n"] <= 18 and look["_reach"] <= 9
+        got = {(r.row, r.col) for r in terrain.shadow(df, ["event_id"], smooth_k=1, tile=4).filter("shadow").collect()}
+        want = set()
+        for k in range(1, 800):
+            d = k * 10.0
+            dr, dc = round(-math.cos(math.radians(az)) * d / 12.0), round(math.sin(math.radians(az)) * d / 10.0)
+            want |= {(r, c) for r in range(9) for c in range(9) if 0 <= r - dr < 9 and 0 <= c - dc < 9 and a[r - dr, c - dc] > a[r, c] + d / math.tan(math.radians(39.0))}
+        assert got == want, az
+
+
+def test_variants_of_one_pass_events(spark):
+    rows = [(1, "none", 0.5), (1, "asc", 0.1), (1, "desc", 0.2), (1, "merged", 0.3), (2, "none", 0.6), (2, "asc", 0.4), (3, "none", None)]
+    df = spark.createDataFrame(rows, "event int, variant string, rank double")
+    got = {r.event: (r.none, r.asc, r.desc, r.merged) for r in scoring.variant_table(df, ["none", "asc", "desc", "merged"], "rank").collect()}
+    assert got == {1: (0.5, 0.1, 0.2, 0.3), 2: (0.6, 0.4, 0.4, 0.4), 3: (999.0, None, None, None)}
+    worst = {r.variant: (r.worst, r.n_events) for r in scoring.compare_variants(df, ["none", "asc", "desc", "merged"], "rank").collect()}
+    assert worst == {"none": (999.0, 3), "asc": (0.4, 2), "desc": (0.4, 2), "merged": (0.4, 2)}
+
+
 def test_components_of_a_rising_path_take_few_rounds(spark, monkeypatch):
     from siltmark.operators import graph
     calls = []
