@@ -128,19 +128,26 @@ def q_ramp(spark, d):
         fusion.smoothstep(h, 300, 300).alias("step"), F.round(fusion.lowland_weight(h, 150, 100), 6).alias("lowland"))
 
 
-@register("glacier_weight_feathered", views=("dense",), extra="""
+GLACIER = """
 m AS (SELECT *, CASE WHEN (("row" // 8) + (col // 8)) % 2 = 0 THEN 1 ELSE 0 END AS m FROM dense),
 nb AS (SELECT t.event_id, t."row", t.col, s.m FROM m t CROSS JOIN (SELECT a.x AS a, b.x AS b FROM range(-1, 2) a(x), range(-1, 2) b(x))
-  JOIN m s ON s.event_id = t.event_id AND s."row" = greatest(0, least(31, t."row" + a)) AND s.col = greatest(0, least(31, t.col + b)))""",
+  JOIN m s ON s.event_id = t.event_id AND s."row" = greatest(0, least(31, t."row" + a)) AND s.col = greatest(0, least(31, t.col + b)))"""
+
+
+@register("glacier_weight_feathered", views=("dense",), extra=GLACIER,
           sql="""SELECT event_id, "row", col, round(1 - avg(m) * 0.7, 6) AS glacier_w FROM nb GROUP BY ALL""")
 def q_glacier(spark, d):
     """Downweight on ice with a feathered edge."""
+    return rounded(glacier(spark, d), "glacier_w")
+
+
+def glacier(spark, d):
     dense = focal.densify(D.elevation(spark, d), D.grids(spark, d), KEYS)
     m = ((F.floor(F.col("row") / 8) + F.floor(F.col("col") / 8)) % 2 == 0).cast("int")
-    return rounded(fusion.glacier_weight(focal.tiled(dense, KEYS, 2, TILE), KEYS, m), "glacier_w")
+    return focal.core(fusion.glacier_weight(focal.tiled(dense, KEYS, 2, TILE), KEYS, m))
 
 
-@register("source_zone_slope_weight", views=("dense", "dem"), extra="""
+SLOPE = ("""
 g AS (SELECT d.*, h FROM dense d LEFT JOIN dem USING (event_id, "row", col)),
 f0 AS (SELECT *, h AS f FROM g),
 """ + ",\n".join(box(f"b{i}", f"f{i}", {"s": "f", "n": "CASE WHEN f IS NOT NULL THEN 1 ELSE 0 END"}, k) + f""",
@@ -153,15 +160,21 @@ gr AS (SELECT event_id, "row", col, h,
   FROM z WINDOW wr AS (PARTITION BY event_id, "row" ORDER BY col), wc AS (PARTITION BY event_id, col ORDER BY "row")),
 sl AS (SELECT *, degrees(atan(sqrt(gx * gx + gy * gy))) AS slope FROM gr),
 m1 AS (SELECT *, max(slope) OVER (PARTITION BY event_id, col ORDER BY "row" RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS a FROM sl),
-m2 AS (SELECT *, max(a) OVER (PARTITION BY event_id, "row" ORDER BY col RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS mx FROM m1)""", sql="""
+m2 AS (SELECT *, max(a) OVER (PARTITION BY event_id, "row" ORDER BY col RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS mx FROM m1)""")
+
+
+@register("source_zone_slope_weight", views=("dense", "dem"), extra=SLOPE, sql="""
 SELECT event_id, "row", col, round(mx, 6) AS slope_max, round(CASE WHEN h IS NOT NULL THEN t * t * (3 - 2 * t) END, 6) AS slope_w
 FROM (SELECT *, greatest(0, least(1, (mx - 10) / 20.0::DOUBLE)) AS t FROM m2)""")
 def q_slopew(spark, d):
     """Weight from the steepest ground in reach (150 m on 60 x 50 m cells)."""
+    return rounded(slope(spark, d), "slope_max", "slope_w")
+
+
+def slope(spark, d):
     dense = focal.densify(D.elevation(spark, d), D.grids(spark, d), KEYS)
     kr, kc = fusion.window_cells(150, 60), fusion.window_cells(150, 50)
-    out = fusion.slope_weight(dense, KEYS, kr, kc, F.lit(50.0), F.lit(60.0), tile=64)
-    return rounded(out, "slope_max", "slope_w")
+    return fusion.slope_weight(dense, KEYS, kr, kc, F.lit(50.0), F.lit(60.0), tile=64)
 
 
 # two viewing geometries: the even and the odd scene of each pair of scenes, in eighths of a dB
