@@ -490,7 +490,33 @@ def q_look(spark, d):
                     F.round(lit, 6).alias("lit"), F.round(radar.range_at_incidence(inc), 6).alias("range_km"), F.round(radar.angular_gap(lit, F.lit(100.0)), 6).alias("gap"))
 
 
-@register("swath_incidence_at_point", views=("scenes",))
+def _gam(inc):
+    return f"(radians({inc}) - asin(6371.0::DOUBLE / 7064.0 * sin(radians({inc}))))"
+
+
+def _swath_pass(name, src, inc):
+    """CTE <name>: the incidence where the point falls between the nearest and the farthest corner along the look for ``inc``."""
+    return f"""{name}_a AS (SELECT scene_id, any_value(head) AS head, any_value(orbit_state) AS orbit_state, any_value(lat) AS lat, any_value({inc}) AS inc_in,
+   min(d * cos(radians(b - (head + CASE orbit_state WHEN 'ascending' THEN 1 ELSE -1 END * degrees({_gam(inc)} * tan(radians(lat))) + 90)))) AS near,
+   max(d * cos(radians(b - (head + CASE orbit_state WHEN 'ascending' THEN 1 ELSE -1 END * degrees({_gam(inc)} * tan(radians(lat))) + 90)))) AS far FROM {src} GROUP BY 1),
+{name}_g AS (SELECT *, ({_gam('29.1')} * 6371 + ({_gam('46.0')} - {_gam('29.1')}) * 6371 * greatest(0, least(1, -near / (far - near)))) / 6371 AS g,
+   ({_gam('46.0')} - {_gam('29.1')}) * 6371 AS sw FROM {name}_a),
+{name} AS (SELECT scene_id, CASE WHEN inc_in IS NOT NULL AND far - near BETWEEN 0.6 * sw AND 1.5 * sw THEN degrees(atan2(6371 * sin(g), 7064 - 6371 * cos(g)) + g) END AS inc FROM {name}_g)"""
+
+
+SWATH = """q AS (SELECT scene_id, orbit_state, (w + e) / 2 AS lon, (s + n) / 2 AS lat, w - 2 AS w, e + 2 AS e, s, n FROM scenes),
+h AS (SELECT *, asin(cos(radians(98.18)) / cos(radians(lat))) AS psi0, 7.5 * 6371.0::DOUBLE / 7064.0 AS v FROM q),
+hd AS (SELECT *, degrees(atan2(v * sin(CASE orbit_state WHEN 'ascending' THEN psi0 ELSE pi() - psi0 END) - 0.4651 * cos(radians(lat)),
+   v * cos(CASE orbit_state WHEN 'ascending' THEN psi0 ELSE pi() - psi0 END))) AS head FROM h),
+pt AS (SELECT *, unnest([w, e, e, w]) AS px, unnest([s, s, n, n]) AS py FROM hd),
+pd AS (SELECT *, degrees(atan2(sin(radians(px - lon)) * cos(radians(py)), cos(radians(lat)) * sin(radians(py)) - sin(radians(lat)) * cos(radians(py)) * cos(radians(px - lon)))) AS b,
+   2 * 6371.0 * asin(sqrt(least(1, pow(sin(radians(py - lat) / 2), 2) + cos(radians(lat)) * cos(radians(py)) * pow(sin(radians(px - lon) / 2), 2)))) AS d FROM pt),
+""" + _swath_pass("one", "pd", "39.0") + """,
+pe AS (SELECT pd.*, one.inc AS inc1 FROM pd JOIN one USING (scene_id)),
+""" + _swath_pass("two", "pe", "inc1")
+
+
+@register("swath_incidence_at_point", views=("scenes",), extra=SWATH, sql="SELECT scene_id, round(inc, 4) AS incidence FROM two")
 def q_swath(spark, d):
     """Incidence at a point from a footprint's near and far edge."""
     s = D.scenes(spark, d)
