@@ -85,13 +85,16 @@ def q_list(spark, d):
     return ranked_per_side(ls, ("sort_key",)).select("event_id", "side", "feature_id", F.col("rank"))
 
 
-@register("strip_best_pair", views=("det", "strips"), extra=STR + """,
+BEST = STR + """,
 tp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id, side ORDER BY score, feature_id) AS rn FROM sc
    WHERE n_reasons = 0 AND grade = 'mapping') WHERE rn <= 5),
 pc AS (SELECT a.event_id, a.feature_id AS star_pre, b.feature_id AS star_post, a.score + b.score + 0.1 * abs(a.sun_el - b.sun_el)
    + 0.0167 * least(abs(a.sun_az - b.sun_az) % 360, 360 - abs(a.sun_az - b.sun_az) % 360)
    + 0.5 * abs(tan(radians(least(a.inc, 89))) - tan(radians(least(b.inc, 89)))) AS cost
-  FROM tp a JOIN tp b ON a.event_id = b.event_id AND a.side = 'pre' AND b.side = 'post')""", sql="""
+  FROM tp a JOIN tp b ON a.event_id = b.event_id AND a.side = 'pre' AND b.side = 'post')"""
+
+
+@register("strip_best_pair", views=("det", "strips"), extra=BEST, sql="""
 SELECT event_id, star_pre, star_post, round(cost, 6) AS cost FROM (SELECT *, row_number() OVER (PARTITION BY event_id
   ORDER BY cost, star_pre, star_post) AS rn FROM pc) WHERE rn = 1
 UNION ALL SELECT event_id, CASE side WHEN 'pre' THEN feature_id END, CASE side WHEN 'post' THEN feature_id END, round(score, 6)
@@ -164,6 +167,30 @@ def q_empty(spark, d):
     return vhr.empty_state(c, now, POST, PRE).select("event_id", F.array_join("codes", ",").alias("codes"))
 
 
+@register("strip_triage", views=("det", "strips"), extra=BEST + """,
+c AS (SELECT d.event_id, d.origin, count(j.feature_id) AS n_all, count(s.feature_id) AS listed,
+   count(s.feature_id) FILTER (s.side = 'pre') AS lp, count(s.feature_id) FILTER (s.side = 'post') AS lq,
+   count(s.feature_id) FILTER (s.side = 'pre' AND n_reasons = 0) AS vp, count(s.feature_id) FILTER (s.side = 'post' AND n_reasons = 0) AS vq,
+   count(s.feature_id) FILTER (s.side = 'pre' AND grade = 'context') AS cp, count(s.feature_id) FILTER (s.side = 'post' AND grade = 'context') AS cq
+  FROM det d LEFT JOIN j ON j.event_id = d.event_id LEFT JOIN sc s ON s.event_id = j.event_id AND s.feature_id = j.feature_id
+  GROUP BY ALL),
+st AS (SELECT event_id, star_pre, star_post, round(cost, 6) AS cost FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY cost, star_pre, star_post) AS rn FROM pc) WHERE rn = 1
+  UNION ALL SELECT event_id, CASE side WHEN 'pre' THEN feature_id END, CASE side WHEN 'post' THEN feature_id END, round(score, 6) FROM tp WHERE rn = 1 AND event_id NOT IN (SELECT event_id FROM pc)),
+ms AS (SELECT a.event_id, count(DISTINCT a.feature_id) AS n_stereo FROM sc a JOIN sc b ON a.event_id = b.event_id AND a.sensor = b.sensor AND a.feature_id <> b.feature_id
+  AND a.sensor_type <> 'Radar' AND b.sensor_type <> 'Radar' AND abs(epoch_us(a.acq) - epoch_us(b.acq)) < 300000000 GROUP BY 1)""", sql="""
+SELECT c.event_id, star_pre, star_post, cost, n_all - listed AS n_outside, lp AS listed_pre, lq AS listed_post, vp AS visible_pre, vq AS visible_post, coalesce(n_stereo, 0) AS n_stereo,
+  CASE WHEN n_all = 0 THEN 'before_archive' WHEN listed = 0 THEN 'outside_circle' ELSE
+  concat_ws(',', CASE WHEN vp = 0 AND vq = 0 THEN 'all_hidden' END,
+   CASE WHEN lp - cp = 0 THEN 'no_pre' WHEN vp = 0 AND vq > 0 THEN 'pre_hidden' END,
+   CASE WHEN lq - cq = 0 THEN 'no_post_winter' WHEN vq = 0 AND vp > 0 THEN 'post_hidden' END) END AS codes FROM c LEFT JOIN st USING (event_id) LEFT JOIN ms USING (event_id)""")
+def q_triage(spark, d):
+    """P5: the whole triage of every event from one circle clip."""
+    now = F.lit("2024-06-01 00:00:00").cast("timestamp_ntz")
+    out = vhr.triage(D.detections(spark, d), D.strips(spark, d), now, pre_days=PRE, post_days=POST, cloud_max=30.0)
+    return out.select("event_id", "star_pre", "star_post", F.round("cost", 6).alias("cost"), "n_outside", "listed_pre", "listed_post", "visible_pre", "visible_post", "n_stereo",
+                      F.array_join("codes", ",").alias("codes"))
+
+
 # ------------------------------------------------------------------ radar pairing
 SAR = ORIP(12, 12) + """,
 rd AS (SELECT *, w <= lon AND lon <= e AND s <= lat AND lat <= n AS covers FROM p
