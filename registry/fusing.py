@@ -265,6 +265,17 @@ def q_fill(spark, d):
     return M.fill(maps(spark, d), primary(spark, d))
 
 
+@register("fill_summary", views=("dense_g", "obs"), extra=PRIMARY + """,
+fi AS (SELECT event_id, "row", col, arg_min(CASE WHEN geom = primary_geom THEN 1 ELSE 2 END, o) FILTER (u IS NOT NULL) AS source, count(v) AS n_any
+FROM (SELECT us.*, primary_geom, (CASE WHEN geom = primary_geom THEN 0 ELSE 1 END, -n_seen, geom) AS o
+  FROM us JOIN pg USING (event_id, geom) JOIN pr USING (event_id)) GROUP BY ALL)""", sql="""
+SELECT event_id, count(*) FILTER (source = 1) AS n_primary, count(*) FILTER (source = 2) AS n_filled,
+ count(*) FILTER (source IS NULL AND n_any > 0) AS n_blind, count(*) FILTER (n_any = 0) AS n_nodata FROM fi GROUP BY 1""")
+def q_fillsum(spark, d):
+    """Cells led by the primary, filled by the other pass, blind to both, and never measured."""
+    return M.fill_summary(M.fill(maps(spark, d), primary(spark, d)))
+
+
 # blobs of a mask; SQL labels by repeated minimum over the 8-neighbourhood
 MASKED = """mk AS (SELECT event_id, "row", col, CAST(nir AS DOUBLE) AS score FROM obs_l WHERE nir >= 4500),
 nb AS (SELECT a.event_id, a."row" * 32 + a.col AS a, b."row" * 32 + b.col AS b FROM mk a JOIN mk b ON a.event_id = b.event_id

@@ -18,6 +18,9 @@ SOME = [
     "detector_log_ratio", "evidence_percentile_rank", "fuse_mean", "merge_strongest_signed", "blob_labels",
     "radar_layover_mask", "dem_zonal_volume", "polygon_cells_by_centre", "volume_from_outlines", "ledger_find",
     "ledger_newest_by_side", "strip_json_to_rows", "manifest_radar_rows", "key_scrub_in_text", "tone_hdr",
+    "strip_triage", "strip_stereo_mate_ids", "rule_variant_table", "fusion_scores",
+    "ledger_ingest_in_two_passes", "score_table_rewrites_one_event", "keys_of_one_host_removed", "known_key_hidden_however_spelled",
+    "swath_incidence_at_point", "footprint_best_partner", "fill_summary",
 ]
 
 
