@@ -1,13 +1,15 @@
 """Benchmark decontamination with suffix arrays of the training text (operator 3).
 
 Every shard of training text (a slice of an Arrow batch, a few megabytes) gets a suffix array over its words.
-Every suffix of the test items is binary-searched in every shard; from the place found follow the longest
-verbatim match, its locations, and the occurrences of each 13-word window.  Words that no test item has
-break every match, so suffixes that meet one before the shortest window ends are left out of the array: no
-window can occur there.
-
-The test set is taken in blocks of bounded size.  Each block is broadcast and the documents pass through one
-step per block, so any number of items fits.  Equality of words is that of their 64-bit hashes.
+Every test suffix that is long enough for a match (a window of 13 words, or a whole shorter item) is
+binary-searched in every shard, equal ones once.  The range found gives all locations of the window; where it is
+not empty, the suffixes on both sides are ordered to their full depth and each test suffix's longest verbatim match
+is that with its neighbours in this order.  Words that no test item has break every match, so suffixes that
+meet one before the shortest window ends are left out of the array: no window can occur there.
+
+The test set is taken in blocks of bounded size, one after the other: the driver and every task hold one block, and
+from the second block on each pass over the documents is a table in the shared folder.  Equality of words is that of
+their 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltmark.llm.sharing import read
+from siltmark.llm.sharing import read, stored
 from siltmark.llm.textarrays import LOWER, NOT_ALNUM, flat, hash_words, slices, words
 
 WINDOW = 13
@@ -48,16 +50,23 @@ class TestBlock:
         self.at = np.flatnonzero((self.left >= window) | (first & (size < window)))
         self.length = np.minimum(self.left[self.at], window)
         self.shortest = int(self.length.min()) if len(self.length) else 0
-        self.keys = suffix_keys(self.codes, np.arange(len(owner)), self.left, window)
+        # equal windows are searched once; a shorter item's key ends in zeros, so it differs from all others
+        keys = suffix_keys(self.codes, self.at, self.left[self.at], window)
+        self.keys, where, self.window_of = np.unique(keys, return_index=True, return_inverse=True)
+        self.key_length = self.length[where]
+        pairs = np.unique(self.window_of * max(len(items), 1) + owner[self.at])
+        self.item_of = pairs % max(len(items), 1)
+        self.items_from = np.searchsorted(pairs // max(len(items), 1), np.arange(len(self.keys) + 1))
 
     def search(self, array: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Range in a sorted array of keys where each window stands."""
-        low = self.keys[self.at]
+        low = self.keys
         width = low.dtype.itemsize
         high = low.view(np.uint8).reshape(-1, width).copy() if len(low) else np.empty((0, width), np.uint8)
-        high[np.arange(width) >= 3 * self.length[:, None]] = 255
+        high[np.arange(width) >= 3 * self.key_length[:, None]] = 255
         high = np.ascontiguousarray(high).view(low.dtype).ravel()
-        return np.searchsorted(array, low, "left"), np.searchsorted(array, high, "right")
+        low, high = np.searchsorted(array, low, "left"), np.searchsorted(array, high, "right")
+        return low, np.maximum(low, high)
 
 
 def suffix_keys(codes: np.ndarray, at: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
@@ -71,6 +80,59 @@ def suffix_keys(codes: np.ndarray, at: np.ndarray, left: np.ndarray, depth: int)
     return np.ascontiguousarray(digits.reshape(len(at), 3 * depth).astype(np.uint8)).view(f"S{3 * depth}").ravel()
 
 
+class DeepOrder:
+    """Order of suffixes to their full depth: ranks of their first 1, 2, 4, ... words; an end sorts before all words."""
+
+    def __init__(self, codes: np.ndarray, left: np.ndarray):
+        self.left = left
+        self.ranks = [np.unique(codes, return_inverse=True)[1]]
+        step, n, longest = 1, len(codes), int(left.max())
+        while step < longest:
+            before = self.ranks[-1]
+            after = np.zeros(n, np.int64)
+            more = np.flatnonzero(left > step)
+            after[more] = before[more + step] + 1
+            kinds, rank = np.unique(before * (n + 1) + after, return_inverse=True)
+            self.ranks.append(rank)
+            step *= 2
+            if len(kinds) == n:
+                break
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Words that two suffixes have in common."""
+        most = np.minimum(self.left[a], self.left[b])
+        size = np.zeros(len(a), np.int64)
+        for k in range(len(self.ranks) - 1, -1, -1):
+            on = np.flatnonzero(size < most)
+            same = self.ranks[k][a[on] + size[on]] == self.ranks[k][b[on] + size[on]]
+            size[on[same]] += 1 << k
+        return np.minimum(size, most)
+
+    def sorted(self, at: np.ndarray) -> np.ndarray:
+        return at[np.argsort(self.ranks[-1][at], kind="stable")]
+
+    def longest(self, a: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """Longest match of each suffix of ``a`` with any of ``others`` (in order): that with a neighbour."""
+        here = np.searchsorted(self.ranks[-1][others], self.ranks[-1][a])
+        return np.maximum(self.common(a, others[np.maximum(here - 1, 0)]), self.common(a, others[np.minimum(here, len(others) - 1)]))
+
+    def first_with(self, a: np.ndarray, others: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The smallest of ``others`` that have the first ``size`` words of ``a``; there is one at least."""
+        here = np.searchsorted(self.ranks[-1][others], self.ranks[-1][a])
+        ends = []
+        for side in (-1, 1):
+            near, far = np.zeros(len(a), np.int64), here if side < 0 else len(others) - here  # how many agree on this side
+            while (open_ := near < far).any():
+                middle = (near + far + 1) // 2
+                at = np.clip(here - middle if side < 0 else here + middle - 1, 0, len(others) - 1)
+                agree = self.common(a, others[at]) >= size
+                near = np.where(open_ & agree, middle, near)
+                far = np.where(open_ & ~agree, middle - 1, far)
+            ends.append(here + side * near)
+        cuts = np.stack(ends, axis=1).ravel()
+        return np.minimum.reduceat(np.r_[others, np.iinfo(np.int64).max], cuts)[::2]
+
+
 class Shard:
     """Suffix array of a slice of training text."""
 
@@ -90,30 +152,69 @@ class Shard:
         order = np.argsort(keys, kind="stable")
         self.at, self.keys = at[order], keys[order]
 
-    def occurrences(self, block: TestBlock) -> tuple[np.ndarray, np.ndarray]:
-        """Window number and word position of every occurrence of every window."""
-        low, high = block.search(self.keys)
-        n = np.maximum(high - low, 0)
+        self.run = np.cumsum(begins) - 1
+        self.low, self.high = block.search(self.keys)
+
+    def begun(self, block: TestBlock) -> dict[int, np.ndarray]:
+        """By length of window, the words where one begins, ascending; ranges are marked, not listed."""
+        out = {}
+        found = self.high > self.low
+        for size in np.unique(block.key_length[found]).tolist():
+            mine = found & (block.key_length == size)
+            edge = np.zeros(len(self.at) + 1, np.int64)
+            np.add.at(edge, self.low[mine], 1)
+            np.add.at(edge, self.high[mine], -1)
+            out[size] = np.sort(self.at[np.cumsum(edge[:-1]) > 0])
+        return out
+
+    def documents(self, block: TestBlock) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct pairs of document and window number, by document."""
+        n = self.high - self.low
         which = np.repeat(np.arange(len(n)), n)
-        return which, self.at[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
-
-    def longest(self, block: TestBlock) -> Iterator[tuple[int, int, int]]:
-        """(test word, shard word, length) of a longest match of every test suffix that has one of at least
-        the shortest window; all suffixes equal in the first window are compared in full."""
-        if not len(self.at):
-            return
-        low = np.searchsorted(self.keys, block.keys, "left")
-        high = np.searchsorted(self.keys, block.keys, "right")
-        for t in range(len(block.keys)):
-            best = (0, 0)
-            for k in range(max(low[t] - 1, 0), min(max(high[t], low[t] + 1), len(self.at))):
-                p, n = int(self.at[k]), 0
-                most = min(int(block.left[t]), int(self.left[p]))
-                while n < most and block.codes[t + n] == self.codes[p + n]:
-                    n += 1
-                best = max(best, (n, -p))
-            if best[0] >= block.shortest:
-                yield t, -best[1], best[0]
+        place = self.at[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.low, n)]
+        pairs = np.unique(self.doc[place] * max(len(n), 1) + which)
+        return pairs // max(len(n), 1), pairs % max(len(n), 1)
+
+    def deep(self, block: TestBlock, places: np.ndarray) -> tuple[DeepOrder, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Full order of the runs around ``places`` (starts of whole windows) and of the items that have them.
+
+        Also the numbers of ``places`` and of the test suffixes met in it, and the words either stand for.
+        """
+        runs = np.zeros(int(self.run[-1]) + 1, bool)
+        runs[self.run[places]] = True
+        mine = np.flatnonzero(runs[self.run])
+        met = block.at[(self.high > self.low)[block.window_of] & (block.length == block.window)]
+        items = np.zeros(len(block.ids), bool)
+        items[block.owner[met]] = True
+        theirs = np.flatnonzero(items[block.owner])
+        order = DeepOrder(np.r_[self.codes[mine], block.codes[theirs]], np.r_[self.left[mine], block.left[theirs]])
+        return order, np.searchsorted(mine, places), len(mine) + np.searchsorted(theirs, met), mine, met
+
+    def longest_by_place(self, block: TestBlock, starts: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Words where a window begins and the longest match with any test suffix there, a window at least."""
+        places = np.concatenate([np.empty(0, np.int64), *starts.values()])
+        sizes = np.concatenate([np.empty(0, np.int64), *(np.full(len(p), n, np.int64) for n, p in starts.items())])
+        whole = starts.get(block.window)
+        if whole is not None:
+            order, a, b, _, _ = self.deep(block, whole)
+            sizes[sizes == block.window] = order.longest(a, order.sorted(b))
+        return places, sizes
+
+    def longest(self, block: TestBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Test word, first shard word and length of the longest match of every test suffix that has one of a window."""
+        found = np.flatnonzero((self.high > self.low)[block.window_of] & (block.length < block.window))
+        key = block.window_of[found]
+        cuts = np.stack([self.low[key], self.high[key]], axis=1).ravel()
+        first = np.minimum.reduceat(np.r_[self.at, np.iinfo(np.int64).max], cuts)[::2] if len(cuts) else np.empty(0, np.int64)
+        out = [block.at[found]], [first], [block.length[found]]
+        whole = self.begun(block).get(block.window)
+        if whole is not None:
+            order, a, b, mine, met = self.deep(block, whole)
+            others = order.sorted(a)
+            size = order.longest(b, others)
+            for x, y in zip(out, (met, mine[order.first_with(b, others, size)], size), strict=True):
+                x.append(y)
+        return tuple(np.concatenate(x) for x in out)
 
 
 def blocks_of(bench: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[list[tuple[str | None, str | None]]]:
@@ -130,12 +231,15 @@ def blocks_of(bench: DataFrame, id_col: str, text_col: str, limit: int) -> Itera
         yield block
 
 
-STATE = [("n_words", T.LongType()), ("n_hit", T.LongType()), ("hit_bits", T.BinaryType()), ("hit_items", T.ArrayType(T.StringType()))]
+STATE = [("n_words", T.LongType()), ("n_hit", T.LongType()), ("hit_bits", T.BinaryType()), ("hit_items", T.ArrayType(T.StringType())),
+         ("longest", T.LongType()), ("longest_at", T.LongType())]
 
 
 def with_hits(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
               keep: list[str] | None = None, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The columns ``keep`` (all by default) by position as c0, c1, ..., then n_words, n_hit, hit_bits and hit_items.
+    """The columns ``keep`` (all by default) by position as c0, c1, ..., then n_words, n_hit, hit_bits, hit_items,
+    longest (words of the longest verbatim match that holds a window, 0 without one) and longest_at (its first word
+    from 0, the earliest of equals, null without one).
 
     A null text has no words.  A null item has no windows; an item with a null id hits but is not listed.
     Items that repeat an id are listed once.  An empty test set hits nothing.
@@ -144,11 +248,17 @@ def with_hits(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_co
     names = docs.columns if keep is None else keep
     df = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col(text_col).alias("whole_text"))
     n = len(names)
-    blocks = list(blocks_of(bench, item_col, item_text, block_bytes)) or [[]]
     shape = T.StructType([f for f in df.schema.fields] + [T.StructField(c, t) for c, t in STATE])
-    for k, items in enumerate(blocks):
+    blocks = blocks_of(bench, item_col, item_text, block_bytes)
+    items, first = next(blocks, []), True
+    while items is not None:
+        following = next(blocks, None)
         shared = spark.sparkContext.broadcast(items)
-        df = df.mapInArrow(_step(shared, n, k == 0, window), shape)
+        df = df.mapInArrow(_step(shared, n, first, window), shape)
+        if following is not None:
+            df = stored(df, "test-block")
+            shared.destroy()
+        items, first = following, False
     return df.drop("whole_text")
 
 
@@ -157,35 +267,45 @@ def _step(shared, n: int, first: bool, window: int):
         block = TestBlock(shared.value, window)
         for b in batches:
             data, offsets = flat(b.column(n))
-            found = [[], [], [], []]
+            found = [[] for _ in STATE]
             for i, j in slices(offsets):
-                part = LOWER[data[offsets[i]:offsets[j]]]
-                s = Shard(part, offsets[i:j + 1] - offsets[i], block)
-                which, place = s.occurrences(block)
+                s = Shard(LOWER[data[offsets[i]:offsets[j]]], offsets[i:j + 1] - offsets[i], block)
+                begun = s.begun(block)
                 edge = np.zeros(len(s.codes) + 1, np.int64)
-                np.add.at(edge, place, 1)
-                np.add.at(edge, place + block.length[which], -1)
+                for size, places in begun.items():
+                    edge[places] += 1
+                    np.add.at(edge, places + size, -1)
                 hit = np.cumsum(edge[:-1]) > 0
                 sizes = np.bincount(s.doc, minlength=j - i)
                 ends = np.cumsum(sizes)
-                pairs = np.unique(np.stack([s.doc[place], block.owner[block.at[which]]], axis=1), axis=0) if len(place) else np.empty((0, 2), np.int64)
-                items: dict[int, set] = {}
-                for d, o in pairs.tolist():
-                    if block.ids[o] is not None:
-                        items.setdefault(d, set()).add(block.ids[o])
+                place, length = s.longest_by_place(block, begun)
+                best = np.lexsort((place, -length, s.doc[place]))
+                best = best[np.flatnonzero(np.diff(s.doc[place][best], prepend=-1))]
+                longest = dict(zip(s.doc[place][best].tolist(), zip(length[best].tolist(), place[best].tolist(), strict=True), strict=True))
+                doc, which = s.documents(block)
+                cuts = np.searchsorted(doc, np.arange(j - i + 1))
                 for d in range(j - i):
                     bits = hit[ends[d] - sizes[d]:ends[d]]
                     r = i + d
-                    if not first and (old := b.column(n + 3)[r].as_py()):
-                        bits = bits | np.unpackbits(np.frombuffer(old, np.uint8), count=len(bits)).astype(bool)
-                    mine = items.get(d, set())
+                    mine = set()
+                    if cuts[d] < cuts[d + 1]:
+                        items = [block.item_of[block.items_from[w]:block.items_from[w + 1]] for w in which[cuts[d]:cuts[d + 1]]]
+                        mine = {block.ids[o] for o in np.unique(np.concatenate(items)).tolist()} - {None}
+                    most, where = longest.get(d, (0, None))
+                    if where is not None:
+                        where -= int(ends[d] - sizes[d])
                     if not first:
-                        mine = mine | set(b.column(n + 4)[r].as_py())
-                    found[0].append(int(sizes[d]))
-                    found[1].append(int(bits.sum()))
-                    found[2].append(np.packbits(bits).tobytes() if bits.any() else None)
-                    found[3].append(sorted(mine))
-            state = [pa.array(f, t) for f, t in zip(found, (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.string())), strict=True)]
+                        if old := b.column(n + 3)[r].as_py():
+                            bits = bits | np.unpackbits(np.frombuffer(old, np.uint8), count=len(bits)).astype(bool)
+                        mine |= set(b.column(n + 4)[r].as_py())
+                        old = b.column(n + 5)[r].as_py(), b.column(n + 6)[r].as_py()
+                        if old[0] > most or old[0] == most > 0 and old[1] < where:
+                            most, where = old
+                    for c, v in zip(found, (int(sizes[d]), int(bits.sum()), np.packbits(bits).tobytes() if bits.any() else None, sorted(mine), most, where),
+                                    strict=True):
+                        c.append(v)
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.string()), pa.int64(), pa.int64())
+            state = [pa.array(f, t) for f, t in zip(found, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(k) for k in range(n + 1)] + state,
                                              [*b.schema.names[:n + 1], *(c for c, _ in STATE)])
     return run
@@ -195,10 +315,10 @@ CONTAMINATED = "n_hit > 0 AND 20 * n_hit >= n_words"
 
 
 def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
-    """Per document: words, words inside test windows, test items met and the verdict."""
+    """Per document: words, words inside test windows, test items met, the verdict, the longest match and where it begins."""
     return with_hits(docs, bench, keep=[id_col], **kw).select(
         F.col("c0").alias("doc_id"), "n_words", "n_hit", F.size("hit_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort("hit_items"), ","), 256).alias("items_sha256"), F.expr(CONTAMINATED).alias("contaminated"))
+        F.sha2(F.array_join(F.array_sort("hit_items"), ","), 256).alias("items_sha256"), F.expr(CONTAMINATED).alias("contaminated"), "longest", "longest_at")
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, **kw) -> DataFrame:
@@ -210,13 +330,19 @@ def decontaminate(docs: DataFrame, bench: DataFrame, **kw) -> DataFrame:
 def longest_matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Longest verbatim match of every test suffix over all shards: ``item_id, item_word, n_words, doc_id, doc_word``
-    (word numbers from 0).  Matches shorter than the shortest window are not reported; of equal lengths the
-    smallest document and place are given.
+    (word numbers from 0).  Matches shorter than a window (or than the item, if that is shorter) are not reported; of
+    equal lengths the smallest document and place are given.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
+    shape = f"item_id string, item_word long, n_words long, doc_id {kind}, doc_word long"
+    best = F.struct((-F.col("n_words")).alias("n"), F.col("doc_id").alias("d"), F.col("doc_word").alias("w"))
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     out = None
-    for items in list(blocks_of(bench, item_col, item_text, block_bytes)) or [[]]:
+    blocks = blocks_of(bench, item_col, item_text, block_bytes)
+    items = next(blocks, [])
+    while items is not None:
+        following = next(blocks, None)
         shared = spark.sparkContext.broadcast(items)
 
         def run(batches, shared=shared):
@@ -226,21 +352,23 @@ def longest_matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", t
                 data, offsets = flat(b.column(1))
                 for i, j in slices(offsets):
                     s = Shard(LOWER[data[offsets[i]:offsets[j]]], offsets[i:j + 1] - offsets[i], block)
-                    head = np.searchsorted(s.doc, np.arange(j - i))
-                    rows = [(block.ids[block.owner[t]], int(t - begin[block.owner[t]]), m, i + int(s.doc[p]), int(p - head[s.doc[p]]))
-                            for t, p, m in s.longest(block)]
-                    if rows:
-                        c = list(zip(*rows, strict=True))
+                    t, p, size = s.longest(block)
+                    if len(t):
+                        head = np.searchsorted(s.doc, np.arange(j - i))
+                        owner, doc = block.owner[t], s.doc[p]
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(c[0], pa.string()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()),
-                             b.column(0).take(pa.array(c[3])), pa.array(c[4], pa.int64())],
+                            [pa.array([block.ids[o] for o in owner.tolist()], pa.string()), pa.array(t - begin[owner], pa.int64()), pa.array(size, pa.int64()),
+                             b.column(0).take(pa.array(i + doc)), pa.array(p - head[doc], pa.int64())],
                             ["item_id", "item_word", "n_words", "doc_id", "doc_word"])
 
-        part = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-            run, f"item_id string, item_word long, n_words long, doc_id {kind}, doc_word long")
+        part = narrow.mapInArrow(run, shape).groupBy("item_id", "item_word").agg(F.min(best).alias("b"))
+        if following is not None:
+            part = stored(part, "longest-matches")
+            shared.destroy()
         out = part if out is None else out.unionByName(part)
-    best = F.struct((-F.col("n_words")).alias("n"), F.col("doc_id").alias("d"), F.col("doc_word").alias("w"))
-    return out.groupBy("item_id", "item_word").agg(F.min(best).alias("b")).select(
+        items = following
+    # items that repeat an id may be in several blocks
+    return out.groupBy("item_id", "item_word").agg(F.min("b").alias("b")).select(
         "item_id", "item_word", (-F.col("b.n")).alias("n_words"), F.col("b.d").alias("doc_id"), F.col("b.w").alias("doc_word"))
 
 

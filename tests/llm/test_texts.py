@@ -72,6 +72,75 @@ def test_decoder_is_incremental():
     assert "".join(bpe.decoded([b"\xff", b"a"])) == "�a"
 
 
+def decontamination_words(t):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+
+
+def same_words(a, b):
+    n = 0
+    while n < min(len(a), len(b)) and a[n] == b[n]:
+        n += 1
+    return n
+
+
+def longest_in(doc, items, window=decontamination.WINDOW):
+    """Longest match of a document with any item that holds a window, and its earliest place."""
+    best = (0, None)
+    for p in range(len(doc)):
+        for x in items:
+            for t in range(len(x)):
+                n = same_words(doc[p:], x[t:])
+                if n > best[0] and n >= min(len(x), window):
+                    best = (n, p)
+    return best
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_suffixes_against_brute_force(seed):
+    rng = random.Random(seed)
+    kinds, window = rng.choice([2, 3, 8]), rng.choice([2, 3, 5])
+    make = lambda n: [rng.choice("abcdefgh"[:kinds]) for _ in range(n)]
+    docs, items = [make(rng.randint(0, 40)) for _ in range(6)], [make(rng.randint(0, 14)) for _ in range(5)]
+    if seed % 3 == 0:
+        docs[2], items[1] = ["a"] * 40, ["a"] * 30  # one word over and over
+        docs[4] = docs[4] + ["z"] + items[2]
+    block = decontamination.TestBlock([(str(k), " ".join(x)) for k, x in enumerate(items)], window)
+    data = [" ".join(d).encode() for d in docs]
+    offsets = np.cumsum([0, *map(len, data)])
+    shard = decontamination.Shard(np.frombuffer(b"".join(data), np.uint8), offsets, block)
+    begun = shard.begun(block)
+    head = np.cumsum([0, *map(len, docs)])
+    place, size = shard.longest_by_place(block, begun)
+    for k, d in enumerate(docs):
+        mine = sorted((-n, p - head[k]) for p, n in zip(place.tolist(), size.tolist(), strict=True) if head[k] <= p < head[k + 1])
+        assert (((-mine[0][0], mine[0][1]) if mine else (0, None))) == longest_in(d, items, window)
+    want = {}
+    at = 0
+    for x in items:
+        for t in range(len(x)):
+            if len(x) - t >= min(window, len(x)):
+                best = max(((same_words(d[p:], x[t:]), -int(head[k]) - p) for k, d in enumerate(docs) for p in range(len(d))), default=(0, 0))
+                if best[0] >= min(window, len(x)):
+                    want[at + t] = (-best[1], best[0])
+        at += len(x)
+    t, p, n = shard.longest(block)
+    assert dict(zip(t.tolist(), zip(p.tolist(), n.tolist(), strict=True), strict=True)) == want
+    doc, which = shard.documents(block)
+    got = {(int(a), int(o)) for a, w in zip(doc, which, strict=True) for o in block.item_of[block.items_from[w]:block.items_from[w + 1]]}
+    gram = lambda x, n: {tuple(x[k:k + n]) for k in range(len(x) - n + 1)}
+    assert got == {(k, o) for k, d in enumerate(docs) for o, x in enumerate(items) if x and gram(d, min(window, len(x))) & gram(x, min(window, len(x)))}
+
+
+def test_one_word_over_and_over_is_not_listed():
+    item, text = " ".join(["same"] * 2000), " ".join(["same"] * 20000)
+    block = decontamination.TestBlock([("q", item)])
+    raw = np.frombuffer(text.encode(), np.uint8)
+    shard = decontamination.Shard(raw, np.array([0, len(raw)]), block)
+    assert len(block.keys) == 1 and len(shard.documents(block)[0]) == 1
+    assert [len(x) for x in shard.begun(block).values()] == [20000 - 12]
+    assert max(shard.longest_by_place(block, shard.begun(block))[1]) == 2000
+
+
 @pytest.mark.parametrize("block", [1 << 20, 60])
 def test_contamination(spark, docs, rows, none, block):
     words = next(t for i, t in rows if i == 13).split()
@@ -80,7 +149,10 @@ def test_contamination(spark, docs, rows, none, block):
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = [(i, *x) for (i, _), x in zip(rows, decontamination.brute_force([t for _, t in rows], items), strict=True)]
     got = decontamination.contamination(docs, bench, block_bytes=block)
-    assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
+    assert sorted(map(tuple, got.drop("longest", "longest_at").collect()), key=key) == sorted(want, key=key)
+    split = decontamination_words
+    lengths = [(i, *longest_in(split(t), [split(x) for _, x in items])) for i, t in rows]
+    assert sorted(map(tuple, got.select("doc_id", "longest", "longest_at").collect()), key=key) == sorted(lengths, key=key)
     clean = decontamination.decontaminate(docs, bench, block_bytes=block)
     assert clean.columns == docs.columns and clean.count() == sum(not w[-1] for w in want)
     assert decontamination.contamination(none, bench).count() == 0
