@@ -11,6 +11,7 @@ always stay.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -40,15 +41,15 @@ LABEL = re.compile(r"[^\W\d_]+[:=]+")
 DOT = r"(?:\s?[\[({<]\s?(?:dot|punkt|punto|point|\.)\s?[\])}>]\s?|\s(?:dot|punkt|punto|point)\s|\.)"
 SPELLED = re.compile(r"(?:\s?[\[({<]\s?(?:at|ät|arroba|arobase|@)\s?[\])}>]\s?|\s(?:at|ät|arroba|arobase)\s|\s@\s?|@\s)[^\W_][\w-]*(?:" + DOT + r"[\w-]+)+", re.I)
 DOT_BEFORE = re.compile(DOT + r"\Z", re.I)
+WORD = re.compile(r"\S+")
 
 MIN_SUPPORT = 5      # distinct seeds a pattern must have met
 MIN_PATTERN = 0.8    # share of its instances that must be known
 MIN_INSTANCE = 0.9
 SMOOTHING = 1.0
-LONGEST = 64         # longer pieces are no identifiers of a person
 FEWEST = 5           # digits of a number that can name a person; an address of four parts may have fewer
-MOST = 19            # digits of groups taken together, as in the longest card
-VIEW = 80
+MOST = 19            # digits of a part of a number, as in the longest card; the whole number may have any
+LONG = 64            # longer names of words and values are kept as their digests
 
 
 def luhn(digits: str) -> bool:
@@ -86,8 +87,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def looks_numeric(piece: str) -> bool:
-    return sum(c in "0123456789" for c in piece) >= FEWEST or piece.count(".") >= 3 and any(c in "0123456789" for c in piece)
+def named(x: str) -> str:
+    """The lower-cased text itself or, if it is long, its digest."""
+    x = x.lower()
+    return x if len(x) <= LONG else "\x1e" + hashlib.sha256(x.encode()).hexdigest()
+
+
+def looks_numeric(piece: str, fewest: int) -> bool:
+    return sum(c in "0123456789" for c in piece) >= fewest or piece.count(".") >= 3 and any(c in "0123456789" for c in piece)
 
 
 def marked_tokens(text: str) -> Iterator[tuple[int, int]]:
@@ -117,28 +124,31 @@ def marked_tokens(text: str) -> Iterator[tuple[int, int]]:
 
 def spelled_addresses(text: str) -> Iterator[tuple[int, int]]:
     """Addresses whose at sign or dots are spelled out, in brackets or apart."""
+    last = 0
     for m in SPELLED.finditer(text):
         a = m.start()
         while True:
             end = a
-            while a > 0 and end - a < LONGEST and (text[a - 1].isalnum() or text[a - 1] in LOCAL):
+            while a > last and (text[a - 1].isalnum() or text[a - 1] in LOCAL):
                 a -= 1
             if a == end:
                 break
-            dot = DOT_BEFORE.search(text, max(0, a - 12), a)
-            if not dot or dot.start() == 0 or not text[dot.start() - 1].isalnum() or m.start() - dot.start() > LONGEST:
+            dot = DOT_BEFORE.search(text, max(last, a - 12), a)
+            if not dot or dot.start() == last or not text[dot.start() - 1].isalnum():
                 break
             a = dot.start()
+        last = m.end()
         while a < m.start() and text[a] in EDGE:
             a += 1
         if a < m.start():
             yield a, m.end()
 
 
-def other_pieces(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, bool]]:
+def other_pieces(text: str, taken: list[tuple[int, int, int]], fewest: int = FEWEST) -> list[tuple[int, int, bool]]:
     """Start and end of every identifier-like piece that no span touches, and whether it is a whole.
 
-    Tokens of digits and signs that follow each other are one number; its parts, down to a token, are pieces too.
+    Tokens of digits and signs that follow each other are one number; its parts of up to ``MOST`` digits, down to a
+    token of any, are pieces too.
     """
     spans = sorted((s, e) for _, s, e in taken)
     starts = [s for s, _ in spans]
@@ -146,22 +156,27 @@ def other_pieces(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int
 
     def free(a: int, b: int) -> bool:
         k = bisect_left(starts, b)
-        return b - a <= LONGEST and (k == 0 or ends[k - 1] <= a)
+        return k == 0 or ends[k - 1] <= a
 
     out = [(a, b, True) for a, b in spelled_addresses(text) if free(a, b)]
     run: list[tuple[int, int, int]] = []  # start, end and digits of the groups of one number
 
     def flush() -> None:
-        for i, (a, _, _) in enumerate(run):
+        def add(i: int, j: int) -> None:
+            a, b = run[i][0], run[j][1]
+            if looks_numeric(text[a:b], fewest) and free(a, b):
+                opened = a > 0 and text[a - 1] == "(" and ")" in text[a:b]
+                out.append((a - opened, b, i == 0 and j == len(run) - 1))
+
+        for i in range(len(run)):
             digits = 0
             for j in range(i, len(run)):
                 digits += run[j][2]
-                b = run[j][1]
-                if j > i and (digits > MOST or b - a > LONGEST):
+                if j > i and digits > MOST:
+                    if i == 0:
+                        add(0, len(run) - 1)
                     break
-                if looks_numeric(text[a:b]) and free(a, b):
-                    opened = a > 0 and text[a - 1] == "(" and ")" in text[a:b]
-                    out.append((a - opened, b, i == 0 and j == len(run) - 1))
+                add(i, j)
         run.clear()
 
     for a, b in marked_tokens(text):
@@ -172,18 +187,48 @@ def other_pieces(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int
             run.append((a, b, sum(c in "0123456789" for c in piece)))
             continue
         flush()
-        if ("@" in piece and any(c.isalnum() for c in piece) or looks_numeric(piece)) and free(a, b):
+        if ("@" in piece and any(c.isalnum() for c in piece) or looks_numeric(piece, fewest)) and free(a, b):
             out.append((a, b, True))
     flush()
     return out
 
 
-def contexts(text: str, start: int, end: int, like: str) -> list[str]:
-    """Pattern names of an occurrence: the words before, after, and on both sides."""
-    before = [w.strip(EDGE) or w for w in text[max(0, start - VIEW):start].lower().split()]
-    after = [w.strip(EDGE) or w for w in text[end:end + VIEW].lower().split()]
-    left, right = " ".join(before[-1:]), " ".join(after[:1])
-    return [f"{like}\x1f{x}" for x in (f"< {left}", f"> {right}", f"<> {left} _ {right}", f"<< {' '.join(before[-2:])}")]
+class Surroundings:
+    """The words beside a place of one text, however long they are and whatever space lies between."""
+
+    def __init__(self, text: str):
+        self.text, self.known = text, {}
+
+    def before(self, start: int) -> list[str]:
+        """The last two words."""
+        if start not in self.known:
+            out, b = [], start
+            for _ in range(2):
+                while b > 0 and self.text[b - 1].isspace():
+                    b -= 1
+                a = b
+                while a > 0 and not self.text[a - 1].isspace():
+                    a -= 1
+                if a < b:
+                    out.insert(0, self.bare(self.text[a:b]))
+                b = a
+            self.known[start] = out
+        return self.known[start]
+
+    def after(self, end: int) -> str:
+        """The next word."""
+        m = WORD.search(self.text, end)
+        return self.bare(m.group()) if m else ""
+
+    @staticmethod
+    def bare(word: str) -> str:
+        return named(word.strip(EDGE) or word)
+
+    def contexts(self, start: int, end: int, like: str) -> list[str]:
+        """Pattern names of an occurrence: the words before, after, and on both sides."""
+        before, right = self.before(start), self.after(end)
+        left = " ".join(before[-1:])
+        return [f"{like}\x1f{x}" for x in (f"< {left}", f"> {right}", f"<> {left} _ {right}", f"<< {' '.join(before)}")]
 
 
 def like(kind: int, piece: str) -> str:
@@ -194,7 +239,7 @@ def like(kind: int, piece: str) -> str:
 OCCURRENCE = "array<struct<kind:int,begin:int,stop:int,value:string,whole:boolean,patterns:array<string>>>"
 
 
-def find_occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def find_occurrences(docs: DataFrame, id_col: str, text_col: str, fewest: int = FEWEST) -> DataFrame:
     """``doc_id, occ``: every base span (kind 0-3) and other piece (kind -1) of each text with its contexts."""
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -202,9 +247,9 @@ def find_occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for b in batches:
             found = []
             for t in b.column(1).to_pylist():
-                base = base_spans(t)
-                every = [*((k, s, e, True) for k, s, e in base), *((-1, s, e, w) for s, e, w in other_pieces(t, base))]
-                found.append([{"kind": k, "begin": s, "stop": e, "value": t[s:e].lower(), "whole": w, "patterns": contexts(t, s, e, like(k, t[s:e]))}
+                base, beside = base_spans(t), Surroundings(t)
+                every = [*((k, s, e, True) for k, s, e in base), *((-1, s, e, w) for s, e, w in other_pieces(t, base, fewest))]
+                found.append([{"kind": k, "begin": s, "stop": e, "value": named(t[s:e]), "whole": w, "patterns": beside.contexts(s, e, like(k, t[s:e]))}
                               for k, s, e, w in every])
             shape_ = pa.list_(pa.struct([("kind", pa.int32()), ("begin", pa.int32()), ("stop", pa.int32()), ("value", pa.string()), ("whole", pa.bool_()),
                                         ("patterns", pa.list_(pa.string()))]))
@@ -214,14 +259,14 @@ def find_occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return d.mapInArrow(run, f"doc_id {kind}, occ {OCCURRENCE}")
 
 
-def discovered(occ: DataFrame) -> DataFrame:
+def discovered(occ: DataFrame, support: int = MIN_SUPPORT) -> DataFrame:
     """``value, whole, kind, p`` of instances that reliable patterns tag.  ``occ``: value, whole, kind (-1 unknown), pattern.
 
     A part of a longer number is an instance of its own, and no evidence for or against a pattern.
     """
     edges = stable(occ.groupBy("pattern", "value", "whole").agg(F.max("kind").alias("kind")))
     # a pattern that meets fewer instances can never have the support
-    met = edges.filter("whole").groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_SUPPORT).select("pattern")
+    met = edges.filter("whole").groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= support).select("pattern")
     edges = stable(edges.join(met, "pattern"))
     known = None
     while True:
@@ -234,7 +279,7 @@ def discovered(occ: DataFrame) -> DataFrame:
         # the kind a pattern speaks for is the one most of its known instances have, the earlier listed of two
         top = F.greatest(*[F.col(f"w{k}") for k in range(len(KINDS))])
         says = F.coalesce(*[F.when(F.col(f"w{k}") == top, F.lit(k)) for k in range(len(KINDS))])
-        trust = by_pattern.filter(F.col("support") >= MIN_SUPPORT).select("pattern", says.alias("says"), (top / (F.col("n") + SMOOTHING)).alias("conf"))
+        trust = by_pattern.filter(F.col("support") >= support).select("pattern", says.alias("says"), (top / (F.col("n") + SMOOTHING)).alias("conf"))
         tagged = edges.filter("kind < 0").join(trust.filter(F.col("conf") >= MIN_PATTERN), "pattern")
         by_kind = tagged.groupBy("value", "whole", "says").agg((1 - F.exp(F.sum(F.log1p(-F.least("conf", F.lit(0.999)))))).alias("p"))
         found = by_kind.groupBy("value", "whole").agg(F.max_by("says", F.struct("p", -F.col("says"))).alias("kind"), F.max("p").alias("p")).filter(
@@ -269,16 +314,19 @@ def joined(spans: str) -> str:
             f"concat(element_at(array({names}), x.kind + 1), ':', x.begin, ':', x.stop)), ',')")
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fewest: int = FEWEST, support: int = MIN_SUPPORT) -> DataFrame:
     """Counts of base spans per kind, their digest, and all spans with those the contexts found.
 
+    A number needs ``fewest`` digits to be found by its context, a pattern ``support`` known instances to be believed.
+    Neither pieces nor the words beside them have a greatest length.
+
     A null text counts as empty; a null id stays null; repeated rows give repeated results.  An instance that
     reliable patterns give to two kinds goes to the likelier, then the earlier listed; of found instances that
     overlap the likelier stays, then the longer, then the earlier.  Other columns are ignored.
     """
-    rows = stable(find_occurrences(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
+    rows = stable(find_occurrences(docs, id_col, text_col, fewest).withColumn("row", F.monotonically_increasing_id()))
     one = rows.select("row", F.explode("occ").alias("o")).select("row", "o.*")
-    new = discovered(one.select("value", "whole", "kind", F.explode("patterns").alias("pattern")))
+    new = discovered(one.select("value", "whole", "kind", F.explode("patterns").alias("pattern")), support)
     more = (one.filter("kind < 0").select("row", "begin", "stop", "value", "whole").join(new, ["value", "whole"])
             .groupBy("row").agg(F.collect_list(F.struct("kind", "begin", "stop", "p")).alias("added")))  # at most a document's own pieces
 

@@ -303,6 +303,69 @@ def test_pieces_of_a_long_number():
     assert [(x["begin"], x["stop"]) for x in personal_data.apart(found)] == [(0, 19), (30, 39)]
 
 
+def test_personal_data_has_no_greatest_length(spark):
+    long = "x" * 300
+    texts = [f"write mail to a{k}@host{k}.example.org soon" for k in range(40)] + [f"card{' ' * 200}4{k:03d} 0000 {k % 7}" for k in range(3)]
+    texts += [f"{long} +1 ({200 + k}) 555-{1000 + 37 * k} {long}" for k in range(40)]
+    fresh = {f"write mail to {'j' * 200}@host. soon": "email:14:219", f"write mail to {'j' * 200} (at) example.org soon": "email:14:231",
+             f"{long} {'1234 ' * 10}{long}": "phone:301:350", f"{long}{' ' * 100}5550-1234{' ' * 500}{long}": "phone:400:409"}
+    texts += fresh
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {texts[r.doc_id]: r.spans for r in personal_data.personal_data(df).collect()}
+    assert {t: got[t] for t in fresh} == fresh
+
+
+def bootstrap_brute(occ, support):
+    edges = {}
+    for value, whole, kind, pattern in occ:
+        edges[pattern, value, whole] = max(kind, edges.get((pattern, value, whole), -1))
+    met = collections.Counter(p for p, _, w in edges if w)
+    edges = {e: k for e, k in edges.items() if met[e[0]] >= support}
+    known = {}
+    while True:
+        conf = {}
+        for p in {e[0] for e in edges}:
+            weight, n, seen = [0.0] * 4, 0, 0
+            for (q, v, w), k in edges.items():
+                if q == p and w:
+                    kind, sure = (k, 1.0) if k >= 0 else known.get((v, w), (-1, 0.0))
+                    n += 1
+                    if kind >= 0:
+                        seen += 1
+                        weight[kind] += sure
+            if seen >= support and max(weight) / (n + 1) >= personal_data.MIN_PATTERN:
+                conf[p] = (weight.index(max(weight)), max(weight) / (n + 1))
+        doubt = collections.defaultdict(lambda: 1.0)
+        for (p, v, w), k in edges.items():
+            if k < 0 and p in conf:
+                doubt[v, w, conf[p][0]] *= 1 - min(conf[p][1], 0.999)
+        new = {}
+        for (v, w, k), d in sorted(doubt.items(), key=lambda x: x[0][2]):
+            if 1 - d >= personal_data.MIN_INSTANCE and (v, w) not in known and ((v, w) not in new or 1 - d > new[v, w][1]):
+                new[v, w] = (k, 1 - d)
+        if not new:
+            return known
+        known |= new
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_bootstrap_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    occ = []
+    for v in range(400):
+        kind = rng.choice([-1, -1, -1, 0, 3])
+        home = rng.randrange(12)
+        for _ in range(rng.randint(1, 4)):
+            occ.append((f"v{v}", rng.random() < 0.9, kind if home < 6 or kind < 0 else home % 2 * 3, f"p{home if rng.random() < 0.95 else rng.randrange(20)}"))
+    # a context of seeds tags u, whose own contexts then tag w
+    occ += [(f"s{k}", True, k % 2 * 3, f"p{20 + k % 2}") for k in range(400)] + [(f"u{k}", True, -1, f"p{20 + k % 2}") for k in range(30)]
+    occ += [(x, True, -1, p) for x in [*(f"u{k}" for k in range(0, 30, 2)), "w"] for p in ("p22", "p23")]
+    got = personal_data.discovered(spark.createDataFrame(occ, "value string, whole boolean, kind int, pattern string"), 4)
+    want = bootstrap_brute(occ, 4)
+    assert {("u1", True), ("w", True)} <= want.keys()
+    assert {(r.value, r.whole): (r.kind, round(r.p, 9)) for r in got.collect()} == {x: (k, round(p, 9)) for x, (k, p) in want.items()}
+
+
 def test_ppm_counts_beyond_32_bits():
     keys = np.array([0x0A0A0A0A0A61, int(ppm.WORD_FLAG) + 7], np.uint64)
     per_slice = np.array([3, 2**31 - 1], np.int32)
