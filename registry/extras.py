@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from registry.base import register
+from registry.catalog import PAIRS
 from registry.detectors import KEYS
 from siltmark.functions import geo, radar, timing
 from siltmark.functions import text as X
@@ -12,6 +13,7 @@ from siltmark.functions import tone as TN
 from siltmark.operators import cells as C
 from siltmark.operators import gazetteer, manifest
 from siltmark.operators import ranking as R
+from siltmark.operators import search as S
 from siltmark.session import shared_folder
 from siltmark.sources import dem_catalog as DC
 from siltmark.sources import driver_tables as D
@@ -204,7 +206,6 @@ so AS (SELECT *, CASE WHEN tier = 0 THEN -CAST(strftime(acq, '%Y%m%d') AS INTEGE
 
 
 def dem_candidates(spark, d):
-    from siltmark.operators import search as S
     i = F.col("scene_id")
     src = F.when(i % 5 == 0, "arcticdem").when(i % 5 == 1, "3dep-10m").when(i % 5 == 2, "mrdem-30").when(i % 5 == 3, "cop-glo30").otherwise("other")
     sc = D.scenes(spark, d).filter(F.col("source") == "NISAR").withColumn("dem_source", src)
@@ -221,9 +222,59 @@ def q_demrank(spark, d):
     return R.ranked_per_side(c.withColumn("k", key), ("k", "scene_id"), keys=("event_id",)).select("event_id", "scene_id", F.col("rank"))
 
 
-@register("dem_default_choice", views=("det", "scenes"), extra=DEMC + """,
-px AS (SELECT a.event_id, i, aw + (i % 20 + 0.5) / 20 * (ae - aw) AS x, as_ + (i // 20 + 0.5) / 20 * (an - as_) AS y FROM aoi a, range(400) t(i)),
-cv AS (SELECT event_id, count(DISTINCT i) / 400.0::DOUBLE AS cover FROM px JOIN so USING (event_id) WHERE tier = 0 AND w <= x AND x <= e AND s <= y AND y <= n GROUP BY 1),
+COVER = """,
+bx AS (SELECT DISTINCT event_id, greatest(w, aw) AS x0, least(e, ae) AS x1, greatest(s, as_) AS y0, least(n, an) AS y1, (ae - aw) * (an - as_) AS whole FROM so
+  WHERE tier = 0 AND greatest(w, aw) < least(e, ae) AND greatest(s, as_) < least(n, an)),
+xs AS (SELECT event_id, x0 AS lo FROM bx UNION SELECT event_id, x1 FROM bx),
+sl AS (SELECT event_id, lo, lead(lo) OVER (PARTITION BY event_id ORDER BY lo) AS hi FROM xs),
+iv AS (SELECT event_id, lo, hi, y0, y1, whole, max(y1) OVER (PARTITION BY event_id, lo ORDER BY y0, y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above
+  FROM sl JOIN bx USING (event_id) WHERE x0 <= lo AND hi <= x1),
+cv AS (SELECT event_id, sum((hi - lo) * greatest(0, y1 - greatest(y0, coalesce(above, y0))) / whole) AS cover FROM iv GROUP BY 1)"""
+
+
+@register("dem_strip_cover", views=("det", "scenes"), extra=DEMC + COVER, sql="""
+SELECT event_id, round(coalesce(cover, 0), 6) AS cover FROM det LEFT JOIN cv USING (event_id)""")
+def q_demcover(spark, d):
+    """Exact share of each search box that strips cover together."""
+    c = dem_candidates(spark, d).filter(DC.tier(F.col("dem_source")) == 0)
+    return DC.strip_cover(D.detections(spark, d), c).select("event_id", F.round("cover", 6).alias("cover"))
+
+
+SEARCH = PAIRS + """,
+s AS (SELECT *, scene_id::VARCHAR AS id, CASE WHEN day < CAST(origin AS DATE) THEN 'pre' WHEN day > CAST(origin AS DATE) THEN 'post' END AS side,
+  day BETWEEN CAST(origin - INTERVAL 9 DAY AS DATE) AND CAST(origin - INTERVAL 1 DAY AS DATE)
+  OR day BETWEEN CAST(origin + INTERVAL 1 DAY AS DATE) AND CAST(origin + INTERVAL 4 DAY AS DATE) AS inside FROM allp WHERE source = 'NISAR'),
+st AS (SELECT * FROM s WHERE scene_id % 5 = 0),
+ti AS (SELECT event_id, src, count(DISTINCT scene_id) AS n FROM (SELECT *, CASE scene_id % 10 WHEN 1 THEN '3dep-10m' WHEN 6 THEN '3dep-dsm' WHEN 3 THEN 'cop-glo30' END AS src FROM s) WHERE src IS NOT NULL GROUP BY ALL),
+na AS (SELECT event_id, 'mrdem-30' AS src, 'dtm' || id AS id FROM s WHERE scene_id % 5 = 2 AND scene_id % 3 <> 0
+  UNION ALL SELECT event_id, 'mrdem-30-dsm', 'dsm' || id FROM s WHERE scene_id % 5 = 2 AND scene_id % 4 <> 0),
+ends AS (SELECT event_id, unnest(['pre', 'post']) AS side FROM det),
+near AS (SELECT event_id, side, bool_or(inside) AS found, arg_min({'id': id, 'days': abs(date_diff('day', day, CAST(origin AS DATE)))}, (gap, id)) AS hit FROM st WHERE side IS NOT NULL GROUP BY ALL)"""
+
+
+@register("dem_search", views=("det", "scenes"), extra=SEARCH, sql="""
+SELECT event_id, 'strip' AS kind, side, 'arcticdem' AS dem_source, id, round(gap, 6) AS gap_days, NULL::VARCHAR AS code, NULL::BIGINT AS widen_to_days FROM st WHERE inside
+  QUALIFY row_number() OVER (PARTITION BY event_id, side ORDER BY gap, id) <= 16
+UNION ALL SELECT event_id, 'tier', 'pre', src, src || '-' || n || 'tile', NULL, NULL, NULL FROM ti
+UNION ALL SELECT event_id, 'tier', 'pre', src, id, NULL, NULL, NULL FROM na
+UNION ALL SELECT event_id, 'note', side, NULL, hit.id, NULL, 'widen', hit.days FROM ends LEFT JOIN near USING (event_id, side) WHERE NOT coalesce(found, false)
+UNION ALL SELECT event_id, 'note', NULL, NULL, NULL, NULL, 'no_lidar', NULL FROM det WHERE event_id NOT IN (SELECT event_id FROM ti WHERE src = '3dep-dsm')
+UNION ALL SELECT DISTINCT event_id, 'note', NULL, NULL, NULL, NULL, 'national', NULL FROM na
+UNION ALL SELECT event_id, 'note', NULL, NULL, NULL, NULL, 'world', NULL FROM ti WHERE src = 'cop-glo30'""")
+def q_demsearch(spark, d):
+    """Strips of both sides, fallback tiers and notes of every event in one result."""
+    ev, i = D.detections(spark, d), F.col("scene_id")
+    sc = D.scenes(spark, d).filter(F.col("source") == "NISAR")
+    ever = S.overlapping_ever(ev, sc)
+    src = F.when(i % 10 == 1, "3dep-10m").when(i % 10 == 6, "3dep-dsm").when(i % 10 == 3, "cop-glo30")
+    tiles = ever.select("event_id", src.alias("dem_source"), i.cast("string").alias("href"), "acq", F.lit(10.0).alias("resolution_m")).filter("dem_source IS NOT NULL")
+    items = ever.filter(i % 5 == 2).select("event_id", F.when(i % 3 != 0, F.concat(F.lit("dtm"), i.cast("string"))).alias("dtm"),
+                                           F.when(i % 4 != 0, F.concat(F.lit("dsm"), i.cast("string"))).alias("dsm"))
+    strips = sc.filter(i % 5 == 0).withColumn("dem_source", F.lit("arcticdem"))
+    return DC.full_search(ev, strips, tiles, items, pre_days=9, post_days=4).withColumn("gap_days", F.round("gap_days", 6))
+
+
+@register("dem_default_choice", views=("det", "scenes"), extra=DEMC + COVER + """,
 g AS (SELECT event_id, arg_min(scene_id, (tier, NOT covers, within, scene_id::VARCHAR)) FILTER (tier = 0) AS st, arg_min(scene_id, (tier, NOT covers, within, scene_id::VARCHAR)) FILTER (tier BETWEEN 1 AND 98) AS ot,
   coalesce(bool_or(tier = 0 AND covers), false) AS pt FROM so GROUP BY 1)""", sql="""
 SELECT event_id, (CASE WHEN pt OR coalesce(cover, 0) >= 0.5 THEN coalesce(st, ot) ELSE coalesce(ot, st) END)::VARCHAR AS id FROM g LEFT JOIN cv USING (event_id)""")

@@ -128,21 +128,58 @@ def bilinear(points: DataFrame, heights: DataFrame, keys: list[str], value: str
     return j.groupBy(*keys, "point_id").agg((F.sum(F.col(value) * w) / F.nullif(F.sum(w), F.lit(0.0))).alias(value))
 
 
+def _hull(p: np.ndarray) -> np.ndarray:
+    """Corners of the convex hull, counter-clockwise from the first; ``p`` is sorted by x, then y, without repeats."""
+    # only points extreme in their own column can be corners
+    first = np.r_[True, p[1:, 0] != p[:-1, 0]]
+    p = p[first | np.r_[first[1:], True]]
+    if len(p) < 3:
+        return p
+
+    def chain(points) -> list:
+        out: list = []
+        for x, y in points:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (y - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (x - out[-2][0]):
+                out.pop()
+            out.append((x, y))
+        return out
+    points = p.tolist()
+    return np.array(chain(points)[:-1] + chain(points[::-1])[:-1])
+
+
+def _far_ends(h: np.ndarray) -> tuple[float, tuple, tuple]:
+    """Squared length and ends of a hull's longest chord; of equals the first by x, then y of its ends."""
+    n = len(h)
+    if n <= 64:
+        a, b = np.triu_indices(n)
+    else:
+        # calipers: the corner farthest from each edge moves on with the edge, so all opposite pairs are a few per edge
+        x, y = h[:, 0].tolist(), h[:, 1].tolist()
+        a, b, k = [], [], 1
+        for i in range(n):
+            j = (i + 1) % n
+            ex, ey = x[j] - x[i], y[j] - y[i]
+            while True:
+                m = (k + 1) % n
+                if ex * (y[m] - y[k]) <= ey * (x[m] - x[k]):
+                    break
+                k = m
+            a += [i, i, i, j, j, j]
+            b += [k, (k + 1) % n, k - 1] * 2
+        a, b = np.array(a), np.array(b)
+    d = ((h[a] - h[b]) ** 2).sum(axis=1)
+    ends = (sorted((tuple(h[i].tolist()), tuple(h[j].tolist()))) for i, j in zip(a[d == d.max()], b[d == d.max()]))
+    return float(d.max()), *min(map(tuple, ends))
+
+
 @F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("x0", "y0", "x1", "y1", "length")]))
 def _farthest(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
     out = np.full((len(xs), 5), np.nan)
     for k, (x, y) in enumerate(zip(xs, ys)):
         p = np.unique(np.column_stack([x, y]), axis=0)
-        # only points extreme in their own column can end the longest chord
-        lo = np.r_[True, p[1:, 0] != p[:-1, 0]]
-        p = p[lo | np.r_[lo[1:], True]]
-        best = (-1.0, 0, 0)
-        for i in range(len(p)):
-            d = ((p[i:] - p[i]) ** 2).sum(axis=1)
-            j = int(d.argmax())
-            if d[j] > best[0]:
-                best = (float(d[j]), i, i + j)
-        out[k] = (*p[best[1]], *p[best[2]], np.sqrt(max(best[0], 0.0)))
+        if len(p):
+            d, a, b = _far_ends(_hull(p))
+            out[k] = (*a, *b, np.sqrt(d))
     return pd.DataFrame(out, columns=["x0", "y0", "x1", "y1", "length"])
 
 

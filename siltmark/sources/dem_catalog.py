@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltmark.functions import geo
+from siltmark.functions import geo, timing
+from siltmark.operators.search import overlapping_ever
 
 # Strip collections by hemisphere and the order of source tiers.
 NORTH = ("arcticdem-strips-s2s041-2m", "earthdem-strips-s2s041-2m")
 SOUTH = ("rema-strips-s2s041-2m", "earthdem-strips-s2s041-2m")
 STRIP_SOURCES = ("arcticdem", "earthdem", "rema")
 TIERS = ("3dep", "mrdem", "cop-glo30")
+LIMIT = 16  # strips listed a side
 
 
 def strip_collections(lat: Column) -> Column:
@@ -73,25 +77,83 @@ def rank_key(source: Column, covers: Column, acq: Column, resolution_m: Column)
                     F.when(t == 0, age).otherwise(F.coalesce(resolution_m, F.lit(999.0))).alias("within"))
 
 
-def strip_cover(events: DataFrame, strips: DataFrame, cells: int = 20) -> DataFrame:
-    """Share of each search box under any strip, counted on a fine lattice of points.
+TILES = 20
+
 
-    Overlapping strips count once; the lattice makes the union a distinct count.
-    ``strips``: event_id, bbox.
+def strip_cover(events: DataFrame, strips: DataFrame) -> DataFrame:
+    """Share of each search box under any strip: the exact area of the union of boxes.
+
+    The search box is cut into ``TILES`` x ``TILES`` tiles.  A tile that one strip fills is done; in the others the
+    edges cut slabs, and a running maximum over each slab's intervals counts overlaps once.  So only strips with
+    an edge inside a tile meet there, not all strips of an event.
+    ``strips``: event_id, bbox; a box without area adds nothing.
     """
     b = geo.aoi_box(F.col("lat"), F.col("lon"), F.col("radius_km"))
-    j = strips.select("event_id", "bbox").distinct().join(events.select("event_id", b.alias("_b")), "event_id")
-
-    def span(lo: str, hi: str) -> Column:
-        """Lattice lines whose centre the strip holds on one axis."""
-        size = (F.col(f"_b.{hi}") - F.col(f"_b.{lo}")) / cells
-        first = F.greatest(F.ceil((F.col(f"bbox.{lo}") - F.col(f"_b.{lo}")) / size - 0.5), F.lit(0))
-        last = F.least(F.floor((F.col(f"bbox.{hi}") - F.col(f"_b.{lo}")) / size - 0.5), F.lit(cells - 1))
-        return F.when(first <= last, F.sequence(first, last))
-    hit = j.withColumn("_i", F.explode(span("s", "n"))).withColumn("_j", F.explode(span("w", "e")))
-    n = hit.select("event_id", "_i", "_j").distinct().groupBy("event_id").agg(F.count(F.lit(1)).alias("_n"))
-    return events.select("event_id").join(n, "event_id", "left").select(
-        "event_id", (F.coalesce("_n", F.lit(0)) / float(cells * cells)).alias("cover"))
+    j = strips.select("event_id", "bbox").join(events.select("event_id", b.alias("_b")), "event_id")
+
+    def place(edge: str, lo: str, hi: str) -> Column:
+        """An edge on one axis in tiles, inside the search box."""
+        at = (F.col(f"bbox.{edge}") - F.col(f"_b.{lo}")) / (F.col(f"_b.{hi}") - F.col(f"_b.{lo}")) * TILES
+        return F.least(F.greatest(at, F.lit(0.0)), F.lit(float(TILES)))
+
+    box = j.select("event_id", place("w", "w", "e").alias("x0"), place("e", "w", "e").alias("x1"),
+                   place("s", "s", "n").alias("y0"), place("n", "s", "n").alias("y1")).filter("x0 < x1 AND y0 < y1").distinct()
+    tiled = box.withColumn("i", F.explode(F.sequence(F.floor("x0"), F.ceil("x1") - 1))).withColumn(
+        "j", F.explode(F.sequence(F.floor("y0"), F.ceil("y1") - 1)))
+    at = ["event_id", "i", "j"]
+    part = tiled.select(*at, *[F.least(F.greatest(F.col(c) - F.col(t), F.lit(0.0)), F.lit(1.0)).alias(c)
+                               for c, t in (("x0", "i"), ("x1", "i"), ("y0", "j"), ("y1", "j"))]).distinct()
+    fills = "x0 = 0 AND x1 = 1 AND y0 = 0 AND y1 = 1"
+    filled = part.filter(fills).select(*at).distinct()
+    open_ = part.filter(f"NOT ({fills})").join(filled, at, "left_anti")
+    edges = open_.select(*at, F.explode(F.array("x0", "x1")).alias("lo")).distinct()
+    slabs = edges.withColumn("hi", F.lead("lo").over(Window.partitionBy(*at).orderBy("lo"))).filter("hi IS NOT NULL")
+    inside = slabs.join(open_, at).filter("x0 <= lo AND hi <= x1").select(*at, "lo", "hi", "y0", "y1")
+    above = F.max("y1").over(Window.partitionBy(*at, "lo").orderBy("y0", "y1").rowsBetween(Window.unboundedPreceding, -1))
+    gain = inside.select("event_id", ((F.col("hi") - F.col("lo")) * F.greatest(
+        F.col("y1") - F.greatest("y0", F.coalesce(above, F.col("y0"))), F.lit(0.0))).alias("area"))
+    area = gain.unionByName(filled.select("event_id", F.lit(1.0).alias("area"))).groupBy("event_id").agg(F.sum("area").alias("area"))
+    return events.select("event_id").join(area, "event_id", "left").select(
+        "event_id", (F.coalesce("area", F.lit(0.0)) / float(TILES * TILES)).alias("cover"))
+
+
+def full_search(events: DataFrame, strips: DataFrame, tiles: DataFrame, national: DataFrame, *, pre_days: int = 1825, post_days: int = 730,
+                limit: int = LIMIT, lidar: str = "3dep-dsm", world: str = "cop-glo30") -> DataFrame:
+    """Everything an elevation search finds per event, in one result: strips, undated fallbacks and notes.
+
+    Strips come per side, nearest first up to ``limit``; fallbacks (tile mosaics, national models) ride on the pre
+    side without date or gap.  A note is a code: ``widen`` names the nearest strip beyond an empty side's window and the
+    days that reach it (neither where there is none), ``no_lidar``, ``national`` and ``world`` say which fallbacks
+    are missing or came in.  One range join serves strips and notes.  ``tiles``: event_id, dem_source, href, acq,
+    resolution_m; ``national``: event_id, dtm, dsm.
+    Returns event_id, kind, side, dem_source, id, gap_days, code, widen_to_days.
+    """
+    day = F.to_date("acq")
+    met = overlapping_ever(events, strips.filter(F.col("acq").isNotNull())).select(
+        "event_id", "dem_source", F.col("scene_id").cast("string").alias("id"), timing.gap_days(F.col("acq"), F.col("origin")).alias("gap_days"),
+        timing.day_side(F.col("acq"), timing.day_windows(F.col("origin"), pre_days, post_days)).alias("inside"),
+        F.when(day < F.to_date("origin"), "pre").when(day > F.to_date("origin"), "post").alias("side"),
+        F.abs(F.datediff(F.to_date("origin"), day)).cast("bigint").alias("days"))
+    nearest = Window.partitionBy("event_id", "side").orderBy("gap_days", "id")
+    found = met.filter("inside IS NOT NULL").withColumn("_rn", F.row_number().over(nearest)).filter(F.col("_rn") <= limit)
+    sides = events.select("event_id", F.explode(F.array(F.lit("pre"), F.lit("post"))).alias("side"))
+    beyond = met.filter("side IS NOT NULL").groupBy("event_id", "side").agg(
+        F.bool_or(F.col("inside").isNotNull()).alias("any"), F.min_by(F.struct("id", "days"), F.struct("gap_days", "id")).alias("hit"))
+    widen = sides.join(beyond, ["event_id", "side"], "left").filter("any IS NULL OR NOT any").select(
+        "event_id", "side", F.col("hit.id").alias("id"), F.lit("widen").alias("code"), F.col("hit.days").alias("widen_to_days"))
+    mosaics = tile_mosaics(tiles).select("event_id", "dem_source", "id")
+    models = national_model(national).select("event_id", "dem_source", F.col("href").alias("id"))
+    tiers = mosaics.unionByName(models)
+    has = tiers.groupBy("event_id").agg(*[F.max(c).alias(n) for n, c in (
+        ("lidar", F.col("dem_source") == lidar), ("national", F.col("dem_source").startswith("mrdem")), ("world", F.col("dem_source") == world))])
+    codes = F.array_compact(F.array(F.when(~F.coalesce("lidar", F.lit(False)), "no_lidar"), F.when(F.col("national"), "national"), F.when(F.col("world"), "world")))
+    told = events.select("event_id").join(has, "event_id", "left").select("event_id", F.explode(codes).alias("code"))
+    shape = {"event_id": None, "kind": "string", "side": "string", "dem_source": "string", "id": "string", "gap_days": "double", "code": "string",
+             "widen_to_days": "bigint"}
+    parts = [found.withColumn("kind", F.lit("strip")), tiers.withColumns({"kind": F.lit("tier"), "side": F.lit("pre")}),
+             widen.withColumn("kind", F.lit("note")), told.withColumn("kind", F.lit("note"))]
+    rows = [x.select(*[F.col(c) if c in x.columns else F.lit(None).cast(t).alias(c) for c, t in shape.items()]) for x in parts]
+    return reduce(DataFrame.unionByName, rows)
 
 
 def default_choice(candidates: DataFrame, cover: DataFrame) -> DataFrame:

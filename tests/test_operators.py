@@ -491,3 +491,60 @@ def test_search_has_no_cartesian_product(spark):
     for name in ("search_pairs_day_windows", "ledger_find", "footprint_best_partner", "radar_best_pair"):
         plan = registry.ALL[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_strip_cover_is_the_exact_union(spark):
+    from siltmark.sources import dem_catalog
+    rng = np.random.default_rng(3)
+    lat, km = 0.0, 11.132  # a box of 0.1 degrees to either side
+    boxes = []
+    for e, n in ((1, 1), (2, 6), (3, 40), (4, 3)):
+        for _ in range(n):
+            x, y = rng.uniform(-0.15, 0.12, 2)
+            boxes.append((e, *map(float, (x, y, x + rng.uniform(0.001, 0.12), y + rng.uniform(0.001, 0.12)))))
+    boxes += [boxes[3], (4, -1.0, -1.0, 1.0, 1.0), (5, 0.02, 0.02, 0.02, 0.05), (6, 0.5, 0.5, 0.6, 0.6)]
+    strips = spark.createDataFrame([(e, (w, s, x, n)) for e, w, s, x, n in boxes], "event_id long, bbox struct<w:double,s:double,e:double,n:double>")
+    events = spark.createDataFrame([(e, lat, 0.0, km) for e in range(1, 8)], "event_id long, lat double, lon double, radius_km double")
+    got = {r.event_id: r.cover for r in dem_catalog.strip_cover(events, strips).collect()}
+    for e in range(1, 8):
+        own = [np.clip(b[1:], -0.1, 0.1) for b in boxes if b[0] == e]
+        xs, ys = (sorted({v for b in own for v in (b[k], b[k + 2])}) for k in (0, 1))
+        area = sum((x1 - x0) * (y1 - y0) for x0, x1 in zip(xs, xs[1:]) for y0, y1 in zip(ys, ys[1:])
+                   if any(b[0] <= x0 and x1 <= b[2] and b[1] <= y0 and y1 <= b[3] for b in own))
+        assert abs(got[e] - area / 0.04) < 1e-9, e
+    assert got[4] == 1.0 and got[5] == got[6] == got[7] == 0.0
+
+
+def test_full_elevation_search(spark):
+    import datetime as dt
+
+    from siltmark.sources import dem_catalog
+    t0 = dt.datetime(2024, 5, 10, 12)
+    events = spark.createDataFrame([(1, t0, 60.0, 10.0, 2.0), (2, t0, -60.0, 10.0, 2.0)], "event_id long, origin timestamp_ntz, lat double, lon double, radius_km double")
+    box = (9.0, 59.0, 11.0, 61.0)
+    days = [-1, -3, -40, 0, 50]
+    strips = spark.createDataFrame([(k, t0 + dt.timedelta(days=n), box, "arcticdem") for k, n in enumerate(days)],
+                                   "scene_id long, acq timestamp_ntz, bbox struct<w:double,s:double,e:double,n:double>, dem_source string")
+    tiles = spark.createDataFrame([(1, "cop-glo30", "a?x", None, 30.0), (1, "cop-glo30", "b", None, 30.0), (2, "3dep-dsm", "c", None, 1.0)],
+                                  "event_id long, dem_source string, href string, acq timestamp_ntz, resolution_m double")
+    national = spark.createDataFrame([(1, "m", None)], "event_id long, dtm string, dsm string")
+    rows = dem_catalog.full_search(events, strips, tiles, national, pre_days=10, post_days=10, limit=1).collect()
+    strip = [r for r in rows if r.kind == "strip"]
+    assert [(r.event_id, r.side, r.id) for r in strip] == [(1, "pre", "0")]
+    assert {(r.event_id, r.dem_source, r.id, r.gap_days) for r in rows if r.kind == "tier"} == {
+        (1, "cop-glo30", "cop-glo30-2tile", None), (2, "3dep-dsm", "3dep-dsm-1tile", None), (1, "mrdem-30", "m", None)}
+    assert {(r.event_id, r.code, r.side, r.id, r.widen_to_days) for r in rows if r.kind == "note"} == {
+        (1, "widen", "post", "4", 50), (1, "no_lidar", None, None, None), (1, "national", None, None, None), (1, "world", None, None, None),
+        (2, "widen", "pre", None, None), (2, "widen", "post", None, None)}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_longest_chord_of_the_hull(seed):
+    from siltmark.operators import dem
+    rng = np.random.default_rng(seed)
+    for n in (1, 2, 3, 20, 300):
+        for p in (rng.integers(0, 9, (n, 2)).astype(float), rng.normal(size=(n, 2)), np.c_[np.cos(a := rng.uniform(0, 7, n)), np.sin(a)], np.c_[np.arange(n) * 1.0, np.arange(n) * 2.0]):
+            q = np.unique(p, axis=0)
+            d = ((q[:, None] - q[None]) ** 2).sum(-1)
+            got = dem._far_ends(dem._hull(q))
+            assert abs(got[0] - d.max()) < 1e-9 and abs(np.hypot(got[1][0] - got[2][0], got[1][1] - got[2][1]) ** 2 - d.max()) < 1e-9
