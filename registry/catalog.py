@@ -206,16 +206,32 @@ def outside(spark, d):
     return S.nearest_outside(D.detections(spark, d), sc, pre_days=1, post_days=1)
 
 
+SOURCES = ("Sentinel-2", "Landsat", "Sentinel-1", "Umbra")
+
+
 @register("search_merge_sources", views=("det", "scenes"), extra=DAYP(6, 6) + """,
-k AS (SELECT event_id, unnest(['Sentinel-2', 'Landsat', 'Sentinel-1']) AS source_key FROM det)""", sql="""
-SELECT k.event_id, k.source_key, count(scene_id) AS n_scenes, count(scene_id) = 0 AS failed
-FROM k LEFT JOIN p ON p.event_id = k.event_id AND p.source = k.source_key AND p.side IS NOT NULL GROUP BY ALL""")
+k AS (SELECT event_id, unnest(['Sentinel-2', 'Landsat', 'Sentinel-1', 'Umbra']) AS source_key FROM det),
+n AS (SELECT k.event_id, k.source_key, count(*) FILTER (p.side = 'pre') AS n_pre, count(*) FILTER (p.side = 'post') AS n_post
+  FROM k LEFT JOIN p ON p.event_id = k.event_id AND p.source = k.source_key GROUP BY ALL)""", sql="""
+SELECT *, CASE WHEN source_key NOT IN (SELECT source FROM scenes) THEN 'failed' WHEN n_pre = 0 OR n_post = 0 THEN 'incomplete' END AS code FROM n""")
 def merge(spark, d):
-    """Several sources merged, with a note per source and event."""
-    sources = ("Sentinel-2", "Landsat", "Sentinel-1")
+    """Several sources from one search, with what each found and which failed."""
+    ev, sc = D.detections(spark, d), D.scenes(spark, d)
+    found = S.search_sources(ev, sc, SOURCES, pre_days=6, post_days=6)
+    return S.source_notes(ev, found, SOURCES, S.failed_sources(sc, SOURCES))
+
+
+@register("search_merged_order", views=("det", "scenes"), extra=DAYP(6, 6) + """,
+r AS (SELECT event_id, source AS source_key, side, scene_id, gap FROM p WHERE side IS NOT NULL AND source IN ('Sentinel-2', 'Landsat', 'Sentinel-1')
+  UNION ALL SELECT event_id, 'PlanetScope', 'pre', scene_id, NULL FROM allp WHERE source = 'PlanetScope' AND scene_id % 7 = 0)""", sql="""
+SELECT event_id, source_key, side, scene_id, row_number() OVER (PARTITION BY event_id ORDER BY gap NULLS LAST, source_key, scene_id) AS rank FROM r""")
+def merged_order(spark, d):
+    """Scenes of several sources and undated rows of another in one stable order."""
     ev, sc = D.detections(spark, d), D.scenes(spark, d)
-    hit = {s: S.scene_search(ev, sc.filter(F.col("source") == s), pre_days=6, post_days=6) for s in sources}
-    return S.source_notes(ev, S.merge_sources(hit), sources)
+    undated = S.overlapping_ever(ev, sc.filter((F.col("source") == "PlanetScope") & (F.col("scene_id") % 7 == 0))).select(
+        "event_id", F.col("source").alias("source_key"), F.lit("pre").alias("side"), "scene_id", F.lit(None).cast("double").alias("gap"))
+    rows = S.merged_order(S.search_sources(ev, sc, SOURCES, pre_days=6, post_days=6), undated)
+    return rows.select("event_id", "source_key", "side", "scene_id", "rank")
 
 
 @register("optical_source_order", sql="""

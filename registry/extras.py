@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from registry.base import register
+from registry.base import ALL, SQL, register
 from registry.catalog import PAIRS
 from registry.detectors import KEYS
 from siltmark.functions import geo, radar, timing
@@ -369,6 +369,17 @@ def q_mprod(spark, d):
     return manifest.in_viewer(rows, pre.unionByName(post))
 
 
+MANIFEST = ("manifest_optical_rows", "manifest_product_rows_in_viewer", "manifest_radar_rows")
+
+
+@register("manifest_all_tabs", sql="""
+SELECT *, row_number() OVER (PARTITION BY "Event", "Tab" ORDER BY CASE "Side" WHEN 'pre' THEN 0 WHEN 'post' THEN 1 ELSE 2 END, "Date (UTC)", "Scene ID", "File") AS "Row"
+FROM (""" + "\nUNION ALL BY NAME ".join(f"SELECT * FROM ({SQL[k]})" for k in MANIFEST) + ")")
+def q_mall(spark, d):
+    """The rows of all tabs in one manifest, in its order."""
+    return manifest.in_order(manifest.collected(*[ALL[k](spark, d) for k in MANIFEST]))
+
+
 @register("export_supersession", sql="""
 WITH x AS (SELECT page_id, 'ev' || page_id % 20 || CASE page_id % 3 WHEN 0 THEN '_3d' WHEN 1 THEN '_3d (2)' ELSE '_old' || page_id % 2 END AS stem, page_id AS mtime FROM pages),
 u AS (SELECT stem, max(mtime) AS mtime FROM x GROUP BY 1),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltmark.functions import text as X
@@ -102,8 +104,18 @@ def in_viewer(rows: DataFrame, draped: DataFrame) -> DataFrame:
     return j.select(*[F.coalesce("_l", F.lit("")).alias(c) if c == "In 3D viewer" else F.col(f"`{c}`") for c in COLUMNS])
 
 
-def sort_keys(rows: DataFrame) -> DataFrame:
-    """Order of the manifest: tab, before then after, date, scene."""
-    tab = F.array_position(F.array(*[F.lit(t) for t in TABS]), F.col("Tab"))
+def collected(*tabs: DataFrame) -> DataFrame:
+    """The rows of all tabs in one manifest; ``Row`` is a row's place in its event's tab.
+
+    Order: tab, before then after, date, scene, file.
+    """
+    rows = reduce(DataFrame.unionByName, tabs)
     side = F.when(F.col("Side") == "pre", 0).when(F.col("Side") == "post", 1).otherwise(2)
-    return rows.orderBy(tab, side, F.col("`Date (UTC)`"), F.col("`Scene ID`"))
+    place = Window.partitionBy("Event", "Tab").orderBy(side, "Date (UTC)", "Scene ID", "File")
+    return rows.withColumn("Row", F.row_number().over(place).cast("bigint"))
+
+
+def in_order(rows: DataFrame) -> DataFrame:
+    """A collected manifest as it is listed: by event, tab and place."""
+    tab = F.array_position(F.array(*[F.lit(t) for t in TABS]), F.col("Tab"))
+    return rows.orderBy("Event", tab, "Row")

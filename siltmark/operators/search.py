@@ -8,7 +8,7 @@ result free of duplicates without another shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltmark.functions import geo, timing
@@ -196,22 +196,34 @@ def absence_reason(lo: Column, hi: Column, now: Column, *, first: str = FIRST_SC
             .when(shared / span > 0.5, "reprocessing"))
 
 
-def merge_sources(by_source: dict[str, DataFrame]) -> DataFrame:
-    """Union of per-source results, nearest first with undated rows last."""
-    out = None
-    for name, df in by_source.items():
-        part = df.withColumn("source_key", F.lit(name))
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out.orderBy(F.col("gap").asc_nulls_last(), "source_key", "scene_id")
+def search_sources(events: DataFrame, scenes: DataFrame, sources, **kw) -> DataFrame:
+    """One search over all the sources asked for; ``source_key`` says which one a scene is from."""
+    return scene_search(events, scenes.filter(F.col("source").isin(*sources)), **kw).withColumn("source_key", F.col("source"))
 
 
-def source_notes(events: DataFrame, merged: DataFrame, sources) -> DataFrame:
-    """Scenes found per (event, source); a source that found none is listed with zero."""
+def failed_sources(scenes: DataFrame, sources) -> DataFrame:
+    """The sources asked for that the archive does not hold at all: ``source_key``."""
+    asked = scenes.sparkSession.createDataFrame([(s,) for s in sources], "source_key string")
+    return asked.join(scenes.select(F.col("source").alias("source_key")).distinct(), "source_key", "left_anti")
+
+
+def merged_order(found: DataFrame, undated: DataFrame | None = None, key: str = "scene_id") -> DataFrame:
+    """All sources of an event in one list with its ``rank``: nearest first, rows without a gap last, then source and id."""
+    rows = found if undated is None else found.unionByName(undated, allowMissingColumns=True)
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("event_id").orderBy(F.col("gap").asc_nulls_last(), "source_key", key)).cast("bigint"))
+
+
+def source_notes(events: DataFrame, found: DataFrame, sources, failed: DataFrame) -> DataFrame:
+    """Scenes per side of every event and source asked for, with a code: ``failed`` where the source could not be
+    searched, ``incomplete`` where a side is empty, null otherwise.  Other sources are not held up by one that fails.
+    """
     wanted = events.select("event_id", F.explode(F.array(*[F.lit(s) for s in sources])).alias("source_key"))
-    n = merged.groupBy("event_id", "source_key").agg(F.count(F.lit(1)).alias("n"))
-    return wanted.join(n, ["event_id", "source_key"], "left").select(
-        "event_id", "source_key", F.coalesce("n", F.lit(0).cast("bigint")).alias("n_scenes"),
-        F.col("n").isNull().alias("failed"))
+    n = found.groupBy("event_id", "source_key").agg(F.count_if(F.col("side") == "pre").alias("n_pre"), F.count_if(F.col("side") == "post").alias("n_post"))
+    lost = failed.select("source_key", F.lit(True).alias("_failed"))
+    pre, post = (F.coalesce(c, F.lit(0).cast("bigint")) for c in ("n_pre", "n_post"))
+    return wanted.join(n, ["event_id", "source_key"], "left").join(lost, "source_key", "left").select(
+        "event_id", "source_key", pre.alias("n_pre"), post.alias("n_post"),
+        F.when(F.col("_failed"), "failed").when((pre == 0) | (post == 0), "incomplete").alias("code"))
 
 
 def optical_sources(origin: Column, s2_floor: str = "2016-01-01 00:00:00") -> Column:
