@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from registry.base import register
+from registry.base import SQL, VIEWS, register
 from registry.detectors import KEYS, TILE
 from registry.fusing import MASKED, PRIMARY, maps, primary, scored
 from registry.pixels import COMP, change
@@ -222,6 +222,37 @@ def q_volume(spark, d):
                     F.round("implied_depth", 6).alias("implied_depth"), "too_deep")
 
 
+@register("volume_event_columns", sql="""
+WITH det AS (""" + VIEWS["det"] + """), v AS (""" + SQL["volume_from_outlines"] + """),
+r AS (SELECT substr(slide, 7, 1)::BIGINT * 4 AS event_id, slide, implied_depth FROM v),
+o AS (SELECT p_partkey % 25 AS event_id, ['total', 'best', 'low', 'high'][p_partkey % 4 + 1] AS role, p_partkey AS k, p_size / 1000.0::DOUBLE AS dx, p_retailprice::DOUBLE / 100000 AS dy FROM part),
+t AS (SELECT event_id, role, lon + (k % 50) / 100.0::DOUBLE + (dx + (k % 3) / 250.0::DOUBLE) / 3 AS x, lat + (k % 40) / 100.0::DOUBLE + dy / 3 AS y, dx * dy / 2 AS a
+  FROM o JOIN det USING (event_id) WHERE role IN ('best', 'total') AND NOT (role = 'best' AND event_id % 8 = 0) AND event_id <> 12),
+c AS (SELECT event_id, role, sum(x * a) / sum(a) AS x, sum(y * a) / sum(a) AS y FROM t GROUP BY ALL),
+s AS (SELECT event_id, arg_min({'role': role, 'x': x, 'y': y}, CASE role WHEN 'best' THEN 1 ELSE 2 END) AS s FROM c GROUP BY 1),
+l AS (SELECT event_id, arg_max({'d': implied_depth}, slide) AS l FROM r GROUP BY 1)
+SELECT event_id, slide, round(coalesce(implied_depth, l.d), 6) AS implied_depth, strftime(origin, '%Y-%m-%dT%H:%M:%SZ') AS origin_utc, lat AS det_lat, lon AS det_lon,
+  det.event_id / 100.0::DOUBLE AS det_coherency, s.role AS scar_role, round(s.y, 6) AS scar_lat, round(s.x, 6) AS scar_lon,
+  CASE WHEN s.y + lat IS NOT NULL THEN round(2 * 6371.0088 * asin(least(1, sqrt(pow(sin(radians(s.y - lat) / 2), 2) + cos(radians(lat)) * cos(radians(s.y)) * pow(sin(radians(s.x - lon) / 2), 2)))), 2) END AS offset_km
+FROM r JOIN l USING (event_id) LEFT JOIN det USING (event_id) LEFT JOIN s USING (event_id)""")
+def q_eventcols(spark, d):
+    """Measured slides with the detection, the scar's centre and its distance from the detection."""
+    rows = q_volume(spark, d).select((F.substring("slide", 7, 1).cast("bigint") * 4).alias("event_id"), "slide", "implied_depth")
+    det = D.detections(spark, d)
+    k = F.col("p_partkey")
+    lon, lat = F.col("lon") + k % 50 / 100.0, F.col("lat") + k % 40 / 100.0
+    role = F.element_at(F.array(*[F.lit(r) for r in ("total", "best", "low", "high")]), (k % 4 + 1).cast("int"))
+
+    def point(x, y):
+        return F.struct((lon + x).alias("lon"), (lat + y).alias("lat"))
+    ring = F.array(point(F.lit(0.0), F.lit(0.0)), point(F.col("p_size") / 1000.0, F.lit(0.0)), point(k % 3 / 250.0, F.col("p_retailprice").cast("double") / 100000))
+    outlines = D.table(spark, d, "part").withColumn("event_id", k % 25).join(det, "event_id").select("event_id", role.alias("role"), ring.alias("ring")).filter(
+        "NOT (role = 'best' AND event_id % 8 = 0) AND event_id <> 12")
+    out = VO.with_event(rows, det.withColumn("coherency", F.col("event_id") / 100.0), outlines, fields=("coherency",))
+    return out.select("event_id", "slide", F.round("implied_depth", 6).alias("implied_depth"), "origin_utc", "det_lat", "det_lon", "det_coherency", "scar_role",
+                      F.round("scar_lat", 6).alias("scar_lat"), F.round("scar_lon", 6).alias("scar_lon"), F.round("offset_km", 2).alias("offset_km"))
+
+
 @register("thickness_volumes", views=("outlines",), sql="""
 SELECT polygon_id, area_m2 * 2.5 AS volume, CASE WHEN polygon_id % 3 = 0 THEN area_m2 * 1.5 END AS low, area_m2 * 3.5 AS high,
   CASE WHEN polygon_id % 3 = 0 THEN 'glacier_far' END AS setting FROM outlines""")

@@ -98,11 +98,13 @@ def wrap180(deg: Column) -> Column:
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column,
                  radius_km: float = EARTH_MEAN_KM) -> Column:
+    """Great-circle distance; null without all four coordinates."""
     p1, p2 = F.radians(lat1), F.radians(lat2)
     half_lat = F.sin((p2 - p1) / 2)
     half_lon = F.sin(F.radians(lon2 - lon1) / 2)
     a = half_lat * half_lat + F.cos(p1) * F.cos(p2) * half_lon * half_lon
-    return F.lit(2 * radius_km) * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    # least() passes over nulls
+    return F.when(a.isNotNull(), F.lit(2 * radius_km) * F.asin(F.sqrt(F.least(F.lit(1.0), a))))
 
 
 def bearing_deg(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -181,6 +183,25 @@ def ring_area(ring: Column) -> Column:
     )
 
 
+def ring_centroid(ring: Column) -> Column:
+    """struct<lon, lat, area>: centre of mass and unsigned area in squared degrees; null without area.
+
+    Sums are taken from the first vertex, so a small ring far from the origin loses no digits.
+    """
+    def centre(o: Column) -> Column:
+        def part(e: Column) -> Column:
+            ax, ay, bx, by = e["a"]["lon"] - o["lon"], e["a"]["lat"] - o["lat"], e["b"]["lon"] - o["lon"], e["b"]["lat"] - o["lat"]
+            c = ax * by - bx * ay
+            return F.struct(c.alias("c"), ((ax + bx) * c).alias("x"), ((ay + by) * c).alias("y"))
+
+        def add(t: Column, p: Column) -> Column:
+            return F.struct(*[(t[k] + p[k]).alias(k) for k in "cxy"])
+        zero = F.struct(*[F.lit(0.0).alias(k) for k in "cxy"])
+        return let(F.aggregate(F.transform(edges(ring), part), zero, add), lambda t: F.when(t["c"] != 0, F.struct(
+            (o["lon"] + t["x"] / (3 * t["c"])).alias("lon"), (o["lat"] + t["y"] / (3 * t["c"])).alias("lat"), (F.abs(t["c"]) / 2).alias("area"))))
+    return let(F.get(ring, F.lit(0)), centre)
+
+
 def _clip_half_plane(ring: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     """Part of an open ring left of the line a->b: each edge yields its kept points."""
     def side(p: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltmark.functions import geo
 from siltmark.functions import volume as V
 
 
@@ -56,6 +57,32 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "slide", survive=("length"
     return j.select(key, *cols, (F.col("_old") & F.col("_new")).alias("replaced"))
 
 
+def scar_centres(outlines: DataFrame, roles=("best", "total")) -> DataFrame:
+    """Centre of the first of ``roles`` an event has outlines of: event_id, scar_role, scar_lat, scar_lon.
+
+    Several outlines of a role are parts of one scar and weigh by their area.  ``outlines``: event_id, role, ring.
+    """
+    c = outlines.filter(F.col("role").isin(*roles)).select("event_id", "role", geo.ring_centroid(F.col("ring")).alias("c")).filter("c IS NOT NULL")
+    sums = c.groupBy("event_id", "role").agg(F.sum("c.area").alias("a"), *[F.sum(F.col(f"c.{x}") * F.col("c.area")).alias(x) for x in ("lat", "lon")])
+    first = sums.groupBy("event_id").agg(F.min_by(F.struct("role", "a", "lat", "lon"), F.array_position(F.lit(list(roles)), F.col("role"))).alias("s"))
+    return first.select("event_id", F.col("s.role").alias("scar_role"), (F.col("s.lat") / F.col("s.a")).alias("scar_lat"), (F.col("s.lon") / F.col("s.a")).alias("scar_lon"))
+
+
+def with_event(rows: DataFrame, detections: DataFrame, outlines: DataFrame, fields=("coherency", "hf_lf")) -> DataFrame:
+    """Measured slides with what belongs to their event: the detection, where the scar lies and how far off it is.
+
+    ``rows``: event_id, slide, implied_depth, ...; a slide without a depth takes that of its event's last slide.
+    ``detections``: event_id, origin, lat, lon and ``fields``.  An event that has no detection or no scar leaves
+    those columns null.
+    """
+    det = detections.select("event_id", F.date_format("origin", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("origin_utc"),
+                            F.col("lat").alias("det_lat"), F.col("lon").alias("det_lon"), *[F.col(f).alias(f"det_{f}") for f in fields])
+    last = rows.groupBy("event_id").agg(F.max_by(F.struct("implied_depth"), "slide").alias("_last"))
+    stamp = det.join(scar_centres(outlines), "event_id", "full_outer").join(last, "event_id", "right")
+    stamp = stamp.withColumn("offset_km", geo.haversine_km(F.col("det_lat"), F.col("det_lon"), F.col("scar_lat"), F.col("scar_lon")))
+    return rows.join(stamp, "event_id", "left").withColumn("implied_depth", F.coalesce("implied_depth", "_last.implied_depth")).drop("_last")
+
+
 def match_roles(layers: DataFrame) -> DataFrame:
     """Role of each named layer: (project, pos, name) -> (project, role, pos, name).
 

@@ -548,3 +548,27 @@ def test_longest_chord_of_the_hull(seed):
             d = ((q[:, None] - q[None]) ** 2).sum(-1)
             got = dem._far_ends(dem._hull(q))
             assert abs(got[0] - d.max()) < 1e-9 and abs(np.hypot(got[1][0] - got[2][0], got[1][1] - got[2][1]) ** 2 - d.max()) < 1e-9
+
+
+def test_event_columns_of_slides(spark):
+    import datetime as dt
+
+    from siltmark.operators import volumes as VO
+
+    def square(x, y, d):
+        return [(x, y), (x + d, y), (x + d, y + d), (x, y + d)]
+    outlines = spark.createDataFrame([(1, "total", square(20.0, 50.0, 1.0)), (1, "best", square(10.0, 60.0, 0.02)), (1, "best", square(10.1, 60.0, 0.04)),
+                                      (2, "total", square(-5.0, -5.0, 0.2)), (2, "low", square(7.0, 7.0, 0.2)), (3, "best", [(1.0, 1.0), (2.0, 2.0)]), (3, "best", [])],
+                                     "event_id long, role string, ring array<struct<lon:double,lat:double>>")
+    det = spark.createDataFrame([(1, dt.datetime(2024, 1, 2, 3, 4, 5), 60.0, 10.0, 0.5), (3, dt.datetime(2024, 1, 2), 1.0, 1.0, None)],
+                                "event_id long, origin timestamp_ntz, lat double, lon double, coherency double")
+    rows = spark.createDataFrame([(1, "a", None), (1, "b", 2.5), (2, "a", 3.0), (2, "b", None), (3, "a", 1.0), (4, "a", 1.0)], "event_id long, slide string, implied_depth double")
+    got = {(r.event_id, r.slide): r for r in VO.with_event(rows, det, outlines, fields=("coherency",)).collect()}
+    assert len(got) == 6 and got[1, "a"].implied_depth == 2.5 and got[2, "b"].implied_depth is None
+    a = got[1, "a"]
+    assert a.scar_role == "best" and a.origin_utc == "2024-01-02T03:04:05Z" and a.det_coherency == 0.5
+    assert abs(a.scar_lat - (60.01 + 4 * 60.02) / 5) < 1e-9 and abs(a.scar_lon - (10.01 + 4 * 10.12) / 5) < 1e-9
+    assert abs(a.offset_km - math.hypot(2.0015, 5.4469)) < 0.01
+    b = got[2, "a"]
+    assert b.scar_role == "total" and abs(b.scar_lat + 4.9) < 1e-9 and b.det_lat is None and b.offset_km is None
+    assert got[3, "a"].scar_lat is None and got[3, "a"].offset_km is None and got[4, "a"].origin_utc is None
