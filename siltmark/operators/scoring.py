@@ -61,8 +61,9 @@ def score_variants(maps: DataFrame, truth: DataFrame, keys: list[str], show_at:
     """``score_map`` of every rule variant of every event: keys, variant, t50, bg50, area, bg_flag, scar_unscored.
 
     ``maps``: keys, variant, row, col, score, one row per cell of each variant that exists; ``truth``: keys, row, col, is_scar.
+    Truth made by ``densify`` is taken for small, so the join is merged.
     """
-    return score_map(maps.join(truth, [*keys, "row", "col"]).withColumn("in_domain", F.lit(True)), [*keys, "variant"], show_at)
+    return score_map(maps.join(truth.hint("merge"), [*keys, "row", "col"]).withColumn("in_domain", F.lit(True)), [*keys, "variant"], show_at)
 
 
 def used_variant(scores: DataFrame, variants: list[str], key: str = "event") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import json
 import math
+import re
 
 import numpy as np
 import pytest
@@ -572,3 +573,15 @@ def test_event_columns_of_slides(spark):
     b = got[2, "a"]
     assert b.scar_role == "total" and abs(b.scar_lat + 4.9) < 1e-9 and b.det_lat is None and b.offset_km is None
     assert got[3, "a"].scar_lat is None and got[3, "a"].offset_km is None and got[4, "a"].origin_utc is None
+
+
+def test_a_dense_frame_is_not_broadcast(spark):
+    layers = spark.createDataFrame([(1, 8, 8)], "event_id int, n_rows int, n_cols int")
+    cells = spark.createDataFrame([(1, 0, 0, 2.0)], "event_id int, row int, col int, v double")
+    seen = focal.densify(cells, layers, ["event_id"]).filter("v IS NOT NULL")
+    truth = focal.densify(cells, layers, ["event_id"]).select("event_id", "row", "col", (F.col("row") < 2).alias("is_scar"))
+    maps = cells.select("event_id", F.lit("asc").alias("variant"), "row", "col", F.col("v").alias("score"))
+    for df in (seen, scoring.score_variants(maps, truth, ["event_id"], 3.0)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and not re.search(r"BroadcastHashJoin \[event_id#\d+L?, row", plan)
+        assert df.count() == 1
