@@ -123,15 +123,19 @@ def change_plan(scenes: DataFrame, covers: Column, requested=tuple(BEFORE_DATES)
 def footprint_partner(anchors: DataFrame, partners: DataFrame, gate: float = 0.60) -> DataFrame:
     """Best-agreeing partner raster per anchor among those covering enough of it.
 
-    Gate: share of the anchor the partner covers.  Rank: symmetric agreement.
+    Gate: share of the anchor the partner covers.  Rank: symmetric agreement, then the smaller id.
+    Figures depend on the boxes alone: every box meets others once, for its first partner and all its anchors.
     """
     from siltmark.operators.search import box_join
-    j = box_join(anchors, partners, "a_box", "p_box")
+    boxes = anchors.select("a_box").distinct()
+    first = partners.groupBy("p_box").agg(F.min("partner_id").alias("partner_id"))
+    j = box_join(boxes, first, "a_box", "p_box")
     a, p = F.col("a_box"), F.col("p_box")
     j = j.withColumn("covered", geo.overlap_fraction(a, p)).withColumn("agree", geo.footprint_agreement(a, p))
-    return j.filter(F.col("covered") >= gate).groupBy("anchor_id").agg(
-        F.max_by(F.struct("partner_id", "agree", "covered"), F.struct("agree", (-F.col("partner_id")).alias("o"))).alias("m")).select(
-        "anchor_id", "m.*")
+
+    def best(df: DataFrame, key: str) -> DataFrame:
+        return df.groupBy(key).agg(F.max_by(F.struct("partner_id", "agree", "covered"), F.struct("agree", (-F.col("partner_id")).alias("o"))).alias("m")).select(key, "m.*")
+    return best(anchors.join(best(j.filter(F.col("covered") >= gate), "a_box"), "a_box"), "anchor_id")
 
 
 def sibling_layers(layers: DataFrame) -> DataFrame:

@@ -598,3 +598,40 @@ def test_a_dense_frame_is_not_broadcast(spark):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and not re.search(r"BroadcastHashJoin \[event_id#\d+L?, row", plan)
         assert df.count() == 1
+
+
+def test_cells_are_copied_to_tiles_of_the_raster_only(spark):
+    a = np.arange(40.0 * 24).reshape(40, 24)
+    t = focal.tiled(grid(spark, a), ["event_id"], 57, 16)
+    assert sorted(map(tuple, t.select("_tr", "_tc").distinct().collect())) == [(r, c) for r in range(3) for c in range(2)]
+    assert t.count() == 6 * a.size and focal.core(t).count() == a.size
+    assert focal.tiled(grid(spark, a), ["event_id"], 0, 16).count() == a.size
+
+
+def test_equal_footprints_meet_once(spark, monkeypatch):
+    from siltmark.operators import pairing, search
+    rng = np.random.default_rng(3)
+    box = "struct<w:double,s:double,e:double,n:double>"
+
+    def some(n, side):
+        return [(i, (x, y, x + side, y + side)) for i, (x, y) in enumerate((rng.integers(0, 4, (n, 2)) / 4.0).tolist())]
+    a, p = some(300, 1.0), some(300, 1.25)
+    seen = []
+
+    def watched(left, right, *names):
+        seen.append((left.count(), right.count()))
+        return search_join(left, right, *names)
+    search_join = search.box_join
+    monkeypatch.setattr(search, "box_join", watched)
+    got = pairing.footprint_partner(spark.createDataFrame(a, f"anchor_id long, a_box {box}"), spark.createDataFrame(p, f"partner_id long, p_box {box}"))
+
+    def share(x, y):
+        both = max(0.0, min(x[2], y[2]) - max(x[0], y[0])) * max(0.0, min(x[3], y[3]) - max(x[1], y[1]))
+        return both / ((x[2] - x[0]) * (x[3] - x[1]))
+    want = {}
+    for i, x in a:
+        good = [(-min(share(x, y), share(y, x)), k) for k, y in p if share(x, y) >= 0.6]
+        if good:
+            want[i] = min(good)[1]
+    assert {r.anchor_id: r.partner_id for r in got.collect()} == want and len(want) > 200
+    assert seen == [(16, 16)]
