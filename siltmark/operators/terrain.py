@@ -83,7 +83,7 @@ def shadow(dem: DataFrame, keys: list[str], smooth_k: int = 3, max_steps: int |
     """
     df = _ground(dem.filter(F.col("look_az").isNotNull()), keys, smooth_k, tile)
     df = _look(df, F.lit(1.0) / F.tan(F.radians("incidence")), max_steps)
-    cols = [*keys, "row", "col", "ground", "dx_m", "dy_m", "look_az", "_step", "_n", "_rate", "_reach"]
+    cols = [*keys, "row", "col", "n_rows", "n_cols", "ground", "dx_m", "dy_m", "look_az", "_step", "_n", "_rate", "_reach"]
     return focal.march(df.select(*cols), keys, "ground", F.col("_reach"), _shadow_tile, "shadow", tile)
 
 
@@ -92,7 +92,7 @@ def layover(dem: DataFrame, keys: list[str], smooth_k: int = 3, max_steps: int |
     """Cells mixed with other ground because slant range stops growing (keys, row, col, layover)."""
     df = _ground(dem.filter(F.col("look_az").isNotNull()), keys, smooth_k, tile)
     df = _look(df, F.tan(F.radians("incidence")), max_steps)
-    cols = [*keys, "row", "col", "ground", "dx_m", "dy_m", "look_az", "_step", "_n", "_rate", "_reach"]
+    cols = [*keys, "row", "col", "n_rows", "n_cols", "ground", "dx_m", "dy_m", "look_az", "_step", "_n", "_rate", "_reach"]
     return focal.march(df.select(*cols), keys, "ground", F.col("_reach"), _layover_tile, "layover", tile)
 
 
