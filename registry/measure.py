@@ -447,13 +447,14 @@ def variant_maps(spark, d):
     seen = m.groupBy("event_id").agg(F.count_if((F.col("geom") == 0) & u.isNotNull()).alias("n_asc"), F.count_if((F.col("geom") == 1) & u.isNotNull()).alias("n_desc"))
     cell = ["event_id", "row", "col"]
 
+    # semi joins: Spark may take the cells for the smaller side and broadcast them
     def layer(df, name, score):
         return df.select(*cell, F.lit(name).alias("variant"), F.abs(score).alias("score"))
-    one = [layer(m.filter(F.col("geom") == g), name, u).join(seen.filter(F.col(n) > 0).select("event_id"), "event_id")
+    one = [layer(m.filter(F.col("geom") == g), name, u).join(seen.filter(F.col(n) > 0).select("event_id"), "event_id", "left_semi")
            for g, name, n in ((0, "asc", "n_asc"), (1, "desc", "n_desc"))]
     two = seen.filter("n_asc > 0 AND n_desc > 0").select("event_id")
-    both = [layer(M.strongest(m, "logratio", 3.0), "merged", F.col("merged")).join(two, "event_id"),
-            layer(M.fill(m, primary(spark, d)), "fill-auto", F.col("filled")).join(two, "event_id")]
+    both = [layer(M.strongest(m, "logratio", 3.0), "merged", F.col("merged")).join(two, "event_id", "left_semi"),
+            layer(M.fill(m, primary(spark, d)), "fill-auto", F.col("filled")).join(two, "event_id", "left_semi")]
     grid = focal.densify(change(spark, d), D.grids(spark, d), KEYS).withColumn("event_id", F.explode(F.array(*[F.col("event_id") * 8 + g for g in range(4)])))
     out = layer(grid, "none", F.col("dbright") * 100)
     for x in one + both:

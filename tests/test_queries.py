@@ -44,3 +44,9 @@ def test_entry_contract(spark):
 def test_names_are_plain():
     for name in registry.ALL:
         assert "pipeline" not in name and not re.match(r"op\d+_", name)
+
+
+def test_events_of_variant_maps_are_semi_joined(spark):
+    from registry.measure import variant_maps
+    plan = variant_maps(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftSemi") >= 4
