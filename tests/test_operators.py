@@ -361,6 +361,25 @@ def test_deliveries_are_read_once(spark, tmp_path):
     assert deliveries.read_deliveries(spark, root).count() == 8
 
 
+def test_deliveries_are_listed_by_tasks(spark, tmp_path):
+    """The plan holds no file list of its own, files outside the layout are opened once, and a lost call is taken up."""
+    root, state = str(tmp_path / "d"), str(tmp_path / "s")
+    paths = [f"p{k % 2}/planet_cache/ev{k % 3}/post/ord {k}/2024_{k}_3B_metadata.json" for k in range(40)] + ["stray_metadata.json", "p0/planet_cache/ev0/post/o/notes.json", "p0/.planet_cache/ev0/pre/o/1_metadata.json"]
+    files = spark.createDataFrame([(p, "{}") for p in paths], "path string, body string")
+    deliveries.write_deliveries(files, root)
+    found = deliveries.listed(spark, root)
+    assert "FileScan" not in found._jdf.queryExecution().executedPlan().toString() and not found.inputFiles()
+    assert sorted(r.path[len(root) + 1:] for r in found.collect()) == sorted(paths[:41])
+    lost = tmp_path / "s" / "scenes" / "call=0"
+    lost.mkdir(parents=True)
+    (lost / "part-0.parquet").write_text("half a file")
+    got = [r.order_id for r in deliveries.read_new_deliveries(spark, root, state).collect()]
+    assert sorted(got) == sorted(f"ord {k}" for k in range(40))
+    (tmp_path / "d" / "stray_metadata.json").unlink()
+    assert deliveries.read_new_deliveries(spark, root, state).count() == 0
+    assert deliveries.read_new_deliveries(spark, str(tmp_path / "none"), state).count() == 0
+
+
 def test_stereo_mates_of_a_crowded_bucket(spark, monkeypatch):
     from siltmark.operators import vhr
     rng = np.random.default_rng(3)
