@@ -172,15 +172,43 @@ def _far_ends(h: np.ndarray) -> tuple[float, tuple, tuple]:
     return float(d.max()), *min(map(tuple, ends))
 
 
+SMALL_RING = 16     # rings of up to so many vertices are measured pair by pair, many rings at once
+
+
+def _far_ends_of_many(p: np.ndarray) -> np.ndarray:
+    """x0, y0, x1, y1, length of rings of equally many vertices (ring, vertex, axis); of equals the first by x, then y of its ends."""
+    a, b = np.triu_indices(p.shape[1])
+    q, r = p[:, a], p[:, b]
+    swap = (q[..., 0] > r[..., 0]) | ((q[..., 0] == r[..., 0]) & (q[..., 1] > r[..., 1]))
+    ends = np.where(swap[..., None], np.concatenate([r, q], axis=2), np.concatenate([q, r], axis=2))
+    d = ((q - r) ** 2).sum(axis=2)
+    best = d == d.max(axis=1, keepdims=True)
+    for k in range(4):
+        v = np.where(best, ends[..., k], np.inf)
+        best &= v == v.min(axis=1, keepdims=True)
+    n = np.arange(len(p))
+    at = best.argmax(axis=1)
+    return np.column_stack([ends[n, at], np.sqrt(d[n, at])])
+
+
+def _chords(xs, ys) -> np.ndarray:
+    out = np.full((len(xs), 5), np.nan)
+    sizes = np.fromiter((0 if x is None else len(x) for x in xs), int, len(xs))
+    for n in np.unique(sizes[(sizes > 0) & (sizes <= SMALL_RING)]):
+        rows = np.flatnonzero(sizes == n)
+        p = np.stack([np.concatenate([v[k] for k in rows]).reshape(-1, n) for v in (xs, ys)], axis=2).astype(float)
+        if np.isnan(p).any():
+            raise ValueError("a ring has a vertex without coordinates")
+        out[rows] = _far_ends_of_many(p)
+    for k in np.flatnonzero(sizes > SMALL_RING):
+        d, a, b = _far_ends(_hull(np.unique(np.column_stack([xs[k], ys[k]]), axis=0)))
+        out[k] = (*a, *b, np.sqrt(d))
+    return out
+
+
 @F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("x0", "y0", "x1", "y1", "length")]))
 def _farthest(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
-    out = np.full((len(xs), 5), np.nan)
-    for k, (x, y) in enumerate(zip(xs, ys)):
-        p = np.unique(np.column_stack([x, y]), axis=0)
-        if len(p):
-            d, a, b = _far_ends(_hull(p))
-            out[k] = (*a, *b, np.sqrt(d))
-    return pd.DataFrame(out, columns=["x0", "y0", "x1", "y1", "length"])
+    return pd.DataFrame(_chords(xs.to_numpy(), ys.to_numpy()), columns=["x0", "y0", "x1", "y1", "length"])
 
 
 def longest_chord(ring: Column) -> Column:

@@ -583,6 +583,24 @@ def test_longest_chord_of_the_hull(seed):
             assert abs(got[0] - d.max()) < 1e-9 and abs(np.hypot(got[1][0] - got[2][0], got[1][1] - got[2][1]) ** 2 - d.max()) < 1e-9
 
 
+def test_chords_of_many_small_rings_at_once(monkeypatch):
+    from siltmark.operators import dem
+    rng = np.random.default_rng(5)
+    rings = [rng.integers(0, 4, (n, 2)).astype(float) for n in rng.integers(0, 20, 400)] + [None]
+    xs, ys = (np.array([None if r is None else r[:, k] for r in rings], dtype=object) for k in (0, 1))
+    many = dem._chords(xs, ys)
+    for r, got in zip(rings, many):
+        if r is None or not len(r):
+            assert np.isnan(got).all()
+        else:
+            d, a, b = dem._far_ends(dem._hull(np.unique(r, axis=0)))
+            assert got.tolist() == [*a, *b, math.sqrt(d)]
+    calls = []
+    monkeypatch.setattr(dem, "_hull", lambda p: calls.append(len(p)))
+    dem._chords(np.array([np.ones(4)] * 50 + [None], dtype=object)[:50], np.array([np.ones(4)] * 50 + [None], dtype=object)[:50])
+    assert not calls
+
+
 def test_event_columns_of_slides(spark):
     import datetime as dt
 
