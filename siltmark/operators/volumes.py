@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltmark.functions import geo
@@ -87,8 +87,9 @@ def match_roles(layers: DataFrame) -> DataFrame:
     """Role of each named layer: (project, pos, name) -> (project, role, pos, name).
 
     The total role claims first, then best, low, high; a layer belongs to one role, and
-    an unmarked source layer stands in for a missing best.  Each claim is one aggregate,
-    so a project with very many layers is never gathered in one place.
+    an unmarked source layer stands in for a missing best.  Earlier claims take at most one
+    layer each, so the first few layers of a claim settle it: no more of them are gathered,
+    however many a project has.
     """
     t = layers.withColumn("_t", V.name_tokens(F.col("name")))
     tok = F.col("_t")
@@ -97,19 +98,20 @@ def match_roles(layers: DataFrame) -> DataFrame:
         total = total | V.has_all(tok, words)
     source = V.has_all(tok, V.SOURCE_SUBJECT)
     every = [w for ws in V.ROLE_WORDS.values() for w in ws]
-    d = t.select("project", "pos", "name", total.alias("_total"), source.alias("_source"),
-                 *[V.has_any(tok, ws).alias(f"_{r}") for r, ws in V.ROLE_WORDS.items()],
-                 (~V.has_any(tok, every)).alias("_plain"))
-    first = lambda cond, *skip: F.min_by(
-        F.struct("pos", "name"), F.when(cond, F.col("pos")))
-    claimed = d.groupBy("project").agg(first(F.col("_total")).alias("total"))
-    for role, cond in (("best", F.col("_best")), ("low", F.col("_low")), ("high", F.col("_high")), ("plain", F.col("_plain"))):
-        j = d.join(claimed, "project")
-        taken = F.lit(False)
-        for r in [c for c in claimed.columns if c != "project"]:
-            taken = taken | F.coalesce(F.col("pos") == F.col(f"{r}.pos"), F.lit(False))
-        nxt = j.groupBy("project").agg(first(F.col("_source") & cond & ~taken).alias(role))
-        claimed = claimed.join(nxt, "project")
+    may = [("total", total), *[(r, source & V.has_any(tok, V.ROLE_WORDS[r])) for r in ("best", "low", "high")],
+           ("plain", source & ~V.has_any(tok, every))]
+    d = t.filter(F.col("pos").isNotNull()).select("project", "pos", "name", F.explode(F.array_compact(F.array(
+        *[F.when(cond, F.lit(r)) for r, cond in may]))).alias("claim"))
+    # layers of one position are claimed together, so positions are counted once
+    first = d.groupBy("project", "claim", "pos").agg(F.min("name").alias("name"))
+    n = F.row_number().over(Window.partitionBy("project", "claim").orderBy("pos"))
+    few = first.withColumn("n", n).filter(F.col("n") <= len(may))
+    claimed = few.groupBy("project").agg(*[F.array_sort(F.collect_list(
+        F.when(F.col("claim") == r, F.struct("pos", "name")))).alias(f"_{r}") for r, _ in may])
+    for k, (role, _) in enumerate(may):
+        taken = [r for r, _ in may[:k]]
+        claimed = claimed.withColumn(role, F.get(F.filter(f"_{role}", lambda x: ~F.coalesce(
+            F.array_contains(F.array(*[F.col(f"{r}.pos") for r in taken]), x["pos"]), F.lit(False)) if taken else F.lit(True)), F.lit(0)))
     best = F.coalesce("best", "plain")
     roles = F.array(*[F.struct(F.lit(r).alias("role"), c.alias("hit")) for r, c in (
         ("total", F.col("total")), ("best", best), ("low", F.col("low")), ("high", F.col("high")))])

@@ -601,6 +601,31 @@ def test_chords_of_many_small_rings_at_once(monkeypatch):
     assert not calls
 
 
+def test_roles_are_claimed_in_few_shuffles(spark):
+    from siltmark.operators import volumes as VO
+    words = ("total", "landslide", "area", "source", "best", "low", "max", "other")
+    rng = np.random.default_rng(8)
+    layers = [(int(rng.integers(0, 60)), k, " ".join(rng.choice(words, rng.integers(2, 6), replace=False))) for k in rng.permutation(400).tolist()]
+    df = VO.match_roles(spark.createDataFrame(layers, "project int, pos int, name string"))
+    want = set()
+    for p in range(60):
+        free, got = sorted(x[1:] for x in layers if x[0] == p), {}
+
+        def claim(role, cond):
+            hit = next((x for x in free if cond(set(x[1].split()))), None)
+            if hit:
+                free.remove(hit)
+                got[role] = hit
+        claim("total", lambda w: len(w & {"total", "area", "landslide"}) > 1)
+        for role, word in (("best", "best"), ("low", "low"), ("high", "max")):
+            claim(role, lambda w: {"source", "area", word} <= w)
+        claim("plain", lambda w: {"source", "area"} <= w and not w & {"best", "low", "max"})
+        got.setdefault("best", got.get("plain"))
+        want |= {(p, r, *x) for r, x in got.items() if x and r != "plain"}
+    assert {(r.project, r.role, r.pos, r.name) for r in df.collect()} == want and len(want) > 80
+    assert df._jdf.queryExecution().executedPlan().toString().count("Join") == 0
+
+
 def test_event_columns_of_slides(spark):
     import datetime as dt
 
