@@ -626,6 +626,20 @@ def test_roles_are_claimed_in_few_shuffles(spark):
     assert df._jdf.queryExecution().executedPlan().toString().count("Join") == 0
 
 
+def test_detectors_shuffle_cells_once(spark):
+    """Pairs and sums of a cell are made where its tile lies, in as many tasks as asked for."""
+    from siltmark.operators import sar
+    g = grid(spark, np.arange(400.0).reshape(20, 20)).withColumn("idx", F.explode(F.array(*[F.lit(i) for i in (0, 1, 2, -1)])))
+    stack = g.groupBy("event_id", "row", "col", "n_rows", "n_cols").agg(F.collect_list(F.struct("idx", (F.col("v") * (F.col("idx") + 3)).alias("v"))).alias("pows"))
+    z, m = sar.intensity_zscore(g, ["event_id"], 5, tile=8), sar.multi_temporal(sar.pair_correlations(stack, ["event_id"], 5, 8, before=3), ["event_id"])
+    assert sar.pair_correlations(stack, ["event_id"], 5, 8).count() == 6 * 400
+    for df, others in ((z, 0), (m, 1)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 + others and "REPARTITION_BY_NUM" in plan
+        assert plan.count("Window ") <= 2
+        assert df.count() == 400
+
+
 def test_event_columns_of_slides(spark):
     import datetime as dt
 
