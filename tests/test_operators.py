@@ -392,6 +392,16 @@ def test_stereo_mates_of_a_crowded_bucket(spark, monkeypatch):
         assert len(got) == len(want) and set(got) == want, crowd
 
 
+def test_stereo_mates_are_merged_not_broadcast(spark):
+    from siltmark.operators import vhr
+    df = spark.range(50).select(F.lit(1).alias("event_id"), F.col("id").alias("feature_id"), F.lit("WV01").alias("sensor"), F.lit(None).cast("string").alias("sensor_type"),
+                                F.timestamp_seconds(F.col("id") * 9).cast("timestamp_ntz").alias("acq"))
+    out = vhr.stereo_mate_ids(df)
+    assert out.count() == 2 * sum(min(33, 49 - i) for i in range(50))
+    joins = [x for x in out._jdf.queryExecution().executedPlan().toString().split("\n") if "Join" in x and "at#" in x]
+    assert joins and all("SortMergeJoin" in x for x in joins), joins
+
+
 def test_rewriting_an_event_prunes_and_keeps_files(spark, tmp_path):
     path, shape = str(tmp_path / "t"), "row int, col int, score double, event_id int"
     cells = spark.createDataFrame([(e, r, 0, float(e)) for e in range(4) for r in range(3)], "event_id int, row int, col int, score double")
