@@ -57,15 +57,15 @@ def q_scores(spark, d):
     shape = "row int, col int, score double, evidence long, event_id long"
     sinks.write_scores(cells, path)
 
-    def files():
-        return sinks.read_scores(spark, path, columns=shape).select("event_id", F.col("_metadata.file_path").alias("file")).distinct()
-    before = files().groupBy("event_id").agg(F.array_sort(F.collect_list("file")).alias("was"))
-    folder = shared_folder(spark, "files")
-    before.write.parquet(folder)
+    def files(name):
+        return sinks.score_files(spark, path).groupBy("event_id").agg(F.array_sort(F.collect_list("file")).alias(name))
+    before = files("was")
     sinks.write_scores(cells.filter(F.col("event_id") % 8 == 4).withColumn("score", -F.col("score")), path)
-    after = files().groupBy("event_id").agg(F.array_sort(F.collect_list("file")).alias("now"))
-    changed = spark.read.schema(before.schema).parquet(folder).join(after, "event_id").select("event_id", (F.col("was") != F.col("now")).alias("rewritten"))
-    return sinks.read_scores(spark, path, columns=shape).join(changed, "event_id")
+    changed = before.join(files("now"), "event_id").select("event_id", (F.col("was") != F.col("now")).alias("rewritten"))
+    # written, so that Spark knows its size when it is joined to the cells
+    folder = shared_folder(spark, "files")
+    changed.write.parquet(folder)
+    return sinks.read_scores(spark, path, columns=shape).join(spark.read.schema(changed.schema).parquet(folder), "event_id")
 
 
 @register("keys_of_one_host_removed", sql="""

@@ -47,8 +47,8 @@ def write_deliveries(files: DataFrame, root: str) -> int:
     return files.select("path", "body").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
-def listed(spark: SparkSession, root: str) -> DataFrame:
-    """``path`` of every metadata file below ``root``; names led by a dot or an underscore are passed over.
+def listed(spark: SparkSession, root: str, suffix: str = SUFFIX) -> DataFrame:
+    """``path`` of every file below ``root`` that ends so, metadata files if not told; names led by a dot or an underscore are passed over.
 
     One level of folders is listed at a time, each folder by one task.
     """
@@ -61,7 +61,7 @@ def listed(spark: SparkSession, root: str) -> DataFrame:
         for b in batches:
             for folder in b.column(0).to_pylist():
                 seen = [(i.path, i.type == fs.FileType.Directory) for i in own.get_file_info(fs.FileSelector(folder))
-                        if i.base_name[0] not in "._" and (i.type == fs.FileType.Directory or i.base_name.endswith(SUFFIX))]
+                        if i.base_name[0] not in "._" and (i.type == fs.FileType.Directory or i.base_name.endswith(suffix))]
                 for k in range(0, len(seen), BATCH):
                     paths, folders = zip(*seen[k:k + BATCH])
                     yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(folders, pa.bool_())], ["path", "folder"])

@@ -416,6 +416,22 @@ def test_rewriting_an_event_prunes_and_keeps_files(spark, tmp_path):
     assert "PartitionFilters: [event_id" in plan.replace("isnotnull(event_id", "event_id").replace("[(event_id", "[event_id")
 
 
+def test_score_table_is_listed_by_few_tasks_and_not_opened(spark, tmp_path):
+    path, tracker = str(tmp_path / "t"), spark.sparkContext.statusTracker()
+    sinks.write_scores(spark.range(70).select(F.col("id").alias("event_id"), F.lit(0).alias("row"), F.lit(0).alias("col"), F.lit(1.0).alias("score")), path)
+    spark.sparkContext.setJobGroup("listing", "")
+    table = sinks.read_scores(spark, path, columns="row int, col int, score double, event_id long")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = [tracker.getStageInfo(i) for j in tracker.getJobIdsForGroup("listing") for i in tracker.getJobInfo(j).stageIds]
+    assert stages and sum(x.numTasks for x in stages) <= 4
+    assert table.count() == 70 and spark.conf.get(sinks.LISTING) == "10000"
+    assert {r.event_id: r.file for r in sinks.score_files(spark, path).collect()} == {
+        r.event_id: "/" + r.f.removeprefix("file:").lstrip("/") for r in table.select("event_id", F.col("_metadata.file_path").alias("f")).collect()}
+    part = next((tmp_path / "t" / "event_id=7").glob("*.parquet"))
+    part.write_text("not a table")
+    assert sinks.score_files(spark, path).count() == 70
+
+
 def test_marching_ends_at_the_raster(spark):
     """A tall wall in a small raster: steps past the edges are no work and change nothing."""
     from siltmark.operators import terrain
