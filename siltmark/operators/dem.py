@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from siltmark.functions import geo
 from siltmark.operators.focal import dilate
 from siltmark.operators.order_stats import clipped_offset
+from siltmark.session import written
 
 
 def difference(pre: DataFrame, post: DataFrame, keys: list[str], coregister: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -25,7 +26,9 @@ def difference(pre: DataFrame, post: DataFrame, keys: list[str], coregister: boo
         st = raw.groupBy(*keys).agg(F.lit(0.0).alias("offset"), F.lit(0).cast("bigint").alias("stable_n"),
                                     F.lit(0.0).alias("sigma"), F.count(F.lit(1)).alias("n_values"))
     else:
-        st = clipped_offset(raw, keys, F.col("raw"))
+        # read by every later step; the statistics are by far the smaller table and their size is known, so Spark never sends the cells
+        raw = written(raw, "differences")
+        st = written(clipped_offset(raw, keys, F.col("raw")), "offsets")
     return raw.join(st.select(*keys, "offset"), keys).select(
         *keys, "row", "col", (F.col("raw") - F.col("offset")).alias("dh")), st
 

@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from siltmark.session import stable
 
 
-def cumulative_counts(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
-    """(keys, v, n, cum, total): running count of values per group, NULLs ignored."""
-    counts = (df.select(*keys, value.alias("v")).filter(F.col("v").isNotNull())
-              .groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n")))
+def cumulative_counts(df: DataFrame, keys: list[str], value: Column, times: Column | None = None) -> DataFrame:
+    """(keys, v, n, cum, total): running count of values per group, NULLs ignored.  ``times``: how often a row counts."""
+    n = F.count(F.lit(1)) if times is None else F.sum("n")
+    counts = (df.select(*keys, value.alias("v"), *([] if times is None else [times.alias("n")])).filter(F.col("v").isNotNull())
+              .groupBy(*keys, "v").agg(n.alias("n")))
     # the slice number must never change, so the sliced table is cut from its lineage
     sliced = stable(counts.repartitionByRange(*keys, "v").withColumn("_slice", F.spark_partition_id()))
     totals = sliced.groupBy(*keys, "_slice").agg(F.sum("n").alias("_n"))
@@ -37,9 +38,9 @@ def value_at(index: Column) -> Column:
     return F.max(F.when((F.col("cum") - F.col("n") <= index) & (index < F.col("cum")), F.col("v")))
 
 
-def quantiles(df: DataFrame, keys: list[str], value: Column, probs: dict[str, float]) -> DataFrame:
-    """Linear-interpolated quantiles per group, one column per name in ``probs``."""
-    c = cumulative_counts(df, keys, value)
+def quantiles(df: DataFrame, keys: list[str], value: Column, probs: dict[str, float], times: Column | None = None) -> DataFrame:
+    """Linear-interpolated quantiles per group, one column per name in ``probs``.  ``times``: how often a row counts."""
+    c = cumulative_counts(df, keys, value, times)
     aggs = []
     for name, p in probs.items():
         pos = F.lit(p) * (F.col("total") - 1)
@@ -52,8 +53,8 @@ def quantiles(df: DataFrame, keys: list[str], value: Column, probs: dict[str, fl
     return out.select(*keys, "n_values", *probs)
 
 
-def medians(df: DataFrame, keys: list[str], value: Column, name: str = "med") -> DataFrame:
-    return quantiles(df, keys, value, {name: 0.5})
+def medians(df: DataFrame, keys: list[str], value: Column, name: str = "med", times: Column | None = None) -> DataFrame:
+    return quantiles(df, keys, value, {name: 0.5}, times)
 
 
 def share_at_or_below(df: DataFrame, keys: list[str], value: str, name: str = "share") -> DataFrame:
@@ -110,9 +111,9 @@ def clipped_offset(df: DataFrame, keys: list[str], value: Column, *, iters: int
                                  for a, b in (("m", "m2"), ("sd", "sd2"), ("med", "med2"), ("lo", "lo2"), ("hi", "hi2"))],
             (stop | refuse).alias("done"), (F.col("clipped") | take).alias("clipped"),
             F.when(refuse, m2).otherwise(F.col("thin_n")).alias("thin_n")))
-    kept = (df.select(*keys, value.alias("v")).join(state.select(*keys, "lo", "hi", "med"), keys)
-            .filter(F.col("v").between(F.col("lo"), F.col("hi"))))
-    mad = medians(kept, keys, F.abs(F.col("v") - F.col("med")), "mad").select(*keys, "mad")
+    # the counts say how often each value stands, so the rows are not read again
+    kept = c.join(state.select(*keys, "lo", "hi", "med"), keys).filter(F.col("v").between(F.col("lo"), F.col("hi")))
+    mad = medians(kept, keys, F.abs(F.col("v") - F.col("med")), "mad", F.col("n")).select(*keys, "mad")
     return state.join(mad, keys).select(
         *keys, F.col("med").alias("offset"),
         F.when(F.col("thin_n").isNotNull() & ~F.col("clipped"), F.col("thin_n")).otherwise(F.col("m")).alias("stable_n"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltmark.operators import dem
+from siltmark.session import written
 
 
 def change_volume(pre: DataFrame, post: DataFrame, mask: DataFrame, keys: list[str], px_area: Column) -> DataFrame:
@@ -16,7 +17,7 @@ def change_volume(pre: DataFrame, post: DataFrame, mask: DataFrame, keys: list[s
     n_rows, n_cols.
     """
     dh, st = dem.difference(pre, post, keys)
-    ground = dem.stable_ground(dh, mask, keys)
+    ground = written(dem.stable_ground(dh, mask, keys), "ground")
     level = dh.join(ground.select(*keys, "offset_m"), keys, "left").withColumn("dh", F.col("dh") - F.coalesce("offset_m", F.lit(0.0)))
     out = dem.zonal_volume(level.drop("offset_m"), mask.select(*keys, "row", "col"), keys, px_area)
     s = out.join(st.select(*keys, "offset"), keys).join(ground, keys, "left").withColumn("sigma", F.coalesce("sigma_m", F.lit(0.0)))

@@ -61,6 +61,13 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The rows as a table in a fresh shared folder: computed once for all that read it, column by column, and of known size."""
+    path = shared_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stable(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows survive lost executors and are never recomputed."""
     checkpoint_root(df.sparkSession)

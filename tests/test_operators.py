@@ -265,6 +265,24 @@ def test_clipped_offset_matches_numpy(spark):
     assert (r["offset"], r["stable_n"], r["sigma"]) == pytest.approx(numpy_clip(x))
 
 
+def test_change_volume_computes_the_difference_once(spark, tmp_path):
+    from siltmark.plans import heights
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    cells = [(1, r, c, 100.0 + (r * 7 + c) % 5 * 0.1, 8 <= r < 12 and 8 <= c < 12) for r in range(24) for c in range(24)]
+    df = spark.createDataFrame(cells, "event_id int, row int, col int, h double, scar boolean")
+    pre = df.select("event_id", "row", "col", "h").mapInArrow(count, "event_id int, row int, col int, h double")
+    post = df.select("event_id", "row", "col", (F.col("h") + 2 - F.when(F.col("scar"), 30.0).otherwise(0.0)).alias("h"))
+    mask = df.filter("scar").select("event_id", "row", "col", F.lit(24).alias("n_rows"), F.lit(24).alias("n_cols"))
+    r = heights.change_volume(pre, post, mask, ["event_id"], F.lit(1.0)).first()
+    assert (r["pixel_count"], r["ok"]) == (16, True) and r["v_net"] == pytest.approx(-480.0)
+    assert seen.value == 576
+
+
 def test_thin_clip_is_refused_and_reported(spark):
     x = [0.0] * 60 + [float(i) for i in range(1, 38)] + [1e6] * 4
     df = spark.createDataFrame([(1, v) for v in x], "event_id int, d double")
