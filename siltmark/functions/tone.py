@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltmark.operators.order_stats import quantiles
+from siltmark.session import written
 
 # Fixed values of the tone curves.
 WHITE, KNEE, CONTRAST = 0.30, 0.55, 1.15
@@ -152,16 +153,27 @@ def auto_stretch(df: DataFrame, keys: list[str], white: float = WHITE, knee: flo
 
 def haze_floor(long: DataFrame, keys: list[str]) -> DataFrame:
     """Path-radiance floor per scene and band (keys, band, v > 0); no rows where no dark object is in frame."""
-    q = quantiles(long.filter(F.col("v") > 0), [*keys, "band"], F.col("v"), {"p": HAZE_PCT})
+    q = written(quantiles(long.filter(F.col("v") > 0), [*keys, "band"], F.col("v"), {"p": HAZE_PCT}), "haze")
     f = q.select(*keys, "band", (F.col("p") * (1.0 - HAZE_MARGIN)).alias("floor"))
     dark = f.filter(F.col("band").isin(*RGB)).groupBy(*keys).agg(F.min("floor").alias("_d")).filter(F.col("_d") <= HAZE_MAX)
     return f.join(dark.select(*keys), keys, "left_semi")
 
 
+def _above(v: Column, floor: Column) -> Column:
+    return F.when(floor.isNotNull(), F.greatest(v - floor, F.lit(0.0))).otherwise(v)
+
+
 def dehaze(long: DataFrame, keys: list[str]) -> DataFrame:
     """Subtract the floor, clipped at 0; scenes without a floor stay."""
     j = long.join(haze_floor(long, keys), [*keys, "band"], "left")
-    return j.withColumn("v", F.when(F.col("floor").isNotNull(), F.greatest(F.col("v") - F.col("floor"), F.lit(0.0))).otherwise(F.col("v"))).drop("floor")
+    return j.withColumn("v", _above(F.col("v"), F.col("floor"))).drop("floor")
+
+
+def dehaze_bands(df: DataFrame, keys: list[str], bands=RGB) -> DataFrame:
+    """``dehaze`` of a table with a column per band: a scene's floors are one row, joined to each cell once."""
+    long = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.col(b).alias("v")) for b in bands])).alias("x")).select(*keys, "x.*")
+    floors = haze_floor(long, keys).groupBy(*keys).agg(*[F.max(F.when(F.col("band") == b, F.col("floor"))).alias(f"_floor_{b}") for b in bands])
+    return df.join(floors, keys, "left").withColumns({b: _above(F.col(b), F.col(f"_floor_{b}")) for b in bands}).select(df.columns)
 
 
 def balance_gains(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -170,7 +182,7 @@ def balance_gains(df: DataFrame, keys: list[str]) -> DataFrame:
     ``df``: keys and the visible bands.
     """
     m = F.greatest(*[F.col(c) for c in RGB])
-    cut = quantiles(df, keys, m, {"thr": BRIGHT_PCT}).select(*keys, "thr")
+    cut = written(quantiles(df, keys, m, {"thr": BRIGHT_PCT}).select(*keys, "thr"), "bright")
     j = df.withColumn("_m", m).join(cut, keys)
     g = j.groupBy(*keys).agg(F.first("thr").alias("thr"), *[
         F.avg(F.when(F.col("_m") >= F.col("thr"), F.col(c))).alias(f"_{c}") for c in RGB])

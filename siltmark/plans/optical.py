@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siltmark.operators import cells as C
 from siltmark.operators import ranking as R
 from siltmark.operators import search as S
+from siltmark.session import written
 
 
 def listing(events: DataFrame, scenes: DataFrame, obs: DataFrame, *, pre_days: int = 60, post_days: int = 60,
@@ -73,14 +74,14 @@ def auto_run(events: DataFrame, scenes: DataFrame, cells: DataFrame, sources: li
 
 
 def product_mosaic(obs: DataFrame, order: str, coefficient: Column, bands=("red", "green", "blue")) -> DataFrame:
-    """Counts to reflectance by each scene's coefficient, haze removed, cast balanced, first valid scene wins."""
+    """Counts to reflectance by each scene's coefficient, haze removed, cast balanced, first valid scene wins.
+
+    ``obs``: one row per cell of a scene.  Its reflectances are written once; floors and gains are a row per scene.
+    """
     from siltmark.functions import tone
-    scene, cell = ["event_id", "scene"], ["event_id", "scene", "row", "col"]
-    long = obs.select(*cell, F.col(order).alias("_order"), F.explode(F.array(*[
-        F.struct(F.lit(b).alias("band"), C.toa_reflectance(F.col(b), coefficient).alias("v")) for b in bands])).alias("x")).select(
-        *cell, "_order", "x.*")
-    clear = tone.dehaze(long, scene)
-    wide = clear.groupBy(*cell, "_order").agg(*[F.max(F.when(F.col("band") == b, F.col("v"))).alias(b) for b in bands])
-    even = wide.join(tone.balance_gains(wide, scene), scene, "left")
+    scene = ["event_id", "scene"]
+    refl = written(obs.select(*scene, "row", "col", F.col(order).alias("_order"), *[C.toa_reflectance(F.col(b), coefficient).alias(b) for b in bands]), "reflectance")
+    clear = tone.dehaze_bands(refl, scene, bands)
+    even = clear.join(written(tone.balance_gains(clear, scene), "gains"), scene, "left")
     even = even.withColumns({b: F.col(b) * F.coalesce(f"gain_{b}", F.lit(1.0)) for b in tone.RGB if b in bands})
     return even.groupBy("event_id", "row", "col").agg(*[F.min_by(b, F.when(F.col(b).isNotNull(), F.col("_order"))).alias(b) for b in bands])

@@ -283,6 +283,27 @@ def test_change_volume_computes_the_difference_once(spark, tmp_path):
     assert seen.value == 576
 
 
+def test_mosaic_computes_the_reflectances_once(spark):
+    from siltmark.functions import tone
+    from siltmark.plans import optical
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    shape = "event_id int, scene int, row int, col int, red long, green long, blue long"
+    rows = [(1, s, r, c, *(None if s == 1 and r == 0 else 900 + 300 * s + 40 * k + r * 16 + c for k in range(3))) for s in (1, 2) for r in range(16) for c in range(16)]
+    obs = spark.createDataFrame(rows, shape)
+    out = optical.product_mosaic(obs.mapInArrow(count, shape), "scene", F.lit(0.0003))
+    assert out.count() == 256 and seen.value == 512
+    refl = obs.select("event_id", "scene", "row", "col", *[(F.col(b) * 0.0003).alias(b) for b in tone.RGB])
+    long = refl.select("event_id", "scene", "row", "col", F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.col(b).alias("v")) for b in tone.RGB])).alias("x")).select("event_id", "scene", "row", "col", "x.*")
+    want = {(r.scene, r.row, r.col, r.band): r.v for r in tone.dehaze(long, ["event_id", "scene"]).collect()}
+    got = {(r.scene, r.row, r.col, b): r[b] for r in tone.dehaze_bands(refl, ["event_id", "scene"]).collect() for b in tone.RGB}
+    assert got == want
+
+
 def test_thin_clip_is_refused_and_reported(spark):
     x = [0.0] * 60 + [float(i) for i in range(1, 38)] + [1e6] * 4
     df = spark.createDataFrame([(1, v) for v in x], "event_id int, d double")
