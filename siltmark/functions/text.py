@@ -176,7 +176,9 @@ def encoded_uuid() -> str:
     dashed = _encoded(["-" if i in (8, 13, 18, 23) else HEX for i in range(36)])
     bare = _encoded([HEX] * 32)
     inside = "[A-Za-z0-9+/_-]"
-    return f"(?<!{inside})(?:{dashed}|{bare})={{0,2}}(?![=A-Za-z0-9+/_-])|{dashed}|{bare}"
+    # few places of a text begin with a digit a UUID can begin with, and a run as long as the shorter form: only these are tried
+    first = "".join(sorted({BASE64[ord(c) >> 2] for c in HEX}))
+    return f"(?=[{first}][A-Za-z0-9+/]{{42}})(?:(?<!{inside})(?:{dashed}|{bare})={{0,2}}(?![=A-Za-z0-9+/_-])|{dashed}|{bare})"
 
 
 def redact(text: Column, key: Column | None = None) -> Column:
