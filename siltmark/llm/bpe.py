@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from siltmark.llm.pieces import by_text, joined
 from siltmark.llm.sharing import read, text_or_empty
-from siltmark.llm.textarrays import flat
+from siltmark.llm.textarrays import flat, slices
 
 # fixed values: white space of the public byte-level vocabularies' pre-token pattern, and its contractions
 SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -207,8 +207,17 @@ class Transducer:
 
         Words are runs of letters, of numbers, of white space or of anything else.  White space before another run
         leaves its last character to it if that is a space, else as a word of its own.  A quote that starts a word and
-        a contraction's letters behind it are a word.
+        a contraction's letters behind it are a word.  A few segments at a time are decoded, since a character takes
+        some fifty bytes meanwhile.
         """
+        out = []
+        for i, j in slices(offsets, SEGMENT):
+            a, b = offsets[i], offsets[j]
+            out.append(a + self.starts(data[a:b], offsets[i:j + 1] - a, whole[(whole >= i) & (whole < j)] - i))
+        return np.concatenate([*out, [len(data)]])
+
+    def starts(self, data: np.ndarray, offsets: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        """Starts of all words of a few segments."""
         points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
         place = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
         n = len(points)
@@ -234,7 +243,7 @@ class Transducer:
             start[at + 1 + len(letters)] = True
         for s in whole:
             start[edges[s] + 1:edges[s + 1]] = False
-        return place[np.flatnonzero(start)]
+        return place[np.flatnonzero(start[:n])]
 
     def segments(self, text: str) -> Iterator[tuple[str, bool]]:
         """Parts of a text that words do not span, and whether a part is a special token."""
@@ -289,27 +298,13 @@ class Transducer:
         """Token count, SHA-256 of the ids and SHA-256 of the decoded text of every text of a slice."""
         words, codes, ends = self.chunks(texts)
         ids, n = self.tokens(words)
-        total = np.concatenate([[0], np.cumsum(n[codes])])
         labels, back, at = joined(self.labels, ids, n), joined(self.spelled, ids, n), pa.array(codes)
         for start, end, i, d in zip([0, *ends[:-1].tolist()], ends.tolist(), by_text(labels, at, ends), by_text(back, at, ends), strict=True):
             text_hash, state = hashlib.sha256(), codecs.getincrementaldecoder("utf-8")("replace")
             for k in range(0, len(d), SEGMENT):
                 text_hash.update(state.decode(d[k:k + SEGMENT]).encode())
             text_hash.update(state.decode(b"", True).encode())
-            yield int(total[end] - total[start]), hashlib.sha256(i[1:]).hexdigest(), text_hash.hexdigest()
-
-
-def by_slice(texts: list[str]) -> Iterator[list[str]]:
-    """Runs of texts of about a slice's size; a longer text is a run of its own."""
-    run, size = [], 0
-    for t in texts:
-        if run and size + len(t) > SLICE:
-            yield run
-            run, size = [], 0
-        run.append(t)
-        size += len(t)
-    if run:
-        yield run
+            yield int(n[codes[start:end]].sum()), hashlib.sha256(i[1:]).hexdigest(), text_hash.hexdigest()
 
 
 def decoded(parts: Iterable[bytes]) -> Iterator[str]:
@@ -345,10 +340,12 @@ def encode_digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_
     def run(batches):
         t = transducer(path)
         for b in batches:
-            got = [g for texts in by_slice(b.column(1).to_pylist()) for g in t.digests(texts)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.string()),
-                 pa.array([g[2] for g in got], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            _, offsets = flat(b.column(1))
+            for i, j in slices(offsets, SLICE):
+                got = list(t.digests(b.column(1).slice(i, j - i).to_pylist()))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(i, j - i), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.string()),
+                     pa.array([g[2] for g in got], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     d = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     return d.mapInArrow(run, f"doc_id {kind.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -30,6 +30,7 @@ from siltmark.llm.textarrays import flat, slices
 MARK = "▁"
 LONG = 64
 SLICE = 8 << 20  # bytes of text that share a table
+POSITIONS = 1 << 18  # words of texts whose strings are out at once
 NO_RANK = 1 << 40
 SHIFT = 22  # bits for a symbol; code points and pieces stay below
 
@@ -204,13 +205,15 @@ def joined(strings: pa.Array, ids: np.ndarray, n: np.ndarray) -> pa.Array:
 
 
 def by_text(strings: pa.Array, codes: pa.Array, ends: np.ndarray) -> Iterator[memoryview]:
-    """For each text, the table's strings at its positions, one after another."""
-    each = strings.take(codes)
-    _, offsets, data = each.buffers()
-    stops = np.frombuffer(offsets, np.int64)[np.concatenate([[0], ends])] if len(each) else np.zeros(len(ends) + 1, np.int64)
-    view = memoryview(data) if data is not None else memoryview(b"")
-    for a, b in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True):
-        yield view[a:b]
+    """For each text, the table's strings at its positions, one after another; made for a few texts at a time."""
+    stops = np.concatenate([[0], ends])
+    for i, j in slices(stops, POSITIONS):
+        each = strings.take(codes.slice(stops[i], stops[j] - stops[i]))
+        _, offsets, data = each.buffers()
+        at = np.frombuffer(offsets, np.int64)[stops[i:j + 1] - stops[i]] if len(each) else np.zeros(j - i + 1, np.int64)
+        view = memoryview(data) if data is not None else memoryview(b"")
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            yield view[a:b]
 
 
 def default_path() -> str:

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -48,6 +49,23 @@ def test_words_match_the_library_on_hostile_texts(monkeypatch):
             assert own.encode(t) == lib.encode(t, add_special_tokens=False).ids, (segment, t)
 
 
+def test_slice_of_texts_takes_few_bytes_a_byte():
+    own, rng = bpe.transducer(bpe.default_path()), random.Random(3)
+    words = [rng.choice(["the", "of", "naïve", "x1", "日本"]) + str(k) for k in range(500)]
+    texts = [" ".join(rng.choices(words, k=500)) + rng.choice(["", "<|endoftext|>"]) for _ in range(2000)]
+    alone = [next(own.digests([t])) for t in texts[:40]]
+    tracemalloc.start()
+    try:
+        held = pa.total_allocated_bytes()
+        got = own.digests(texts)
+        first = [next(got) for _ in range(40)]
+        most = tracemalloc.get_traced_memory()[1] + pa.total_allocated_bytes() - held
+    finally:
+        tracemalloc.stop()
+    assert first == alone
+    assert most < 12 * sum(len(t.encode()) for t in texts)
+
+
 def test_long_words_stream(monkeypatch):
     from tokenizers import Tokenizer
     lib, own = Tokenizer.from_file(bpe.default_path()), bpe.transducer(bpe.default_path())
