@@ -461,6 +461,18 @@ def test_stereo_mates_are_merged_not_broadcast(spark):
     assert joins and all("SortMergeJoin" in x for x in joins), joins
 
 
+def test_stereo_mates_are_shuffled_once_and_written_in_runs(spark):
+    """Keys, one of them constant, take no second shuffle; the mates of a strip stand together, as disk use asks for."""
+    from siltmark.operators import vhr
+    df = spark.range(300).select(F.lit(1).alias("event_id"), (F.col("id") * 7919 % 300).alias("feature_id"), F.when(F.col("id") >= 0, "WV01").alias("sensor"), F.lit(None).cast("string").alias("sensor_type"),
+                                 F.timestamp_seconds(F.col("id") * 2).cast("timestamp_ntz").alias("acq"))
+    out = vhr.stereo_mate_ids(df)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    rows = [r.feature_id for r in out.collect()]
+    assert len(rows) == 2 * sum(min(149, 299 - i) for i in range(300))
+    assert sum(a != b for a, b in zip(rows, rows[1:], strict=False)) < 2 * 300
+
+
 def test_rewriting_an_event_prunes_and_keeps_files(spark, tmp_path):
     path, shape = str(tmp_path / "t"), "row int, col int, score double, event_id int"
     cells = spark.createDataFrame([(e, r, 0, float(e)) for e in range(4) for r in range(3)], "event_id int, row int, col int, score double")
