@@ -760,6 +760,61 @@ def test_detectors_shuffle_cells_once(spark):
         assert df.count() == 400
 
 
+def test_change_set_equals_its_detectors_and_keeps_no_copies(spark, monkeypatch):
+    """One tiling for all four detectors gives what each gives by itself, for large layers and for layers without some scenes."""
+    from siltmark.operators import order_stats, sar
+    from siltmark.plans import radar as RP
+    rng, keys = np.random.default_rng(8), ["event_id"]
+    scene = {(e, i): holes(rng, 20, 20, 0.1) for e in (1, 2) for i in (0, 1, 2, -1) if (e, i) not in ((2, 1), (2, 2))}
+    scenes = None
+    for (e, i), a in scene.items():
+        g = grid(spark, a, e).withColumn("idx", F.lit(i))
+        scenes = g if scenes is None else scenes.unionByName(g)
+    scenes = scenes.unionByName(grid(spark, np.ones((3, 3)), None).withColumn("idx", F.lit(0))).cache()
+    scenes.count()
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    got = {}
+    for small in (order_stats.SMALL, 0):
+        monkeypatch.setattr(order_stats, "SMALL", small)
+        got[small] = {(r.event_id, r.kind, r.row, r.col): r.v for r in RP.change_set(scenes, keys, min_px=3, tile=8, before=3).collect()}
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == held
+    named = scenes.filter("event_id IS NOT NULL")
+    clean = focal.core(focal.lee_filter(focal.tiled(named, keys, 3, 8), [*keys, "idx"], "v2", F.col("v"), 5)).withColumn("v", F.col("v2")).cache()
+    wide = clean.groupBy(*keys, "row", "col", "n_rows", "n_cols").agg(*[F.max(F.when(F.col("idx") == i, F.col("v"))).alias(n) for i, n in ((0, "a"), (-1, "b"))])
+    pairs = sar.pair_correlations(clean.groupBy(*keys, "row", "col", "n_rows", "n_cols").agg(F.collect_list(F.struct("idx", "v")).alias("pows")), keys, 5, 8, before=3)
+    maps = {"logratio": focal.core(sar.log_ratio(focal.tiled(wide, keys, 3, 8), keys, F.col("a"), F.col("b"), 5)), "intcorr": sar.integral_correlation(pairs, keys),
+            "tsint": sar.intensity_zscore(clean, keys, 5, tile=8), "mtcorr": sar.multi_temporal(pairs, keys)}
+    want = {}
+    for kind, df in maps.items():
+        df = sar.normalise(df, keys, kind) if kind in ("logratio", "tsint") else df
+        df = blobs.sieve(df.withColumn("n_cols", F.lit(20)), keys, kind, sar.significant(F.col(kind), kind), 3, fill=0.5 if kind == "mtcorr" else 0.0, tile=8)
+        want |= {(r.event_id, kind, r.row, r.col): r[kind] for r in df.collect()}
+    assert len(want) == 8 * 400 and sum(v in (0, 0.5) for v in want.values()) > 5
+    for x in got.values():
+        assert x.keys() == want.keys()
+        assert all((x[k] is None) == (v is None) and (v is None or x[k] == pytest.approx(v, abs=1e-9)) for k, v in want.items())
+    scenes.unpersist()
+    clean.unpersist()
+
+
+def test_evidence_is_shuffled_once_by_key(spark, monkeypatch):
+    """Small layers: medians, ranks and the cells' sums on one shuffle, nothing kept in memory; as large ones, which are ranged by value."""
+    from siltmark.operators import order_stats
+    rng, kinds = np.random.default_rng(6), ("dbright", "logratio", "mtcorr")
+    rows = [(e, k, i // 9, i % 9, None if rng.random() < 0.1 else float(rng.integers(-40, 40)) / (8.0 if k == "logratio" else 64.0)) for e in (1, 2, None) for k in kinds for i in range(81)]
+    rows += [(3, "dbright", 0, 0, None), (3, "mtcorr", 0, 0, 0.9)]
+    layers = spark.createDataFrame(rows, "event_id int, kind string, row int, col int, v double")
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    ranked = fusion.evidence_rank(layers, ["event_id"])
+    cell = ranked.groupBy("event_id", "row", "col").agg(F.max("rank"))
+    assert cell._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    got = sorted(map(str, ranked.select("event_id", "kind", "row", "col", "v", "evidence", "rank").collect()))
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == held
+    monkeypatch.setattr(order_stats, "SMALL", 0)
+    assert got == sorted(map(str, fusion.evidence_rank(layers, ["event_id"]).select("event_id", "kind", "row", "col", "v", "evidence", "rank").collect()))
+    spark.catalog.clearCache()
+
+
 def test_event_columns_of_slides(spark):
     import datetime as dt
 
